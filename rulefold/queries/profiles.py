@@ -156,9 +156,11 @@ def samples(spark: SparkSession, folder: str) -> DataFrame:
     return sample_values(df, "event_id")
 
 
-@query("dataset_preview", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 20")
+@query("dataset_preview", """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority
+FROM orders ORDER BY o_orderkey LIMIT 20""")
 def dataset_preview(spark: SparkSession, folder: str) -> DataFrame:
-    return preview(table(spark, folder, "orders"), "o_orderkey")
+    return preview(table(spark, folder, "orders"), "o_orderkey").withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
 
 
 @query("column_overview", """

@@ -1 +1,233 @@
-"""Registered queries."""
+"""Verification and lineage over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rulefold.functions.signatures import signature_of
+from rulefold.operators import verify as v
+from rulefold.operators.audit import findings_signatures
+from rulefold.operators.lineage import read_lineage, with_lineage
+from rulefold.operators.rules import Scope, rule_kind
+from rulefold.plans.apply import apply_rule
+from rulefold.queries import query
+from rulefold.queries.derivations import FLAGSHIP, FLAGSHIP_SQL, _cond, flagship, shipped
+from rulefold.session import table
+
+# A stored table whose outputs were partly changed after the rules ran.
+STORED_SQL = """
+o AS (SELECT o_orderkey, o_custkey, nullif(o_orderstatus, 'P') AS s,
+             CASE WHEN o_orderpriority <> '5-LOW' THEN o_totalprice END AS p FROM orders),
+st AS (SELECT *, CASE WHEN o_custkey % 100 = 1 THEN 'odd' WHEN o_custkey % 100 = 2 THEN NULL WHEN p IS NULL THEN NULL
+                      WHEN p < 100000 THEN 'low' WHEN p < 300000 THEN 'mid' ELSE 'top' END AS band,
+       CASE WHEN o_custkey % 100 = 3 THEN 'X' WHEN o_custkey % 100 = 4 THEN NULL WHEN s IS NULL THEN 'M' WHEN s = 'F' THEN 'done'
+            ELSE 'U' END AS state,
+       CASE WHEN o_custkey % 100 = 5 THEN 'maybe' WHEN p >= 200000 AND s = 'F' THEN 'Y' ELSE 'N' END AS pop,
+       CASE WHEN o_custkey % 100 = 6 THEN 'low' WHEN p >= 300000 AND s = 'F' THEN 'high' WHEN p >= 300000 OR s = 'F'
+            THEN 'medium' WHEN (p >= 300000) IS NULL AND (s = 'F') IS NULL THEN NULL ELSE 'low' END AS risk
+       FROM o)"""
+
+STORED_RULES = {
+    "band": ("bin", "p", {"edges": [100000, 300000], "labels": ["low", "mid", "top"]}),
+    "state": ("flag", "s", {"map": {"F": "done"}, "null_handling": "value", "null_value": "M",
+                            "unmapped_handling": "value", "unmapped_value": "U"}),
+    "pop": ("compound", None, {"conditions": [_cond("p", ">=", 200000), _cond("s", "==", "F")]}),
+    "risk": ("risk_score", None, {"tiers": [
+        {"label": "high", "conditions": [_cond("p", ">=", 300000), _cond("s", "==", "F")]},
+        {"label": "medium", "combinator": "or", "conditions": [_cond("p", ">=", 300000), _cond("s", "==", "F")]},
+        {"label": "never", "conditions": [_cond("p", "<", 0)]}],
+        "fallback_label": "low", "null_handling": "null"}),
+}
+
+
+def stored(spark: SparkSession, folder: str):
+    df = table(spark, folder, "orders").select(
+        "o_orderkey", "o_custkey", F.expr("nullif(o_orderstatus, 'P')").alias("s"),
+        F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_totalprice")).alias("p"))
+    scope = Scope(df.schema)
+    bodies = {n: rule_kind(k).body.parse(b) for n, (k, _, b) in STORED_RULES.items()}
+    rules = {n: rule_kind(k).build(scope, src, bodies[n]) for n, (k, src, _) in STORED_RULES.items()}
+    part = F.col("o_custkey") % 100
+    none = F.lit(None).cast("string")
+    df = df.withColumns({
+        "band": F.when(part == 1, F.lit("odd")).when(part == 2, none).otherwise(rules["band"].value),
+        "state": F.when(part == 3, F.lit("X")).when(part == 4, none).otherwise(rules["state"].value),
+        "pop": F.when(part == 5, F.lit("maybe")).otherwise(rules["pop"].value),
+        "risk": F.when(part == 6, F.lit("low")).otherwise(rules["risk"].value),
+    })
+    return df, rules, bodies
+
+
+def _violations(prop: str, name: str, cond: str, severity: str = "error") -> str:
+    return (f"SELECT '{name}' AS derivation, '{prop}' AS property_id, '{severity}' AS severity, count(*) AS n_rows, "
+            f"count(*) FILTER ({cond}) AS n_violations FROM st")
+
+
+T1, T2 = "(p >= 300000 AND s = 'F')", "(p >= 300000 OR s = 'F')"
+UNDEF = f"({T1} IS NULL AND {T2} IS NULL AND p IS NULL)"
+STORED_CHECKS = " UNION ALL ".join([
+    _violations("P-bin-1", "band", "p IS NOT NULL AND (band IS NULL OR band NOT IN ('low','mid','top'))"),
+    _violations("P-bin-2", "band", "p IS NULL AND band IS NOT NULL"),
+    _violations("P-bin-3", "band", "band IS NOT NULL AND band NOT IN ('low','mid','top')"),
+    _violations("P-flag-1", "state", "s = 'F' AND state IS DISTINCT FROM 'done'"),
+    _violations("P-flag-2", "state", "s IS NULL AND state IS DISTINCT FROM 'M'"),
+    _violations("P-flag-3", "state", "s IS NOT NULL AND s <> 'F' AND state IS DISTINCT FROM 'U'"),
+    _violations("P-flag-4", "state", "state IS NULL OR state NOT IN ('done','M','U')"),
+    _violations("P-compound-1", "pop", "(p >= 200000 AND s = 'F') IS NOT NULL AND pop IS DISTINCT FROM "
+                "(CASE WHEN p >= 200000 AND s = 'F' THEN 'Y' ELSE 'N' END)"),
+    _violations("P-compound-2", "pop", "(p >= 200000 AND s = 'F') IS NULL AND pop IS DISTINCT FROM 'N'"),
+    _violations("P-compound-3", "pop", "pop IS NULL OR pop NOT IN ('Y','N')"),
+    _violations("P-risk_score-2", "risk", f"coalesce({T2}, false) AND risk IS DISTINCT FROM "
+                f"(CASE WHEN {T1} THEN 'high' ELSE 'medium' END)"),
+    _violations("P-risk_score-3", "risk", f"NOT coalesce({T2}, false) AND NOT {UNDEF} AND risk IS DISTINCT FROM 'low'"),
+    _violations("P-risk_score-4", "risk", f"{UNDEF} AND risk IS NOT NULL"),
+])
+REACH = " UNION ALL ".join(
+    f"SELECT 'risk', 'P-risk_score-1', 'warning', count(*), CAST(count(*) FILTER ({c}) = 0 AS BIGINT) FROM st"
+    for c in (T1, f"{T2} AND NOT coalesce({T1}, false)", "p < 0"))
+
+
+@query("findings_all", f"WITH {STORED_SQL} {STORED_CHECKS} UNION ALL {REACH}")
+def findings_all(spark: SparkSession, folder: str) -> DataFrame:
+    df, rules, _ = stored(spark, folder)
+    checks = v.verify(df, rules).checks.where("layer = 'L_p'")
+    return checks.select("derivation", "property_id", "severity", "n_rows", "n_violations")
+
+
+@query("finding_samples", f"""
+WITH {STORED_SQL}
+SELECT 'band' AS derivation, 'P-bin-3' AS property_id, min('{{"p":' || coalesce('"' || CAST(p AS VARCHAR) || '"', 'null')
+       || ',"band":"' || band || '"}}') AS sample FROM st WHERE band NOT IN ('low','mid','top')
+UNION ALL SELECT 'state', 'P-flag-4', min('{{"s":' || coalesce('"' || s || '"', 'null') || ',"state":'
+       || coalesce('"' || state || '"', 'null') || '}}') FROM st WHERE state IS NULL OR state NOT IN ('done','M','U')""")
+def finding_samples(spark: SparkSession, folder: str) -> DataFrame:
+    df, rules, _ = stored(spark, folder)
+    findings = v.verify(df, {n: rules[n] for n in ("band", "state")}).findings
+    return findings.where("property_id IN ('P-bin-3', 'P-flag-4')").select("derivation", "property_id", "sample")
+
+
+@query("verdicts", f"""
+WITH {STORED_SQL}, ch AS ({STORED_CHECKS} UNION ALL {REACH})
+SELECT derivation, count(*) FILTER (severity = 'error' AND n_violations > 0) = 0 AS passed,
+       count(*) FILTER (n_violations > 0) AS n_findings FROM ch GROUP BY derivation
+UNION ALL SELECT 'QTY_GROUP', true, 0 UNION ALL SELECT 'RETURN_FLAG', true, 0 UNION ALL SELECT 'SHIP_DAYS', true, 0
+UNION ALL SELECT 'POP_FLAG', true, 0 UNION ALL SELECT 'RISK', true, 0""")
+def verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    df, rules, bodies = stored(spark, folder)
+    clean = flagship(spark, folder)
+    return v.verify(df, rules, bodies, sample=False).verdicts.unionByName(
+        v.verify(clean.df, clean.rules, clean.bodies, sample=False).verdicts)
+
+
+@query("row_count_preserved", """
+SELECT 'L1.row_count_preserved' AS property_id, 0::BIGINT AS n_violations, count(*) AS n_rows
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def row_count_preserved(spark: SparkSession, folder: str) -> DataFrame:
+    """Input and output counts of a derivation in one job, without scanning twice."""
+    before = shipped(spark, folder)
+    done = apply_rule(before, "QTY_GROUP", "bin", FLAGSHIP.entry("QTY_GROUP").rule_body, "l_quantity")
+    marked = done.withColumn("_in", F.lit(1))
+    return marked.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("_in").alias("n_in")).select(
+        F.lit("L1.row_count_preserved").alias("property_id"), F.abs(F.col("n_rows") - F.col("n_in")).alias("n_violations"),
+        "n_rows")
+
+
+@query("coverage_partitions", f"""
+WITH {STORED_SQL}
+SELECT 'band' AS derivation, 'declared' AS "partition", count(p) AS n_rows FROM st
+UNION ALL SELECT 'band', 'null', count(*) - count(p) FROM st
+UNION ALL SELECT 'band', 'out_of_range', 0 FROM st WHERE o_orderkey = (SELECT min(o_orderkey) FROM st)
+UNION ALL SELECT 'state', 'declared', count(*) FILTER (s = 'F') FROM st
+UNION ALL SELECT 'state', 'null', count(*) FILTER (s IS NULL) FROM st
+UNION ALL SELECT 'state', 'unmapped', count(*) FILTER (s <> 'F') FROM st
+UNION ALL SELECT 'risk', 'matched', count(*) FILTER ({T2}) FROM st
+UNION ALL SELECT 'risk', 'null', count(*) FILTER ({UNDEF}) FROM st
+UNION ALL SELECT 'risk', 'fallback', count(*) FILTER (NOT coalesce({T2}, false) AND NOT {UNDEF}) FROM st""")
+def coverage_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    df, rules, _ = stored(spark, folder)
+    return v.coverage(df, {n: rules[n] for n in ("band", "state", "risk")})
+
+
+@query("undeclared_values", """
+SELECT o_orderpriority AS value, count(*) AS n_rows FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '5-LOW')
+GROUP BY o_orderpriority""")
+def undeclared(spark: SparkSession, folder: str) -> DataFrame:
+    df = table(spark, folder, "orders").select("o_orderpriority")
+    kind = rule_kind("flag")
+    rule = kind.build(Scope(df.schema), "o_orderpriority", kind.body.parse({"map": {"1-URGENT": "Y", "5-LOW": "N"}}))
+    return v.undeclared_values(df, rule)
+
+
+@query("inconsistent_inputs", f"""
+WITH {STORED_SQL}
+SELECT s, count(*) AS n_rows FROM st GROUP BY s HAVING count(DISTINCT coalesce(state, chr(0))) > 1""")
+def inconsistent(spark: SparkSession, folder: str) -> DataFrame:
+    df, _, _ = stored(spark, folder)
+    return v.inconsistent_inputs(df, ["s"], "state")
+
+
+@query("determinism", """
+SELECT count(*) AS n_rows, true AS same FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def determinism(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of two evaluations side by side: two scans, two one-row results."""
+    keys, names = ["l_orderkey", "l_linenumber"], FLAGSHIP.names()
+    a = v.fingerprint(flagship(spark, folder).df, keys, names)
+    b = v.fingerprint(flagship(spark, folder).df, keys, names)
+    rows = a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b")))
+    return rows.agg(
+        F.max("n_rows").alias("n_rows"),
+        ((F.min("n_rows") == F.max("n_rows")) & (F.min("hash_sum") == F.max("hash_sum"))
+         & (F.min("hash_xor") == F.max("hash_xor"))).alias("same"))
+
+
+@query("findings_signature", """
+SELECT 'stored' AS run_id, left(sha256('[["L_p","P-bin-1","band"],["L_p","P-bin-2","band"],["L_p","P-bin-3","band"],'
+  || '["L_p","P-compound-1","pop"],["L_p","P-compound-2","pop"],["L_p","P-compound-3","pop"],["L_p","P-flag-1","state"],'
+  || '["L_p","P-flag-2","state"],["L_p","P-flag-3","state"],["L_p","P-flag-4","state"],["L_p","P-risk_score-2","risk"],'
+  || '["L_p","P-risk_score-4","risk"]]'), 16) AS findings_signature""")
+def findings_signature(spark: SparkSession, folder: str) -> DataFrame:
+    df, rules, _ = stored(spark, folder)
+    findings = v.verify(df, rules, sample=False).findings.where("severity = 'error'")
+    return findings_signatures(findings.withColumn("run_id", F.lit("stored")), ["run_id"])
+
+
+# ---------------------------------------------------------------- lineage
+
+def _sig(name: str) -> str:
+    return signature_of(FLAGSHIP.entry(name).body().as_dict())
+
+
+def _lineage_json(name: str, value: str) -> str:
+    kind = FLAGSHIP.entry(name).rule_kind
+    return (f"""'"{name}":{{"value":' || {value} || ',"rule_kind":"{kind}","body_signature":"{_sig(name)}","""
+            """"agent_chain":["CG","V"],"hitl_event_ids":[],"ltm_pattern_ref":null,"source_row_ids":[' || l_orderkey || ']}'""")
+
+
+_TEXT = {n: f"""'"' || "{n}" || '"'""" for n in ("QTY_GROUP", "RETURN_FLAG", "POP_FLAG", "RISK")}
+_VALUES = {**_TEXT, "SHIP_DAYS": '"SHIP_DAYS"'}
+_ORDER = ["QTY_GROUP", "RETURN_FLAG", "SHIP_DAYS", "POP_FLAG", "RISK"]
+
+
+@query("lineage_rows", f"""
+WITH {FLAGSHIP_SQL}
+SELECT l_orderkey, l_linenumber, '{{' || {" || ',' || ".join(_lineage_json(n, _VALUES[n]) for n in _ORDER)} || '}}' AS lineage_id
+FROM d""")
+def lineage_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return with_lineage(flagship(spark, folder), "l_orderkey").select("l_orderkey", "l_linenumber", "lineage_id")
+
+
+@query("lineage_read_back", f"""
+WITH {FLAGSHIP_SQL}
+{" UNION ALL ".join(
+    f"SELECT l_orderkey, l_linenumber, '{n}' AS derivation, CAST(\"{n}\" AS VARCHAR) AS value, "
+    f"'{FLAGSHIP.entry(n).rule_kind}' AS rule_kind, '{_sig(n)}' AS body_signature, 'CG>V' AS agent_chain, "
+    f"CAST(l_orderkey AS VARCHAR) AS source_row_ids FROM d WHERE l_orderkey = 5979" for n in _ORDER)}""")
+def lineage_read_back(spark: SparkSession, folder: str) -> DataFrame:
+    """Lineage of one row key; the key filter reaches both scans before any JSON is built."""
+    rows = lineage_rows(spark, folder).where("l_orderkey = 5979")
+    return read_lineage(rows).select(
+        "l_orderkey", "l_linenumber", "derivation", "value", "rule_kind", "body_signature",
+        F.array_join("agent_chain", ">").alias("agent_chain"), F.array_join("source_row_ids", ",").alias("source_row_ids"))
+
+
