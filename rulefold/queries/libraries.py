@@ -221,11 +221,6 @@ def probe_categorical(spark: SparkSession, folder: str) -> DataFrame:
 
 
 EDGES_SQL = """
-refs AS (
-  SELECT study_id, name, unnest(string_split(inputs_csv, ',')) AS col FROM l
-  UNION ALL SELECT study_id, name, 'd1' FROM l WHERE k = 2 UNION ALL SELECT study_id, name, CASE WHEN p_size % 8 = 0 THEN 'd1' ELSE 'd2' END FROM l WHERE k = 2
-  UNION ALL SELECT study_id, name, 'p_size' FROM l WHERE k = 3 UNION ALL SELECT study_id, name, 'D0' FROM l WHERE k = 3
-  UNION ALL SELECT study_id, name, 'D3' FROM l WHERE k = 4 UNION ALL SELECT study_id, name, 'D1' FROM l WHERE k = 4),
 per_entry AS (SELECT DISTINCT p_partkey, l.study_id, l.name, r.col FROM l JOIN (
   SELECT p_partkey, unnest(string_split(inputs_csv, ',')) AS col FROM l
   UNION ALL SELECT p_partkey, 'd1' FROM l WHERE k = 2 UNION ALL SELECT p_partkey, CASE WHEN p_size % 8 = 0 THEN 'd1' ELSE 'd2' END FROM l WHERE k = 2
