@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rulefold.functions.cells import FLOATING, TEMPORAL, col, is_numeric
+from rulefold.functions.cells import FLOATING, TEMPORAL, is_numeric
 
 # Fixed values: (pattern a cell must match, parse format).
 FORMATS: list[tuple[str, str]] = [
@@ -47,21 +47,59 @@ def as_timestamp(c: Column, dtype: T.DataType, fmt: str | None) -> Column:
     raise ValueError(f"cannot read dates from a {dtype.simpleString()} column")
 
 
+MONTH_FIRST = next(i for i, (_, f) in enumerate(FORMATS) if f == "M/d/yyyy")
+DAY_FIRST = MONTH_FIRST + 1
+EITHER = len(FORMATS)
+
+
+def format_index(name: str) -> Column:
+    """Position in FORMATS of the format a text cell fits (EITHER for month- or day-first), else NULL.
+
+    Shapes exclude each other, so a cell is tested until its shape is found and parsed once. Written as one SQL
+    expression because it has many parts.
+    """
+    c = "`" + name.replace("`", "``") + "`"
+
+    def fits(fmt: str) -> str:
+        quoted = fmt.replace("'", "\\'")
+        return f"try_to_timestamp({c}, '{quoted}') IS NOT NULL"
+
+    cases = []
+    for i, (pattern, fmt) in enumerate(FORMATS):
+        if i == MONTH_FIRST:
+            other = fits(FORMATS[DAY_FIRST][1])
+            hit = f"CASE WHEN {fits(fmt)} THEN IF({other}, {EITHER}, {i}) WHEN {other} THEN {DAY_FIRST} END"
+        else:
+            hit = f"CASE WHEN {fits(fmt)} THEN {i} END"
+        if i != DAY_FIRST:
+            cases.append(f"WHEN {c} RLIKE r'{pattern}' THEN {hit}")
+    return F.expr(f"CASE {' '.join(cases)} END")
+
+
+def format_counts(index: str, name: str) -> list[Column]:
+    """Aggregates counting cells per format over a `format_index` column; read back with `format_hits`."""
+    return [F.expr(f"count_if({index} = {j}) AS {name}_{j}") for j in range(EITHER + 1)]
+
+
+def format_hits(row, name: str) -> list[int]:
+    """Cells per format, ambiguous ones counted for both."""
+    hits = [row[f"{name}_{j}"] for j in range(EITHER)]
+    for j in (MONTH_FIRST, DAY_FIRST):
+        hits[j] += row[f"{name}_{EITHER}"]
+    return hits
+
+
 def detect_formats(df: DataFrame, columns: list[str]) -> dict[str, str]:
     """Most frequent parse format per text column, in one aggregate over the table."""
     columns = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
     if not columns:
         return {}
-    hits = [
-        F.count_if(parse_text(col(c), fmt).isNotNull()).alias(f"{i}_{j}")
-        for i, c in enumerate(columns)
-        for j, (_, fmt) in enumerate(FORMATS)
-    ]
-    row = df.agg(*hits).first()
+    indexed = df.select(*[format_index(c).alias(f"i{i}") for i, c in enumerate(columns)])
+    row = indexed.agg(*[a for i in range(len(columns)) for a in format_counts(f"i{i}", f"i{i}")]).first()
     found = {}
     for i, c in enumerate(columns):
-        counts = [row[f"{i}_{j}"] for j in range(len(FORMATS))]
-        found[c] = FORMATS[counts.index(max(counts))][1]
+        hits = format_hits(row, f"i{i}")
+        found[c] = FORMATS[hits.index(max(hits))][1]
     return found
 
 

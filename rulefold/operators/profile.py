@@ -1,7 +1,7 @@
 """Column profiles.
 
-Two passes at most: one wide aggregate for every column (missing, min, max, approximate distinct, date hits),
-then exact distinct counts. Columns that may be low-cardinality get them, with their values, from sets of a
+One wide aggregate covers every column (missing, min, max, approximate distinct, date hits); exact distinct
+counts follow. Columns that may be low-cardinality get them, with their values, from sets of a
 few dozen entries; the remaining ones only when `exact` is asked for.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from rulefold import fixed_values as fixed
 from rulefold.functions.cells import TEMPORAL, col, is_missing, is_numeric, key_text
-from rulefold.functions.dates import FORMATS, parse_text
+from rulefold.functions.dates import format_counts, format_hits, format_index
 
 LOW_CARDINALITY = 20
 CANDIDATE = 40
@@ -43,25 +43,30 @@ def profile(df: DataFrame, dataset: str = "dataset", *, exact: bool = True) -> D
     """
     fields = [f for f in df.schema if not isinstance(f.dataType, NESTED)]
     first = [F.count(F.lit(1)).alias("n")]
+    dates: dict[str, Column] = {}
     for i, f in enumerate(fields):
         c = _present(f)
         first += [F.count(c).alias(f"p{i}"), F.approx_count_distinct(c, 0.05).alias(f"a{i}")]
         if is_numeric(f.dataType):
             first += [F.min(c).cast("double").alias(f"lo{i}"), F.max(c).cast("double").alias(f"hi{i}")]
         if _may_be_date(f) and isinstance(f.dataType, T.StringType):
-            first += [F.count(parse_text(c, fmt)).alias(f"d{i}_{j}") for j, (_, fmt) in enumerate(FORMATS)]
-    row = df.agg(*first).first()
+            dates[f"_date{i}"] = format_index(f.name)
+            first += format_counts(f"_date{i}", f"d{i}")
+    row = df.withColumns(dates).agg(*first).first()
     small = [i for i in range(len(fields)) if row[f"a{i}"] <= CANDIDATE]
     large = [i for i in range(len(fields)) if i not in small] if exact else []
-    second = [
-        F.collect_set(key_text(_present(fields[i]), fields[i].dataType)).alias(f"v{i}") for i in small
-    ] + [F.count_distinct(_present(fields[i])).alias(f"u{i}") for i in large]
-    sets = df.agg(*second).first() if second else None
+    # Sets and exact counts run apart: together, every distinct value would carry a set through the shuffle.
+    sets = counts = None
+    if small:
+        sets = df.agg(*[
+            F.collect_set(key_text(_present(fields[i]), fields[i].dataType)).alias(f"v{i}") for i in small]).first()
+    if large:
+        counts = df.agg(*[F.count_distinct(_present(fields[i])).alias(f"u{i}") for i in large]).first()
     rows = []
     for i, f in enumerate(fields):
         n, present = row["n"], row[f"p{i}"]
         values = sorted(sets[f"v{i}"]) if i in small else None
-        unique = len(values) if values is not None else (sets[f"u{i}"] if i in large else row[f"a{i}"])
+        unique = len(values) if values is not None else (counts[f"u{i}"] if i in large else row[f"a{i}"])
         kind = _kind(f, row, i, present, unique)
         numeric = kind == "numeric"
         rows.append((
@@ -77,7 +82,7 @@ def _kind(f: T.StructField, row, i: int, present: int, unique: int) -> str:
         if isinstance(f.dataType, TEMPORAL) or is_numeric(f.dataType):
             return "date"
         if isinstance(f.dataType, T.StringType):
-            if max(row[f"d{i}_{j}"] for j in range(len(FORMATS))) / present >= DATE_SHARE:
+            if max(format_hits(row, f"d{i}")) / present >= DATE_SHARE:
                 return "date"
     if is_numeric(f.dataType):
         return "numeric"

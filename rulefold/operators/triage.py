@@ -12,8 +12,7 @@ from rulefold.fixed_values import KIND_KEYWORDS
 from rulefold.operators.rules import known_rule_kinds
 
 STRONG = 0.60
-KEYWORD_CONFIDENCE = 0.75
-KEYWORD_CAP = 0.85
+KEYWORD_CONFIDENCE = min(0.75, 0.85)  # as stated, and below the cap for text evidence
 
 
 def similarity(codes: Column, terms: list[str]) -> Column:
@@ -73,20 +72,23 @@ def body_shape(kind: str, keys: Column, n_inputs: Column) -> Column:
     return out.otherwise(F.lit(0.0)) if forms.get(kind) else F.lit(0.0)
 
 
-def keyword_kind(text: Column) -> Column:
-    """Rule kind pointed to by the first matching keyword row, over the whole text."""
-    lowered = F.lower(text)
+def _kind_of_lowered(low: Column) -> Column:
     out = F
     for kind, words in KIND_KEYWORDS:
         hit = F.lit(False)
         for w in words:
-            hit = hit | lowered.contains(w)
+            hit = hit | low.contains(w)
         out = out.when(hit, F.lit(kind))
     return out.otherwise(F.lit(None).cast("string"))
 
 
-def keyword_confidence(kind: Column) -> Column:
-    return F.when(kind.isNotNull(), F.least(F.lit(KEYWORD_CONFIDENCE), F.lit(KEYWORD_CAP)))
+def with_keyword_kind(rows: DataFrame, text: Column, out: str = "kind") -> DataFrame:
+    """Add the rule kind pointed to by the first matching keyword row, over the whole text.
+
+    The lower-cased text is projected once; inside the CASE it would be made anew for every keyword.
+    """
+    low = rows.withColumn("_low", F.lower(text))
+    return low.withColumn(out, _kind_of_lowered(F.col("_low"))).drop("_low")
 
 
 def suggest_kinds(entries: DataFrame, top: int = 3) -> DataFrame:
@@ -106,7 +108,7 @@ def suggest_kinds(entries: DataFrame, top: int = 3) -> DataFrame:
         for i, k in enumerate(kinds)
     ])
     text = F.concat_ws(" ", "rationale", "ambiguity_notes", "name")
-    rows = rows.withColumn("_base", base).withColumn("_word", keyword_kind(text))
+    rows = with_keyword_kind(rows.withColumn("_base", base), text, "_word")
     weak = F.array_max(F.transform("_base", lambda s: s["score"])) < STRONG
     lifted = F.transform("_base", lambda s: F.when(
         weak & F.coalesce(s["kind"] == F.col("_word"), F.lit(False)),

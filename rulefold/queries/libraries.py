@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rulefold.operators import library as lib
 from rulefold.operators.lineage import impact, lineage_edges, missing_sources
-from rulefold.operators.triage import keyword_kind, suggest_kinds, suggest_terms, top_per_group
+from rulefold.operators.triage import suggest_kinds, suggest_terms, top_per_group, with_keyword_kind
 from rulefold.queries import query
 from rulefold.session import table
 
@@ -281,7 +281,7 @@ SELECT doc_id, CASE
   WHEN t LIKE '%map %' OR t LIKE '%mapping%' OR t LIKE '%recode%' OR t LIKE '%label%' OR t LIKE '%respond%' THEN 'flag' END AS kind
 FROM (SELECT doc_id, lower(text) AS t FROM documents)""")
 def triage_keywords(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", keyword_kind(F.col("text")).alias("kind"))
+    return with_keyword_kind(table(spark, folder, "documents").select("doc_id", "text"), F.col("text")).select("doc_id", "kind")
 
 
 @query("triage_suggestions")

@@ -38,7 +38,7 @@ def narrow(df: DataFrame) -> DataFrame:
         c = col(n)
         tests += [
             F.bool_and(c.rlike(BOOL_TEXT)).alias(f"b{i}"),
-            F.bool_and(c.rlike(WHOLE_TEXT) & F.trim(c).try_cast("bigint").isNotNull()).alias(f"i{i}"),
+            F.bool_and(F.when(c.isNotNull(), c.rlike(WHOLE_TEXT) & F.trim(c).try_cast("bigint").isNotNull())).alias(f"i{i}"),
             F.bool_and(c.rlike(NUMERIC_TEXT)).alias(f"d{i}"),
         ]
     row = df.agg(*tests).first()
@@ -72,7 +72,7 @@ def read_delimited(
     def reader(delimiter: str):
         # Two-byte encodings cannot be cut at byte '\n', so such files are read as one piece each.
         return (
-            spark.read.option("sep", delimiter).option("encoding", charset)
+            spark.read.option("sep", delimiter).option("encoding", charset).option("escape", '"')
             .option("multiLine", charset == "UTF-16")
         )
 
@@ -94,7 +94,7 @@ def _below_header(reader, path: str, sep: str, header_row: int) -> DataFrame:
     (Arrow batches); only the block that starts a file has anything to drop.
     """
     head = (
-        reader("\u0001").option("quote", "").schema("line string").csv(path)
+        reader("\u0001").option("quote", "").option("escape", "\\").schema("line string").csv(path)
         .where("_metadata.file_block_start = 0").limit(header_row + 1).collect()
     )
     names = next(csv.reader([head[header_row]["line"]], delimiter=sep))

@@ -19,7 +19,7 @@ DECISIONS = (
     "ticket_kind string, target string, chosen_option string, body_patch string, free_text_rationale string, "
     "resolved_by string"
 )
-RUN_IN_PATH = r"(run-[^/]+)"
+RUN_IN_PATH = r"^.*/(?:[^/=]+=)?(run-[^/]+)/"
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
@@ -45,7 +45,7 @@ def scan_records(spark: SparkSession, path: str, schema: str, *, multi_line: boo
 
     multi_line reads one document or array per file; without it, one record per line.
     """
-    rows = spark.read.schema(schema).option("multiLine", multi_line).json(path)
+    rows = spark.read.schema(schema).option("multiLine", multi_line).option("recursiveFileLookup", True).json(path)
     run = F.regexp_extract("_metadata.file_path", RUN_IN_PATH, 1)
     return rows.select(run.alias("run_id"), *rows.columns)
 
