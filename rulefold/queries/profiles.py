@@ -11,7 +11,8 @@ from rulefold.queries import query
 from rulefold.session import table
 from rulefold.sources.delimited import column_overview, preview
 
-JOINED = F.array_join("values", "|").alias("values")
+def _values():
+    return F.array_join("values", "|").alias("values")
 
 
 def _profile_sql(tbl: str, columns: list[tuple[str, str, str]]) -> str:
@@ -36,7 +37,7 @@ ORDERS = [
 @query("profile_orders", _profile_sql("orders", ORDERS))
 def profile_orders(spark: SparkSession, folder: str) -> DataFrame:
     return profile(table(spark, folder, "orders")).select(
-        "column", "position", "kind", "dtype", "null_fraction", "n_unique", "min", "max", JOINED)
+        "column", "position", "kind", "dtype", "null_fraction", "n_unique", "min", "max", _values())
 
 
 GAPS = """(SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_quantity END AS quantity,
@@ -55,7 +56,7 @@ def profile_classify(spark: SparkSession, folder: str) -> DataFrame:
         F.expr("nullif(l_linestatus, 'F')").alias("line_status"), day.alias("ship_date"),
         F.lit(None).cast("string").alias("nothing"), day.alias("note"), (F.col("l_discount") > 0.05).alias("discounted"))
     return profile(df).select(
-        "column", "position", "kind", "dtype", "null_fraction", "n_unique", "min", "max", JOINED)
+        "column", "position", "kind", "dtype", "null_fraction", "n_unique", "min", "max", _values())
 
 
 @query("profile_redacted", f"""
@@ -64,7 +65,7 @@ SELECT "column", kind, round_even(null_fraction, 2) AS null_fraction, n_unique,
        CASE WHEN n_unique <= 6 THEN "values" END AS "values" FROM p""")
 def profile_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return redacted(profile(table(spark, folder, "orders"))).select(
-        "column", "kind", "null_fraction", "n_unique", "min", "max", JOINED)
+        "column", "kind", "null_fraction", "n_unique", "min", "max", _values())
 
 
 CLINICAL_SQL = """v AS (SELECT l_quantity + 10 AS age, l_returnflag AS response, l_linestatus AS status,

@@ -21,7 +21,13 @@ NA_TOKENS = [
 ]
 BOOL_TEXT = r"^(True|TRUE|true|False|FALSE|false)$"
 WHOLE_TEXT = r"^\s*[+-]?\d+\s*$"
-ENCODINGS = {"utf-8": "UTF-8", "utf-16": "UTF-16", "latin-1": "ISO-8859-1", "cp1252": "windows-1252"}
+ENCODINGS = {"utf-8": "UTF-8", "utf-16": "UTF-16", "latin-1": "ISO-8859-1", "cp1252": "ISO-8859-1"}
+
+
+def _cp1252_shift() -> tuple[str, str]:
+    """Characters that Latin-1 and cp1252 read differently from the same byte."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    return "".join(a for a, c in pairs if c), "".join(c for _, c in pairs if c)
 
 
 def _present(c: Column) -> Column:
@@ -80,6 +86,11 @@ def read_delimited(
         raw = reader(sep).option("header", True).option("inferSchema", False).csv(path)
     else:
         raw = _below_header(reader, path, sep, header_row)
+    if encoding.lower() == "cp1252":
+        # Spark's readers do not know cp1252: read as Latin-1, then exchange the characters that differ.
+        latin, windows = _cp1252_shift()
+        table = str.maketrans(latin, windows)
+        raw = raw.select(*[F.translate(col(n), latin, windows).alias(n.translate(table)) for n in raw.columns])
     clean = raw.select(*[_present(col(n)).alias(n) for n in raw.columns])
     if schema is None:
         return narrow(clean)
