@@ -133,68 +133,74 @@ def signature_body(spark: SparkSession, folder: str) -> DataFrame:
             null_label=F.lit(None).cast("string")).alias("body_signature"))
 
 
+# Fixes and patches address an entry by name, so here every entry gets its own.
+OWN_NAME = "'E' || CAST(p_partkey AS STRING)"
+
+
+def named_library(spark: SparkSession, folder: str, *more: str) -> DataFrame:
+    return library(spark, folder, "p_partkey", *more).withColumn("name", F.expr(OWN_NAME))
+
+
 @query("spec_patch", f"""
 WITH {LIBRARY_SQL}
-SELECT p_partkey, CASE WHEN name = 'D2' THEN CASE WHEN p_size % 2 = 0 AND p_size % 8 <> 0 AND p_size % 7 > 1
-         THEN '{{"end_column":"d2","start_column":"d1","unit":"years"}}'
-         WHEN p_size % 2 = 0 THEN '{{"end_column":"' || CASE WHEN p_size % 8 = 0 THEN 'd1' ELSE 'd2' END
-              || '","start_column":"d1","unit":"years"}}' ELSE rule_body END
-       WHEN name = 'D6' AND p_size % 2 = 0 THEN '{{"map":{{"high":"H","low":"L"}},"null_handling":null,"unmapped_handling":"null"}}'
-       ELSE rule_body END AS rule_body
-FROM l WHERE k <> 7""")
+SELECT p_partkey, CASE WHEN k = 2 AND p_size % 2 = 0 THEN '{{"end_column":"' || CASE WHEN p_size % 8 = 0 THEN 'd1' ELSE 'd2' END
+              || '","start_column":"d1","unit":"years"}}'
+       WHEN k = 6 AND p_size % 2 = 0 THEN '{{"map":{{"high":"H","low":"L"}},"null_handling":null,"unmapped_handling":"null"}}'
+       WHEN k = 3 AND p_size % 2 = 0 THEN '{{"combinator":"or",' || substr(rule_body, 2) ELSE rule_body END AS rule_body
+FROM l""")
 def spec_patch(spark: SparkSession, folder: str) -> DataFrame:
-    """Decisions replace single body fields; an empty patch leaves the entry as it is."""
-    entries = library(spark, folder, "p_partkey", "p_size").where("p_partkey % 8 <> 7")
-    patches = entries.where("name IN ('D2', 'D6', 'D3')").select(
+    """Decisions replace single body fields; an empty or absent patch leaves the entry as it is."""
+    entries = named_library(spark, folder, "p_size")
+    kind = F.col("p_partkey") % 8
+    patches = entries.select(
         "study_id", "name",
-        F.when(F.col("name") == "D3", F.lit("{}"))
-        .when(F.col("p_size") % 2 == 1, F.lit(None).cast("string"))
-        .when(F.col("name") == "D2", F.lit('{"unit":"years"}'))
-        .otherwise(F.lit('{"unmapped_handling":"null","null_handling":null}')).alias("body_patch"))
+        F.when(F.col("p_size") % 2 == 1, F.lit(None).cast("string"))
+        .when(kind == 2, F.lit('{"unit":"years"}'))
+        .when(kind == 6, F.lit('{"unmapped_handling":"null","null_handling":null}'))
+        .when(kind == 3, F.lit('{"combinator":"or"}')).otherwise(F.lit("{}")).alias("body_patch"))
     return lib.patch_entries(entries, patches).select("p_partkey", "rule_body")
 
 
 @query("suggest_fixes", f"""
 WITH {LIBRARY_SQL},
-u AS (SELECT * FROM l WHERE k IN (0, 1, 2) AND p_size <> 13),
-r AS (SELECT *, CASE WHEN k = 2 THEN '{{}}' WHEN k = 0 THEN '{{"null_handling":"null"}}'
-        ELSE '{{"null_handling":"null","unmapped_handling":"null"}}' END AS patch,
-        CASE WHEN k = 0 THEN p_size % 3 = 0 OR p_size % 4 = 0 OR p_size % 10 = 9 OR p_size % 6 IN (1, 2) OR p_size % 17 = 0
-             WHEN k = 1 THEN p_size % 9 = 0 OR p_size % 4 = 1 END AS wrong FROM u)
-SELECT study_id, name, patch, k = 2 OR wrong AS escalate,
-       CASE WHEN k = 2 THEN 'no fix matches the findings' WHEN wrong THEN 'patched body did not validate'
+r AS (SELECT *, CASE WHEN k IN (0, 5, 7) THEN '{{"null_handling":"null"}}' WHEN k = 1 OR (k = 6 AND p_size % 7 <> 0)
+        THEN '{{"null_handling":"null","unmapped_handling":"null"}}' ELSE '{{}}' END AS patch,
+        CASE WHEN k IN (0, 5, 7) THEN p_size % 3 = 0 OR p_size % 4 = 0 OR p_size % 10 = 9 OR p_size % 6 IN (1, 2) OR p_size % 17 = 0
+             WHEN k = 1 THEN p_size % 9 = 0 OR p_size % 4 = 1 ELSE false END AS wrong FROM l)
+SELECT p_partkey, patch, patch = '{{}}' OR wrong AS escalate,
+       CASE WHEN patch = '{{}}' THEN 'no fix matches the findings' WHEN wrong THEN 'patched body did not validate'
             ELSE 'applied fixes' END AS reason,
-       CASE WHEN k = 1 AND NOT wrong THEN '{{"map":{{"' || CASE WHEN p_type < 'zz' THEN p_type || '":"Y","zz":"N' ELSE 'zz":"N","'
+       CASE WHEN patch = '{{}}' OR wrong THEN NULL
+            WHEN k = 6 THEN '{{"map":{{"high":"H","low":"L"}},"null_handling":"null","unmapped_handling":"null"}}'
+            WHEN k = 1 THEN '{{"map":{{"' || CASE WHEN p_type < 'zz' THEN p_type || '":"Y","zz":"N' ELSE 'zz":"N","'
             || p_type || '":"Y' END || '"}},"null_handling":"null","unmapped_handling":"null"}}'
-            WHEN k = 0 AND NOT wrong THEN '{{"edges":[' || CASE WHEN p_size % 5 = 1 THEN '"' || p_size || '"' ELSE CAST(p_size AS VARCHAR)
+            ELSE '{{"edges":[' || CASE WHEN p_size % 5 = 1 THEN '"' || p_size || '"' ELSE CAST(p_size AS VARCHAR)
             END || ',' || (p_size + p_size % 3) || '],"labels":["lo","mid","hi"],"null_handling":"null"}}' END AS revised_body
 FROM r""")
 def suggest_fixes(spark: SparkSession, folder: str) -> DataFrame:
-    entries = library(spark, folder, "p_partkey").where("p_partkey % 8 < 3 AND name <> ' '")
-    props = F.when(F.col("rule_kind") == "bin", F.array(F.lit("P-bin-2"), F.lit("P-bin-3"))).when(
-        F.col("rule_kind") == "flag", F.array(F.lit("P-flag-3"), F.lit("P-flag-2"))).otherwise(
-        F.array(F.lit("P-duration-2")))
+    entries = named_library(spark, folder)
+    kind = F.col("rule_kind")
+    props = F.when(kind == "bin", F.array(F.lit("P-bin-2"), F.lit("P-bin-3"))).when(
+        kind == "flag", F.array(F.lit("P-flag-3"), F.lit("P-flag-2"))).otherwise(F.array(F.lit("P-duration-2")))
     findings = entries.select("study_id", "name", F.explode(props).alias("property_id"))
     fixed = lib.suggest_fixes(entries.drop("p_partkey"), findings)
     return fixed.select(
-        "study_id", "name", "patch", "escalate", F.split("reason", ":")[0].alias("reason"), "revised_body")
-
-
-GOOD_BINS = "p_size % 3 <> 0 AND p_partkey % 8 IN (0, 5, 7)"
+        F.substr("name", F.lit(2)).cast("bigint").alias("p_partkey"), "patch", "escalate",
+        F.split("reason", ":")[0].alias("reason"), "revised_body")
 
 
 def _bins(spark: SparkSession, folder: str) -> DataFrame:
     size = F.col("p_size").cast("double")
-    return table(spark, folder, "part").where(GOOD_BINS).select(
-        F.col("p_partkey").alias("rule_id"), F.array(size, size + F.col("p_size") % 3).alias("edges"),
+    return table(spark, folder, "part").select(
+        F.col("p_partkey").alias("rule_id"), F.array(size, size + F.col("p_size") % 3 + 1).alias("edges"),
         F.array(F.lit("lo"), F.lit("mid"), F.lit("hi")).alias("labels"))
 
 
-@query("probe_numeric", f"""
+@query("probe_numeric", """
 SELECT p_partkey AS rule_id, 100::BIGINT AS n_probes, 0::BIGINT AS n_outside, 2::BIGINT AS n_on_edge, 0::BIGINT AS n_unlabelled,
-       'mid,hi,lo,mid,mid,hi' AS near_edges FROM part WHERE {GOOD_BINS}""")
+       'mid,hi,lo,mid,mid,hi' AS near_edges FROM part""")
 def probe_numeric(spark: SparkSession, folder: str) -> DataFrame:
-    """Every bucket rule of the library against its own probe batch."""
+    """A bucket rule per part against its own probe batch of a hundred values."""
     probes = lib.numeric_probes(_bins(spark, folder))
     label = lib.bucket_of(F.col("value"), F.col("edges"), F.col("labels"))
     first = F.array_sort(F.collect_list(F.when(F.col("probe_no") < 6, F.struct("probe_no", label.alias("label")))))
@@ -209,9 +215,9 @@ def probe_numeric(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("probe_categorical", """
 SELECT p_partkey AS rule_id, 15::BIGINT AS n_probes, 2::BIGINT AS n_declared, 10::BIGINT AS n_unmapped, 3::BIGINT AS n_null
-FROM part WHERE p_partkey % 8 = 1""")
+FROM part""")
 def probe_categorical(spark: SparkSession, folder: str) -> DataFrame:
-    rules = table(spark, folder, "part").where("p_partkey % 8 = 1").select(
+    rules = table(spark, folder, "part").select(
         F.col("p_partkey").alias("rule_id"), F.create_map(F.col("p_type"), F.lit("Y"), F.lit("zz"), F.lit("N")).alias("map"))
     value = F.col("value")
     declared = F.coalesce(F.map_contains_key("map", value), F.lit(False))

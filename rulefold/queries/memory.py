@@ -15,6 +15,9 @@ from rulefold.session import table
 # Rule patterns seen by runs: kind = event type, signature from the event's number, run = user.
 SEEN_SQL = """seen AS (SELECT event_type AS rule_kind, 'b' || json_extract_string(props, '$.k') AS body_signature,
   props AS body, 'run-' || user_id AS run_id, ts, user_id, event_id FROM events)"""
+# What memory held before the runs under study.
+EARLY = "ts < timestamp '2024-01-03 00:00:00'"
+DAY_ONE = "ts < timestamp '2024-01-02 12:00:00'"
 FIRST = ("SELECT * FROM {0} QUALIFY row_number() OVER (PARTITION BY rule_kind, body_signature "
          "ORDER BY ts, body, run_id) = 1")
 
@@ -36,7 +39,7 @@ SHOWN = ["rule_kind", "body_signature", "body", "first_seen_run_id", "status"]
 
 
 @query("memory_upsert_first_wins", f"""
-WITH {SEEN_SQL}, old AS (SELECT * FROM seen WHERE user_id < 8), new AS (SELECT * FROM seen WHERE user_id >= 8),
+WITH {SEEN_SQL}, old AS (SELECT * FROM seen WHERE {EARLY}), new AS (SELECT * FROM seen WHERE NOT ({EARLY})),
 o AS ({FIRST.format('old')}), n AS ({FIRST.format('new')})
 SELECT rule_kind, body_signature, body, run_id AS first_seen_run_id, 'validated' AS status FROM o
 UNION ALL SELECT rule_kind, body_signature, body, run_id, 'validated' FROM n
@@ -44,39 +47,39 @@ WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.rule_kind = n.rule_kind AND o.body_sig
 def memory_upsert(spark: SparkSession, folder: str) -> DataFrame:
     rows = seen(spark, folder)
     keys = mem.KEYS["rule_patterns"]
-    existing = mem.first_per_key(_patterns(rows.where("user_id < 8")), keys, ["first_seen_at"])
-    return mem.upserted(existing, _patterns(rows.where("user_id >= 8")), "rule_patterns").select(*SHOWN)
+    existing = mem.first_per_key(_patterns(rows.where(EARLY)), keys, ["first_seen_at"])
+    return mem.upserted(existing, _patterns(rows.where(f"NOT ({EARLY})")), "rule_patterns").select(*SHOWN)
 
 
 @query("memory_lookup", f"""
-WITH {SEEN_SQL}, o AS ({FIRST.format("(SELECT * FROM seen WHERE user_id < 8)")})
+WITH {SEEN_SQL}, o AS ({FIRST.format("(SELECT * FROM seen WHERE " + EARLY + ")")})
 SELECT s.event_id, o.run_id AS first_seen_run_id, o.rule_kind IS NOT NULL AS ltm_hit
 FROM seen s LEFT JOIN o ON o.rule_kind = s.rule_kind AND o.body_signature = s.body_signature""")
 def memory_lookup(spark: SparkSession, folder: str) -> DataFrame:
     rows = seen(spark, folder)
     keys = mem.KEYS["rule_patterns"]
-    patterns = mem.first_per_key(_patterns(rows.where("user_id < 8")), keys, ["first_seen_at"])
+    patterns = mem.first_per_key(_patterns(rows.where(EARLY)), keys, ["first_seen_at"])
     return mem.lookup(rows, patterns, keys, ["first_seen_run_id"]).select("event_id", "first_seen_run_id", "ltm_hit")
 
 
 @query("memory_promote_rules", f"""
-WITH {SEEN_SQL}, o AS ({FIRST.format("(SELECT * FROM seen WHERE user_id < 4)")}),
+WITH {SEEN_SQL}, o AS ({FIRST.format("(SELECT * FROM seen WHERE " + EARLY + ")")}),
 n AS ({FIRST.format("(SELECT * FROM seen WHERE event_id % 3 <> 0 AND event_id % 5 <> 0)")})
 SELECT rule_kind, body_signature, body, run_id AS first_seen_run_id, 'validated' AS status FROM n
 WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.rule_kind = n.rule_kind AND o.body_signature = n.body_signature)""")
 def memory_promote_rules(spark: SparkSession, folder: str) -> DataFrame:
     rows = seen(spark, folder)
-    existing = mem.first_per_key(_patterns(rows.where("user_id < 4")), mem.KEYS["rule_patterns"], ["first_seen_at"])
+    existing = mem.first_per_key(_patterns(rows.where(EARLY)), mem.KEYS["rule_patterns"], ["first_seen_at"])
     verified = rows.select(
         "run_id", "ts", "rule_kind", "body_signature", "body", (F.col("event_id") % 3 != 0).alias("passed"),
         (F.col("event_id") % 5 == 0).alias("ltm_hit"))
     return mem.promote_rules(existing, verified).select(*SHOWN)
 
 
-@query("memory_promote_decisions", """
-WITH d AS (SELECT json_extract_string(props, '$.k') AS signature, '{"chosen_option":"' || event_type || '"}' AS resolution,
+@query("memory_promote_decisions", f"""
+WITH d AS (SELECT event_type AS event_type_, json_extract_string(props, '$.k') AS signature, '{{"chosen_option":"' || event_type || '"}}' AS resolution,
                   'run-' || user_id AS run_id, ts, event_id, user_id FROM events),
-o AS (SELECT DISTINCT signature FROM d WHERE user_id = 1)
+o AS (SELECT DISTINCT signature FROM d WHERE event_type_ = 'error' AND {DAY_ONE})
 SELECT signature, resolution, run_id AS resolved_run_id, 'evt-' || event_id AS resolution_event_id FROM d
 WHERE signature NOT IN (SELECT signature FROM o)
 QUALIFY row_number() OVER (PARTITION BY signature ORDER BY ts, resolution, run_id) = 1""")
@@ -85,9 +88,9 @@ def memory_promote_decisions(spark: SparkSession, folder: str) -> DataFrame:
         F.get_json_object("props", "$.k").alias("signature"),
         F.to_json(F.struct(F.col("event_type").alias("chosen_option"))).alias("resolution"),
         F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run_id"), F.col("ts").alias("resolved_at"),
-        F.concat(F.lit("evt-"), F.col("event_id").cast("string")).alias("event_id"), "user_id")
-    existing = rows.where("user_id = 1").select("signature").distinct()
-    return mem.promote_decisions(existing, rows).select("signature", "resolution", "resolved_run_id", "resolution_event_id")
+        F.concat(F.lit("evt-"), F.col("event_id").cast("string")).alias("event_id"), "ts", "event_type")
+    existing = rows.where(f"event_type = 'error' AND {DAY_ONE}").select("signature").distinct()
+    return mem.promote_decisions(existing, rows.drop("ts", "event_type")).select("signature", "resolution", "resolved_run_id", "resolution_event_id")
 
 
 NOTES = "regexp_matches(coalesce(ambiguity_notes, ''), '\\S')"
@@ -124,13 +127,13 @@ def ambiguity_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def remembered(spark: SparkSession, folder: str) -> DataFrame:
-    """Decisions kept for the entries of even part sizes."""
-    rows = library(spark, folder, "p_size").where("p_size % 2 = 0")
+    """Decisions kept for the entries of the parts whose type comes early in the alphabet."""
+    rows = library(spark, folder, "p_type").where("p_type < 'M'")
     return rows.select(rv.entry_signature().alias("signature"), F.lit('{"chosen_option":"accept_default"}').alias("resolution")).distinct()
 
 
 @query("review_with_memory", f"""
-WITH {SIGNED_SQL}, m AS (SELECT DISTINCT signature FROM g WHERE p_size % 2 = 0)
+WITH {SIGNED_SQL}, m AS (SELECT DISTINCT signature FROM g WHERE p_type < 'M')
 SELECT study_id, name AS target, g.signature, CASE WHEN m.signature IS NOT NULL THEN 'ltm_cached' ELSE klass END AS ambiguity_class,
        m.signature IS NOT NULL AS auto_resolved,
        CASE WHEN m.signature IS NOT NULL THEN '{{"chosen_option":"accept_default"}}' END AS resolution
@@ -145,7 +148,7 @@ WITH {SIGNED_SQL}
 SELECT 'run-1' AS run_id, 'evt-' || substr(sha256(concat_ws('|', 'run-1', study_id, name, signature)), 1, 12) AS event_id,
        'ambiguity' AS ticket_kind, name AS target, klass AS ambiguity_class,
        name || ' -- Ambiguous rule -- needs your judgement' AS label
-FROM g WHERE klass IS NOT NULL AND signature NOT IN (SELECT signature FROM g WHERE p_size % 2 = 0)""")
+FROM g WHERE klass IS NOT NULL AND signature NOT IN (SELECT signature FROM g WHERE p_type < 'M')""")
 def review_tickets(spark: SparkSession, folder: str) -> DataFrame:
     reviewed = rv.review(library(spark, folder), remembered(spark, folder))
     tickets = rv.open_tickets(reviewed, F.lit("run-1"), F.lit("2024-01-01T00:00:00+00:00"))
@@ -155,7 +158,7 @@ def review_tickets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("review_plan", f"""
-WITH {SIGNED_SQL}, m AS (SELECT DISTINCT signature FROM g WHERE p_size % 2 = 0)
+WITH {SIGNED_SQL}, m AS (SELECT DISTINCT signature FROM g WHERE p_type < 'M')
 SELECT CASE WHEN m.signature IS NOT NULL THEN 'memory' WHEN NOT {NOTES} THEN 'skip' ELSE 'stub' END AS plan, count(*) AS n_entries
 FROM g LEFT JOIN m ON m.signature = g.signature GROUP BY 1""")
 def review_plan(spark: SparkSession, folder: str) -> DataFrame:
@@ -196,7 +199,7 @@ def tickets_open(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("replay_last_wins", f"""
 WITH {TICKET_SQL},
-d AS (SELECT ticket_kind, target, k, user_id, ts FROM t WHERE user_id % 2 = 0 AND target < 'V4'),
+d AS (SELECT ticket_kind, target, k, user_id, ts FROM t WHERE ticket_kind <> 'other' AND ts < timestamp '2024-01-20 00:00:00'),
 w AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY ticket_kind, target ORDER BY ts DESC) = 1)
 SELECT t.event_id, t.ticket_kind, t.target, w.target IS NOT NULL AS resolved,
        CASE WHEN w.target IS NOT NULL THEN 'option' || w.k END AS chosen_option,
@@ -206,7 +209,7 @@ FROM t LEFT JOIN w ON w.ticket_kind = t.ticket_kind AND w.target = t.target""")
 def replay_last_wins(spark: SparkSession, folder: str) -> DataFrame:
     rows = tickets(spark, folder)
     k = F.col("k")
-    decisions = rows.where("user_id % 2 = 0 AND target < 'V4'").select(
+    decisions = rows.where("ticket_kind <> 'other' AND ts < timestamp_ntz '2024-01-20 00:00:00'").select(
         "ticket_kind", "target", F.concat(F.lit("option"), k.cast("string")).alias("chosen_option"),
         F.when(k % 2 == 0, F.to_json(F.struct("k"))).alias("body_patch"),
         F.lit(None).cast("string").alias("free_text_rationale"),

@@ -50,7 +50,7 @@ def stream_quarantine(spark: SparkSession, folder: str) -> DataFrame:
 @query("stream_ticket_timeout", """
 WITH t AS (SELECT event_id, ts AS opened_at FROM events WHERE event_type = 'purchase'),
 r AS (SELECT event_id, ts + to_seconds(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS resolved_at FROM events
-      WHERE event_type = 'purchase' AND user_id % 4 <> 0),
+      WHERE event_type = 'purchase' AND value >= 10),
 w AS (SELECT date_trunc('millisecond', least((SELECT max(opened_at) FROM t), (SELECT max(resolved_at) FROM r)))
              - INTERVAL 10 MINUTE AS mark)
 SELECT t.event_id, epoch_us(t.opened_at) AS opened_us, epoch_us(r.resolved_at) AS resolved_us, r.event_id IS NULL AS timed_out
@@ -59,7 +59,7 @@ WHERE r.event_id IS NOT NULL OR t.opened_at + INTERVAL 60 SECOND <= w.mark""")
 def stream_ticket_timeout(spark: SparkSession, folder: str) -> DataFrame:
     at = F.col("ts").cast("timestamp")
     tickets = _events(spark, folder).where("event_type = 'purchase'").select("event_id", at.alias("opened_at"))
-    resolutions = _events(spark, folder).where("event_type = 'purchase' AND user_id % 4 <> 0").select(
+    resolutions = _events(spark, folder).where("event_type = 'purchase' AND value >= 10").select(
         "event_id", (at + F.make_dt_interval(secs=F.get_json_object("props", "$.k").cast("decimal(18,6)"))).alias("resolved_at"))
     done = run_available(match_with_timeout(tickets, resolutions), "ticket-timeout")
     return done.select(

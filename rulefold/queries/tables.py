@@ -108,9 +108,9 @@ def event_log(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_folder(spark, "audit-log")
     events = audit_events(spark, folder).select(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), "run_id", "event_type", "target", "ltm_hit",
-        "source_mode", "event_seq")
-    append_events(events.where("event_seq % 2 = 0").drop("event_seq"), path)
-    append_events(events.where("event_seq % 2 = 1").drop("event_seq"), path)
+        "source_mode")
+    append_events(events.where("ltm_hit"), path)
+    append_events(events.where("NOT ltm_hit"), path)
     return event_counts(read_events(spark, path))
 
 
