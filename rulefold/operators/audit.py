@@ -113,13 +113,25 @@ def outcome_class(counters: DataFrame, total: str = "n_derivations") -> DataFram
     return counters.withColumn("outcome_class", klass).withColumn("outcome_text", text)
 
 
-def step_numbers(rows: DataFrame, keys: list[str], ts: str, tie: str, bucket: str = "HOUR") -> DataFrame:
+BUCKET_ROWS = 1_000_000
+BUCKETS = [("DAY", 86_400), ("HOUR", 3_600), ("MINUTE", 60), ("SECOND", 1)]
+
+
+def time_bucket(rows: DataFrame, ts: str) -> str:
+    """Coarsest time unit that holds at most BUCKET_ROWS rows on average; one small aggregate decides."""
+    seconds = F.unix_timestamp(F.max(ts).cast("timestamp")) - F.unix_timestamp(F.min(ts).cast("timestamp"))
+    row = rows.agg(F.count(F.lit(1)).alias("n"), seconds.alias("s")).first()
+    spans = [unit for unit, width in BUCKETS if row["n"] * width <= BUCKET_ROWS * max(row["s"] or 1, 1)]
+    return spans[0] if spans else "SECOND"
+
+
+def step_numbers(rows: DataFrame, keys: list[str], ts: str, tie: str, bucket: str | None = None) -> DataFrame:
     """Add `step_no`: the rank of each row in (ts, tie) order within its key.
 
     A key may hold a large share of all rows, so ranks are taken within (key, time bucket) and shifted by the
     rows of the key's earlier buckets; the shift is computed on counts only.
     """
-    rows = rows.withColumn("_bucket", F.date_trunc(bucket, F.col(ts)))
+    rows = rows.withColumn("_bucket", F.date_trunc(bucket or time_bucket(rows, ts), F.col(ts)))
     counts = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
@@ -210,6 +222,11 @@ def runs_pending(tickets: DataFrame, resolutions: DataFrame) -> DataFrame:
     return joined.withColumn("needs_review", F.col("n_open") > 0)
 
 
+def runs_latest_first(runs: DataFrame) -> DataFrame:
+    """Distinct runs in listing order; run ids begin with their time, so text order is time order."""
+    return runs.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_events")).orderBy(F.desc("run_id"))
+
+
 def latest_run(runs: DataFrame) -> DataFrame:
     """The run with the greatest id."""
     return runs.agg(F.max("run_id").alias("run_id"))

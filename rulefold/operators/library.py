@@ -138,6 +138,13 @@ def problems() -> Column:
     ]))
 
 
+def summary(found: Column, shown: int = 3) -> Column:
+    """The first few problems as text, with the number of further ones."""
+    more = F.size(found) - shown
+    listed = F.array_join(F.slice(found, 1, shown), "; ")
+    return F.when(more > 0, F.concat(listed, F.lit(" (and "), more.cast("string"), F.lit(" more)"))).otherwise(listed)
+
+
 def lint(entries: DataFrame) -> DataFrame:
     """All rule-library problems: (study_id, derivation, property_id)."""
     entry_level = F.array_compact(F.array(
@@ -196,7 +203,7 @@ def normalise(entries: DataFrame) -> DataFrame:
     """Entries with outcome (match / no_match), reason, canonical body and its signature."""
     known = F.coalesce(F.col("rule_kind").isin(known_rule_kinds()), F.lit(False))
     rows = parsed(entries).withColumn(
-        "reason", F.when(~known, F.lit("entry.kind_unknown")).otherwise(F.array_join(problems(), ",")))
+        "reason", F.when(~known, F.lit("entry.kind_unknown")).otherwise(summary(problems())))
     rows = rows.withColumn("outcome", F.when(F.col("reason") == "", F.lit("match")).otherwise(F.lit("no_match")))
     rows = rows.withColumn("body", F.when(F.col("outcome") == "match", canonical_body()))
     return rows.withColumn("body_signature", digest(F.col("body"))).drop("_b", "_keys")
@@ -238,7 +245,7 @@ def suggest_fixes(entries: DataFrame, findings: DataFrame) -> DataFrame:
     patched = entries.join(grouped, ["study_id", "name"]).withColumn("patch", patch)
     patched = patched.withColumn("revised_body", merged_body(F.col("rule_body"), F.col("patch")))
     checked = parsed(patched.withColumn("rule_body", F.col("revised_body"))).withColumn(
-        "_wrong", F.array_join(problems(), ","))
+        "_wrong", summary(problems()))
     none = F.col("patch") == "{}"
     reason = (
         F.when(none, F.lit("no fix matches the findings"))

@@ -41,7 +41,7 @@ def blocked_counts(df: DataFrame, blocked: Mapping[str, Mapping[str, Column]]) -
     return out
 
 
-def raise_on_blocked(df: DataFrame, derived, hit: Mapping[str, Blocked]) -> None:
+def raise_on_blocked(derived, hit: Mapping[str, Blocked]) -> None:
     """Raise for the first derivation (in dependency order) whose policy was hit."""
     name = next(n for n in derived.rules if n in hit)
     rule, counts = derived.rules[name], hit[name]
@@ -49,7 +49,7 @@ def raise_on_blocked(df: DataFrame, derived, hit: Mapping[str, Blocked]) -> None
     if counts.by_policy.get("null"):
         raise NullInputError(f"{where}: {counts.describe()}")
     undeclared = (
-        df.where(rule.blocked["unmapped"]).select(rule.key.alias("v")).distinct()
+        derived.checked.where(derived.blocked[name]["unmapped"]).select(F.col(f"__key__{name}").alias("v")).distinct()
         .orderBy("v").limit(LISTED_VALUES + 1).collect()
     )
     listed = [r["v"] for r in undeclared]

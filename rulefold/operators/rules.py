@@ -1,7 +1,7 @@
 """The five rule kinds as column expressions, and the registry users extend.
 
 A builder turns a body into a `RuleColumns`: the derived value, the row predicates its `error` policies
-forbid, the checks its output must pass and a readable reason per row. Everything is a Catalyst expression,
+forbid, the checks its output must pass, a readable reason per row and further trace columns. Everything is a Catalyst expression,
 so any number of rules is one projection without shuffle or Python.
 """
 
@@ -50,6 +50,7 @@ class RuleColumns:
     checks: list[Check] = field(default_factory=list)
     reach: dict[str, Column] = field(default_factory=dict)
     partitions: dict[str, Column] = field(default_factory=dict)
+    trace: dict[str, Column] = field(default_factory=dict)
     key: Column | None = None
     mapping: Mapping[str, str] | None = None
 
@@ -299,6 +300,7 @@ def build_risk_score(scope: Scope, source: str | None, body: RiskScoreBody) -> R
         checks=checks,
         reach={t.label: ordinal == F.lit(i + 1) for i, t in enumerate(body.tiers)},
         partitions={"matched": ordinal > 0, "fallback": ordinal == 0, "null": ordinal == -1},
+        trace={"tier": F.when(ordinal > 0, ordinal)},
     )
 
 

@@ -36,7 +36,11 @@ class Outcome:
 
 @dataclass
 class Derived:
-    """A derived table with what was decided on the way."""
+    """A derived table with what was decided on the way.
+
+    `checked` is `df` with helper columns that hold, per rule, what its `error` policies say about a row; they
+    are computed beside the derived values, so a target may overwrite its source.
+    """
 
     df: DataFrame
     source_columns: list[str]
@@ -45,6 +49,8 @@ class Derived:
     bodies: dict[str, Body] = field(default_factory=dict)
     entries: dict[str, SpecEntry] = field(default_factory=dict)
     outcomes: dict[str, Outcome] = field(default_factory=dict)
+    checked: DataFrame | None = None
+    blocked: dict[str, dict[str, Column]] = field(default_factory=dict)
 
     def derived_names(self) -> list[str]:
         return list(self.rules)
@@ -70,19 +76,18 @@ def _whole_durations(df: DataFrame, names: list[str]) -> dict[str, bool]:
     return {n: bool(row[n]) for n in names}
 
 
-def _large_map_column(df: DataFrame, name: str, rule: RuleColumns, body: FlagBody) -> DataFrame:
+def _large_map_column(df: DataFrame, name: str, body: FlagBody, key: str, missing: str) -> DataFrame:
     """Lookup of a large map as a left join. The map is broadcast only when its text is small enough."""
-    spark = df.sparkSession
-    pairs = spark.createDataFrame(list(body.map.items()), "_map_key string, _map_value string")
+    pairs = df.sparkSession.createDataFrame(list(body.map.items()), "_map_key string, _map_value string")
     size = sum(len(k.encode()) + len(v.encode()) for k, v in body.map.items())
     pairs = F.broadcast(pairs) if size <= BROADCAST_BYTES else pairs
-    joined = df.withColumn("_lookup", rule.key).join(pairs, F.col("_lookup") == F.col("_map_key"), "left")
     value = (
-        F.when(rule.partitions["null"], F.lit(body.null_value).cast("string"))
+        F.when(F.col(missing), F.lit(body.null_value).cast("string"))
         .when(F.col("_map_key").isNull(), F.lit(body.unmapped_value).cast("string"))
         .otherwise(F.col("_map_value"))
     )
-    return joined.withColumn(name, value).drop("_lookup", "_map_key", "_map_value")
+    joined = df.join(pairs, F.col(key) == F.col("_map_key"), "left")
+    return joined.withColumn(name, value).drop("_map_key", "_map_value")
 
 
 def apply_rule(
@@ -141,14 +146,12 @@ def apply_spec(
     formats = _text_dates(df, list(bodies.values()), date_formats or {})
     result = _project(df, spec, levels, bodies, dict(outcomes), formats, integral, explain, on_error)
     if df.isStreaming:
-        blocked = [n for n, r in result.rules.items() if r.blocked]
-        if blocked:
-            raise SpecError(f"error policies of {blocked} cannot stop a stream; use quarantine instead")
+        if result.blocked:
+            raise SpecError(f"error policies of {list(result.blocked)} cannot stop a stream; use quarantine instead")
         return result
-    counts = blocked_counts(result.df, {n: r.blocked for n, r in result.rules.items()})
-    hit = {n: c for n, c in counts.items() if c.total_blocked}
+    hit = {n: c for n, c in blocked_counts(result.checked, result.blocked).items() if c.total_blocked}
     if hit and on_error == "raise":
-        raise_on_blocked(result.df, result, hit)
+        raise_on_blocked(result, hit)
     if hit:
         for n, c in hit.items():
             outcomes[n] = Outcome("unresolved", c.describe())
@@ -156,11 +159,16 @@ def apply_spec(
     return result
 
 
+def helper(name: str, what: str) -> str:
+    return f"__{what}__{name}"
+
+
 def _project(df, spec, levels, bodies, outcomes, formats, integral, explain, on_error) -> Derived:
     source_columns = list(df.columns)
     out = Derived(df, source_columns, levels, outcomes=outcomes)
+    frame, helpers = df, []
     for level in levels:
-        scope = Scope(out.df.schema, formats)
+        scope = Scope(frame.schema, formats)
         columns: dict[str, Column] = {}
         joins: list[str] = []
         durations: list[str] = []
@@ -171,9 +179,8 @@ def _project(df, spec, levels, bodies, outcomes, formats, integral, explain, on_
             if any(c not in source_columns and c not in out.rules for c in entry.columns()):
                 outcomes[name] = Outcome("skipped", "an upstream derivation is not available")
                 continue
-            source = entry.inputs[0]
             try:
-                rule = rule_kind(entry.rule_kind).build(scope, source, bodies[name])
+                rule = rule_kind(entry.rule_kind).build(scope, entry.inputs[0], bodies[name])
             except SpecError as exc:
                 if on_error == "raise":
                     raise
@@ -181,26 +188,32 @@ def _project(df, spec, levels, bodies, outcomes, formats, integral, explain, on_
                 continue
             out.rules[name], out.bodies[name], out.entries[name] = rule, bodies[name], entry
             outcomes[name] = Outcome("verified")
+            extra: dict[str, Column] = {}
             if rule.dtype == "double":
                 durations.append(name)
             if rule.mapping is not None and len(rule.mapping) > LARGE_MAP:
                 joins.append(name)
+                extra |= {helper(name, "key"): rule.key, helper(name, "missing"): rule.partitions["null"]}
             else:
                 columns[name] = rule.value
+            for policy, cond in rule.blocked.items():
+                extra[helper(name, policy)] = cond
+                out.blocked.setdefault(name, {})[policy] = F.col(helper(name, policy))
+                if policy == "unmapped":
+                    extra[helper(name, "key")] = rule.key
             if explain:
                 columns[f"{name}__why"] = rule.why
-        for name in joins:
-            out.df = _large_map_column(out.df, name, out.rules[name], out.bodies[name])
+                columns |= {f"{name}__{part}": c for part, c in rule.trace.items()}
+            columns |= extra
+            helpers += extra
         if columns:
-            before = out.df
-            out.df = before.withColumns(columns)
             whole = (
-                _whole_durations(out.df, durations) if integral == "auto"
+                _whole_durations(frame.withColumns({n: columns[n] for n in durations}), durations) if integral == "auto"
                 else {n: integral == "always" for n in durations}
             )
-            narrowed = {n: columns[n].cast("bigint") for n, yes in whole.items() if yes}
-            if narrowed:
-                out.df = before.withColumns({**columns, **narrowed})
+            columns |= {n: columns[n].cast("bigint") for n, yes in whole.items() if yes}
+            frame = frame.withColumns(columns)
+        for name in joins:
+            frame = _large_map_column(frame, name, out.bodies[name], helper(name, "key"), helper(name, "missing"))
+    out.checked, out.df = frame, frame.drop(*helpers)
     return out
-
-

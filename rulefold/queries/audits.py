@@ -178,6 +178,11 @@ def runs_needing_review(spark: SparkSession, folder: str) -> DataFrame:
         F.count_if(~F.col("needs_review")).alias("n_clean"))
 
 
+@query("runs_latest_first", f"WITH {AUDIT_SQL} SELECT run_id, count(*) AS n_events FROM a GROUP BY run_id ORDER BY run_id DESC")
+def runs_latest_first(spark: SparkSession, folder: str) -> DataFrame:
+    return au.runs_latest_first(audit_events(spark, folder))
+
+
 @query("latest_run", f"WITH {AUDIT_SQL} SELECT max(run_id) AS run_id FROM a")
 def latest_run(spark: SparkSession, folder: str) -> DataFrame:
     return au.latest_run(audit_events(spark, folder))

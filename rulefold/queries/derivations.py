@@ -361,6 +361,7 @@ SELECT o_orderkey,
             WHEN s IS NULL AND (p >= 300000 AND s = 'F') IS NULL AND (p >= 300000 OR s = 'F') IS NULL
                  THEN 'no tier resolved: null handling null'
             ELSE 'no tier matched: fallback low' END AS risk_why,
+       CASE WHEN p >= 300000 AND s = 'F' THEN 1 WHEN p >= 300000 OR s = 'F' THEN 2 END AS risk_tier,
        'p >= 300000 AND s not_null: ' || CASE WHEN p >= 300000 AND s IS NOT NULL THEN 'true' ELSE 'false' END AS pop_why
 FROM o""")
 def explain_trace(spark: SparkSession, folder: str) -> DataFrame:
@@ -379,7 +380,8 @@ def explain_trace(spark: SparkSession, folder: str) -> DataFrame:
          "rule_body": {"conditions": [_cond("p", ">=", 300000), _cond("s", "not_null")]}},
     ])
     done = apply_spec(df, spec, explain=True).df
-    return done.select("o_orderkey", *[F.col(f"{n}__why").alias(f"{n}_why") for n in ("bin", "flag", "risk", "pop")])
+    whys = [F.col(f"{n}__why").alias(f"{n}_why") for n in ("bin", "flag", "risk", "pop")]
+    return done.select("o_orderkey", F.col("risk__tier").alias("risk_tier"), *whys)
 
 
 @query("explain_duration", """

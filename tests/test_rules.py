@@ -248,6 +248,18 @@ def test_error_policy_skips_in_skip_mode(spark):
     assert "1 of 2 rows are null" in done.outcomes["B"].reason
 
 
+def test_error_policy_while_overwriting_the_source(spark):
+    strict = {**AGE, "null_handling": "error"}
+    with pytest.raises(NullInputError, match="1 of 2"):
+        apply_rule(numbers(spark, [1.0, NAN]), "x", "bin", strict, "x")
+    done = apply_rule(numbers(spark, [1.0, 70.0]), "x", "bin", strict, "x")
+    assert done.columns == ["id", "x"] and out(done, "x") == ["minor", "senior"]
+    big = {"map": {f"k{i}": f"v{i}" for i in range(200)}, "unmapped_handling": "error"}
+    with pytest.raises(UnmappedInputError, match="zz"):
+        apply_rule(texts(spark, ["k1", "zz"]), "x", "flag", big, "x")
+    assert out(apply_rule(texts(spark, ["k1", None]), "x", "flag", big, "x"), "x") == ["v1", None]
+
+
 def test_explain(spark):
     df = apply_rule(numbers(spark, [18.0, NAN]), "t", "bin", AGE, "x", explain=True)
     assert out(df, "t__why") == ["18.0 is 18.0 to under 65.0: adult", "missing value: null handling"]

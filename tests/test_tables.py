@@ -290,3 +290,24 @@ def test_rows_to_readable_table(spark):
     df = spark.createDataFrame([("run-x", "evt-0123456789", "bin", 3)], "run_id string, event_id string, rule_kind string, n int")
     out = lb.reviewer_table(df)
     assert out.columns == ["Run", "Question ID", "Rule type", "N"] and tuple(out.first()) == ("run-x", "01234567", "Bucketing", 3)
+
+
+def test_read_dataset_by_name(spark, tmp_path):
+    from rulefold.sources.dataset import read_dataset
+
+    (tmp_path / "a.csv").write_text("k\n1\n")
+    spark.range(2).write.parquet(str(tmp_path / "b.pq"))
+    assert read_dataset(spark, str(tmp_path / "a.csv")).count() == 1
+    assert read_dataset(spark, str(tmp_path / "b.pq")).count() == 2
+    with pytest.raises(ValueError, match="format"):
+        read_dataset(spark, "x.xlsx")
+
+
+def test_time_bucket_follows_density(spark):
+    rows = spark.range(1000).select(F.timestamp_seconds("id").alias("ts"))
+    assert au.time_bucket(rows, "ts") == "DAY"
+    crowded, au.BUCKET_ROWS = au.BUCKET_ROWS, 100
+    try:
+        assert au.time_bucket(rows, "ts") == "MINUTE"
+    finally:
+        au.BUCKET_ROWS = crowded
