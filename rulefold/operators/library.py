@@ -270,29 +270,36 @@ def _matches(rules: list[tuple[str, str]]) -> Column:
 PROBES = 100
 
 
-def numeric_probes(rules: DataFrame, seed: int = 1) -> DataFrame:
-    """Probe values for bucket rules (rule_id, edges array<double>): edges, edges +- 1e-9, uniform fill.
+def numeric_batch(rule_id: Column, edges: Column, seed: int = 1) -> Column:
+    """Probe values of a bucket rule: edges, edges +- 1e-9, then uniform values up to PROBES.
 
     The fill is drawn from a hash of rule, position and seed, so it does not depend on partitioning.
     """
-    e = F.col("edges")
-    near = F.concat(e, F.flatten(F.transform(e, lambda x: F.array(x - 1e-9, x + 1e-9))))
-    lo, hi = F.array_min(e) - 5.0, F.array_max(e) + 5.0
-    missing = F.greatest(F.lit(PROBES) - F.size(near), F.lit(0))
-    unit = (lambda i: F.pmod(F.xxhash64(F.col("rule_id"), i, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    fill = F.transform(
-        F.slice(F.sequence(F.lit(1), F.lit(PROBES)), F.lit(1), missing), lambda i: lo + unit(i) * (hi - lo))
-    return rules.select("*", F.posexplode(F.concat(near, fill)).alias("probe_no", "value"))
-
-
-def categorical_probes(rules: DataFrame, unmapped: int = 10, nulls: int = 3) -> DataFrame:
-    """Probe values for map rules (rule_id, map): declared keys, strings that are not keys, and nulls."""
-    keys = F.map_keys("map")
+    near = F.concat(edges, F.flatten(F.transform(edges, lambda x: F.array(x - 1e-9, x + 1e-9))))
+    lo, hi = F.array_min(edges) - 5.0, F.array_max(edges) + 5.0
+    unit = (lambda i: F.pmod(F.xxhash64(rule_id, i, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    open_places = F.slice(
+        F.sequence(F.lit(1), F.lit(PROBES)), F.lit(1), F.greatest(F.lit(PROBES) - F.size(near), F.lit(0)))
+    return F.concat(near, F.transform(open_places, lambda i: lo + unit(i) * (hi - lo)))
+
+
+def categorical_batch(mapping: Column, unmapped: int = 10, nulls: int = 3) -> Column:
+    """Probe values of a map rule: declared keys, strings that are not keys, and nulls."""
+    keys = F.map_keys(mapping)
     invented = F.transform(
-        F.sequence(F.lit(1), F.lit(unmapped + 32)), lambda i: F.format_string("__unmapped_%07d__", i))
+        F.sequence(F.lit(1), F.size(keys) + unmapped), lambda i: F.format_string("__unmapped_%07d__", i))
     fresh = F.slice(F.array_except(invented, keys), 1, unmapped)
-    batch = F.concat(keys, fresh, F.array_repeat(F.lit(None).cast("string"), nulls))
-    return rules.select("*", F.posexplode(batch).alias("probe_no", "value"))
+    return F.concat(keys, fresh, F.array_repeat(F.lit(None).cast("string"), nulls))
+
+
+def numeric_probes(rules: DataFrame, seed: int = 1) -> DataFrame:
+    """One row per rule (rule_id, edges, ...) and probe value."""
+    return rules.select("*", F.posexplode(numeric_batch(F.col("rule_id"), F.col("edges"), seed)).alias("probe_no", "value"))
+
+
+def categorical_probes(rules: DataFrame) -> DataFrame:
+    """One row per rule (rule_id, map, ...) and probe value."""
+    return rules.select("*", F.posexplode(categorical_batch(F.col("map"))).alias("probe_no", "value"))
 
 
 def bucket_of(value: Column, edges: Column, labels: Column) -> Column:

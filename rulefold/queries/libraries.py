@@ -200,17 +200,20 @@ def _bins(spark: SparkSession, folder: str) -> DataFrame:
 SELECT p_partkey AS rule_id, 100::BIGINT AS n_probes, 0::BIGINT AS n_outside, 2::BIGINT AS n_on_edge, 0::BIGINT AS n_unlabelled,
        'mid,hi,lo,mid,mid,hi' AS near_edges FROM part""")
 def probe_numeric(spark: SparkSession, folder: str) -> DataFrame:
-    """A bucket rule per part against its own probe batch of a hundred values."""
-    probes = lib.numeric_probes(_bins(spark, folder))
-    label = lib.bucket_of(F.col("value"), F.col("edges"), F.col("labels"))
-    first = F.array_sort(F.collect_list(F.when(F.col("probe_no") < 6, F.struct("probe_no", label.alias("label")))))
+    """A bucket rule per part against its own batch of a hundred values, checked inside the row."""
+    rows = _bins(spark, folder).withColumn("batch", lib.numeric_batch(F.col("rule_id"), F.col("edges")))
     low, high = F.array_min("edges") - 5.0, F.array_max("edges") + 5.0
-    return probes.groupBy("rule_id").agg(
-        F.count(F.lit(1)).alias("n_probes"),
-        F.count_if((F.col("value") < low) | (F.col("value") > high)).alias("n_outside"),
-        F.count_if(F.array_contains("edges", F.col("value"))).alias("n_on_edge"),
-        F.count_if(label.isNull()).alias("n_unlabelled"),
-        F.array_join(F.transform(first, lambda s: s["label"]), ",").alias("near_edges"))
+    rows = rows.withColumn("labels", F.transform("batch", lambda v: lib.bucket_of(v, F.col("edges"), F.col("labels"))))
+
+    def n(found):
+        return F.size(found).cast("bigint")
+
+    return rows.select(
+        "rule_id", n("batch").alias("n_probes"),
+        n(F.filter("batch", lambda v: (v < low) | (v > high))).alias("n_outside"),
+        n(F.filter("batch", lambda v: F.array_contains("edges", v))).alias("n_on_edge"),
+        n(F.filter("labels", lambda v: v.isNull())).alias("n_unlabelled"),
+        F.array_join(F.slice("labels", 1, 6), ",").alias("near_edges"))
 
 
 @query("probe_categorical", """

@@ -115,18 +115,21 @@ def event_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("ticket_scan", f"""
-WITH {TICKET_SQL} SELECT run_id, event_id, target, ticket_kind FROM t WHERE k >= 60""")
+WITH {TICKET_SQL} SELECT 'run-' || strftime(ts, '%Y%m%d') AS run_id, event_id, target, ticket_kind FROM t WHERE k >= 60""")
 def ticket_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Tickets and resolutions below per-run folders; the run comes from the path."""
+    """Tickets and resolutions below one folder per run (here: per day); the run comes from the path."""
     inbox, outbox = fresh_folder(spark, "inbox"), fresh_folder(spark, "outbox")
-    tickets(spark, folder).select("event_id", "ticket_kind", "target", "options_offered", "run_id").hint(
-        "rebalance", "run_id").write.partitionBy("run_id").json(inbox)
-    resolutions(spark, folder).select(
-        "event_id", "ticket_kind", "target", "chosen_option", F.col("resolved_by").alias("run_id")).hint(
-        "rebalance", "run_id").write.partitionBy("run_id").json(outbox)
-    opened = scan_records(spark, inbox, TICKETS, multi_line=False)
-    closed = scan_records(spark, outbox, RESOLUTIONS, multi_line=False)
-    return pending(opened, closed).select("run_id", "event_id", "target", "ticket_kind")
+    run = F.concat(F.lit("run-"), F.date_format("ts", "yyyyMMdd")).alias("run")
+    opened = tickets(spark, folder).select("event_id", "ticket_kind", "target", "options_offered", run)
+    closed = resolutions(spark, folder).select(
+        "event_id", "ticket_kind", "target", "chosen_option",
+        F.concat(F.lit("run-"), F.date_format("resolved_at", "yyyyMMdd")).alias("run"))
+    for rows, path in ((opened, inbox), (closed, outbox)):
+        # Rebalancing splits a large run over several files and packs small ones into one.
+        rows.hint("rebalance", "run").write.partitionBy("run").json(path)
+    return pending(
+        scan_records(spark, inbox, TICKETS, multi_line=False), scan_records(spark, outbox, RESOLUTIONS, multi_line=False)
+    ).select("run_id", "event_id", "target", "ticket_kind")
 
 
 @query("memory_table_scan", f"""
