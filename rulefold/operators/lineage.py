@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from rulefold.functions.cells import INTEGRAL, col
 from rulefold.functions.signatures import signature_of
 from rulefold.plans.spec import Spec
+from rulefold.session import ensure_checkpoint_dir
 
 RECORD_SCHEMA = (
     "struct<value:string,rule_kind:string,body_signature:string,agent_chain:array<string>,"
@@ -124,28 +125,26 @@ def missing_sources(entries: DataFrame, dataset_columns: DataFrame) -> DataFrame
     )
 
 
-def impact(edges: DataFrame, seeds: DataFrame, max_depth: int = 50) -> DataFrame:
+def impact(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Everything downstream of changed or failed columns.
 
     edges(study_id, derivation, column), seeds(study_id, column) -> (study_id, derivation, depth) with the
     smallest depth. Each round joins only the newly reached names; rounds are cut by a checkpoint so lineage
-    does not grow, and the loop ends when nothing new is reached, so cycles do no harm.
+    does not grow. Rounds end when nothing new is reached, so cycles do no harm and no depth is left out.
     """
     spark = edges.sparkSession
-    from rulefold.session import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(spark)
     edges = edges.select("study_id", "derivation", "column").distinct().checkpoint()
     frontier = seeds.select("study_id", "column").distinct()
-    reached: DataFrame | None = None
-    for depth in range(1, max_depth + 1):
-        step = edges.join(frontier, ["study_id", "column"]).select("study_id", "derivation").distinct()
-        if reached is not None:
-            step = step.join(reached, ["study_id", "derivation"], "left_anti")
-        step = step.withColumn("depth", F.lit(depth)).checkpoint()
+    reached = spark.createDataFrame([], "study_id string, derivation string, depth int")
+    depth = 0
+    while True:
+        depth += 1
+        step = (
+            edges.join(frontier, ["study_id", "column"]).select("study_id", "derivation").distinct()
+            .join(reached, ["study_id", "derivation"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        )
         if step.isEmpty():
-            break
-        reached = step if reached is None else reached.unionByName(step)
+            return reached
+        reached = reached.unionByName(step)
         frontier = step.select("study_id", F.col("derivation").alias("column"))
-    return reached if reached is not None else frontier.select(
-        "study_id", F.col("column").alias("derivation"), F.lit(0).alias("depth")).where("false")

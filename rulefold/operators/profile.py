@@ -32,6 +32,14 @@ def _present(f: T.StructField) -> Column:
     return F.when(~is_missing(col(f.name), f.dataType), col(f.name))
 
 
+def _countable(f: T.StructField) -> Column:
+    """A value for distinct counting; long texts go by their digest so they do not travel whole."""
+    c = _present(f)
+    if isinstance(f.dataType, T.StringType):
+        return F.when(F.length(c) > 64, F.sha2(c, 256)).otherwise(c)
+    return c
+
+
 def _may_be_date(f: T.StructField) -> bool:
     return bool(re.search(fixed.DATE_NAME, f.name, re.IGNORECASE))
 
@@ -61,7 +69,7 @@ def profile(df: DataFrame, dataset: str = "dataset", *, exact: bool = True) -> D
         sets = df.agg(*[
             F.collect_set(key_text(_present(fields[i]), fields[i].dataType)).alias(f"v{i}") for i in small]).first()
     if large:
-        counts = df.agg(*[F.count_distinct(_present(fields[i])).alias(f"u{i}") for i in large]).first()
+        counts = df.agg(*[F.count_distinct(_countable(fields[i])).alias(f"u{i}") for i in large]).first()
     rows = []
     for i, f in enumerate(fields):
         n, present = row["n"], row[f"p{i}"]

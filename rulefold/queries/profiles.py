@@ -40,6 +40,14 @@ def profile_orders(spark: SparkSession, folder: str) -> DataFrame:
         "column", "position", "kind", "dtype", "null_fraction", "n_unique", "min", "max", _values())
 
 
+@query("profile_documents", _profile_sql("documents", [
+    ("doc_id", "numeric", "bigint"), ("text", "high_cardinality", "string"), ("lang", "low_cardinality", "string"),
+    ("source", "low_cardinality", "string"), ("n_chars", "numeric", "bigint")]))
+def profile_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return profile(table(spark, folder, "documents")).select(
+        "column", "position", "kind", "dtype", "null_fraction", "n_unique", "min", "max", _values())
+
+
 GAPS = """(SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_quantity END AS quantity,
   nullif(l_linestatus, 'F') AS line_status, strftime(l_shipdate, '%Y-%m-%d') AS ship_date, NULL::VARCHAR AS nothing,
   strftime(l_shipdate, '%Y-%m-%d') AS note, l_discount > 0.05 AS discounted FROM lineitem) g"""

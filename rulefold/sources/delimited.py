@@ -68,8 +68,12 @@ def read_delimited(
     header_row: int = 0,
     encoding: str = "utf-8",
     schema: str | T.StructType | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """CSV (or TSV by file name) with one header line per file at `header_row` (0 = first line)."""
+    """CSV (or TSV by file name) with one header line per file at `header_row` (0 = first line).
+
+    multi_line: cells may hold line breaks; files can then not be split between tasks.
+    """
     if not 0 <= header_row <= 10:
         raise ValueError("header_row must be between 0 and 10")
     sep = sep or ("\t" if path.lower().rstrip("/").endswith((".tsv", ".tsv.gz", ".tab")) else ",")
@@ -79,7 +83,7 @@ def read_delimited(
         # Two-byte encodings cannot be cut at byte '\n', so such files are read as one piece each.
         return (
             spark.read.option("sep", delimiter).option("encoding", charset).option("escape", '"')
-            .option("multiLine", charset == "UTF-16")
+            .option("multiLine", multi_line or charset == "UTF-16")
         )
 
     if header_row == 0:

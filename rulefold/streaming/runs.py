@@ -8,19 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rulefold.session import fresh_folder
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PARTITIONS = "spark.sql.shuffle.partitions"
 
 
 @contextmanager
-def disk_state(spark: SparkSession):
-    """Keep streaming state on local disk with checkpoints in the shared folder, not on the heap."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+def state_settings(spark: SparkSession):
+    """Settings of a stateful run: state on local disk with changelogs in the shared folder, not on the heap.
+
+    A run keeps the partition count it starts with. Every partition opens and commits its own store in each batch,
+    so there are no more of them than twice the task slots.
+    """
+    slots = spark.sparkContext.defaultParallelism
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        PARTITIONS: str(min(int(spark.conf.get(PARTITIONS)), max(8, 2 * slots))),
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def read_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -44,7 +56,7 @@ def run_available(stream: DataFrame, name: str, partition_by: list[str] | None =
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    with disk_state(spark):
+    with state_settings(spark):
         run = writer.trigger(availableNow=True).start(out)
         run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
