@@ -12,12 +12,13 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rulefold.functions.cells import col, is_missing, is_numeric, key_text, num
 from rulefold.functions.dates import as_timestamp, is_date_source, micros_between
+from rulefold.functions.signatures import signature_of
 from rulefold.operators.conditions import describe, fold
 from rulefold.plans.bodies import (
     UNIT_DAYS,
@@ -53,6 +54,7 @@ class RuleColumns:
     trace: dict[str, Column] = field(default_factory=dict)
     key: Column | None = None
     mapping: Mapping[str, str] | None = None
+    lookup: Lookup | None = None
 
 
 @dataclass(frozen=True)
@@ -141,7 +143,30 @@ def build_bin(scope: Scope, source: str | None, body: BinBody) -> RuleColumns:
 
 # ---------------------------------------------------------------- flag
 
-MAP_AS_JOIN = 64
+LARGE_MAP = 64
+BROADCAST_BYTES = 64 << 20
+
+
+@dataclass(frozen=True)
+class Lookup:
+    """A map too large for an expression: joined to the table as column `name` (a struct, NULL when absent)."""
+
+    name: str
+    key: Column
+    mapping: Mapping[str, str]
+
+
+def with_lookups(df: DataFrame, rules: Iterable[RuleColumns]) -> DataFrame:
+    """Join the large maps that rules refer to. A map is broadcast only when its text is small enough."""
+    for lookup in [r.lookup for r in rules if r.lookup is not None]:
+        if lookup.name in df.columns:
+            continue
+        pairs = df.sparkSession.createDataFrame(list(lookup.mapping.items()), "_k string, value string").select(
+            "_k", F.struct("value").alias(lookup.name))
+        size = sum(len(k.encode()) + len(v.encode()) for k, v in lookup.mapping.items())
+        pairs = F.broadcast(pairs) if size <= BROADCAST_BYTES else pairs
+        df = df.join(pairs, lookup.key == F.col("_k"), "left").drop("_k")
+    return df
 
 
 def build_flag(scope: Scope, source: str | None, body: FlagBody) -> RuleColumns:
@@ -149,15 +174,20 @@ def build_flag(scope: Scope, source: str | None, body: FlagBody) -> RuleColumns:
     c = col(source)
     missing = is_missing(c, dtype)
     key = key_text(c, dtype)
-    by_value: dict[str, list[str]] = {}
-    for k, v in body.map.items():
-        by_value.setdefault(v, []).append(k)
-    mapped = reduce(lambda acc, kv: acc.when(key.isin(kv[1]), F.lit(kv[0])), by_value.items(), F)
+    lookup = None
+    if len(body.map) > LARGE_MAP:
+        lookup = Lookup(f"__map_{signature_of(body.as_dict())}_{source}", key, body.map)
+        declared, mapped = col(lookup.name).isNotNull(), col(lookup.name)["value"]
+    else:
+        by_value: dict[str, list[str]] = {}
+        for k, v in body.map.items():
+            by_value.setdefault(v, []).append(k)
+        declared = key.isin(list(body.map))
+        mapped = reduce(lambda acc, kv: acc.when(key.isin(kv[1]), F.lit(kv[0])), by_value.items(), F).otherwise(_null())
     on_null = F.lit(body.null_value).cast("string")
     on_unmapped = F.lit(body.unmapped_value).cast("string")
-    declared = key.isin(list(body.map))
     unmapped = ~missing & ~declared
-    value = F.when(missing, on_null).when(unmapped, on_unmapped).otherwise(mapped.otherwise(_null()))
+    value = F.when(missing, on_null).when(unmapped, on_unmapped).otherwise(mapped)
     fallback = {
         "value": f" is not in the mapping: fallback {body.unmapped_value}",
         "null": " is not in the mapping: null",
@@ -166,7 +196,7 @@ def build_flag(scope: Scope, source: str | None, body: FlagBody) -> RuleColumns:
     why = (
         F.when(missing, F.lit("missing value: null handling"))
         .when(unmapped, F.concat(key, F.lit(fallback)))
-        .otherwise(F.concat(F.lit("mapping "), key, F.lit(": "), mapped.otherwise(_null())))
+        .otherwise(F.concat(F.lit("mapping "), key, F.lit(": "), mapped))
     )
     allowed = unique(body.map.values()) + [
         v for v in (body.null_value, body.unmapped_value) if v is not None
@@ -174,7 +204,7 @@ def build_flag(scope: Scope, source: str | None, body: FlagBody) -> RuleColumns:
     null_allowed = "null" in (body.null_handling, body.unmapped_handling)
     checks = [
         Check("P-flag-1", "a declared key did not give its declared value",
-              lambda out: ~missing & declared & ~out.eqNullSafe(mapped.otherwise(_null()))),
+              lambda out: ~missing & declared & ~out.eqNullSafe(mapped)),
         Check("P-flag-2", f"missing values do not follow null_handling={body.null_handling}",
               (lambda out: missing) if body.null_handling == "error"
               else (lambda out: missing & ~out.eqNullSafe(on_null))),
@@ -192,7 +222,7 @@ def build_flag(scope: Scope, source: str | None, body: FlagBody) -> RuleColumns:
     return RuleColumns(
         value, "string", why, [source], blocked=blocked, checks=checks,
         partitions={"declared": ~missing & declared, "null": missing, "unmapped": unmapped},
-        key=key, mapping=body.map,
+        key=key, mapping=body.map, lookup=lookup,
     )
 
 

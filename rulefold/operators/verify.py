@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulefold.functions.cells import col
-from rulefold.operators.rules import RuleColumns
+from rulefold.operators.rules import RuleColumns, with_lookups
 from rulefold.plans.bodies import BinBody, Body, FlagBody
 
 CHECK_FIELDS = "derivation layer property_id severity message n_rows n_violations sample".split()
@@ -75,6 +75,7 @@ def verify(
 
     expected_rows: row count of the input table, when the caller has it, for the row-preservation check.
     """
+    df = with_lookups(df, rules.values())
     aggregates: list[Column] = [F.count(F.lit(1)).alias("n")]
     rows: list[list[Column]] = []
 
@@ -119,6 +120,7 @@ def verdicts(checks: DataFrame, keys: tuple[str, ...] = ("derivation",)) -> Data
 
 def coverage(df: DataFrame, rules: Mapping[str, RuleColumns]) -> DataFrame:
     """Rows per input partition (declared / null / unmapped / ...) of each rule, in one aggregate."""
+    df = with_lookups(df, rules.values())
     items = [(n, p, c) for n, r in rules.items() for p, c in r.partitions.items()]
     row = df.agg(*[F.count_if(c).alias(f"c{i}") for i, (_, _, c) in enumerate(items)])
     table = F.array(*[
@@ -131,7 +133,7 @@ def coverage(df: DataFrame, rules: Mapping[str, RuleColumns]) -> DataFrame:
 def undeclared_values(df: DataFrame, rule: RuleColumns) -> DataFrame:
     """Observed values outside a flag's map with their frequency; pre-aggregated before the shuffle."""
     return (
-        df.where(rule.partitions["unmapped"]).groupBy(rule.key.alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
+        with_lookups(df, [rule]).where(rule.partitions["unmapped"]).groupBy(rule.key.alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
     )
 
 

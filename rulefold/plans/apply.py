@@ -18,15 +18,12 @@ from pyspark.sql import types as T
 
 from rulefold.functions.cells import col
 from rulefold.functions.dates import detect_formats
-from rulefold.operators.policy import raise_on_blocked, blocked_counts
-from rulefold.operators.rules import RuleColumns, Scope, rule_kind
-from rulefold.plans.bodies import Body, DurationBody, FlagBody
+from rulefold.operators.policy import blocked_counts, raise_on_blocked
+from rulefold.operators.rules import RuleColumns, Scope, rule_kind, with_lookups
+from rulefold.plans.bodies import Body, DurationBody
 from rulefold.plans.errors import SpecError
 from rulefold.plans.spec import Spec, SpecEntry, dependency_levels, require_columns
 
-LARGE_MAP = 64
-BROADCAST_BYTES = 64 << 20
-
 
 @dataclass(frozen=True)
 class Outcome:
@@ -76,20 +73,6 @@ def _whole_durations(df: DataFrame, names: list[str]) -> dict[str, bool]:
     return {n: bool(row[n]) for n in names}
 
 
-def _large_map_column(df: DataFrame, name: str, body: FlagBody, key: str, missing: str) -> DataFrame:
-    """Lookup of a large map as a left join. The map is broadcast only when its text is small enough."""
-    pairs = df.sparkSession.createDataFrame(list(body.map.items()), "_map_key string, _map_value string")
-    size = sum(len(k.encode()) + len(v.encode()) for k, v in body.map.items())
-    pairs = F.broadcast(pairs) if size <= BROADCAST_BYTES else pairs
-    value = (
-        F.when(F.col(missing), F.lit(body.null_value).cast("string"))
-        .when(F.col("_map_key").isNull(), F.lit(body.unmapped_value).cast("string"))
-        .otherwise(F.col("_map_value"))
-    )
-    joined = df.join(pairs, F.col(key) == F.col("_map_key"), "left")
-    return joined.withColumn(name, value).drop("_map_key", "_map_value")
-
-
 def apply_rule(
     df: DataFrame,
     target: str,
@@ -170,7 +153,6 @@ def _project(df, spec, levels, bodies, outcomes, formats, integral, explain, on_
     for level in levels:
         scope = Scope(frame.schema, formats)
         columns: dict[str, Column] = {}
-        joins: list[str] = []
         durations: list[str] = []
         for name in level:
             entry = spec.entry(name)
@@ -191,11 +173,10 @@ def _project(df, spec, levels, bodies, outcomes, formats, integral, explain, on_
             extra: dict[str, Column] = {}
             if rule.dtype == "double":
                 durations.append(name)
-            if rule.mapping is not None and len(rule.mapping) > LARGE_MAP:
-                joins.append(name)
-                extra |= {helper(name, "key"): rule.key, helper(name, "missing"): rule.partitions["null"]}
-            else:
-                columns[name] = rule.value
+            columns[name] = rule.value
+            if rule.lookup is not None:
+                frame = with_lookups(frame, [rule])
+                helpers.append(rule.lookup.name)
             for policy, cond in rule.blocked.items():
                 extra[helper(name, policy)] = cond
                 out.blocked.setdefault(name, {})[policy] = F.col(helper(name, policy))
@@ -213,7 +194,5 @@ def _project(df, spec, levels, bodies, outcomes, formats, integral, explain, on_
             )
             columns |= {n: columns[n].cast("bigint") for n, yes in whole.items() if yes}
             frame = frame.withColumns(columns)
-        for name in joins:
-            frame = _large_map_column(frame, name, out.bodies[name], helper(name, "key"), helper(name, "missing"))
     out.checked, out.df = frame, frame.drop(*helpers)
     return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulefold.operators.policy import quarantine
-from rulefold.operators.rules import Scope, rule_kind
+from rulefold.operators.rules import Scope, rule_kind, with_lookups
 from rulefold.plans.apply import apply_spec
 from rulefold.plans.spec import Spec, SpecEntry
 
@@ -25,10 +25,9 @@ def derive_stream(stream: DataFrame, spec: Spec, *, date_formats: dict[str, str]
     relaxed = Spec([_relaxed(d) for d in spec.derivations], spec.version)
     done = apply_spec(stream, relaxed, date_formats=date_formats, integral=integral)
     scope = Scope(done.df.schema, date_formats or {})
-    blocked = {
-        d.name: rule_kind(d.rule_kind).build(scope, d.inputs[0], d.body()).blocked for d in spec.derivations
-    }
-    return quarantine(done.df, blocked, column)
+    rules = {d.name: rule_kind(d.rule_kind).build(scope, d.inputs[0], d.body()) for d in spec.derivations}
+    marked = quarantine(with_lookups(done.df, rules.values()), {n: r.blocked for n, r in rules.items()}, column)
+    return marked.select(*done.df.columns, column)
 
 
 def live_counters(events: DataFrame, window: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:

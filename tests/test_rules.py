@@ -1,6 +1,7 @@
 """The five rule kinds on tiny tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from rulefold.plans.apply import apply_rule, apply_spec
 from rulefold.plans.errors import DatasetError, NullInputError, SpecError, UnmappedInputError
@@ -98,6 +99,20 @@ def test_flag_key_text_and_large_map(spark):
     assert out(apply_rule(texts(spark, ["k7", "k499", "z", None]), "t", "flag", big, "x")) == ["v7", "v499", "U", "M"]
 
 
+def test_large_map_is_verified_too(spark):
+    from rulefold.operators.verify import coverage, verify
+
+    big = {"map": {f"k{i}": f"v{i}" for i in range(500)}, "unmapped_handling": "value", "unmapped_value": "U"}
+    spec = Spec.from_entries([entry("T", ["x"], "flag", big)])
+    done = apply_spec(texts(spark, ["k7", "z", None, "k8"]), spec)
+    assert done.df.columns == ["id", "x", "T"]
+    assert verify(done.df, done.rules, done.bodies).findings.isEmpty()
+    changed = done.df.withColumn("T", F.when(F.col("x") == "k8", F.lit("v7")).otherwise(F.col("T")))
+    assert [r["property_id"] for r in verify(changed, done.rules).findings.collect()] == ["P-flag-1"]
+    parts = {r["partition"]: r["n_rows"] for r in coverage(done.df, done.rules).collect()}
+    assert parts == {"declared": 2, "unmapped": 1, "null": 1}
+
+
 def days(spark, rows):
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "id int, a string, b string")
 
