@@ -311,3 +311,18 @@ def test_time_bucket_follows_density(spark):
         assert au.time_bucket(rows, "ts") == "MINUTE"
     finally:
         au.BUCKET_ROWS = crowded
+
+
+def test_probe_batches(spark):
+    rules = spark.createDataFrame([("r1", [18.0, 65.0], ["a", "b", "c"]), ("r2", [0.5], ["x", "y"])], "rule_id string, edges array<double>, labels array<string>")
+    probes = lib.numeric_probes(rules)
+    again = lib.numeric_probes(rules.repartition(7))
+    cols = ["rule_id", "probe_no", "value"]
+    assert probes.count() == 200 and probes.select(cols).exceptAll(again.select(cols)).isEmpty()
+    label = lib.bucket_of(F.col("value"), F.col("edges"), F.col("labels"))
+    assert probes.where(label.isNull()).isEmpty()
+    near = [r["l"] for r in probes.where("rule_id = 'r1' and probe_no < 6").orderBy("probe_no").select(label.alias("l")).collect()]
+    assert near == ["b", "c", "a", "b", "b", "c"]
+    maps = spark.createDataFrame([("m", {"a": "1", "__unmapped_0000001__": "2"})], "rule_id string, map map<string,string>")
+    values = [r["value"] for r in lib.categorical_probes(maps).orderBy("probe_no").collect()]
+    assert len(values) == 15 and values[2] == "__unmapped_0000002__" and values[-3:] == [None] * 3
