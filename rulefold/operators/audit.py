@@ -163,9 +163,13 @@ def agent_chains(steps: DataFrame, segment: int = SEGMENT) -> DataFrame:
 
 
 def no_progress(retries: DataFrame) -> DataFrame:
-    """Iterations that repeat the previous body and findings; an equi-join on the iteration before."""
+    """Iterations that repeat the previous body and findings; an equi-join on the iteration before.
+
+    The iteration is part of the key, so a long history spreads out; repeated rows are merged before they are
+    looked up.
+    """
     now = retries.select("run_id", "derivation", "iteration", "body_hash", "findings_signature")
-    before = now.withColumn("iteration", F.col("iteration") + 1)
+    before = now.withColumn("iteration", F.col("iteration") + 1).distinct()
     return now.join(before, now.columns, "left_semi")
 
 

@@ -30,6 +30,11 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "er
     writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path)
 
 
+def write_split(marked: DataFrame, path: str, column: str = "_violations") -> None:
+    """Quarantined table in one pass: folders accepted=true and accepted=false, reasons kept as an array."""
+    marked.withColumn("accepted", F.size(column) == 0).write.partitionBy("accepted").parquet(path)
+
+
 def append_events(events: DataFrame, path: str, fmt: str = "json") -> None:
     """Append events to the log; every write adds files, none is rewritten."""
     events.write.mode("append").format(fmt).save(path)
@@ -53,11 +58,13 @@ def scan_records(spark: SparkSession, path: str, schema: str, *, multi_line: boo
 def read_decisions(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
     """Recorded decisions with their position, so that the last one of a target can win.
 
-    Position is (file, place inside the file); Spark keeps the order of rows within one file.
+    Position is (file, block, place inside the block); Spark keeps the order of rows within a block.
     """
     rows = spark.read.schema(DECISIONS).option("multiLine", multi_line).json(path)
     return rows.select(
-        "*", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row")).alias("position"))
+        "*", F.struct(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row")).alias("position"))
 
 
 def read_entries(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:

@@ -63,6 +63,18 @@ def test_sink_formats(spark, tmp_path):
         write_result(df, str(tmp_path / "x"), "xlsx")
 
 
+def test_quarantine_split(spark, tmp_path):
+    from rulefold.operators.policy import accepted, diverted, quarantine
+    from rulefold.sources.records import write_split
+
+    df = spark.createDataFrame([(1, None), (2, "a")], "id int, v string")
+    marked = quarantine(df, {"T": {"null": F.col("v").isNull()}})
+    write_split(marked, str(tmp_path / "q"))
+    back = spark.read.parquet(str(tmp_path / "q"))
+    assert [(r["id"], r["_violations"]) for r in back.where("not accepted").collect()] == [(1, ["T:null"])]
+    assert [r["id"] for r in accepted(marked).collect()] == [2] and [r["id"] for r in diverted(marked).collect()] == [1]
+
+
 def test_ticket_documents(spark, tmp_path):
     for run in ("run-a", "run-b"):
         inbox = tmp_path / run / "hitl" / "inbox"
