@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,16 +20,22 @@ RECORD_SCHEMA = (
 )
 
 
-def json_value(c: Column, dtype: T.DataType) -> Column:
-    """A cell as JSON. Plain text and whole numbers are written directly, which is much cheaper than `to_json`."""
-    encoded = F.to_json(F.array(c))
-    general = F.substr(encoded, F.lit(2), F.length(encoded) - 2)
+SAFE_TEXT = r"[ !#-\[\]-~]*"
+
+
+def json_value(c: Column, dtype: T.DataType, outputs: list[str] | None = None) -> Column:
+    """A cell as JSON. Plain text and whole numbers are written directly, which is much cheaper than `to_json`.
+
+    outputs: the closed set of texts the cell can hold; when all of them are plain, no cell needs a look.
+    """
+    if isinstance(dtype, T.StringType) and outputs is not None and all(re.fullmatch(SAFE_TEXT, o) for o in outputs):
+        return F.coalesce(F.concat(F.lit('"'), c, F.lit('"')), F.lit("null"))
     if isinstance(dtype, INTEGRAL):
-        text = c.cast("string")
-    elif isinstance(dtype, T.StringType):
-        text = F.when(c.rlike(r"""^[ !#-\[\]-~]*$"""), F.concat(F.lit('"'), c, F.lit('"'))).otherwise(general)
-    else:
-        text = general
+        return F.coalesce(c.cast("string"), F.lit("null"))
+    encoded = F.to_json(F.array(c))
+    text = F.substr(encoded, F.lit(2), F.length(encoded) - 2)
+    if isinstance(dtype, T.StringType):
+        text = F.when(c.rlike(rf"\A{SAFE_TEXT}\z"), F.concat(F.lit('"'), c, F.lit('"'))).otherwise(text)
     return F.when(c.isNull(), F.lit("null")).otherwise(text)
 
 
@@ -51,7 +58,7 @@ def lineage_column(derived, key: str, records: dict[str, dict] | None = None) ->
             "ltm_pattern_ref": rec.get("ltm_pattern_ref"),
         }, separators=(",", ":"))[1:-1]
         opening = ("," if i else "{") + json.dumps(name) + ':{"value":'
-        parts += [F.lit(opening), json_value(col(name), schema[name].dataType), F.lit("," + fixed), row_ids]
+        parts += [F.lit(opening), json_value(col(name), schema[name].dataType, derived.rules[name].outputs), F.lit("," + fixed), row_ids]
     return F.concat(*parts, F.lit("}")) if parts else F.lit("{}")
 
 

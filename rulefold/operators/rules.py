@@ -52,6 +52,7 @@ class RuleColumns:
     reach: dict[str, Column] = field(default_factory=dict)
     partitions: dict[str, Column] = field(default_factory=dict)
     trace: dict[str, Column] = field(default_factory=dict)
+    outputs: list[str] | None = None  # every text the rule can give, when that is a closed set
     key: Column | None = None
     mapping: Mapping[str, str] | None = None
     lookup: Lookup | None = None
@@ -138,6 +139,7 @@ def build_bin(scope: Scope, source: str | None, body: BinBody) -> RuleColumns:
         blocked={"null": missing} if body.null_handling == "error" else {},
         checks=checks,
         partitions={"declared": ~missing & ~beyond, "null": missing, "out_of_range": ~missing & beyond},
+        outputs=allowed,
     )
 
 
@@ -222,7 +224,7 @@ def build_flag(scope: Scope, source: str | None, body: FlagBody) -> RuleColumns:
     return RuleColumns(
         value, "string", why, [source], blocked=blocked, checks=checks,
         partitions={"declared": ~missing & declared, "null": missing, "unmapped": unmapped},
-        key=key, mapping=body.map, lookup=lookup,
+        key=key, mapping=body.map, lookup=lookup, outputs=allowed,
     )
 
 
@@ -294,6 +296,7 @@ def build_compound(scope: Scope, source: str | None, body: CompoundBody) -> Rule
         blocked={"null": t.isNull()} if body.null_handling == "error" else {},
         checks=checks,
         partitions={"true": F.coalesce(t, F.lit(False)), "false": F.coalesce(~t, F.lit(False)), "null": t.isNull()},
+        outputs=[body.true_value, body.false_value],
     )
 
 
@@ -331,6 +334,7 @@ def build_risk_score(scope: Scope, source: str | None, body: RiskScoreBody) -> R
         reach={t.label: ordinal == F.lit(i + 1) for i, t in enumerate(body.tiers)},
         partitions={"matched": ordinal > 0, "fallback": ordinal == 0, "null": ordinal == -1},
         trace={"tier": F.when(ordinal > 0, ordinal)},
+        outputs=[*(t.label for t in body.tiers), body.fallback_label],
     )
 
 

@@ -19,7 +19,7 @@ NA_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
     "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
-BOOL_TEXT = r"^(True|TRUE|true|False|FALSE|false)$"
+BOOL_TEXT = r"\A(True|TRUE|true|False|FALSE|false)\z"
 WHOLE_TEXT = r"^\s*[+-]?\d+\s*$"
 ENCODINGS = {"utf-8": "UTF-8", "utf-16": "UTF-16", "latin-1": "ISO-8859-1", "cp1252": "ISO-8859-1"}
 
@@ -52,7 +52,7 @@ def narrow(df: DataFrame) -> DataFrame:
     for i, n in enumerate(names):
         c = F.trim(col(n))
         if row[f"b{i}"]:
-            changed[n] = F.lower(c) == "true"
+            changed[n] = F.lower(col(n)) == "true"
         elif row[f"i{i}"]:
             changed[n] = c.try_cast("bigint")
         elif row[f"d{i}"]:
