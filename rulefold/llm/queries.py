@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rulefold.llm.chat import format_chats, read_chats
 from rulefold.llm.exact_dedup import exact_dedup
 from rulefold.llm.mixing import mix
 from rulefold.llm.registry import ORACLES, QUERIES, query
@@ -40,3 +41,36 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mix(table(spark, folder, "documents"), keep_columns=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
+
+
+@query("op1_chat_formatting", r"""
+    WITH rows AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+        UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    chats AS (
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+            coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss
+        FROM rows GROUP BY conv_id),
+    marked AS (
+        SELECT conv_id, length(replace(text, '\', '\\')) + length(replace(role, '\', '\\'))
+            * (role IS DISTINCT FROM lag(role) OVER w)::INT
+            + (length(text) - length(replace(text, '<|', '<'))) + (length(text) - length(replace(text, '</s>', '/s>')))
+            + (length(text) - length(replace(text, '<s>', 's>'))) + (length(text) - length(replace(text, '[INST]', 'INST]')))
+            + (length(text) - length(replace(text, '[/INST]', '/INST]'))) + (length(text) - length(replace(text, '<<SYS>>', '<SYS>>')))
+            + (length(text) - length(replace(text, '<</SYS>>', '</SYS>>')))
+            + CASE WHEN role IS DISTINCT FROM lag(role) OVER w THEN 16 ELSE 8 END
+            + CASE WHEN role IS DISTINCT FROM lead(role) OVER w THEN 7 ELSE 0 END AS chars
+        FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+    SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+    FROM chats JOIN (SELECT conv_id, sum(chars)::BIGINT AS formatted_chars FROM marked GROUP BY conv_id) USING (conv_id)""")
+def op1_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], turns.schema)
+    back = read_chats(format_chats(turns.unionByName(probe)))
+    whole = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("bigint").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"))
