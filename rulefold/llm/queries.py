@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulefold.llm.chat import format_chats, read_chats
 from rulefold.llm.exact_dedup import exact_dedup
 from rulefold.llm.mixing import mix
+from rulefold.llm.quality_rules import quality_rules
 from rulefold.llm.registry import ORACLES, QUERIES, query
+from rulefold.llm.token_counts import token_counts
 from rulefold.session import table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -74,3 +77,37 @@ def op1_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
         F.length("loss_text").cast("bigint").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+@query("op7_quality_rules", r"""
+    WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, string_split(text, chr(10)) AS lines, text FROM t),
+    grams AS (SELECT doc_id, i, words[i:i + 7] AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
+    twice AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+    covered AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS place FROM twice) GROUP BY doc_id),
+    line AS (SELECT doc_id, unnest(lines) AS line FROM w),
+    full_line AS (SELECT doc_id, line, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS words FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+    dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM full_line GROUP BY doc_id),
+    hosts AS (SELECT source, count(*) AS documents FROM t GROUP BY source),
+    common AS (
+        SELECT t.source, words FROM full_line JOIN t USING (doc_id) JOIN hosts ON t.source IS NOT DISTINCT FROM hosts.source
+        GROUP BY t.source, words, hosts.documents
+        HAVING count(DISTINCT doc_id) > 20 AND count(DISTINCT doc_id) > 0.01 * hosts.documents),
+    gone AS (
+        SELECT f.doc_id, sum(len(f.words)) AS n FROM full_line f JOIN t USING (doc_id)
+        JOIN common c ON t.source IS NOT DISTINCT FROM c.source AND f.words = c.words GROUP BY f.doc_id),
+    m AS (
+        SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+            (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+            coalesce(dup.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_boilerplate_words
+        FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN gone USING (doc_id)),
+    f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+    SELECT *, NOT base_failed AND NOT (n_boilerplate_words > 0 AND n_words - n_boilerplate_words < 0.2 * n_words) AS kept FROM f""")
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules(table(spark, folder, "documents"))
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counts = token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
