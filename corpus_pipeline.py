@@ -9,15 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulefold.llm.exact_dedup import exact_dedup
+from rulefold.llm.exact_dedup import without_duplicates
 from rulefold.llm.frames import written
 from rulefold.llm.mixing import mix, whole_documents
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal up to white space, the row with the smallest id; texts stay as they are."""
-    out = exact_dedup(docs.select(F.struct("*").alias("row"), "doc_id", "text"), keep_columns=["row"])
-    return out.where("kept").select("row.*")
+    return without_duplicates(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

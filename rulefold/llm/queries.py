@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rulefold.llm.chat import format_chats, read_chats
 from rulefold.llm.exact_dedup import exact_dedup
 from rulefold.llm.mixing import mix
+from rulefold.llm.packing import pack_documents
 from rulefold.llm.quality_rules import quality_rules
 from rulefold.llm.registry import ORACLES, QUERIES, query
 from rulefold.llm.token_counts import token_counts
@@ -22,7 +23,7 @@ __all__ = ["ORACLES", "QUERIES"]
     g AS (SELECT body, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY body)
     SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM t JOIN g USING (body)""")
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return exact_dedup(table(spark, folder, "documents"), keep_columns=["doc_id"])
+    return exact_dedup(table(spark, folder, "documents"))
 
 
 @query("op6_mixing", r"""
@@ -111,3 +112,8 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@query("op9_best_fit_packing")
+def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
