@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -106,9 +105,9 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
     """Sequences as (lengths in one sequence, how many such sequences), from the number of pieces of each length.
 
     Longest length first. Its gap is looked up among the sums of one, two and three lengths that are still there,
-    fewest and longest first; a combination that fills the gap exactly is used as often as the counts allow. Lengths
-    without an exact complement are left over and packed best fit. The work depends on the lengths that occur, of which there are
-    `capacity` at most, and not on the number of pieces.
+    fewest and longest first; a combination that fills the gap exactly is used as often as the counts allow. A gap
+    without an exact complement is a residual: it takes the length that fits best, and what then is left of it is looked up again, until nothing
+    fits. The work depends on the lengths that occur, of which there are `capacity` at most, not on the number of pieces.
     """
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
@@ -116,85 +115,60 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
             raise ValueError("lengths must be from 1 to the capacity")
         left[length] = n
     plan: list[tuple[tuple[int, ...], int]] = []
-    residual: dict[int, int] = {}
     for longest in range(capacity, 0, -1):
         while left[longest]:
-            found = _complement(left, longest, capacity - longest)
-            if found is None:
-                residual[longest] = int(left[longest])
-                left[longest] = 0
-                break
-            lengths, times = found
+            lengths = _sequence(left, longest, capacity)
+            times = min(int(left[k]) // lengths.count(k) for k in lengths)
             plan.append((lengths, times))
             for k in lengths:
                 left[k] -= times
-    return plan + _best_fit(residual, capacity)
-
+    return plan
+
+
+def _sequence(left: np.ndarray, longest: int, capacity: int) -> tuple[int, ...]:
+    """Lengths of one sequence that starts with `longest`, within the counts `left`."""
+    free = left.copy()
+    free[longest] -= 1
+    lengths, gap = [longest], capacity - longest
+    while gap:
+        exact = _complement(free, gap, longest)
+        if exact:
+            return (*lengths, *exact)
+        fits = np.flatnonzero(free[1 : gap + 1])
+        if not len(fits):
+            break
+        best = int(fits[-1]) + 1
+        lengths.append(best)
+        free[best] -= 1
+        gap -= best
+    return tuple(lengths)
 
-def _complement(left: np.ndarray, longest: int, gap: int) -> tuple[tuple[int, ...], int] | None:
-    """The first combination of up to three lengths, none above `longest`, that fills the gap, and how often it can be used."""
 
-    def use(*more: int) -> tuple[tuple[int, ...], int] | None:
-        lengths = (longest, *more)
-        times = min(int(left[k]) // lengths.count(k) for k in lengths)
-        return (lengths, times) if times else None
+def _complement(free: np.ndarray, gap: int, most: int) -> tuple[int, ...] | None:
+    """The first combination of one, two or three lengths, none above `most`, that fills the gap within the counts `free`."""
 
-    def pairs(total: int, most: int) -> Iterator[tuple[int, int]]:
+    def pair(total: int, most: int) -> Iterator[tuple[int, int]]:
         low, high = (total + 1) // 2, min(total - 1, most)
         if low <= high:
-            both = left[low : high + 1].astype(bool) & left[total - high : total - low + 1][::-1].astype(bool)
+            both = (free[low : high + 1] > 0) & (free[total - high : total - low + 1][::-1] > 0)
             for k in np.flatnonzero(both)[::-1]:
-                yield low + int(k), total - low - int(k)
-
-    if gap == 0:
-        return use()
-    if gap <= longest and left[gap] and (one := use(gap)):
-        return one
-    for pair in pairs(gap, longest):
-        if two := use(*pair):
-            return two
-    for a in np.flatnonzero(left[: min(gap - 2, longest) + 1])[::-1]:
+                a, b = low + int(k), total - low - int(k)
+                if a != b or free[a] > 1:
+                    yield a, b
+
+    if gap <= most and free[gap]:
+        return (gap,)
+    for found in pair(gap, most):
+        return found
+    for a in np.flatnonzero(free[: min(gap - 2, most) + 1] > 0)[::-1].tolist():
         if 3 * a < gap:
             break
-        for pair in pairs(gap - int(a), int(a)):
-            if three := use(int(a), *pair):
-                return three
+        for b, c in pair(gap - a, a):
+            if free[a] >= 1 + (a == b) + (a == c):
+                return a, b, c
     return None
 
 
-def _best_fit(residual: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Longest first into the smallest gap that takes it, else into new sequences; equal sequences are one entry with a count."""
-    open_: dict[int, dict[tuple[int, ...], int]] = {}  # gap -> lengths -> how many sequences
-    gaps: list[int] = []
-
-    def put(lengths: tuple[int, ...], times: int) -> None:
-        gap = capacity - sum(lengths)
-        if times:
-            if gap not in open_:
-                open_[gap] = {}
-                insort(gaps, gap)
-            open_[gap][lengths] = open_[gap].get(lengths, 0) + times
-
-    for length in sorted(residual, reverse=True):
-        n = residual[length]
-        while n and (k := bisect_left(gaps, length)) < len(gaps):
-            gap = gaps[k]
-            lengths, there = open_[gap].popitem()
-            times = min(n, there)
-            if there > times:
-                open_[gap][lengths] = there - times
-            if not open_[gap]:
-                del open_[gap]
-                gaps.pop(k)
-            put((*lengths, length), times)
-            n -= times
-        fit = capacity // length
-        put((length,) * fit, n // fit)
-        if n % fit:
-            put((length,) * (n % fit), 1)
-    return [(lengths, times) for by in open_.values() for lengths, times in by.items()]
-
-
 def runs(plan: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     """Rows (length, first number, first sequence, offset), sorted: the pieces of a length are numbered from 0, and a run of them goes to as many sequences."""
     used: Counter = Counter()
