@@ -6,12 +6,28 @@ of `docs` beside those are carried along, whatever their names: stages rename wh
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rulefold.llm.classifier import fit, score
 from rulefold.llm.exact_dedup import without_duplicates
-from rulefold.llm.frames import written
+from rulefold.llm.frames import fresh, written
 from rulefold.llm.mixing import mix, whole_documents
+from rulefold.llm.packing import pack_documents
+from rulefold.session import table
+
+
+LEAST_QUALITY = 0.7
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores at least `LEAST_QUALITY`; it learns from the labelled ones among them outside the held-out fold."""
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    weights = fit(docs, table(spark, sf_dir, "labels"), remainder != 2)
+    (name,) = fresh(docs, "score")
+    return score(docs, weights, score_col=name).where(F.col(name) >= LEAST_QUALITY).drop(name)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +41,13 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return whole_documents(mix(rows, keep_columns=["row"])).select("row.*")
 
 
-STAGES = [("exact dedup", exact_dedup_stage), ("mixing sources", mixing_stage)]
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces in sequences of at most 1024 tokens; a document that was taken twice is packed twice."""
+    return pack_documents(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [
+    ("quality classifier", quality_stage), ("exact dedup", exact_dedup_stage), ("mixing sources", mixing_stage), ("best-fit packing", packing_stage)]
 
 ORACLE_SQL = None
 

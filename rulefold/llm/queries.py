@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulefold.llm.chat import format_chats, read_chats
+from rulefold.llm.classifier import fit, score
 from rulefold.llm.exact_dedup import exact_dedup
 from rulefold.llm.mixing import mix
 from rulefold.llm.packing import pack_documents
@@ -117,3 +118,12 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_best_fit_packing")
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op3_quality_classifier")
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    weights = fit(documents, table(spark, folder, "labels"), remainder != 2)
+    rows = documents.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "text")
+    return score(rows, weights).select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
