@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from rulefold.llm.chat import format_chats, read_chats
 from rulefold.llm.classifier import fit, score
 from rulefold.llm.exact_dedup import exact_dedup
+from rulefold.llm.jaccard_join import Settings as Jaccard
+from rulefold.llm.jaccard_join import near_duplicates
 from rulefold.llm.mixing import mix
 from rulefold.llm.packing import pack_documents
 from rulefold.llm.quality_rules import quality_rules
 from rulefold.llm.registry import ORACLES, QUERIES, query
 from rulefold.llm.token_counts import token_counts
+from rulefold.llm.warc import round_trip
 from rulefold.session import table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -127,3 +130,20 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     weights = fit(documents, table(spark, folder, "labels"), remainder != 2)
     rows = documents.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "text")
     return score(rows, weights).select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op8_warc", r"""
+    WITH t AS (SELECT page_id, sha1(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS n FROM pages),
+    r AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS last FROM t)
+    SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+        CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to FROM r""")
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    back = round_trip(table(spark, folder, "pages"))
+    return back.select(
+        F.col("page").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
+@query("op5_jaccard_join")
+def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"), Jaccard(words=4, percent=85))
