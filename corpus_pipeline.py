@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from rulefold.llm.classifier import fit, score
 from rulefold.llm.exact_dedup import without_duplicates
 from rulefold.llm.frames import fresh, written
+from rulefold.llm.jaccard_join import near_duplicates
 from rulefold.llm.mixing import mix, whole_documents
 from rulefold.llm.packing import pack_documents
 from rulefold.session import table
@@ -35,6 +36,13 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return without_duplicates(docs)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by links (five-word shingles, Jaccard similarity of 0.8 or more), the row with the smallest id."""
+    found = near_duplicates(docs).select(F.col("doc_id").alias("id"), F.col("component_id").alias("keep"))
+    dropped = written(spark, found.where("id <> keep").select("id").distinct(), "pipeline-near-duplicates")
+    return docs.join(dropped, docs["doc_id"] == dropped["id"], "left_anti")
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources weigh 5, 2, 1, repeating; none is taken over 3 times; taken documents are whole, once per taking."""
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", "text")
@@ -47,7 +55,12 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
-    ("quality classifier", quality_stage), ("exact dedup", exact_dedup_stage), ("mixing sources", mixing_stage), ("best-fit packing", packing_stage)]
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_dedup_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("mixing sources", mixing_stage),
+    ("best-fit packing", packing_stage),
+]
 
 ORACLE_SQL = None
 

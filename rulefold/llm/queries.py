@@ -15,6 +15,7 @@ from rulefold.llm.mixing import mix
 from rulefold.llm.packing import pack_documents
 from rulefold.llm.quality_rules import quality_rules
 from rulefold.llm.registry import ORACLES, QUERIES, query
+from rulefold.llm.suffix_dedup import remove_repeats
 from rulefold.llm.token_counts import token_counts
 from rulefold.llm.warc import round_trip
 from rulefold.session import table
@@ -147,3 +148,9 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_jaccard_join")
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), Jaccard(words=4, percent=85))
+
+
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = remove_repeats(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
