@@ -80,6 +80,7 @@ class ByteBPE:
         letter = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(hidden)}
         self.byte_ids = np.array([vocab[letter[b]] for b in range(256)], np.uint32)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.special_ids = np.array([t["id"] for t in spec.get("added_tokens", [])], np.uint32)
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         left = np.array([vocab[a] for a, _ in merges], np.uint64)
         right = np.array([vocab[b] for _, b in merges], np.uint64)
@@ -127,7 +128,13 @@ class ByteBPE:
         All spans are one ragged array. A round ranks all neighbouring pairs, takes each span's lowest rank and merges its
         occurrences from left to right; spans without a pair to merge leave with their length.
         """
+        return self.merged_ids(data, starts, lengths)[0]
+
+    def merged_ids(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As `merge`, with the symbols of all spans end to end."""
         out = lengths.astype(np.int64).copy()
+        row = np.flatnonzero(out == 1)
+        done = [(row, out[row], self.byte_ids[data[starts[row]]])]
         row = np.flatnonzero(out > 1)
         size = out[row]
         first = np.cumsum(size) - size
@@ -150,11 +157,17 @@ class ByteBPE:
             keep[np.flatnonzero(hit) + 1] = False
             size = np.add.reduceat(keep.astype(np.int64), first)
             out[row] = size
+            symbols = symbols[keep]
             live = (lowest != NONE) & (size > 1)
-            keep &= np.repeat(live, np.add.reduceat(np.ones(len(keep), np.int64), first))
-            symbols, row, size = symbols[keep], row[live], size[live]
+            stays = np.repeat(live, size)
+            done.append((row[~live], size[~live], symbols[~stays]))
+            symbols, row, size = symbols[stays], row[live], size[live]
             first = np.cumsum(size) - size
-        return out
+        place = np.cumsum(out) - out
+        ids = np.empty(int(out.sum()), np.uint32)
+        for rows, sizes, found in done:
+            ids[np.repeat(place[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(found))] = found
+        return out, ids
 
 
 NONE = np.int32(2**31 - 1)

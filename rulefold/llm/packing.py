@@ -11,9 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from rulefold.llm.bytelevel import Pieces
+from rulefold.llm.bytelevel import Pieces, vocabulary
 from rulefold.llm.frames import col, written
 from rulefold.llm.text_arrays import chunks, utf8
 
@@ -23,38 +22,40 @@ ROWS_PER_RANGE = 20_000
 
 
 class Encoder:
-    """Token ids of texts by a tokenizer file; each distinct pre-token is encoded once and remembered, up to a bound."""
+    """Token ids of texts, the same as the tokenizer file's library gives; each distinct pre-token is merged once and remembered, up to a bound."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.special = [t.content for t in added.values()]
-        self.special_ids = np.array([*added, 0], np.uint32)
-        self.remembered, self.known = remembered, {}
+        self.vocabulary, self.remembered = vocabulary(path), remembered
+        self.hashes, self.sizes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _remember(self, pieces: Pieces) -> np.ndarray:
+        """Places of the distinct pre-tokens of `pieces` among the remembered ones, those that are new merged and added."""
+        at = np.minimum(np.searchsorted(self.hashes, pieces.hashes), max(len(self.hashes) - 1, 0))
+        new = self.hashes[at] != pieces.hashes if len(self.hashes) else np.ones(len(pieces.hashes), bool)
+        if not new.any():
+            return at
+        if len(self.hashes) + int(new.sum()) > self.remembered:
+            self.hashes, self.sizes, self.ids = self.hashes[:0], self.sizes[:0], self.ids[:0]
+            new = np.ones(len(pieces.hashes), bool)
+        sizes, ids = self.vocabulary.merged_ids(pieces.data, pieces.begin[new], pieces.length[new])
+        hashes, sizes, ids = np.append(self.hashes, pieces.hashes[new]), np.append(self.sizes, sizes), np.append(self.ids, ids)
+        order, first = np.argsort(hashes), np.cumsum(sizes) - sizes
+        self.hashes, self.sizes = hashes[order], sizes[order]
+        self.ids = ids[np.arange(len(ids)) + np.repeat(first[order] - (np.cumsum(self.sizes) - self.sizes), self.sizes)]
+        return np.searchsorted(self.hashes, pieces.hashes)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of each text's ids."""
-        pieces = Pieces(texts, self.special)
-        keys = pieces.hashes.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.known]
-        if len(self.known) + len(new) > self.remembered:
-            self.known, new = {}, range(len(keys))
-        encoded = self.tokenizer.encode_batch_fast([pieces.text(k) for k in new], add_special_tokens=False)
-        for k, e in zip(new, encoded, strict=True):
-            self.known[keys[k]] = np.array(e.ids, np.uint32).tobytes()
-        ids = [self.known[h] for h in keys]
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        size = np.array([len(b) >> 2 for b in ids], np.int64)
-        first = np.cumsum(size) - size
+        pieces = Pieces(texts, self.vocabulary.special)
+        at = self._remember(pieces)[pieces.inverse]
+        item_size, item_first, flat = self.sizes[at], (np.cumsum(self.sizes) - self.sizes)[at], self.ids
         # a special string is one more item behind the pre-tokens of its part
-        item_size = size[pieces.inverse]
-        item_first = first[pieces.inverse]
         cut = pieces.after >= 0
         if cut.any():
             behind = np.cumsum(pieces.counts)[cut]
-            flat = np.concatenate([flat, self.special_ids])
+            flat = np.append(flat, self.vocabulary.special_ids)
             item_size = np.insert(item_size, behind, 1)
-            item_first = np.insert(item_first, behind, len(flat) - len(self.special_ids) + pieces.after[cut])
+            item_first = np.insert(item_first, behind, len(self.ids) + pieces.after[cut])
         owner = np.repeat(pieces.owner, pieces.counts + cut)
         total = int(item_size.sum())
         at = np.arange(total) + np.repeat(item_first - (np.cumsum(item_size) - item_size), item_size)
