@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rulefold.llm.frames import col
 from rulefold.llm.text_arrays import LOWER, SPACE, chunks, hash_spans, inside, mix, ngrams, utf8
@@ -156,11 +157,10 @@ def score(df: DataFrame, weights: np.ndarray, settings: Settings | None = None,
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(batch.num_columns - 1))
+            data, offsets = utf8(batch.column("text"))
             found = [scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shared.value, s) for i, j in chunks(offsets)]
-            values = pa.array(np.concatenate(found or [np.zeros(0)]), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values], [*batch.schema.names[:-1], score_col])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.concatenate(found or [np.zeros(0)]), pa.float64())], ["row", "score"])
 
-    rows = df.select("*", col(text_col).cast("string").alias("text to score"))
-    kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
-    return rows.mapInArrow(scored, f"{kinds}, `{score_col}` double")
+    rows = df.select(F.struct("*").alias("row"), col(text_col).cast("string").alias("text"))
+    out = rows.mapInArrow(scored, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    return out.select("row.*", F.col("score").alias(score_col))
