@@ -39,20 +39,34 @@ def json_value(c: Column, dtype: T.DataType, outputs: list[str] | None = None) -
     return F.when(c.isNull(), F.lit("null")).otherwise(text)
 
 
-def lineage_column(derived, key: str, records: dict[str, dict] | None = None) -> Column:
+def body_signatures(spark: SparkSession, derived) -> dict[str, str]:
+    """Signature of each derivation's body, by the recipe of the rule library, so that lineage and memory agree."""
+    from rulefold.operators.library import normalise
+
+    rows = normalise(Spec(list(derived.entries.values())).entries_df(spark)).select("name", "body_signature").collect()  # one per derivation
+    # own rule kinds are unknown to the library: their bodies are signed as given
+    return {r["name"]: r["body_signature"] or signature_of(derived.bodies[r["name"]].as_dict()) for r in rows}
+
+
+def lineage_column(derived, key: str | list[str], records: dict[str, dict] | None = None) -> Column:
     """JSON per row: for each derived column its value and how it came about. A projection, no UDF.
 
-    records may add per derivation: agent_chain, hitl_event_ids, ltm_pattern_ref. Everything but the value and
-    the row key is the same for all rows and is rendered once, here.
+    key: the column or columns that identify a row; they are listed in `source_row_ids`. records may add per derivation:
+    agent_chain, hitl_event_ids, ltm_pattern_ref, body_signature. Everything but the value and the row key is the same
+    for all rows and is rendered once, here.
     """
     records, schema = records or {}, derived.df.schema
-    row_ids = F.concat(F.lit(',"source_row_ids":['), json_value(col(key), schema[key].dataType), F.lit("]}"))
+    keys = [key] if isinstance(key, str) else list(key)
+    known = {n: r["body_signature"] for n, r in records.items() if r.get("body_signature")}
+    if not set(derived.derived_names()) <= set(known):
+        known = body_signatures(derived.df.sparkSession, derived) | known
+    row_ids = F.concat(F.lit(',"source_row_ids":['), F.concat_ws(",", *[json_value(col(k), schema[k].dataType) for k in keys]), F.lit("]}"))
     parts = []
     for i, name in enumerate(derived.derived_names()):
         rec = records.get(name, {})
         fixed = json.dumps({
             "rule_kind": derived.entries[name].rule_kind,
-            "body_signature": signature_of(derived.bodies[name].as_dict()),
+            "body_signature": known[name],
             "agent_chain": rec.get("agent_chain", ["CG", "V"]),
             "hitl_event_ids": rec.get("hitl_event_ids", []),
             "ltm_pattern_ref": rec.get("ltm_pattern_ref"),
@@ -62,7 +76,7 @@ def lineage_column(derived, key: str, records: dict[str, dict] | None = None) ->
     return F.concat(*parts, F.lit("}")) if parts else F.lit("{}")
 
 
-def with_lineage(derived, key: str, records: dict[str, dict] | None = None, column: str = "lineage_id") -> DataFrame:
+def with_lineage(derived, key: str | list[str], records: dict[str, dict] | None = None, column: str = "lineage_id") -> DataFrame:
     return derived.df.withColumn(column, lineage_column(derived, key, records))
 
 

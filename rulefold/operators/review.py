@@ -11,11 +11,19 @@ from rulefold.functions.signatures import signature
 from rulefold.operators.memory import last_per_key, lookup
 
 
+def canonical_body(body: Column) -> Column:
+    """A body's JSON without blanks and with its keys in order at every depth; text that is no JSON stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(body)), body)
+
+
 def entry_signature() -> Column:
-    """Signature over everything a decision depends on: name, kind, inputs, body, rationale and notes."""
+    """Signature over everything a decision depends on: name, kind, inputs, body, rationale and notes.
+
+    The body counts by content: spellings with other blanks or another order of keys have one signature.
+    """
     return signature(
         ambiguity_notes=F.coalesce("ambiguity_notes", F.lit("")), inputs=F.col("inputs"), name=F.col("name"),
-        rationale=F.col("rationale"), rule_body=F.col("rule_body"), rule_kind=F.col("rule_kind"),
+        rationale=F.col("rationale"), rule_body=canonical_body(F.col("rule_body")), rule_kind=F.col("rule_kind"),
     )
 
 

@@ -127,12 +127,12 @@ def build_bin(scope: Scope, source: str | None, body: BinBody) -> RuleColumns:
     allowed = body.labels + ([body.null_label] if body.null_handling == "label" else [])
     checks = [
         Check("P-bin-1", "a present value got no declared bucket",
-              lambda out: ~missing & (out.isNull() | ~out.isin(body.labels))),
+              lambda out: ~missing & ~beyond & (out.isNull() | ~out.isin(body.labels))),
         Check("P-bin-2", f"missing values do not follow null_handling={body.null_handling}",
               (lambda out: missing) if body.null_handling == "error"
               else (lambda out: missing & ~out.eqNullSafe(on_null))),
         Check("P-bin-3", "output outside the declared buckets",
-              lambda out: _within(out, allowed, body.null_handling == "null")),
+              lambda out: _within(out, allowed, body.null_handling == "null") & ~(beyond & out.isNull())),
     ]
     return RuleColumns(
         value, "string", why, [source],

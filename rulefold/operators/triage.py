@@ -2,47 +2,36 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+from dataclasses import fields
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulefold.fixed_values import KIND_KEYWORDS
-from rulefold.operators.rules import known_rule_kinds
+from rulefold.operators.rules import known_rule_kinds, rule_kind
 
 STRONG = 0.60
 KEYWORD_CONFIDENCE = min(0.75, 0.85)  # as stated, and below the cap for text evidence
 
 
-def similarity(codes: Column, terms: list[str]) -> Column:
-    """Array of character-similarity scores of a code against a short fixed vocabulary.
+def similarity(code: Column, term: str) -> Column:
+    """1 for equal names in lower case, less by the share of letters to edit; NULL for a NULL code."""
+    low, term = F.lower(code), term.lower()
+    return 1 - F.levenshtein(low, F.lit(term)) / F.greatest(F.length(low), F.lit(len(term)))
 
-    The ratio of matched characters has no built-in counterpart, hence one vectorised UDF. Apply it to
-    distinct codes.
-    """
-    terms = list(terms)
-
-    @F.pandas_udf("array<double>")
-    def score(batch: pd.Series) -> pd.Series:
-        lowered = [t.lower() for t in terms]
-        return batch.map(
-            lambda code: None if code is None else [SequenceMatcher(None, code.lower(), t).ratio() for t in lowered])
 
-    return score(codes)
+def similarities(code: Column, terms: list[str]) -> Column:
+    return F.array(*[similarity(code, t) for t in terms])
 
 
 def suggest_terms(codes: DataFrame, column: str, terms: list[str] | None = None, top: int = 3) -> DataFrame:
-    """Best `top` terms per distinct unknown code: (code, term, score, strong, place)."""
+    """Best `top` terms per distinct unknown code: (code, term, score, strong, place); terms without a letter in place are left out."""
     terms = terms or known_rule_kinds()
     distinct = codes.select(F.col(column).alias("code")).where("code IS NOT NULL").distinct()
-    scored = distinct.withColumn("_scores", similarity(F.col("code"), terms))
-    pairs = F.zip_with(
-        F.array(*[F.lit(t) for t in terms]), F.col("_scores"),
-        lambda t, s: F.struct((-s).alias("neg"), t.alias("term")))
+    pairs = F.array(*[F.struct((-similarity(F.col("code"), t)).alias("neg"), F.lit(t).alias("term")) for t in terms])
     # The vocabulary is short, so ranking happens inside the row instead of in a window.
     best = F.slice(F.array_sort(F.filter(pairs, lambda p: p["neg"] < 0)), 1, top)
-    return distinct_places(scored.select("code", F.posexplode(best).alias("place", "p")))
+    return distinct_places(distinct.select("code", F.posexplode(best).alias("place", "p")))
 
 
 def distinct_places(ranked: DataFrame) -> DataFrame:
@@ -52,24 +41,10 @@ def distinct_places(ranked: DataFrame) -> DataFrame:
         (F.col("place") + 1).alias("place"))
 
 
-def body_shape(kind: str, keys: Column, n_inputs: Column) -> Column:
-    """How far the fields of a body look like those of a rule kind, 0 to 1."""
-    def has(*names: str) -> Column:
-        return F.forall(F.array(*[F.lit(n) for n in names]), lambda n: F.array_contains(keys, n))
-
-    forms = {
-        "bin": [(has("edges", "labels"), 0.95), (has("edges") | has("labels"), 0.50)],
-        "flag": [(has("map"), 0.95), (has("unmapped_handling") | has("unmapped_value"), 0.60)],
-        "duration": [(has("start_column", "end_column"), 0.95), (has("unit") & (n_inputs >= 2), 0.80),
-                     ((n_inputs == 2) & (F.size(keys) == 0), 0.40)],
-        "compound": [(has("conditions", "combinator"), 0.95), (has("conditions"), 0.75),
-                     (has("true_value") | has("false_value"), 0.55)],
-        "risk_score": [(has("tiers"), 0.95), (has("fallback_label"), 0.70)],
-    }
-    out = F
-    for test, score in forms.get(kind, []):
-        out = out.when(test, F.lit(score))
-    return out.otherwise(F.lit(0.0)) if forms.get(kind) else F.lit(0.0)
+def body_shape(kind: str, keys: Column) -> Column:
+    """Share of the fields named in a body, or known of a rule kind, that are both: 0 to 1."""
+    own = F.array(*[F.lit(f.name) for f in fields(rule_kind(kind).body)])
+    return F.size(F.array_intersect(keys, own)) / F.size(F.array_union(keys, own))
 
 
 def _kind_of_lowered(low: Column) -> Column:
@@ -99,12 +74,12 @@ def suggest_kinds(entries: DataFrame, top: int = 3) -> DataFrame:
     """
     kinds = known_rule_kinds()
     unknown = entries.where(~F.coalesce(F.col("rule_kind").isin(kinds), F.lit(False)))
-    codes = unknown.select("rule_kind").distinct().withColumn("_scores", similarity(F.col("rule_kind"), kinds))
+    codes = unknown.select("rule_kind").distinct().withColumn("_scores", similarities(F.col("rule_kind"), kinds))
     rows = unknown.join(codes, "rule_kind", "left")
     keys = F.coalesce(F.json_object_keys("rule_body"), F.array().cast("array<string>"))
     base = F.array(*[
         F.struct(F.lit(k).alias("kind"), F.greatest(
-            F.coalesce(F.get(F.col("_scores"), i), F.lit(0.0)), body_shape(k, keys, F.size("inputs"))).alias("score"))
+            F.coalesce(F.get(F.col("_scores"), i), F.lit(0.0)), body_shape(k, keys)).alias("score"))
         for i, k in enumerate(kinds)
     ])
     text = F.concat_ws(" ", "rationale", "ambiguity_notes", "name")

@@ -11,7 +11,7 @@ import datetime
 import json
 import uuid
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +23,7 @@ from rulefold.operators import review as rv
 from rulefold.operators.audit import EVENTS
 from rulefold.operators.lineage import with_lineage
 from rulefold.operators.verify import Checked, verify
-from rulefold.plans.apply import Derived, apply_spec
+from rulefold.plans.apply import Derived, Outcome, apply_spec
 from rulefold.plans.spec import Spec, require_columns
 
 PATTERNS = (
@@ -34,6 +34,11 @@ RESOLUTIONS = (
     "signature string, resolution string, resolved_run_id string, resolved_at string, resolution_event_id string"
 )
 
+FEEDBACK = (
+    "event_id string, ticket_kind string, target string, options_offered string, resolution string, resolved_by string, "
+    "resolved_at string, free_text_rationale string"
+)
+
 
 class PendingTickets(RuntimeError):
     """Questions without a decision; `tickets` holds (event_id, target, message)."""
@@ -65,6 +70,7 @@ class Run:
     events: DataFrame
     new_patterns: DataFrame
     new_resolutions: DataFrame
+    feedback: DataFrame
     reviewed: list[dict[str, Any]] = field(default_factory=list)
 
     def memory_after(self, memory: Memory) -> Memory:
@@ -80,14 +86,18 @@ def new_run_id() -> str:
 def run_spec(
     df: DataFrame,
     spec: Spec,
-    key: str,
+    key: str | list[str],
     *,
     memory: Memory | None = None,
     decisions: list[Mapping[str, Any]] | None = None,
     date_formats: Mapping[str, str] | None = None,
     run_id: str | None = None,
 ) -> Run:
-    """Run a spec. Without `memory` nothing is remembered; open questions without a decision raise PendingTickets."""
+    """Run a spec. Without `memory` nothing is remembered; open questions without a decision raise PendingTickets.
+
+    Derivations that fail a check leave neither their column nor what reads it in the dataset, the lineage or memory.
+    `key` names the column or columns that identify a row.
+    """
     spark, run_id = df.sparkSession, run_id or new_run_id()
     now = datetime.datetime.now(datetime.UTC).isoformat()
     log: list[dict[str, Any]] = []
@@ -106,6 +116,7 @@ def run_spec(
     checks = verify(derived.df, derived.rules, derived.bodies, sample=False)
     failed = {r["derivation"] for r in checks.verdicts.where("NOT passed").collect()}
 
+    derived = withheld(derived, failed)
     normal = mem.lookup(
         lib.normalise(spec.entries_df(spark)), known.rule_patterns, mem.KEYS["rule_patterns"], []
     ).collect()
@@ -113,7 +124,7 @@ def run_spec(
     lineage: dict[str, dict[str, Any]] = {}
     for row in sorted(normal, key=lambda r: r["name"]):
         name, outcome = row["name"], derived.outcomes[row["name"]]
-        done = outcome.status == "verified" and name not in failed
+        done = outcome.status == "verified"
         record("cg_complete", target=name, outcome=row["outcome"], rule_kind=row["rule_kind"],
                body_signature=row["body_signature"], ltm_hit=row["ltm_hit"], reason=row["reason"] or None)
         if done:
@@ -122,11 +133,11 @@ def run_spec(
             verified.append((run_id, now, row["rule_kind"], row["body_signature"], row["body"], True, row["ltm_hit"]))
             lineage[name] = {
                 "hitl_event_ids": [questions[name]] if name in questions else [],
-                "ltm_pattern_ref": row["body_signature"] if row["ltm_hit"] else None}
+                "ltm_pattern_ref": row["body_signature"] if row["ltm_hit"] else None, "body_signature": row["body_signature"]}
         elif outcome.status == "skipped":
             record("derivation_skipped", target=name, reason=outcome.reason)
         else:
-            record("derivation_unresolved", target=name, reason=outcome.reason or "checks failed")
+            record("derivation_unresolved", target=name, reason=outcome.reason)
     schema = "run_id string, ts string, rule_kind string, body_signature string, body string, passed boolean, ltm_hit boolean"
     remember = memory is not None
     new_patterns = mem.promote_rules(
@@ -151,8 +162,26 @@ def run_spec(
     record("run_complete")
     fields = spark.createDataFrame([], EVENTS).columns
     events = spark.createDataFrame([tuple(e.get(f) for f in fields) for e in log], EVENTS)
+    feedback = spark.createDataFrame(
+        [(r["event_id"], "ambiguity", r["target"], json.dumps({"options": r["options"]}) if r["options"] else None,
+          json.dumps({"body_patch": json.loads(r["body_patch"] or "{}"), "chosen_option": r["chosen_option"]}, sort_keys=True), r["resolved_by"], now,
+          r["rationale"]) for r in reviewed if r["event_id"]], FEEDBACK)
     return Run(run_id, derived, with_lineage(derived, key, lineage), checks, counts, events, new_patterns, new_resolutions,
-               reviewed)
+               feedback, reviewed)
+
+
+def withheld(derived: Derived, failed: set[str]) -> Derived:
+    """Without the columns that failed their checks and all that read them; they are dropped from the plan, no row is read again."""
+    gone = {n for n in failed if n in derived.rules}
+    outcomes = derived.outcomes | {n: Outcome("unresolved", "checks failed") for n in gone}
+    for name in [n for level in derived.levels for n in level]:
+        if name in derived.rules and name not in gone and gone & set(derived.entries[name].columns()):
+            gone.add(name)
+            outcomes[name] = Outcome("skipped", "an upstream derivation is not available")
+    left = {n: r for n, r in derived.rules.items() if n not in gone}
+    return replace(
+        derived, df=derived.df.drop(*gone), rules=left, outcomes=outcomes,
+        bodies={n: derived.bodies[n] for n in left}, entries={n: derived.entries[n] for n in left})
 
 
 def _review(spec, known: Memory, decisions, run_id: str, now: str, record):
@@ -172,9 +201,11 @@ def _review(spec, known: Memory, decisions, run_id: str, now: str, record):
         if r["auto_resolved"]:
             kept = json.loads(r["resolution"])
             option, patch, event_id = kept.get("chosen_option", "ltm_replay"), json.dumps(kept.get("body_patch") or {}), None
+            by, why = None, None
             record("hitl_auto_resolved", target=r["target"], chosen_option=option)
         else:
             t = rows[r["target"]]
+            by, why = t["resolved_by"], t["free_text_rationale"]
             event_id, option, patch = t["event_id"], t["chosen_option"], t["body_patch"]
             record("hitl_open", target=r["target"], event_id=event_id, ticket_kind="ambiguity")
             if not t["resolved"]:
@@ -187,7 +218,8 @@ def _review(spec, known: Memory, decisions, run_id: str, now: str, record):
                 sort_keys=True)
             decided.append((r["signature"], resolution, run_id, now, event_id))
         reviewed.append({"target": r["target"], "auto_resolved": r["auto_resolved"], "chosen_option": option,
-                         "body_patch": patch, "event_id": event_id, "ambiguity_class": r["ambiguity_class"]})
+                         "body_patch": patch, "event_id": event_id, "ambiguity_class": r["ambiguity_class"], "options": r["options_offered"],
+                         "resolved_by": by, "rationale": why})
     if open_questions:
         raise PendingTickets(open_questions)
     return reviewed, decided

@@ -48,6 +48,20 @@ ENTRY = {
                        "ELSE 'Missing or NULL for ' || p_name END",
 }
 ENTRY["rule_body"] = ENTRY["rule_body"].replace("{{", "{").replace("}}", "}")
+# The same bodies with the keys of every object in order, for signatures.
+SORTED_BODY = f"CASE {K} " \
+    f"WHEN 1 THEN '{{\"map\":{{' || CASE WHEN p_size % 9 = 0 THEN '' ELSE '\"' || p_type || '\":\"Y\",\"zz\":\"N\"' END || '}}' " \
+    f"|| CASE WHEN p_size % 4 = 0 THEN ',\"unmapped_handling\":\"value\"' WHEN p_size % 4 = 1 " \
+    f"THEN ',\"unmapped_handling\":\"value\",\"unmapped_value\":\"U\"' ELSE '' END || '}}' " \
+    f"WHEN 2 THEN '{{\"end_column\":\"' || CASE WHEN p_size % 8 = 0 THEN 'd1' ELSE 'd2' END || '\",\"start_column\":\"d1\"' " \
+    f"|| CASE WHEN p_size % 7 = 0 THEN ',\"unit\":\"hours\"' WHEN p_size % 7 = 1 THEN ',\"unit\":\"weeks\"' ELSE '' END || '}}' " \
+    f"WHEN 4 THEN '{{\"fallback_label\":\"' || CASE WHEN p_size % 10 = 3 THEN '' ELSE 'low' END || " \
+    f"'\",\"tiers\":[{{\"conditions\":[{{\"column\":\"D3\",\"op\":\"==\",\"value\":\"Y\"}}],\"label\":\"high\"}}," \
+    f"{{\"combinator\":\"or\",\"conditions\":[{{\"column\":\"D1\",\"op\":' || CASE WHEN p_size % 6 = 1 THEN '\"not_null\",\"value\":1' " \
+    f"ELSE '\"not_null\"' END || '}}],\"label\":\"' || CASE WHEN p_size % 5 = 0 THEN 'high' ELSE 'mid' END || '\"}}]}}' " \
+    f"WHEN 3 THEN rule_body WHEN 6 THEN rule_body ELSE CASE WHEN p_size % 17 = 0 THEN '{{\"closed\":\"left\",' || " \
+    f"substr(replace(rule_body, ',\"closed\":\"left\"', ''), 2) ELSE rule_body END END"
+SORTED_BODY = SORTED_BODY.replace("{{", "{").replace("}}", "}")
 LIBRARY_SQL = "l AS (SELECT p_partkey, p_size, p_type, p_name, p_brand, p_partkey % 8 AS k, " + ", ".join(
     f"{e} AS {a}" for a, e in ENTRY.items()) + " FROM part)"
 
@@ -273,7 +287,16 @@ def lineage_impact(spark: SparkSession, folder: str) -> DataFrame:
     return impact(all_edges, seeds)
 
 
-@query("triage_terms")
+KINDS = ("bin", "compound", "duration", "flag", "risk_score")
+KINDS_SQL = "kinds AS (SELECT unnest(" + str(list(KINDS)) + ") AS term)"
+
+
+@query("triage_terms", f"""
+WITH {LIBRARY_SQL}, {KINDS_SQL},
+codes AS (SELECT DISTINCT unnest([p_type, p_brand, p_name, rule_kind]) AS code FROM l),
+scored AS (SELECT code, term, 1 - levenshtein(lower(code), term) / greatest(length(code), length(term)) AS score FROM codes, kinds),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY code ORDER BY score DESC, term) AS INTEGER) AS place FROM scored WHERE score > 0)
+SELECT code, term, score, score >= 0.6 AS strong, place FROM ranked WHERE place <= 3""")
 def triage_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Nearest rule kinds to every distinct text the parts table offers as a code."""
     part = table(spark, folder, "part").withColumn("kind", F.expr(ENTRY["rule_kind"]))
@@ -293,7 +316,26 @@ def triage_keywords(spark: SparkSession, folder: str) -> DataFrame:
     return with_keyword_kind(table(spark, folder, "documents").select("doc_id", "text"), F.col("text")).select("doc_id", "kind")
 
 
-@query("triage_suggestions")
+FIELDS = {
+    "bin": ["edges", "labels", "null_handling", "null_label"],
+    "compound": ["conditions", "combinator", "true_value", "false_value", "null_handling"],
+    "duration": ["start_column", "end_column", "unit", "null_handling"],
+    "flag": ["map", "null_handling", "null_value", "unmapped_handling", "unmapped_value"],
+    "risk_score": ["tiers", "fallback_label", "null_handling"],
+}
+FIELDS_SQL = "fields AS (SELECT unnest([" + ", ".join(f"{{kind: '{k}', own: {v}}}" for k, v in FIELDS.items()) + "], recursive := true))"
+
+
+@query("triage_suggestions", f"""
+WITH {LIBRARY_SQL}, {FIELDS_SQL},
+scored AS (
+  SELECT study_id, name, rule_kind, kind, greatest(
+      1 - levenshtein(lower(rule_kind), kind) / greatest(length(rule_kind), length(kind)),
+      len(list_intersect(json_keys(rule_body), own)) / len(list_distinct(json_keys(rule_body) || own))) AS score
+  FROM l, fields WHERE rule_kind NOT IN {KINDS}),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY study_id, name ORDER BY score DESC, kind) AS INTEGER) AS place FROM scored WHERE score > 0)
+SELECT study_id, name, rule_kind, kind AS suggestion, score AS confidence, place FROM ranked WHERE place <= 3""")
 def triage_suggestions(spark: SparkSession, folder: str) -> DataFrame:
     """Ranked kinds for the library's entries with an unknown kind, by name, body shape and text."""
     return suggest_kinds(library(spark, folder))

@@ -9,7 +9,7 @@ from rulefold.fixed_values import AMBIGUITY_OPTIONS
 from rulefold.operators import memory as mem
 from rulefold.operators import review as rv
 from rulefold.queries import query
-from rulefold.queries.libraries import LIBRARY_SQL, library
+from rulefold.queries.libraries import LIBRARY_SQL, SORTED_BODY, library
 from rulefold.session import table
 
 # Rule patterns seen by runs: kind = event type, signature from the event's number, run = user.
@@ -103,7 +103,7 @@ OPTIONS_SQL = "CASE ambiguity_class " + " ".join(
     f"WHEN '{k}' THEN '{','.join(v)}'" for k, v in AMBIGUITY_OPTIONS.items()) + " ELSE '' END"
 SIGNED_SQL = f"""{LIBRARY_SQL}, g AS (SELECT *, {CLASS_SQL} AS klass, left(sha256(CAST(to_json({{
   'ambiguity_notes': coalesce(ambiguity_notes, ''), 'inputs': string_split(inputs_csv, ','), 'name': name,
-  'rationale': rationale, 'rule_body': rule_body, 'rule_kind': rule_kind}}) AS VARCHAR)), 16) AS signature FROM l)"""
+  'rationale': rationale, 'rule_body': {SORTED_BODY}, 'rule_kind': rule_kind}}) AS VARCHAR)), 16) AS signature FROM l)"""
 
 
 @query("ambiguity_library", f"""
@@ -111,7 +111,10 @@ WITH {SIGNED_SQL}, r AS (SELECT study_id, name AS target, signature, klass AS am
                          FROM g WHERE klass IS NOT NULL)
 SELECT study_id, target, signature, ambiguity_class, message, {OPTIONS_SQL} AS options FROM r""")
 def ambiguity_library(spark: SparkSession, folder: str) -> DataFrame:
-    return rv.review(library(spark, folder)).select(
+    # half of the bodies in another spelling: their signatures stay
+    entries = library(spark, folder)
+    spaced = F.when(F.crc32("rule_body") % 2 == 0, F.replace("rule_body", F.lit('":'), F.lit('" : '))).otherwise(F.col("rule_body"))
+    return rv.review(entries.withColumn("rule_body", spaced)).select(
         "study_id", "target", "signature", "ambiguity_class", "message", F.array_join("options_offered", ",").alias("options"))
 
 

@@ -9,8 +9,11 @@ from rulefold.functions.signatures import signature_of
 from rulefold.operators import verify as v
 from rulefold.operators.audit import findings_signatures
 from rulefold.operators.lineage import read_lineage, with_lineage
-from rulefold.operators.rules import Scope, rule_kind
+from rulefold.operators.rules import RULE_KINDS, Check, RuleColumns, Scope, register_rule_kind, rule_kind
 from rulefold.plans.apply import apply_rule
+from rulefold.plans.bodies import BinBody
+from rulefold.plans.run import Memory, run_spec
+from rulefold.plans.spec import Spec
 from rulefold.queries import query
 from rulefold.queries.derivations import FLAGSHIP, FLAGSHIP_SQL, _cond, flagship, shipped
 from rulefold.session import table
@@ -230,3 +233,36 @@ def lineage_read_back(spark: SparkSession, folder: str) -> DataFrame:
         F.array_join("agent_chain", ">").alias("agent_chain"), F.array_join("source_row_ids", ",").alias("source_row_ids"))
 
 
+
+
+@query("run_withholds_failed", """
+SELECT 'dataset' AS what, CASE WHEN l_quantity < 10 THEN 'small' ELSE 'large' END AS value, count(*) AS n FROM lineitem GROUP BY value
+UNION ALL SELECT 'column', unnest(['l_linenumber', 'l_orderkey', 'l_quantity', 'size', 'lineage_id']), 1
+UNION ALL SELECT 'derivation_unresolved', 'share', count(*) FROM (SELECT 1 FROM lineitem WHERE l_quantity > 45 LIMIT 1)
+UNION ALL SELECT 'derivation_skipped', 'usable', 1 UNION ALL SELECT 'apply_complete', 'size', 1 UNION ALL SELECT 'remembered', 'bin', 1
+UNION ALL SELECT 'violations', 'share', count(*) FROM lineitem WHERE l_quantity > 45""")
+def run_withholds_failed(spark: SparkSession, folder: str) -> DataFrame:
+    """A whole run with a good rule, one of an own kind that fails its check, and a rule that reads it."""
+    def percent(scope: Scope, source: str, body: BinBody) -> RuleColumns:
+        value = F.col(source) / body.edges[0]
+        over = Check("P-percent-1", "share above one", lambda out: out > 1)
+        return RuleColumns(value, "double precision", F.lit("share of the limit"), [source], checks=[over])
+
+    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    register_rule_kind("percent", BinBody, percent)
+    try:
+        spec = Spec.from_entries([
+            {"name": "size", "inputs": ["l_quantity"], "rule_kind": "bin", "rule_body": {"edges": [10], "labels": ["small", "large"]}},
+            {"name": "share", "inputs": ["l_quantity"], "rule_kind": "percent", "rule_body": {"edges": [45], "labels": ["in", "out"]}},
+            {"name": "usable", "inputs": ["share"], "rule_kind": "compound", "rule_body": {"conditions": [_cond("share", "not_null")]}}])
+        run = run_spec(rows, spec, ["l_orderkey", "l_linenumber"], memory=Memory.empty(spark))
+    finally:
+        del RULE_KINDS["percent"]
+    one = F.lit(1).cast("bigint").alias("n")
+    ends = run.events.where("event_type IN ('derivation_unresolved', 'derivation_skipped', 'apply_complete')")
+    return (
+        run.dataset.groupBy(F.lit("dataset").alias("what"), F.col("size").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        .unionByName(spark.range(1).select(F.lit("column").alias("what"), F.explode(F.array(*[F.lit(c) for c in run.dataset.columns])).alias("value"), one))
+        .unionByName(ends.select(F.col("event_type").alias("what"), F.col("target").alias("value"), one))
+        .unionByName(run.new_patterns.select(F.lit("remembered").alias("what"), F.col("rule_kind").alias("value"), one))
+        .unionByName(run.checks.findings.select(F.lit("violations").alias("what"), F.col("derivation").alias("value"), F.col("n_violations").alias("n"))))
