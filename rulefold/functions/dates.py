@@ -105,13 +105,8 @@ def detect_formats(df: DataFrame, columns: list[str]) -> dict[str, str]:
 
 def micros_between(start: Column, end: Column) -> Column:
     """end - start of two zone-free timestamps in microseconds (bigint), independent of the session zone."""
-    gap = end - start
-    return (
-        F.extract(F.lit("DAY"), gap).cast("bigint") * 86_400_000_000
-        + F.extract(F.lit("HOUR"), gap).cast("bigint") * 3_600_000_000
-        + F.extract(F.lit("MINUTE"), gap).cast("bigint") * 60_000_000
-        + (F.extract(F.lit("SECOND"), gap) * 1_000_000).cast("bigint")
-    )
+    seconds = (end - start).cast("interval second").cast("decimal(20,6)")
+    return (seconds * 1_000_000).cast("bigint")
 
 
 def is_date_source(dtype: T.DataType) -> bool:

@@ -1,7 +1,7 @@
 """Roll-ups over the audit event table and its companions, across all runs at once.
 
 Events carry ts, run_id, event_type and sparse columns. Runs may be very uneven; every roll-up therefore
-combines before its shuffle, and ordered lists are cut into bounded segments.
+combines before its shuffle.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ EVENTS = (
 
 # Short code of each step in an agent chain.
 STEP_CODES = {"cg_complete": "CG", "v_complete": "V", "r_complete": "R"}
-SEGMENT = 64
 
 
 def _is(event_type: str) -> Column:
@@ -136,9 +135,11 @@ def step_numbers(rows: DataFrame, keys: list[str], ts: str, tie: str, bucket: st
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(ts, tie)
-    ranked = rows.withColumn("_rank", F.row_number().over(inside))
-    return ranked.join(shifts, [*keys, "_bucket"]).withColumn(
-        "step_no", F.col("_rank") + F.col("_shift")).drop("_bucket", "_rank", "_shift")
+    ranked = rows.withColumn("_rank", F.row_number().over(inside)).alias("r")
+    # a NULL key or time is a value of its own; rows without a time come first
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*keys, "_bucket")]
+    return ranked.join(shifts.alias("s"), same).select(
+        *[F.col(f"r.{c}") for c in rows.columns if c != "_bucket"], (F.col("_rank") + F.col("_shift")).alias("step_no"))
 
 
 def agent_steps(events: DataFrame, ts: str = "ts", tie: str = "event_seq") -> DataFrame:
@@ -151,14 +152,10 @@ def agent_steps(events: DataFrame, ts: str = "ts", tie: str = "event_seq") -> Da
     return step_numbers(steps, ["run_id", "target"], ts, tie).select("run_id", "target", "step_no", "code")
 
 
-def agent_chains(steps: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """Steps as ordered text, in segments of at most `segment` steps so no group is unbounded.
-
-    With the usual retry ceiling a derivation has one segment; longer histories continue in the next row.
-    """
-    part = F.floor((F.col("step_no") - 1) / segment).cast("bigint")
+def agent_chains(steps: DataFrame) -> DataFrame:
+    """Steps as ordered text: one row per run and derivation, however long its history. `agent_steps` is the form without long cells."""
     listed = F.array_sort(F.collect_list(F.struct("step_no", "code")))
-    return steps.groupBy("run_id", "target", part.alias("segment")).agg(
+    return steps.groupBy("run_id", "target").agg(
         F.array_join(F.transform(listed, lambda s: s["code"]), ">").alias("agent_chain"))
 
 
@@ -184,15 +181,19 @@ def run_summary(entries: DataFrame, report: DataFrame, findings: DataFrame) -> D
     """Per run and derivation: labels, memory hit and the blocking findings as text.
 
     entries(name, rationale), report(run_id, derivation, status, rule_kind, ltm_hit, position),
-    findings(run_id, derivation, layer, property_id, severity).
+    findings(run_id, derivation, layer, property_id, severity). Entries and report are matched by study_id and run_id too
+    where both have them; of entries that share all these, one text is shown, so no row of the report is multiplied.
     """
     blocking = findings.where("severity = 'error'").groupBy("run_id", "derivation").agg(
         F.count(F.lit(1)).alias("n_blocking"),
         F.array_join(F.array_sort(F.collect_set(label_of("property", F.col("property_id")))), "; ").alias("blocking"))
     status = F.coalesce(F.col("status"), F.lit("missing"))
+    keys = [c for c in ("study_id", "run_id") if c in entries.columns and c in report.columns]
+    texts = entries.select(*keys, F.col("name").alias("derivation"), "rationale")
+    texts = texts.groupBy(*keys, "derivation").agg(F.min("rationale").alias("rationale"))
     return (
         report.join(blocking, ["run_id", "derivation"], "left")
-        .join(entries.select(F.col("name").alias("derivation"), "rationale"), "derivation", "left")
+        .join(texts, [*keys, "derivation"], "left")
         .select(
             "run_id", "position", "derivation", label_of("status", status).alias("status"),
             label_of("rule_kind", F.col("rule_kind")).alias("rule_type"),

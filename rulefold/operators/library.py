@@ -138,11 +138,9 @@ def problems() -> Column:
     ]))
 
 
-def summary(found: Column, shown: int = 3) -> Column:
-    """The first few problems as text, with the number of further ones."""
-    more = F.size(found) - shown
-    listed = F.array_join(F.slice(found, 1, shown), "; ")
-    return F.when(more > 0, F.concat(listed, F.lit(" (and "), more.cast("string"), F.lit(" more)"))).otherwise(listed)
+def summary(found: Column) -> Column:
+    """All problems as text."""
+    return F.array_join(found, "; ")
 
 
 def lint(entries: DataFrame) -> DataFrame:

@@ -23,8 +23,10 @@ SEEN_AT = {"rule_patterns": "first_seen_at", "ambiguity_resolutions": "resolved_
 
 
 def lookup(rows: DataFrame, memory: DataFrame, keys: list[str], keep: list[str], hit: str = "ltm_hit") -> DataFrame:
-    """Left join on the memory keys (unique there); `hit` tells whether an entry was found."""
-    side = memory.select(*keys, *keep, F.lit(True).alias(hit))
+    """Left join on the memory keys; `hit` tells whether an entry was found. Of entries written twice for a key, the first counts."""
+    seen = [c for c in dict.fromkeys(SEEN_AT.values()) if c in memory.columns and c not in keep]
+    side = first_per_key(memory.select(*keys, *keep, *seen), keys, seen) if keep or seen else memory.select(*keys).distinct()
+    side = side.select(*keys, *keep, F.lit(True).alias(hit))
     return rows.join(side, keys, "left").withColumn(hit, F.coalesce(F.col(hit), F.lit(False)))
 
 

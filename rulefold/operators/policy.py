@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from rulefold.plans.errors import NullInputError, UnmappedInputError
 
-LISTED_VALUES = 100
-
 
 @dataclass
 class Blocked:
@@ -48,14 +46,14 @@ def raise_on_blocked(derived, hit: Mapping[str, Blocked]) -> None:
     where = f"derivation {name!r} reading {rule.inputs}"
     if counts.by_policy.get("null"):
         raise NullInputError(f"{where}: {counts.describe()}")
-    undeclared = (
-        derived.checked.where(derived.blocked[name]["unmapped"]).select(F.col(f"__key__{name}").alias("v")).distinct()
-        .orderBy("v").limit(LISTED_VALUES + 1).collect()
+    values = (
+        derived.checked.where(derived.blocked[name]["unmapped"]).groupBy(F.col(f"__key__{name}").alias("value"))
+        .agg(F.count(F.lit(1)).alias("n_rows"))
     )
-    listed = [r["v"] for r in undeclared]
-    more = " and more" if len(listed) > LISTED_VALUES else ""
+    total, least, most = values.agg(F.count(F.lit(1)), F.min("value"), F.max("value")).first()
     raise UnmappedInputError(
-        f"{where}: {counts.describe()}: {listed[:LISTED_VALUES]}{more}; declared keys: {sorted(rule.mapping)}"
+        f"{where}: {counts.describe()}: {total} values from {least!r} to {most!r}, all in `values`; "
+        f"declared keys: {sorted(rule.mapping)}", values
     )
 
 

@@ -29,6 +29,8 @@ PROFILE = (
 
 
 def _present(f: T.StructField) -> Column:
+    if isinstance(f.dataType, NESTED):
+        return F.when(col(f.name).isNotNull(), F.lit(True))
     return F.when(~is_missing(col(f.name), f.dataType), col(f.name))
 
 
@@ -45,34 +47,43 @@ def _may_be_date(f: T.StructField) -> bool:
 
 
 def profile(df: DataFrame, dataset: str = "dataset", *, exact: bool = True) -> DataFrame:
-    """One row per column: kind, type, missing share, distinct count, range and low-cardinality values.
+    """One row per column: kind, type, missing share, distinct count, range and low-cardinality values; of nested columns the first three.
 
     With exact=False the distinct count of a high-cardinality column is approximate.
     """
-    fields = [f for f in df.schema if not isinstance(f.dataType, NESTED)]
+    nested = {f.name for f in df.schema if isinstance(f.dataType, NESTED)}
+    fields = list(df.schema)
     first = [F.count(F.lit(1)).alias("n")]
     dates: dict[str, Column] = {}
     for i, f in enumerate(fields):
         c = _present(f)
-        first += [F.count(c).alias(f"p{i}"), F.approx_count_distinct(c, 0.05).alias(f"a{i}")]
+        first.append(F.count(c).alias(f"p{i}"))
+        if f.name in nested:
+            continue
+        first.append(F.approx_count_distinct(c, 0.05).alias(f"a{i}"))
         if is_numeric(f.dataType):
             first += [F.min(c).cast("double").alias(f"lo{i}"), F.max(c).cast("double").alias(f"hi{i}")]
         if _may_be_date(f) and isinstance(f.dataType, T.StringType):
             dates[f"_date{i}"] = format_index(f.name)
             first += format_counts(f"_date{i}", f"d{i}")
     row = df.withColumns(dates).agg(*first).first()
-    small = [i for i in range(len(fields)) if row[f"a{i}"] <= CANDIDATE]
-    large = [i for i in range(len(fields)) if i not in small] if exact else []
+    flat = [i for i, f in enumerate(fields) if f.name not in nested]
+    small = [i for i in flat if row[f"a{i}"] <= CANDIDATE]
+    large = [i for i in flat if i not in small] if exact else []
     # Sets and exact counts run apart: together, every distinct value would carry a set through the shuffle.
     sets = counts = None
     if small:
         sets = df.agg(*[
             F.collect_set(key_text(_present(fields[i]), fields[i].dataType)).alias(f"v{i}") for i in small]).first()
     if large:
-        counts = df.agg(*[F.count_distinct(_countable(fields[i])).alias(f"u{i}") for i in large]).first()
+        # a column at a time: each reads its column alone and counts distinct values where they lie, rows are not multiplied
+        counts = {f"u{i}": df.select(_countable(fields[i]).alias("v")).where("v IS NOT NULL").distinct().count() for i in large}
     rows = []
     for i, f in enumerate(fields):
         n, present = row["n"], row[f"p{i}"]
+        if f.name in nested:
+            rows.append((dataset, f.name, i, "nested", f.dataType.simpleString(), (n - present) / n if n else None, None, None, None, None))
+            continue
         values = sorted(sets[f"v{i}"]) if i in small else None
         unique = len(values) if values is not None else (counts[f"u{i}"] if i in large else row[f"a{i}"])
         kind = _kind(f, row, i, present, unique)
@@ -107,17 +118,17 @@ def redacted(profiles: DataFrame) -> DataFrame:
 
 
 def sample_values(df: DataFrame, key: str, n: int = 5) -> DataFrame:
-    """First n present values of every column in key order: (column, place, value).
+    """First n present values of every column, the key's among them, in key order: (column, place, value); nested ones as JSON.
 
     One bounded heap per task and column; each branch reads only the key and its column.
     """
     parts = []
     for f in df.schema:
-        if isinstance(f.dataType, NESTED) or f.name == key:
-            continue
         c = col(f.name)
+        flat = not isinstance(f.dataType, NESTED)
+        text = key_text(c, f.dataType) if flat else F.to_json(F.struct(c.alias(f.name)))
         top = (
-            df.where(~is_missing(c, f.dataType)).select(col(key).alias("key"), key_text(c, f.dataType).alias("value"))
+            df.where(~is_missing(c, f.dataType) if flat else c.isNotNull()).select(col(key).alias("key"), text.alias("value"))
             .orderBy("key", "value").limit(n)
         )
         listed = top.agg(F.array_sort(F.collect_list(F.struct("key", "value"))).alias("s"))

@@ -16,4 +16,8 @@ class NullInputError(ValueError):
 
 
 class UnmappedInputError(ValueError):
-    """Rows with undeclared input values under an `error` policy."""
+    """Rows with undeclared input values under an `error` policy; `values` is a table of all of them (value, n_rows)."""
+
+    def __init__(self, message: str, values=None):
+        super().__init__(message)
+        self.values = values

@@ -131,10 +131,10 @@ def event_chain_steps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("event_chain", f"""
-WITH {STEPS_SQL} SELECT run_id, target, (step_no - 1) // 4 AS segment, string_agg(code, '>' ORDER BY step_no) AS agent_chain
+WITH {STEPS_SQL} SELECT run_id, target, string_agg(code, '>' ORDER BY step_no) AS agent_chain
 FROM s GROUP BY ALL""")
 def event_chain(spark: SparkSession, folder: str) -> DataFrame:
-    return au.agent_chains(au.agent_steps(audit_events(spark, folder)), segment=4)
+    return au.agent_chains(au.agent_steps(audit_events(spark, folder)))
 
 
 RETRY_SQL = """r AS (SELECT CAST(l_orderkey AS STRING) AS run_id, 'V' || CAST(l_suppkey % 2 AS STRING) AS derivation, l_linenumber AS iteration,

@@ -155,13 +155,16 @@ WITH e AS (SELECT event_id, CASE WHEN event_type <> 'view' THEN event_type END A
                   CASE WHEN value > 100 THEN user_id END AS user_id FROM events),
 l AS (SELECT event_id, 'event_type' AS "column", event_type AS v FROM e
       UNION ALL SELECT event_id, 'value', CAST(value AS VARCHAR) FROM e
+      UNION ALL SELECT event_id, 'event_id', CAST(event_id AS VARCHAR) FROM e
+      UNION ALL SELECT event_id, 'pair', '{"pair":{"e":' || event_id || ',"v":[' || event_id % 7 || ',1]}}' FROM e
       UNION ALL SELECT event_id, 'user_id', CAST(user_id AS VARCHAR) FROM e)
 SELECT "column", CAST(row_number() OVER w AS INTEGER) AS place, v AS value FROM l WHERE v IS NOT NULL
 WINDOW w AS (PARTITION BY "column" ORDER BY event_id) QUALIFY row_number() OVER w <= 5""")
 def samples(spark: SparkSession, folder: str) -> DataFrame:
     df = table(spark, folder, "events").select(
         "event_id", F.when(F.col("event_type") != "view", F.col("event_type")).alias("event_type"), "value",
-        F.when(F.col("value") > 100, F.col("user_id")).alias("user_id"))
+        F.when(F.col("value") > 100, F.col("user_id")).alias("user_id"),
+        F.struct(F.col("event_id").alias("e"), F.array(F.col("event_id") % 7, F.lit(1)).alias("v")).alias("pair"))
     return sample_values(df, "event_id")
 
 

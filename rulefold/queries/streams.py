@@ -10,7 +10,7 @@ from rulefold.queries import query
 from rulefold.queries.audits import AUDIT, AUDIT_SQL
 from rulefold.queries.derivations import _cond
 from rulefold.streaming.derive import derive_stream, live_counters
-from rulefold.streaming.runs import read_stream, run_available
+from rulefold.streaming.runs import read_stream, run_available, run_updates
 from rulefold.streaming.tickets import match_with_timeout
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,11 +67,10 @@ def stream_ticket_timeout(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("stream_live_counters", f"""
-WITH {AUDIT_SQL}, w AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE AS mark FROM a)
-SELECT epoch_us(date_trunc('hour', ts)) AS window_us, run_id, event_type, count(*) AS n_events FROM a, w
-WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= w.mark GROUP BY ALL""")
+WITH {AUDIT_SQL}
+SELECT epoch_us(date_trunc('hour', ts)) AS window_us, run_id, event_type, count(*) AS n_events FROM a GROUP BY ALL""")
 def stream_live_counters(spark: SparkSession, folder: str) -> DataFrame:
     events = _events(spark, folder).selectExpr(*[f"{e} AS {n}" for n, e in AUDIT.items()])
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    done = run_available(live_counters(events), "live-counters")
+    done = run_updates(live_counters(events), "live-counters", ["window_start", "window_end", "run_id", "event_type"])
     return done.select(F.unix_micros("window_start").alias("window_us"), "run_id", "event_type", "n_events")

@@ -31,7 +31,7 @@ def derive_stream(stream: DataFrame, spec: Spec, *, date_formats: dict[str, str]
 
 
 def live_counters(events: DataFrame, window: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
-    """Events per window, run and type; a window leaves once the watermark has passed its end."""
+    """Events per window, run and type. In update mode every window is reported as it grows; in append mode once the watermark has passed its end."""
     return (
         events.withWatermark("ts", lateness).groupBy(F.window("ts", window).alias("w"), "run_id", "event_type")
         .agg(F.count(F.lit(1)).alias("n_events"))

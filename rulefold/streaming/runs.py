@@ -6,25 +6,25 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rulefold.operators.memory import last_per_key
 from rulefold.session import fresh_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PARTITIONS = "spark.sql.shuffle.partitions"
 
 
 @contextmanager
-def state_settings(spark: SparkSession):
+def state_settings(spark: SparkSession, partitions: int | None = None):
     """Settings of a stateful run: state on local disk with changelogs in the shared folder, not on the heap.
 
-    A run keeps the partition count it starts with. Every partition opens and commits its own store in each batch,
-    so there are no more of them than twice the task slots.
+    A run keeps the partition count it starts with, which is the session's unless `partitions` says otherwise. Every
+    partition opens and commits its own store in each batch.
     """
-    slots = spark.sparkContext.defaultParallelism
     wanted = {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-        PARTITIONS: str(min(int(spark.conf.get(PARTITIONS)), max(8, 2 * slots))),
     }
+    if partitions:
+        wanted["spark.sql.shuffle.partitions"] = str(partitions)
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
@@ -49,14 +49,33 @@ def read_stream(spark: SparkSession, path: str, max_files: int | None = None) ->
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run_available(stream: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def run_updates(stream: DataFrame, name: str, keys: list[str], partitions: int | None = None) -> DataFrame:
+    """Process everything available in update mode and return the newest row of every key.
+
+    Each batch's changed rows go to a folder of its own, which a repeated batch overwrites; the newest batch of a key wins. So
+    groups that are still open are reported with what has come so far.
+    """
+    spark = stream.sparkSession
+    out, state = fresh_folder(spark, f"{name}-out"), fresh_folder(spark, f"{name}-state")
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    with state_settings(spark, partitions):
+        run = stream.writeStream.outputMode("update").option("checkpointLocation", state).foreachBatch(store).trigger(availableNow=True).start()
+        run.awaitTermination()
+    kept = spark.read.schema(f"{', '.join(f'`{n}` {t}' for n, t in stream.dtypes)}, batch bigint").parquet(out)
+    return last_per_key(kept, keys, ["batch"]).drop("batch")
+
+
+def run_available(stream: DataFrame, name: str, partition_by: list[str] | None = None, partitions: int | None = None) -> DataFrame:
     """Process everything available, exactly once, into Parquet files, and return them as a table."""
     spark = stream.sparkSession
     out, state = fresh_folder(spark, f"{name}-out"), fresh_folder(spark, f"{name}-state")
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    with state_settings(spark):
+    with state_settings(spark, partitions):
         run = writer.trigger(availableNow=True).start(out)
         run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)

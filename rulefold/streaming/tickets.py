@@ -16,7 +16,8 @@ def match_with_timeout(
     deadline; younger ones stay in state.
     """
     left = tickets.withWatermark("opened_at", lateness)
-    right = resolutions.withColumnRenamed("event_id", "_event_id").withWatermark("resolved_at", lateness)
+    # of several answers to a ticket one counts, so that it leaves once
+    right = resolutions.withColumnRenamed("event_id", "_event_id").withWatermark("resolved_at", lateness).dropDuplicatesWithinWatermark(["_event_id"])
     in_time = F.expr(
         f"event_id = _event_id AND resolved_at >= opened_at AND resolved_at <= opened_at + interval {timeout}")
     return left.join(right, in_time, "leftOuter").withColumn("timed_out", F.col("_event_id").isNull()).drop("_event_id")
