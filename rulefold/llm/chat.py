@@ -49,8 +49,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
                  template: Template = DEFAULT) -> DataFrame:
     """One row per conversation: the conversation's id and `formatted`, its turns in order as one string.
 
-    The turn structs of a conversation are collected, sorted by turn, role and text, merged where neighbours have one
-    role, and concatenated. Null texts are empty, a null role is the role "", a null turn comes first, rows with a null
+    The turn structs of a conversation are collected, sorted by turn, role and text, merged into a block where neighbours
+    have one role, and concatenated; the work is linear in the turns, as a fold over an array would not be. Null texts are empty, a null role is the role "", a null turn comes first, rows with a null
     id are one conversation. Equal rows stay as turns of their own. An empty table gives no rows; other columns are ignored.
 
     A conversation is one value, so its turns meet in one row; rows are dealt by conversation alone, one shuffle.
@@ -59,17 +59,21 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     turn = F.struct(
         col(turn_col).alias("turn"), F.coalesce(col(role_col).cast("string"), F.lit("")).alias("role"),
         F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
+    conv_col_ = col(conv_col)
     chats = turns.groupBy(col(conv_col).alias(conv_col)).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
-    # adjacent turns of one role share a block: each turn knows from its neighbour whether it opens and whether it closes one
-    def piece(x: Column, i: Column) -> Column:
-        role = x["role"]
-        opens = (i == 0) | (F.get("turns", i - 1)["role"] != role)
-        closes = (i == F.size("turns") - 1) | (F.get("turns", i + 1)["role"] != role)
-        start = F.when(opens, F.concat(F.lit(t.open), escaped(role, t), F.lit(t.head))).otherwise(F.lit(t.between))
-        return F.concat(start, escaped(x["text"], t), F.when(closes, F.lit(t.close)).otherwise(F.lit("")))
+    # a block starts where the role differs from the one before; its turns are the slice up to the next start
+    role = lambda i: F.get("turns", i - 1)["role"]
+    starts = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: (i == 1) | (role(i) != role(i - 1)))
 
-    return chats.select(col(conv_col), F.array_join(F.transform("turns", piece), "").alias("formatted"))
+    def merged(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("starts", k + 1), F.size("turns") + 1)
+        texts = F.transform(F.slice("turns", start, end - start), lambda x: escaped(x["text"], t))
+        return F.struct(escaped(role(start), t).alias("role"), F.array_join(texts, t.between).alias("texts"))
+
+    blocks = chats.select(conv_col_, "turns", starts.alias("starts")).select(conv_col_, F.transform("starts", merged).alias("blocks"))
+    parts = F.transform("blocks", lambda b: F.concat(F.lit(t.open), b["role"], F.lit(t.head), b["texts"], F.lit(t.close)))
+    return blocks.select(conv_col_, F.array_join(parts, "").alias("formatted"))
 
 
 def read_chats(formatted: DataFrame, conv_col: str = "conv_id", formatted_col: str = "formatted", loss_role: str = "assistant",
