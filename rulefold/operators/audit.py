@@ -16,7 +16,7 @@ EVENTS = (
     "ts string, run_id string, event_type string, target string, outcome string, rule_kind string, "
     "body_signature string, ltm_hit boolean, source_mode string, source_model string, iteration int, passed boolean, "
     "n_findings int, ticket_kind string, event_id string, table string, reason string, "
-    "chosen_option string, resolved_by string"
+    "chosen_option string, resolved_by string, ambiguity_class string"
 )
 
 # Short code of each step in an agent chain.
@@ -204,7 +204,7 @@ def run_summary(entries: DataFrame, report: DataFrame, findings: DataFrame) -> D
 
 
 def decision_list(events: DataFrame) -> DataFrame:
-    """Each question and its decision, from resolved and auto-resolved events."""
+    """Each question with its class and its decision, from resolved and auto-resolved events."""
     rows = event_filter(events, ["hitl_resolved", "hitl_auto_resolved"])
     auto = _is("hitl_auto_resolved")
     decision = (
@@ -213,7 +213,7 @@ def decision_list(events: DataFrame) -> DataFrame:
         .otherwise(label_of("option", F.col("chosen_option")))
     )
     return rows.select(
-        "run_id", F.coalesce("target", F.lit("(unspecified variable)")).alias("variable"), decision.alias("decision"),
+        "run_id", F.coalesce("target", F.lit("(unspecified variable)")).alias("variable"), "ambiguity_class", decision.alias("decision"),
         F.when(auto, F.lit("Auto-resolved from memory")).otherwise(F.lit("Resolved by the reviewer")).alias("origin"))
 
 

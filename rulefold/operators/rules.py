@@ -56,6 +56,7 @@ class RuleColumns:
     key: Column | None = None
     mapping: Mapping[str, str] | None = None
     lookup: Lookup | None = None
+    whole: bool = False  # every value is known to be a whole number
 
 
 @dataclass(frozen=True)
@@ -159,14 +160,16 @@ class Lookup:
 
 
 def with_lookups(df: DataFrame, rules: Iterable[RuleColumns]) -> DataFrame:
-    """Join the large maps that rules refer to. A map is broadcast only when its text is small enough."""
+    """Join the large maps that rules refer to; as many are broadcast as have at most BROADCAST_BYTES of text together."""
+    spent = 0
     for lookup in [r.lookup for r in rules if r.lookup is not None]:
         if lookup.name in df.columns:
             continue
         pairs = df.sparkSession.createDataFrame(list(lookup.mapping.items()), "_k string, value string").select(
             "_k", F.struct("value").alias(lookup.name))
         size = sum(len(k.encode()) + len(v.encode()) for k, v in lookup.mapping.items())
-        pairs = F.broadcast(pairs) if size <= BROADCAST_BYTES else pairs
+        if spent + size <= BROADCAST_BYTES:
+            pairs, spent = F.broadcast(pairs), spent + size
         df = df.join(pairs, lookup.key == F.col("_k"), "left").drop("_k")
     return df
 
@@ -264,6 +267,7 @@ def build_duration(scope: Scope, source: str | None, body: DurationBody) -> Rule
         blocked={"null": undefined} if body.null_handling == "error" else {},
         checks=checks,
         partitions={"declared": ~undefined, "null": undefined},
+        whole=body.unit == "days" and all(isinstance(scope.dtype(c), T.DateType) for c in (body.start_column, body.end_column)),
     )
 
 

@@ -188,9 +188,10 @@ def _project(df, spec, levels, bodies, outcomes, formats, integral, explain, on_
             columns |= extra
             helpers += extra
         if columns:
+            unsure = [n for n in durations if not out.rules[n].whole]  # days between two dates need no look
             whole = (
-                _whole_durations(frame.withColumns({n: columns[n] for n in durations}), durations) if integral == "auto"
-                else {n: integral == "always" for n in durations}
+                {n: True for n in durations} | _whole_durations(frame.withColumns({n: columns[n] for n in unsure}), unsure)
+                if integral == "auto" else {n: integral == "always" for n in durations}
             )
             columns |= {n: columns[n].cast("bigint") for n, yes in whole.items() if yes}
             frame = frame.withColumns(columns)

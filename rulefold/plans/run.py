@@ -202,17 +202,17 @@ def _review(spec, known: Memory, decisions, run_id: str, now: str, record):
             kept = json.loads(r["resolution"])
             option, patch, event_id = kept.get("chosen_option", "ltm_replay"), json.dumps(kept.get("body_patch") or {}), None
             by, why = None, None
-            record("hitl_auto_resolved", target=r["target"], chosen_option=option)
+            record("hitl_auto_resolved", target=r["target"], chosen_option=option, ambiguity_class=r["ambiguity_class"])
         else:
             t = rows[r["target"]]
             by, why = t["resolved_by"], t["free_text_rationale"]
             event_id, option, patch = t["event_id"], t["chosen_option"], t["body_patch"]
-            record("hitl_open", target=r["target"], event_id=event_id, ticket_kind="ambiguity")
+            record("hitl_open", target=r["target"], event_id=event_id, ticket_kind="ambiguity", ambiguity_class=r["ambiguity_class"])
             if not t["resolved"]:
                 open_questions.append((event_id, r["target"], r["message"]))
                 continue
             record("hitl_resolved", target=r["target"], event_id=event_id, ticket_kind="ambiguity", chosen_option=option,
-                   resolved_by=t["resolved_by"])
+                   resolved_by=t["resolved_by"], ambiguity_class=r["ambiguity_class"])
             resolution = json.dumps(
                 {"body_patch": json.loads(patch), "chosen_option": option, "free_text_rationale": t["free_text_rationale"]},
                 sort_keys=True)

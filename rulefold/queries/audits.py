@@ -25,6 +25,7 @@ AUDIT = {
     "source_mode": "CASE event_id % 4 WHEN 0 THEN 'memory' WHEN 1 THEN 'stub' WHEN 2 THEN 'live' ELSE 'stub_fallback' END",
     "written": "CASE WHEN event_id % 3 = 0 THEN 'rule_patterns' ELSE 'ambiguity_resolutions' END",
     "chosen_option": "CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'ltm_replay' WHEN 2 THEN 'reject' ELSE 'keep_as_is' END",
+    "ambiguity_class": "CASE event_id % 3 WHEN 0 THEN 'rationale_undefined' WHEN 1 THEN 'null_handling_undefined' END",
 }
 AUDIT_SQL = "a AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in AUDIT.items()) + " FROM events)"
 
@@ -153,7 +154,7 @@ def no_progress(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("decision_list", f"""
 WITH {AUDIT_SQL}
-SELECT run_id, target AS variable, CASE WHEN chosen_option IS NULL THEN '(no decision recorded)'
+SELECT run_id, target AS variable, ambiguity_class, CASE WHEN chosen_option IS NULL THEN '(no decision recorded)'
   WHEN chosen_option = 'ltm_replay' THEN 'Auto-resolved from memory'
   WHEN chosen_option = 'reject' THEN 'Reject the rule and do not produce this variable' ELSE 'Keep as is' END AS decision,
   CASE event_type WHEN 'hitl_auto_resolved' THEN 'Auto-resolved from memory' ELSE 'Resolved by the reviewer' END AS origin
