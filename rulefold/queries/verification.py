@@ -203,7 +203,7 @@ def _sig(name: str) -> str:
 def _lineage_json(name: str, value: str) -> str:
     kind = FLAGSHIP.entry(name).rule_kind
     return (f"""'"{name}":{{"value":' || {value} || ',"rule_kind":"{kind}","body_signature":"{_sig(name)}","""
-            """"agent_chain":["CG","V"],"hitl_event_ids":[],"ltm_pattern_ref":null,"source_row_ids":[' || l_orderkey || ']}'""")
+            """"agent_chain":["CG","V"],"hitl_event_ids":[],"ltm_pattern_ref":null,"source_row_ids":[' || l_orderkey || ',' || l_linenumber || ']}'""")
 
 
 _TEXT = {n: f"""'"' || "{n}" || '"'""" for n in ("QTY_GROUP", "RETURN_FLAG", "POP_FLAG", "RISK")}
@@ -216,7 +216,7 @@ WITH {FLAGSHIP_SQL}
 SELECT l_orderkey, l_linenumber, '{{' || {" || ',' || ".join(_lineage_json(n, _VALUES[n]) for n in _ORDER)} || '}}' AS lineage_id
 FROM d""")
 def lineage_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return with_lineage(flagship(spark, folder), "l_orderkey").select("l_orderkey", "l_linenumber", "lineage_id")
+    return with_lineage(flagship(spark, folder), ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "lineage_id")
 
 
 @query("lineage_read_back", f"""
@@ -224,11 +224,10 @@ WITH {FLAGSHIP_SQL}
 {" UNION ALL ".join(
     f"SELECT l_orderkey, l_linenumber, '{n}' AS derivation, CAST(\"{n}\" AS VARCHAR) AS value, "
     f"'{FLAGSHIP.entry(n).rule_kind}' AS rule_kind, '{_sig(n)}' AS body_signature, 'CG>V' AS agent_chain, "
-    f"CAST(l_orderkey AS VARCHAR) AS source_row_ids FROM d WHERE l_orderkey = 5979" for n in _ORDER)}""")
+    f"l_orderkey || ',' || l_linenumber AS source_row_ids FROM d" for n in _ORDER)}""")
 def lineage_read_back(spark: SparkSession, folder: str) -> DataFrame:
-    """Lineage of one row key; the key filter reaches both scans before any JSON is built."""
-    rows = lineage_rows(spark, folder).where("l_orderkey = 5979")
-    return read_lineage(rows).select(
+    """Lineage of all rows, from the JSON."""
+    return read_lineage(lineage_rows(spark, folder)).select(
         "l_orderkey", "l_linenumber", "derivation", "value", "rule_kind", "body_signature",
         F.array_join("agent_chain", ">").alias("agent_chain"), F.array_join("source_row_ids", ",").alias("source_row_ids"))
 
