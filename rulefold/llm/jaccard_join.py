@@ -124,7 +124,8 @@ def candidate_edges(rows: DataFrame, frequent: np.ndarray, s: Settings) -> DataF
     """Columns a, b: a graph in which documents that share a key are connected; two that link always share one.
 
     Keys leave the tasks as blocks of numpy arrays, one per bucket, in which a key occurs once with the smallest id that
-    has it; its other ids become edges at once. So a key of a third of all documents is one entry per block.
+    has it; its other ids become edges at once. So a key of a third of all documents is one entry per block. Edges leave in blocks
+    too, and each is returned once.
     """
     spark = rows.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -155,15 +156,33 @@ def candidate_edges(rows: DataFrame, frequent: np.ndarray, s: Settings) -> DataF
         for batch in batches:
             for kind, left, right in zip(*(batch.column(c) for c in ("kind", "left_", "right_")), strict=True):
                 if kind.as_py():
-                    yield _edges(np.frombuffer(left.as_py(), np.int64), np.frombuffer(right.as_py(), np.int64))
+                    yield by_node(np.frombuffer(left.as_py(), np.int64), np.frombuffer(right.as_py(), np.int64))
                 else:
                     keys.append(np.frombuffer(left.as_py(), np.uint64))
                     ids.append(np.frombuffer(right.as_py(), np.int64))
         if keys:
-            yield _edges(*_stars(np.concatenate(keys), np.concatenate(ids))[2:])
+            yield by_node(*_stars(np.concatenate(keys), np.concatenate(ids))[2:])
+
+    def by_node(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        at = mix(a.view(np.uint64)) % _U(buckets // 4)
+        order = np.argsort(at, kind="stable")
+        a, b, at = a[order], b[order], at[order]
+        bounds = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, int)
+        out = [(int(at[x]), a[x:y].tobytes(), b[x:y].tobytes()) for x, y in zip(bounds, [*bounds[1:], len(at)], strict=True)]
+        columns = list(zip(*out, strict=True)) or [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "a", "b"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros((0, 2), np.int64)]
+        for batch in batches:
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                held.append(np.stack([np.frombuffer(a.as_py(), np.int64), np.frombuffer(b.as_py(), np.int64)], 1))
+        found = np.unique(np.concatenate(held), axis=0)
+        yield _edges(found[:, 0].copy(), found[:, 1].copy())
 
     dealt = rows.mapInArrow(blocks, "bucket int, kind int, left_ binary, right_ binary").repartition(buckets // 4, "bucket")
-    return dealt.mapInArrow(meet, "a bigint, b bigint").distinct()
+    # a pair of documents shares many keys: its edges meet again by document, and go on once
+    return dealt.mapInArrow(meet, "bucket int, a binary, b binary").repartition(buckets // 4, "bucket").mapInArrow(merge, "a bigint, b bigint")
 
 
 NAMES = ["bucket", "kind", "left_", "right_"]
