@@ -181,11 +181,15 @@ def run_summary(entries: DataFrame, report: DataFrame, findings: DataFrame) -> D
     """Per run and derivation: labels, memory hit and the blocking findings as text.
 
     entries(name, rationale), report(run_id, derivation, status, rule_kind, ltm_hit, position),
-    findings(run_id, derivation, layer, property_id, severity). Entries and report are matched by study_id and run_id too
+    findings(run_id, derivation, layer, property_id, severity, message if there is one). Entries and report are matched by study_id and run_id too
     where both have them; of entries that share all these, one text is shown, so no row of the report is multiplied.
     """
+    if "message" not in findings.columns:
+        findings = findings.withColumn("message", F.lit(None).cast("string"))
     blocking = findings.where("severity = 'error'").groupBy("run_id", "derivation").agg(
         F.count(F.lit(1)).alias("n_blocking"),
+        F.array_join(F.array_sort(F.collect_set("layer")), ", ").alias("layers"),
+        F.array_join(F.array_sort(F.collect_set("message")), "; ").alias("messages"),
         F.array_join(F.array_sort(F.collect_set(label_of("property", F.col("property_id")))), "; ").alias("blocking"))
     status = F.coalesce(F.col("status"), F.lit("missing"))
     keys = [c for c in ("study_id", "run_id") if c in entries.columns and c in report.columns]
@@ -199,7 +203,8 @@ def run_summary(entries: DataFrame, report: DataFrame, findings: DataFrame) -> D
             label_of("rule_kind", F.col("rule_kind")).alias("rule_type"),
             F.trim(F.regexp_replace("rationale", r"\s+", " ")).alias("rationale"),
             F.coalesce("ltm_hit", F.lit(False)).alias("ltm_hit"),
-            F.coalesce("n_blocking", F.lit(0)).alias("n_blocking"), F.coalesce("blocking", F.lit("")).alias("blocking"))
+            F.coalesce("n_blocking", F.lit(0)).alias("n_blocking"), F.coalesce("blocking", F.lit("")).alias("blocking"),
+            F.coalesce("layers", F.lit("")).alias("layers"), F.coalesce("messages", F.lit("")).alias("messages"))
     )
 
 

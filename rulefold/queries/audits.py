@@ -197,7 +197,8 @@ SELECT rep.run_id, CAST(substr(rep.target, 2) AS INTEGER) AS position, rep.targe
   CASE WHEN rep.target < 'V3' THEN 'Bucketing' ELSE 'Value mapping' END AS rule_type, 'Rule ' || rep.target || ' text' AS rationale,
   rep.ltm_hit, coalesce(f.n, 0) AS n_blocking,
   CASE WHEN f.n IS NULL THEN '' WHEN rep.target < 'V3' THEN 'Missing values are handled per the spec'
-       ELSE 'Unmapped values are handled per the spec' END AS blocking
+       ELSE 'Unmapped values are handled per the spec' END AS blocking,
+  CASE WHEN f.n IS NULL THEN '' ELSE 'L_p' END AS layers, CASE WHEN f.n IS NULL THEN '' ELSE 'missing or unmapped in ' || rep.target END AS messages
 FROM rep LEFT JOIN f ON f.run_id = rep.run_id AND f.target = rep.target""")
 def run_summary(spark: SparkSession, folder: str) -> DataFrame:
     events = audit_events(spark, folder)
@@ -211,9 +212,13 @@ def run_summary(spark: SparkSession, folder: str) -> DataFrame:
     findings = events.where("event_type = 'v_complete'").select(
         "run_id", F.col("target").alias("derivation"), F.lit("L_p").alias("layer"),
         F.when(F.col("target") < "V3", F.lit("P-bin-2")).otherwise(F.lit("P-flag-3")).alias("property_id"),
-        F.when(F.col("event_seq") % 3 == 0, F.lit("error")).otherwise(F.lit("warning")).alias("severity"))
-    entries = events.select("target").distinct().select(
-        F.col("target").alias("name"), F.concat(F.lit("Rule  "), F.col("target"), F.lit("\n text ")).alias("rationale"))
+        F.when(F.col("event_seq") % 3 == 0, F.lit("error")).otherwise(F.lit("warning")).alias("severity"),
+        F.concat(F.lit("missing or unmapped in "), F.col("target")).alias("message"))
+    # two studies with the same names: runs belong to the first, so the other one's texts must not show
+    names = events.select(F.col("target").alias("name")).distinct()
+    entries = names.select("name", F.lit("one").alias("study_id"), F.concat(F.lit("Rule  "), F.col("name"), F.lit("\n text ")).alias("rationale"))
+    entries = entries.unionByName(names.select("name", F.lit("two").alias("study_id"), F.lit("A different rule").alias("rationale")))
+    report = report.withColumn("study_id", F.lit("one"))
     return au.run_summary(entries, report, findings)
 
 

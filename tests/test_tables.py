@@ -344,3 +344,53 @@ def test_probe_batches(spark):
     maps = spark.createDataFrame([("m", {"a": "1", "__unmapped_0000001__": "2"})], "rule_id string, map map<string,string>")
     values = [r["value"] for r in lib.categorical_probes(maps).orderBy("probe_no").collect()]
     assert len(values) == 15 and values[2] == "__unmapped_0000002__" and values[-3:] == [None] * 3
+
+
+def test_unmapped_error_has_all_values(spark):
+    from rulefold.plans.apply import apply_rule
+    from rulefold.plans.errors import UnmappedInputError
+
+    df = spark.range(300).select(F.concat(F.lit("v"), "id").alias("x")).union(spark.createDataFrame([("ok",)], "x string"))
+    with pytest.raises(UnmappedInputError, match="300 values") as caught:
+        apply_rule(df, "t", "flag", {"map": {"ok": "Y"}, "unmapped_handling": "error"}, "x")
+    assert caught.value.values.count() == 300
+
+
+def test_nested_columns_are_profiled(spark):
+    df = spark.createDataFrame([(1, [1, 2], ("a",), None), (2, None, ("b",), None)], "k int, arr array<int>, s struct<f:string>, m map<string,int>")
+    got = {r["column"]: (r["kind"], r["null_fraction"]) for r in profile(df).collect()}
+    assert got["arr"] == ("nested", 0.5) and got["s"] == ("nested", 0.0) and got["m"] == ("nested", 1.0) and got["k"][0] == "numeric"
+    from rulefold.operators.profile import sample_values
+
+    samples = {(r["column"], r["place"]): r["value"] for r in sample_values(df, "k").collect()}
+    assert samples["k", 1] == "1" and samples["arr", 1] == '{"arr":[1,2]}' and ("m", 1) not in samples
+
+
+def test_steps_without_time_or_run_are_kept(spark):
+    rows = spark.createDataFrame(
+        [("2024-01-01 00:00:00", "r", 1), (None, "r", 2), ("2024-01-02 00:00:00", None, 3), (None, None, 4), ("2024-01-03 00:00:00", "r", 5)],
+        "ts string, run_id string, seq int").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = {r["seq"]: r["step_no"] for r in au.step_numbers(rows, ["run_id"], "ts", "seq").collect()}
+    assert got == {2: 1, 1: 2, 5: 3, 4: 1, 3: 2}
+
+
+def test_lookup_of_keys_written_twice(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "signature string, n int")
+    memory = spark.createDataFrame([("a", "late", "2024-02"), ("a", "early", "2024-01")], "signature string, resolution string, resolved_at string")
+    got = {r["signature"]: (r["resolution"], r["ltm_hit"]) for r in mem.lookup(rows, memory, ["signature"], ["resolution"]).collect()}
+    assert got == {"a": ("early", True), "b": (None, False)}
+
+
+def test_one_signature_for_one_body(spark):
+    from rulefold.operators.lineage import body_signatures
+    from rulefold.plans.apply import apply_spec
+    from rulefold.plans.spec import Spec
+
+    spec = Spec.from_entries([
+        {"name": "A", "inputs": ["x"], "rule_kind": "bin", "rule_body": {"edges": [1e-7, 65.0, 1e16], "labels": ["é", "漢", "c", "d"]}},
+        {"name": "B", "inputs": ["x"], "rule_kind": "compound", "rule_body": {"conditions": [{"column": "x", "op": ">=", "value": 65.0}]}}])
+    derived = apply_spec(spark.createDataFrame([(1.0,)], "x double"), spec)
+    library = {r["name"]: r["body_signature"] for r in lib.normalise(spec.entries_df(spark)).collect()}
+    assert body_signatures(spark, derived) == library
+    two = [("s", "n", ["x"], "bin", b, "r", "unknown") for b in ('{"edges":[1],"labels":["a","b"]}', '{ "labels" : ["a", "b"], "edges": [1] }')]
+    assert len({r["signature"] for r in rv.review(spark.createDataFrame(two, ENTRY)).collect()}) == 1
