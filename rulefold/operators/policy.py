@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from rulefold.plans.errors import NullInputError, UnmappedInputError
 
+NAMED = 20
+
 
 @dataclass
 class Blocked:
@@ -51,10 +53,12 @@ def raise_on_blocked(derived, hit: Mapping[str, Blocked]) -> None:
         .agg(F.count(F.lit(1)).alias("n_rows"))
     )
     total, least, most = values.agg(F.count(F.lit(1)), F.min("value"), F.max("value")).first()
-    raise UnmappedInputError(
-        f"{where}: {counts.describe()}: {total} values from {least!r} to {most!r}, all in `values`; "
-        f"declared keys: {sorted(rule.mapping)}", values
+    # the message names a handful; `values` has all of them, however many
+    shown = (
+        str([r["value"] for r in values.select("value").orderBy("value").collect()]) if total <= NAMED
+        else f"{total} values from {least!r} to {most!r}"
     )
+    raise UnmappedInputError(f"{where}: {counts.describe()}: {shown}; declared keys: {sorted(rule.mapping)}", values)
 
 
 def violations(blocked: Mapping[str, Mapping[str, Column]]) -> Column:
