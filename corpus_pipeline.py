@@ -14,7 +14,7 @@ from rulefold.llm.classifier import fit, score
 from rulefold.llm.exact_dedup import without_duplicates
 from rulefold.llm.frames import fresh, written
 from rulefold.llm.jaccard_join import near_duplicates
-from rulefold.llm.mixing import mix, whole_documents
+from rulefold.llm.mixing import whole_documents
 from rulefold.llm.packing import pack_documents
 from rulefold.session import table
 
@@ -45,8 +45,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources weigh 5, 2, 1, repeating; none is taken over 3 times; taken documents are whole, once per taking."""
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", "text")
-    return whole_documents(mix(rows, keep_columns=["row"])).select("row.*")
+    return whole_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

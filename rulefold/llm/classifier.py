@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,7 +76,7 @@ def features(data: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.nda
     return index[order], np.bincount(owner, minlength=len(offsets) - 1)
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, s: Settings) -> np.ndarray:
+def train(rows: Iterable[np.ndarray], labels: np.ndarray, s: Settings) -> np.ndarray:
     """Weights by FTRL-proximal updates, one text after another; the last weight is the constant's."""
     size = (1 << s.bits) + 1
     z, n = np.zeros(size), np.zeros(size)
@@ -87,7 +87,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, s: Settings) -> np.ndarray
     inputs = []
     for row in rows:
         at, count = np.unique(row, return_counts=True)
-        inputs.append((np.append(at, size - 1), np.append(count * (s.scale / max(len(row), 1)), 1.0)))
+        inputs.append((np.append(at, size - 1).astype(np.int32), np.append(count * (s.scale / max(len(row), 1)), 1.0).astype(np.float32)))
     for _ in range(s.epochs):
         for (at, x), label in zip(inputs, labels, strict=True):
             w = weights(at)
@@ -129,11 +129,13 @@ def fit(df: DataFrame, labels: DataFrame, learn_from: Column, settings: Settings
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["key", "text"])
         data, offsets = utf8(pa.array(group["text"], pa.string()))
-        rows = []
-        for i, j in chunks(offsets):
-            index, count = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], s)
-            rows += np.split(index.astype(np.int32), np.cumsum(count)[:-1])
-        weights = train(rows, group["label"].to_numpy(), s)
+
+        def rows() -> Iterator[np.ndarray]:
+            for i, j in chunks(offsets):
+                index, count = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], s)
+                yield from np.split(index, np.cumsum(count)[:-1])
+
+        weights = train(rows(), group["label"].to_numpy(), s)
         return pd.DataFrame({"n": [len(group)], "weights": [weights.tobytes()]})
 
     learned = sample.groupBy("shard").applyInPandas(learn, "n bigint, weights binary").collect()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rulefold.llm.frames import col, written
 
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 2_000
 ADDED = ["size", "source_size", "target", "epochs", "part"]
 
 
@@ -71,11 +71,22 @@ def mix(df: DataFrame, source_col: str = "source", text_col: str = "text", id_co
     clash = set(ADDED) & {c.lower() for c in keep_columns}
     if clash:
         raise ValueError(f"rename the columns {sorted(clash)}")
+    placed = _placed(df, source_col, text_col, id_col, weights, max_epochs, budget, seed, size, keep_columns)
+    return placed.select(*[F.col("row")[c].alias(c) for c in keep_columns], *ADDED)
+
+
+def _order(text_col: str, id_col: str, seed: int) -> list[Column]:
+    """A document's place on its source's line: by key, then by a digest of its text."""
+    return [hash_key(col(id_col), seed).alias("key"), F.md5(F.coalesce(col(text_col).cast("string"), F.lit(""))).alias("tie")]
+
+
+def _placed(df, source_col, text_col, id_col, weights, max_epochs, budget, seed, size, keep_columns) -> DataFrame:
+    """Columns src, row, key, tie and ADDED."""
     spark = df.sparkSession
     rows = df.select(
         col(source_col).alias("src"), F.struct(*[col(c) for c in keep_columns]).alias("row"),
         (word_count(col(text_col).cast("string")) if size is None else size).alias("size"),
-        hash_key(col(id_col), seed).alias("key"), F.md5(F.coalesce(col(text_col).cast("string"), F.lit(""))).alias("tie"))
+        *_order(text_col, id_col, seed))
     sources = rows.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     # a row per source, written once: the key ranges are fixed by it
     sources = written(spark, sources, "mix-sources")
@@ -95,13 +106,20 @@ def mix(df: DataFrame, source_col: str = "source", text_col: str = "text", id_co
     epochs = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
     rest = words - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before") - F.col("inner"))).cast("bigint")
-    return placed.select(
-        *[F.col("r.row")[c].alias(c) for c in keep_columns], "size", "source_size", "target", epochs.alias("epochs"), part.alias("part"))
+    return placed.select("r.src", "row", "key", "tie", "size", "source_size", "target", epochs.alias("epochs"), part.alias("part"))
+
 
+def whole_documents(df: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights: Sequence[float] | Mapping = (5, 2, 1),
+                    max_epochs: float = 3.0, budget: float = 1.0, seed: int = 17) -> DataFrame:
+    """The mix as rows of `df`: each document as often as it is taken whole, the one on the cut once more if over half of it fits.
 
-def whole_documents(mixed: DataFrame) -> DataFrame:
-    """The mix as rows: each document as often as it is taken, the one on the cut once more if over half of it fits."""
-    times = F.col("epochs") + (2 * F.col("part") > F.col("size")).cast("bigint")
-    copies = mixed.where(times > 0).select(
-        *[c for c in mixed.columns if c not in ADDED], F.explode(F.sequence(F.lit(1).cast("bigint"), times)).alias("copy of a document"))
-    return copies.drop("copy of a document")
+    As documents lie by key, a source's cut is one place: a table of a row per source says how often all of its documents
+    are taken and up to which place once more. Texts stay where they are read. Equal rows at a cut go the same way.
+    """
+    placed = _placed(df, source_col, text_col, id_col, weights, max_epochs, budget, seed, None, [id_col])
+    last = F.max(F.when(2 * F.col("part") > F.col("size"), F.struct("key", "tie"))).alias("last")
+    cuts = written(df.sparkSession, placed.groupBy("src").agg(F.max("epochs").alias("epochs"), last), "mix-cuts").alias("c")
+    rows = df.select(F.struct("*").alias("row"), col(source_col).alias("src"), F.struct(*_order(text_col, id_col, seed)).alias("place")).alias("r")
+    times = F.col("epochs") + F.coalesce(F.col("place") <= F.col("last"), F.lit(False)).cast("bigint")
+    taken = rows.join(cuts, F.col("r.src").eqNullSafe(F.col("c.src"))).select("row", times.alias("times")).where("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "times"))).select("row.*")
