@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulefold.llm.frames import col, written
-from rulefold.llm.text_arrays import chunks, hash_spans, mix, utf8
+from rulefold.llm.text_arrays import chunks, hash_spans, join_hash, mix, utf8
 
 _U = np.uint64
+PIECE = 400_000  # bytes whose anchors are found at once
 LAST = 2**63 - 1  # stands for a null id: after all others
 
 
@@ -23,7 +24,8 @@ LAST = 2**63 - 1  # stands for a null id: after all others
 class Settings:
     least: int = 100  # bytes of a repeat
     gram: int = 24  # bytes of an anchor
-    batch: int = 12_000  # contexts in one suffix array
+    batch: int = 3000  # contexts in one suffix array
+    ranges: int = 6  # of places of an anchor in a window, each with a part that all its windows have
     group: int = 24_000  # contexts with one anchor in one suffix array; larger groups are joined by windows
     buckets: int = 1 << 20  # of hashes of ids, broadcast to leave out documents without repeats
 
@@ -100,23 +102,20 @@ def enhanced_suffix_array(rows: np.ndarray, lengths: np.ndarray, least: int) ->
     half as many; they order the suffixes and, halved again, measure common prefixes.
     """
     n, width = rows.shape
-    symbols = np.where(np.arange(width) < lengths[:, None], rows.astype(np.uint64) + _U(1), _U(0))
+    symbols = np.where(np.arange(width) < lengths[:, None], rows.astype(np.uint16) + np.uint16(1), np.uint16(0))
     key = np.zeros((n, width), np.uint64)
     for j in range(7):
-        key[:, : width - j] |= symbols[:, j:] << _U(9 * (6 - j))
+        key[:, : width - j] |= symbols[:, j:].astype(np.uint64) << _U(9 * (6 - j))
     levels, size = [], 7
     rank = _dense(key)
-    while True:
-        levels.append((size, rank))
-        if size >= width:
-            break
-        after = np.zeros((n, width), np.int64)
-        after[:, : width - size] = rank[:, size:]
-        rank = _dense((rank.astype(np.uint64) << _U(32)) | after.astype(np.uint64))
+    levels.append((size, rank))
+    while 2 * size < width:
+        rank = _dense(_pairs(rank, size))
         size *= 2
+        levels.append((size, rank))
     row, column = np.nonzero(np.arange(width) + least <= lengths[:, None])
     at = row * width + column
-    order = np.argsort(levels[-1][1].ravel()[at], kind="stable")
+    order = np.argsort(_pairs(rank, size).ravel()[at])
     at, left = at[order], (lengths[row] - column)[order]
     a, b, most = at[:-1].copy(), at[1:].copy(), np.minimum(left[:-1], left[1:])
     common = np.zeros(len(a), np.int64)
@@ -133,51 +132,68 @@ def enhanced_suffix_array(rows: np.ndarray, lengths: np.ndarray, least: int) ->
     return at, common
 
 
+def _pairs(rank: np.ndarray, size: int) -> np.ndarray:
+    """Rank of each place and of that `size` places on, in one key."""
+    pair = rank.astype(np.uint64) << _U(32)
+    pair[:, : max(rank.shape[1] - size, 0)] |= rank[:, size:].astype(np.uint64)
+    return pair
+
+
 def _dense(keys: np.ndarray) -> np.ndarray:
     """Ranks from 1 of the keys, equal for equal keys."""
     flat = keys.ravel()
     order = np.argsort(flat)
     step = np.append(True, flat[order[1:]] != flat[order[:-1]])
-    out = np.empty(len(flat), np.int64)
-    out[order] = np.cumsum(step)
+    out = np.empty(len(flat), np.int32)
+    out[order] = np.cumsum(step, dtype=np.int32)
     return out.reshape(keys.shape)
 
 
-def repeat_groups(at: np.ndarray, common: np.ndarray, before: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
-    """Maximal repeats as (first, last, length): the suffixes at[first..last] share `length` bytes, at least `least`, and no more to either side.
+def repeat_groups(at: np.ndarray, common: np.ndarray, before: np.ndarray, least: int) -> np.ndarray:
+    """Maximal repeats as rows (first, last, length): the suffixes at[first..last] share `length` bytes, at least `least`, and no more to either side.
 
-    `before` has the byte before each suffix of `at`, or a negative number of its own where there is none. The stack scan
-    visits the common-prefix intervals bottom up; an interval whose suffixes all have one byte before them is no group, as it
-    extends to the left. Stretches of the array that extend as a whole are passed by at once.
+    `before` has the byte before each suffix of `at`, or a negative number of its own where there is none. Stretches of the array with
+    common prefixes of at least `least` are the topmost intervals. One whose suffixes all have one byte before them extends to the left
+    with all that is nested in it, and is passed by. One without nested intervals is a group as it stands; the others are scanned.
     """
     inside = common >= least
     edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
-    for start, stop in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        chars = before[start : stop + 1]
-        if (chars == chars[0]).all():
-            continue
-        values = common[start:stop].tolist()
-        # parents of the tree are open on the stack: (length, first suffix, byte before all suffixes or None)
-        chars = chars.tolist()
-        stack: list[list] = []
-        for k, value in enumerate([*values, 0]):
-            first, char = start + k, chars[k]
-            while stack and stack[-1][0] > value:
-                length, first_of, char_of = stack.pop()
-                merged = char_of if char_of == char else None
-                if merged is None:
-                    yield first_of, start + k, length
-                first, char = first_of, merged
-            if stack and stack[-1][0] == value:
-                if stack[-1][2] != char:
-                    stack[-1][2] = None
-            elif value:
-                stack.append([value, first, char])
+    start, stop = edge[::2], edge[1::2]
+    if not len(start):
+        return np.zeros((0, 3), np.int64)
+    changes = np.append(0, np.cumsum(inside & (before[1:] != before[:-1])))
+    diverse = changes[stop] > changes[start]
+    start, stop = start[diverse], stop[diverse]
+    steps = np.append(0, np.cumsum(common[1:] != common[:-1]))
+    flat = steps[stop - 1] == steps[start]
+    found = [np.stack([start[flat], stop[flat], common[start[flat]]], 1)]
+    for a, b in zip(start[~flat].tolist(), stop[~flat].tolist(), strict=True):
+        found.append(np.array(_scan(common[a:b].tolist(), before[a : b + 1].tolist(), a), np.int64).reshape(-1, 3))
+    return np.concatenate(found)
+
+
+def _scan(values: list[int], chars: list[int], start: int) -> list[tuple[int, int, int]]:
+    """The stack scan of a common-prefix interval tree, bottom up: intervals whose suffixes have different bytes before them."""
+    out: list[tuple[int, int, int]] = []
+    stack: list[list] = []  # open intervals: length, first suffix, the byte before all its suffixes or None
+    for k, value in enumerate([*values, 0]):
+        first, char = start + k, chars[k]
+        while stack and stack[-1][0] > value:
+            length, first, of_all = stack.pop()
+            char = of_all if of_all == char else None
+            if char is None:
+                out.append((first, start + k, length))
+        if stack and stack[-1][0] == value:
+            if stack[-1][2] != char:
+                stack[-1][2] = None
+        elif value:
+            stack.append([value, first, char])
+    return out
 
 
 # --- tasks --------------------------------------------------------------------------------------------------------
 
-BLOCK = "bucket int, kind int, anchor binary, tag binary, id binary, text binary, start binary, length binary, bytes binary"
+BLOCK = "bucket int, kind int, anchor binary, tag binary, id binary, text binary, start binary, length binary, offset binary, bytes binary"
 SPANS = "id bigint, text bigint, spans binary"
 
 
@@ -197,16 +213,14 @@ def _spans(ids: np.ndarray, texts: np.ndarray, starts: np.ndarray, ends: np.ndar
     order = np.lexsort((starts, texts, ids))
     ids, texts, starts, ends = ids[order], texts[order], starts[order], ends[order]
     new = np.append(True, (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1]))
-    bounds = np.append(np.flatnonzero(new), len(ids)).tolist()
-    return [(int(ids[a]), int(texts[a]), merged(starts[a:b], ends[a:b]).tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-
-
-def merged(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Spans sorted by start, joined where they overlap or touch, as rows (start, end)."""
-    reach = np.maximum.accumulate(ends)
-    new = np.append(True, starts[1:] > reach[:-1])
-    first = np.flatnonzero(new)
-    return np.stack([starts[first], reach[np.append(first[1:], len(starts)) - 1]], 1).astype(np.int64)
+    shift = np.cumsum(new) << 40  # documents one after the other on one line
+    reach = np.maximum.accumulate(ends + shift)
+    opens = np.flatnonzero(np.append(True, (starts + shift)[1:] > reach[:-1]))
+    pairs = np.stack([starts[opens], reach[np.append(opens[1:], len(ids)) - 1] - shift[opens]], 1)
+    first = np.flatnonzero(new[opens])
+    bounds = np.append(first, len(opens)).tolist()
+    raw, at = pairs.tobytes(), opens[first]
+    return [(i, t, raw[16 * a : 16 * b]) for i, t, a, b in zip(ids[at].tolist(), texts[at].tolist(), bounds[:-1], bounds[1:], strict=True)]
 
 
 def _blocks(at: np.ndarray, columns: list[np.ndarray], body: tuple[np.ndarray, np.ndarray] | None, buckets: int) -> Iterator[tuple]:
@@ -227,7 +241,8 @@ def _find(batches: Iterator[pa.RecordBatch], s: Settings, buckets: int) -> Itera
         ids = _ids(batch)
         for i, j in chunks(offsets):
             part, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            at, key = anchors(part, bounds, s)
+            pieces = [(int(bounds[a]), *anchors(part[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], s)) for a, b in chunks(bounds, PIECE)]
+            at, key = np.concatenate([p[1] + p[0] for p in pieces]), np.concatenate([p[2] for p in pieces])
             owner = np.searchsorted(bounds, at, "right") - 1
             tags = _text_tags(part, bounds)
             columns = [key, ids[i:j][owner], tags[owner], at - bounds[owner]]
@@ -267,7 +282,8 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[di
     """Rows that arrive sorted by bucket, one bucket at a time."""
     held: list[dict] = []
     for batch in batches:
-        for row in batch.to_pylist():
+        for k in range(batch.num_rows):
+            row = {name: column[k].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
             if held and held[-1]["bucket"] != row["bucket"]:
                 yield held[-1]["bucket"], held
                 held = []
@@ -297,15 +313,15 @@ def _contexts(batches: Iterator[pa.RecordBatch], s: Settings, buckets: int) -> I
             late, picked = order[again], order[~again]
             rows = []
             for id_, text, spans in _spans(ids[i:j][owner[late]], tags[owner[late]], start[late] - bounds[owner[late]], start[late] - bounds[owner[late]] + length[late]):
-                rows.append((int(id_) % buckets, 1, b"", b"", np.int64(id_).tobytes(), np.int64(text).tobytes(), spans, b"", b""))
+                rows.append((int(id_) % buckets, 1, b"", b"", np.int64(id_).tobytes(), np.int64(text).tobytes(), spans, b"", b"", b""))
             owner, start, length = owner[picked], start[picked], length[picked]
             padded = np.append(part, np.zeros(s.width, np.uint8))
             grid = padded[start[:, None] + np.arange(s.width)]
             used = np.arange(s.width) < length[:, None]
-            columns = [key[picked], body[picked], ids[i:j][owner], tags[owner], start - bounds[owner], length]
+            columns = [key[picked], body[picked], ids[i:j][owner], tags[owner], start - bounds[owner], length, at[picked] - start]
             rows += [(row[0], 0, *row[1:]) for row in _blocks(columns[0], columns, (grid, used), buckets)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 9, [pa.int32(), pa.int32(), *[pa.binary()] * 7], strict=True)],
-                                             ["bucket", "kind", "anchor", "tag", "id", "text", "start", "length", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 10, [pa.int32(), pa.int32(), *[pa.binary()] * 8], strict=True)],
+                                             ["bucket", "kind", "anchor", "tag", "id", "text", "start", "length", "offset", "bytes"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
@@ -313,8 +329,8 @@ def _removed(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Reco
     for _, rows in _by_bucket(batches):
         out = [(0, np.frombuffer(r["id"], np.int64)[0].item(), np.frombuffer(r["text"], np.int64)[0].item(), r["start"], None) for r in rows if r["kind"]]
         rows = [r for r in rows if not r["kind"]]
-        key, tag, ids, texts, start, length = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in (
-            ("anchor", np.uint64), ("tag", np.uint64), ("id", np.int64), ("text", np.int64), ("start", np.int64), ("length", np.int64)))
+        key, tag, ids, texts, start, length, offset = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in (
+            ("anchor", np.uint64), ("tag", np.uint64), ("id", np.int64), ("text", np.int64), ("start", np.int64), ("length", np.int64), ("offset", np.int64)))
         body = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
         first_byte = np.cumsum(length) - length
         order = np.lexsort((start, texts, ids, tag, key))
@@ -323,7 +339,7 @@ def _removed(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Reco
         found = [(ids[late], texts[late], start[late], start[late] + length[late])]
         group = np.cumsum(np.append(False, key[one[1:]] != key[one[:-1]])) if len(one) else np.zeros(0, np.int64)
         size = np.bincount(group) if len(one) else np.zeros(0, np.int64)
-        several = size[group] > 1
+        several = (size[group] > 1) & _shares_part(body, first_byte[one], length[one], offset[one], key[one], s)
         large = size[group] > s.group
         for k in one[large].tolist():
             out.append((2, int(ids[k]), int(texts[k]), np.int64(start[k]).tobytes(), body[first_byte[k] : first_byte[k] + length[k]].tobytes()))
@@ -341,6 +357,26 @@ def _removed(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Reco
                                          ["kind", "id", "text", "spans", "bytes"])
 
 
+def _shares_part(body: np.ndarray, first: np.ndarray, length: np.ndarray, offset: np.ndarray, key: np.ndarray, s: Settings) -> np.ndarray:
+    """Whether a context can have a window in common with another one of its anchor.
+
+    Windows that start a to b bytes before the anchor all have the bytes from a before it to `least` - b behind it. Equal windows have
+    equal such bytes, so a context that shares none of these parts shares no window.
+    """
+    out = np.zeros(len(first), bool)
+    step = -(-(s.reach + 1) // s.ranges)
+    for a in range(0, s.reach + 1, step):
+        b = min(a + step - 1, s.reach)
+        there = np.flatnonzero((offset >= a) & (offset + s.least - b <= length))
+        part = hash_spans(body, first[there] + offset[there] - a, np.full(len(there), a + s.least - b))
+        part = join_hash(key[there], part)
+        order = np.argsort(part)
+        same = part[order[1:]] == part[order[:-1]]
+        out[there[order[1:]][same]] = True
+        out[there[order[:-1]][same]] = True
+    return out
+
+
 def _repeats(body: np.ndarray, first: np.ndarray, length: np.ndarray, ids: np.ndarray, texts: np.ndarray, start: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
     """Spans of all occurrences but the first of the maximal repeat groups of some contexts."""
     padded = np.append(body, np.zeros(s.width, np.uint8))
@@ -350,20 +386,22 @@ def _repeats(body: np.ndarray, first: np.ndarray, length: np.ndarray, ids: np.nd
     row, column = at // width, at % width
     before = np.where(column > 0, rows[row, np.maximum(column - 1, 0)].astype(np.int64), -1 - np.arange(len(at)))
     place = start[row] + column
-    out_row, out_start, out_end = [], [], []
-    doc = np.unique(np.stack([ids, texts], 1), axis=0, return_inverse=True)[1].ravel()[row] if len(ids) else row
-    for a, b, size in repeat_groups(at, common, before, s.least):
-        k = np.arange(a, b + 1)
-        least = np.lexsort((place[k], doc[k]))[0]
-        late = k[(doc[k] != doc[k[least]]) | (place[k] != place[k[least]])]
-        out_row.append(row[late])
-        out_start.append(place[late])
-        out_end.append(place[late] + size)
-    if not out_row:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
-    r = np.concatenate(out_row)
-    return ids[r], texts[r], np.concatenate(out_start), np.concatenate(out_end)
+    groups = repeat_groups(at, common, before, s.least)
+    # suffixes in order of document and place; the smallest of each group is its first occurrence
+    order = np.lexsort((place, texts[row], ids[row]))
+    rank = np.empty(len(at), np.int64)
+    step = np.any([x[order[1:]] != x[order[:-1]] for x in (ids[row], texts[row], place)], axis=0)
+    rank[order] = np.append(0, np.cumsum(step))[: len(at)]
+    count = groups[:, 1] - groups[:, 0] + 1
+    found = [np.zeros((0, 2), np.int64)]
+    for a, b in chunks(np.append(0, np.cumsum(count)), 500_000):
+        n = count[a:b]
+        first = np.cumsum(n) - n
+        k = np.arange(int(n.sum())) + np.repeat(groups[a:b, 0] - first, n)
+        late = rank[k] != np.repeat(np.minimum.reduceat(rank[k], first), n)
+        found.append(np.stack([k[late], np.repeat(groups[a:b, 2], n)[late]], 1))
+    k, size = np.concatenate(found).T
+    return ids[row[k]], texts[row[k]], place[k], place[k] + size
 
 
 # --- tables -------------------------------------------------------------------------------------------------------
