@@ -1,6 +1,7 @@
 """Each operator against its plain version, on messy rows and on none."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -20,7 +21,7 @@ from rulefold.llm.exact_dedup import exact_dedup, without_duplicates
 from rulefold.llm.graph import components
 from rulefold.llm.mixing import mix, source_targets, whole_documents
 from rulefold.llm.packing import pack_documents, plan_packing, runs, tokenised_pieces
-from rulefold.llm.quality_rules import quality_rules
+from rulefold.llm.quality_rules import clean_texts, quality_rules
 from rulefold.llm.token_counts import token_counts
 from tests.llm import brute
 
@@ -258,6 +259,29 @@ def test_quality_rules(frame, corpus, nothing):
     assert quality_rules(nothing).count() == 0
 
 
+def test_clean_texts(spark, frame, corpus, nothing):
+    lines, hosts = defaultdict(set), Counter(s for _, _, s in corpus)
+    norm = lambda x: tuple(brute.WORD.findall(x.lower()))
+    for n, (_, t, s) in enumerate(corpus):
+        for x in brute.utf8(t).split(b"\n"):
+            lines[s, norm(x)].add(n)
+    common = {k for k, d in lines.items() if k[1] and len(d) > 3 and len(d) > 0.05 * hosts[k[0]]}
+    expected = Counter()
+    for i, t, s in corpus:
+        left = b"".join(x for x in re.findall(rb"[^\n]*\n|[^\n]+", brute.utf8(t)) if (s, norm(x)) not in common)
+        expected[i, None if t is None else left.decode()] += 1
+    out = clean_texts(frame, min_line_documents=3, max_line_share=0.05).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == expected
+    assert set(expected) - {(i, t) for i, t, _ in corpus}
+    assert clean_texts(nothing).count() == 0
+    # the line goes from one host only, in any spelling, first, amid and last, and a text may be empty afterwards
+    rows = [(1, "a", "Click  HERE\né\nclick here\n\nz"), (2, "a", "x\nclick here"), (3, "a", "click here"), (4, None, "click here"), (5, "b", "click here\ny")]
+    small = spark.createDataFrame([(i, h, t) for i, h, t in rows], "k int, h string, body string")
+    got = clean_texts(small, "k", "h", "body", min_line_documents=1).collect()
+    assert {r.k: (r.body, r.n_boilerplate_words) for r in got} == {
+        1: ("é\n\nz", 4), 2: ("x\n", 2), 3: ("", 2), 4: ("click here", 0), 5: ("click here\ny", 0)}
+
+
 # --- 8 web archives
 
 
