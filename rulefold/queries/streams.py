@@ -11,7 +11,7 @@ from rulefold.queries.audits import AUDIT, AUDIT_SQL
 from rulefold.queries.derivations import _cond
 from rulefold.streaming.derive import derive_stream, live_counters
 from rulefold.streaming.runs import read_stream, run_available, run_updates
-from rulefold.streaming.tickets import match_with_timeout
+from rulefold.streaming.tickets import first_answers, match_with_timeout
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
     return read_stream(spark, f"{folder}/events.parquet")
@@ -61,7 +61,7 @@ def stream_ticket_timeout(spark: SparkSession, folder: str) -> DataFrame:
     tickets = _events(spark, folder).where("event_type = 'purchase'").select("event_id", at.alias("opened_at"))
     resolutions = _events(spark, folder).where("event_type = 'purchase' AND value >= 10").select(
         "event_id", (at + F.make_dt_interval(secs=F.get_json_object("props", "$.k").cast("decimal(18,6)"))).alias("resolved_at"))
-    done = run_available(match_with_timeout(tickets, resolutions), "ticket-timeout")
+    done = first_answers(run_available(match_with_timeout(tickets, resolutions), "ticket-timeout"))
     return done.select(
         "event_id", F.unix_micros("opened_at").alias("opened_us"), F.unix_micros("resolved_at").alias("resolved_us"), "timed_out")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,11 +13,18 @@ def match_with_timeout(
 
     tickets(event_id, opened_at, ...), resolutions(event_id, resolved_at, ...). A ticket whose resolution does
     not come in time leaves with a NULL `resolved_at` and `timed_out` true once the watermark has passed its
-    deadline; younger ones stay in state.
+    deadline; younger ones stay in state. A ticket leaves as soon as an answer in time is there, and once more with every
+    later one, as a later batch may hold an earlier answer: `first_answers` reduces the stored rows.
     """
     left = tickets.withWatermark("opened_at", lateness)
-    # of several answers to a ticket one counts, so that it leaves once
-    right = resolutions.withColumnRenamed("event_id", "_event_id").withWatermark("resolved_at", lateness).dropDuplicatesWithinWatermark(["_event_id"])
+    # equal answers count as one; answers out of time must not displace those in time, so nothing else is dropped before the join
+    right = resolutions.withColumnRenamed("event_id", "_event_id").withWatermark("resolved_at", lateness).dropDuplicates(["_event_id", "resolved_at"])
     in_time = F.expr(
         f"event_id = _event_id AND resolved_at >= opened_at AND resolved_at <= opened_at + interval {timeout}")
     return left.join(right, in_time, "leftOuter").withColumn("timed_out", F.col("_event_id").isNull()).drop("_event_id")
+
+
+def first_answers(matched: DataFrame) -> DataFrame:
+    """Of the stored rows of `match_with_timeout`, those with the first `resolved_at` of each ticket; unanswered tickets stay."""
+    ticket = Window.partitionBy("event_id", "opened_at").orderBy(F.col("resolved_at").asc_nulls_last())
+    return matched.withColumn("_place", F.rank().over(ticket)).where("_place = 1").drop("_place")

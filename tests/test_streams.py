@@ -9,7 +9,7 @@ from rulefold.plans.spec import Spec
 from rulefold.queries.streams import STREAM_SPEC
 from rulefold.streaming.derive import derive_stream
 from rulefold.streaming.runs import read_stream, run_available
-from rulefold.streaming.tickets import match_with_timeout
+from rulefold.streaming.tickets import first_answers, match_with_timeout
 
 
 def test_stream_equals_batch(spark, sf):
@@ -38,3 +38,21 @@ def test_ticket_timeout(spark, tmp_path):
     joined = match_with_timeout(read_stream(spark, str(tmp_path / "t")), read_stream(spark, str(tmp_path / "r")))
     got = {r["event_id"]: r["timed_out"] for r in run_available(joined, "tickets").collect()}
     assert got == {"e1": False, "e2": True, "late": True, "end": False}
+
+
+def test_ticket_with_several_answers(spark, tmp_path):
+    base = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("s"))
+    tickets = [("early", 100), ("late", 100), ("both", 100), ("two", 100), ("none", 100), ("twin", 100), ("twin", 100), ("end", 100000)]
+    answers = [("early", 50), ("early", 130), ("late", 120), ("late", 300), ("both", 90), ("both", 140), ("both", 400), ("none", 99), ("none", 161)]
+    # the second file is a batch of its own and has an earlier answer
+    later = [("two", 110), ("two", 120), ("twin", 105), ("end", 100001)]
+    spark.createDataFrame(tickets, "event_id string, s int").select("event_id", base.alias("opened_at")).write.parquet(str(tmp_path / "t"))
+    for rows in (answers + [("two", 150), ("two", 150), ("twin", 150)], later):
+        frame = spark.createDataFrame(rows, "event_id string, s int").select("event_id", base.alias("resolved_at")).coalesce(1)
+        frame.write.mode("append").parquet(str(tmp_path / "r"))
+    for files in (None, 1):
+        joined = match_with_timeout(read_stream(spark, str(tmp_path / "t")), read_stream(spark, str(tmp_path / "r"), files))
+        rows = first_answers(run_available(joined, "tickets")).select("event_id", (F.unix_seconds("resolved_at") - 1_700_000_000).alias("s"), "timed_out")
+        assert sorted(map(tuple, rows.collect()), key=str) == sorted([
+            ("early", 130, False), ("late", 120, False), ("both", 140, False), ("two", 110, False), ("none", None, True),
+            ("twin", 105, False), ("twin", 105, False), ("end", 100001, False)], key=str)
