@@ -140,13 +140,15 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def clean_texts(df: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", min_words: int = 20,
-                max_repeat_percent: int = 30, min_line_documents: int = 20, max_line_share: float = 0.01, min_kept_share: float = 0.2) -> DataFrame:
+                max_repeat_percent: int = 30, min_line_documents: int = 20, max_line_share: float = 0.01, min_kept_share: float = 0.2,
+                min_left_words: int | None = None) -> DataFrame:
     """One row per row of `df`: id, counts, base_failed, n_boilerplate_words, kept, and the text without its boilerplate lines.
 
     Lines are hashed as lower-case words with one space between. A line that more than `min_line_documents` documents and
     more than `max_line_share` of the documents of a host have is boilerplate there and is removed with its line feed. A document
-    is kept unless it failed the base rules or is depleted: boilerplate lines left less than `min_kept_share` of its words.
-    Counts are those of the whole text; the texts of documents that are not kept are returned as well.
+    is kept unless it failed the base rules or is depleted: boilerplate lines left less than `min_kept_share` of its words or fewer
+    than `min_left_words` words, which are `min_words` unless given. Counts are those of the whole text; the texts of
+    documents that are not kept are returned as well.
 
     A null or empty text has no words and fails; null stays null. A null host is one host. Rows that repeat an id count as
     documents of their own and are each returned. An empty table gives no rows.
@@ -172,14 +174,17 @@ def clean_texts(df: DataFrame, id_col: str = "doc_id", host_col: str = "source",
     kind = rows.schema["id"].dataType.simpleString()
     cleaned = listed.mapInArrow(_cleaned, f"id {kind}, {', '.join(f'{c} bigint' for c in NAMES)}, lost bigint, text string")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    depleted = (F.col("lost") > 0) & (F.col("n_words") - F.col("lost") < min_kept_share * F.col("n_words"))
+    left = F.col("n_words") - F.col("lost")
+    too_few = left < (min_words if min_left_words is None else min_left_words)
+    depleted = (F.col("lost") > 0) & (too_few | (left < min_kept_share * F.col("n_words")))
     return cleaned.select(
         F.col("id").alias(id_col), *NAMES, failed.alias("base_failed"),
         F.col("lost").alias("n_boilerplate_words"), (~failed & ~depleted).alias("kept"), F.col("text").alias(text_name))
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", min_words: int = 20,
-                  max_repeat_percent: int = 30, min_line_documents: int = 20, max_line_share: float = 0.01, min_kept_share: float = 0.2) -> DataFrame:
-    """The counts and verdicts of `clean_texts`, without the texts."""
-    out = clean_texts(df, id_col, host_col, text_col, min_words, max_repeat_percent, min_line_documents, max_line_share, min_kept_share)
+                  max_repeat_percent: int = 30, min_line_documents: int = 20, max_line_share: float = 0.01, min_kept_share: float = 0.2,
+                  min_left_words: int | None = 0) -> DataFrame:
+    """The counts and verdicts of `clean_texts`, without the texts; by default the verdict on depleted documents is on the share alone, as in the SQL."""
+    out = clean_texts(df, id_col, host_col, text_col, min_words, max_repeat_percent, min_line_documents, max_line_share, min_kept_share, min_left_words)
     return out.select(*[col(c) for c in out.columns[:-1]])

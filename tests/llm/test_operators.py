@@ -282,6 +282,18 @@ def test_clean_texts(spark, frame, corpus, nothing):
         1: ("é\n\nz", 4), 2: ("x\n", 2), 3: ("", 2), 4: ("click here", 0), 5: ("click here\ny", 0)}
 
 
+def test_verdict_on_the_text_left(spark):
+    line = " ".join("terms and conditions of use apply to every page here".split())  # 10 words
+    rows = [(1, line, 19), (2, line, 20), (3, line, 90), (4, "", 20), (5, "", 19), (6, line, 0), (7, line, 1)]
+    texts = spark.createDataFrame([(k, "a", t + "\n" + " ".join(f"w{k}x{j}" for j in range(n))) for k, t, n in rows], "doc_id int, source string, text string")
+    limits = {"min_line_documents": 3, "max_line_share": 0.05}
+    assert {r.doc_id for r in clean_texts(texts, **limits).where("kept").collect()} == {2, 3, 4}
+    assert {r.doc_id for r in clean_texts(texts, **limits, min_left_words=0).where("kept").collect()} == {1, 2, 3, 4}
+    # the registered SQL judges the share alone
+    assert {r.doc_id for r in quality_rules(texts, **limits).where("kept").collect()} == {1, 2, 3, 4}
+    assert {r.doc_id for r in quality_rules(texts, **limits, min_left_words=None).where("kept").collect()} == {2, 3, 4}
+
+
 # --- 8 web archives
 
 
