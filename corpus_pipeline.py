@@ -37,10 +37,21 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by links (five-word shingles, Jaccard similarity of 0.8 or more), the row with the smallest id."""
-    found = near_duplicates(docs).select(F.col("doc_id").alias("id"), F.col("component_id").alias("keep"))
-    dropped = written(spark, found.where("id <> keep").select("id").distinct(), "pipeline-near-duplicates")
-    return docs.join(dropped, docs["doc_id"] == dropped["id"], "left_anti")
+    """Of documents connected by links (five-word shingles, Jaccard similarity of 0.8 or more), the row with the smallest id.
+
+    Each row is a document of its own, by a key that a written copy of the rows holds. So near copies among rows with a null id are found
+    (a null is the largest id), and of rows that repeat an id only those go whose own text is linked to a row that stays.
+    """
+    (key,) = fresh(docs, "row_key")
+    keyed = written(spark, docs.withColumn(key, F.monotonically_increasing_id()), "pipeline-near-duplicate-rows")
+    found = near_duplicates(keyed, id_col=key).select(F.col(key).alias("member"), F.col("component_id").alias("component"))
+    linked = written(spark, found.where("member <> component"), "pipeline-near-duplicate-links")
+    members = linked.unionByName(linked.select(F.col("component").alias("member"), "component").distinct())
+    ids = keyed.select(F.col(key).alias("row"), F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"))
+    stay = members.join(ids, F.col("member") == F.col("row")).groupBy("component").agg(F.min(F.struct("last", "id", "row")).alias("first"))
+    dropped = members.select("member").join(stay.select(F.col("first.row").alias("stays")), F.col("member") == F.col("stays"), "left_anti")
+    dropped = written(spark, dropped, "pipeline-near-duplicates")
+    return keyed.join(dropped, keyed[key] == dropped["member"], "left_anti").drop(key)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

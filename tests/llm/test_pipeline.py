@@ -58,3 +58,17 @@ def test_messy_rows_and_none(spark, sf, frame, nothing, name):
         if name != cp.STAGES[-1][0]:
             assert out.columns == docs.columns
         assert bool(rows) == (docs is frame)
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark, sf):
+    def text(seed, changed=None):
+        return " ".join(f"w{seed}x{k}" if k != changed else "changed" for k in range(90))
+
+    rows = [(None, text(1)), (None, text(1, 0)), (None, text(2)), (5, text(3)), (4, text(3, 0)), (5, text(4)), (None, text(5, 89)), (9, text(5)),
+            (7, text(6)), (7, text(6, 1)), (None, None), (None, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id bigint, text string, n int").repartition(4)
+    got = cp.near_duplicate_stage(spark, docs, sf)
+    assert got.columns == docs.columns
+    stays = sorted(r.n for r in got.collect())
+    assert [n for n in stays if n not in (0, 1, 8, 9)] == [2, 4, 5, 7, 10, 11, 12]
+    assert len({0, 1} & set(stays)) == 1 and len({8, 9} & set(stays)) == 1
