@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rulefold.llm.frames import col, written
 from rulefold.llm.graph import components
-from rulefold.llm.text_arrays import LOWER, chunks, hash_spans, inside, join_hash, mix, ngrams, utf8, word_spans
+from rulefold.llm.text_arrays import LOWER, chunks, hash_spans, inside, join_hash, mix, ngrams, stretches, utf8, word_spans
 
 _U = np.uint64
 
@@ -29,6 +30,16 @@ class Settings:
     rounds: int = 4  # of splitting; what is then still larger is joined in blocks
     buckets: int = 1 << 20  # of hashes of ids, broadcast to leave out documents without candidates
 
+    def __post_init__(self) -> None:
+        if not 50 < self.percent <= 100:
+            raise ValueError(f"percent must be above 50 and at most 100, not {self.percent}")
+
+    @cached_property
+    def small(self) -> int:
+        """Shingles of the largest set that can link with one so small that the link breaks all its pairs; 1 if there is none."""
+        most = max(n for n in range(1, 102) if 2 * (100 - self.percent) * n // 100 >= n - 1)
+        return 100 * most // self.percent if most > 1 else 1
+
     @property
     def radius(self) -> float:
         return 1 - self.percent / 100
@@ -96,17 +107,19 @@ def keys_of(values: np.ndarray, frequent: np.ndarray, s: Settings) -> np.ndarray
     """Hashes of the first neighbouring pairs of the set in a common order: by hash, frequent shingles last.
 
     If x and y link, a shingle of x alone breaks two of x's pairs at most, one of y alone breaks one. With |x| = n that
-    is at most 2 (1 - t) n pairs, so one of the first 2 (1 - t) n + 1 pairs of x is also among those of y.
+    is at most 2 (1 - t) n pairs, so one of the first 2 (1 - t) n + 1 pairs of x is also among those of y. Small sets have no more
+    pairs than that: below a threshold of about two thirds, they and what can link with them have each shingle as a key too.
     """
     if len(values) < 2:
-        return values[:0]
+        return mix(values + _U(7)) if s.small > 1 else values[:0]
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
         late = frequent[at] == values
         values = np.concatenate([values[~late], values[late]])
     n = 2 * (100 - s.percent) * len(values) // 100 + 1
-    values = values[: n + 1]
-    return join_hash(values[:-1], values[1:])
+    first = values[: n + 1]
+    pairs = join_hash(first[:-1], first[1:])
+    return np.concatenate([pairs, mix(values + _U(7))]) if len(values) <= s.small else pairs
 
 
 def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -144,8 +157,7 @@ def candidate_edges(rows: DataFrame, frequent: np.ndarray, s: Settings) -> DataF
                 at = (keys >> _U(20)) % _U(buckets)
                 order = np.argsort(at, kind="stable")
                 keys, owner, at = keys[order], owner[order], at[order]
-                bounds = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, int)
-                out = [row(int(at[x]), 0, keys[x:y], owner[x:y]) for x, y in zip(bounds, [*bounds[1:], len(at)], strict=True)]
+                out = [row(int(at[x]), 0, keys[x:y], owner[x:y]) for x, y in stretches(at)]
                 if len(a):
                     out.append(row(int(ids[i]) % buckets, 1, a, b))
                 columns = list(zip(*out, strict=True)) or [[]] * 4
@@ -167,8 +179,7 @@ def candidate_edges(rows: DataFrame, frequent: np.ndarray, s: Settings) -> DataF
         at = mix(a.view(np.uint64)) % _U(buckets // 4)
         order = np.argsort(at, kind="stable")
         a, b, at = a[order], b[order], at[order]
-        bounds = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, int)
-        out = [(int(at[x]), a[x:y].tobytes(), b[x:y].tobytes()) for x, y in zip(bounds, [*bounds[1:], len(at)], strict=True)]
+        out = [(int(at[x]), a[x:y].tobytes(), b[x:y].tobytes()) for x, y in stretches(at)]
         columns = list(zip(*out, strict=True)) or [[]] * 3
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "a", "b"])
 

@@ -109,3 +109,11 @@ def inside(firsts: np.ndarray, n: int) -> np.ndarray:
     total = int(firsts[-1])
     left = np.repeat(firsts[1:], np.diff(firsts)) - np.arange(total)
     return left[: max(total - n + 1, 0)] >= n
+
+
+def stretches(values: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges (start, end) of equal neighbours; none for an empty array."""
+    if not len(values):
+        return []
+    bounds = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    return list(zip(bounds[:-1], bounds[1:], strict=True))

@@ -189,6 +189,35 @@ def test_components(spark):
     assert got == {k: 100 for k in range(100, 161)} | {3: 3, 7: 3, 9: 3, 1: 1, 500: 1} | {1000 + k: 1000 for k in range(50)}
 
 
+@pytest.mark.parametrize("texts", [[None, "", " \n"], ["one two", "two three", "x"], ["one", None, ""], ["a b c d e f g h", "i j k l m n o p", "q r s t u v w x y z"]])
+def test_tables_without_shared_keys(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jj.near_duplicates(df, jj.Settings(words=4, percent=85)).collect()}
+    assert got == {k: (len(brute.shingles(t, 4)), k) for k, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("percent", [51, 55, 60, 66, 67, 70, 75, 80, 85, 100])
+def test_small_sets_that_link_share_a_key(percent):
+    rng = np.random.default_rng(percent)
+    s = jj.Settings(percent=percent)
+    linked = 0
+    for _ in range(4000):
+        n = int(rng.integers(1, 12))
+        x = rng.integers(0, 2**63, n).astype(np.uint64)
+        y = np.concatenate([x[rng.random(n) < 0.9], rng.integers(0, 2**63, int(rng.integers(0, 3))).astype(np.uint64)])
+        x, y = np.unique(x), np.unique(y)
+        both = len(np.intersect1d(x, y))
+        if both and np.array_equal(x, y) is False and 100 * both >= percent * (len(x) + len(y) - both):
+            linked += 1
+            assert len(np.intersect1d(jj.keys_of(x, np.zeros(0, np.uint64), s), jj.keys_of(y, np.zeros(0, np.uint64), s)))
+    assert linked > 50 or percent == 100
+
+
+def test_percent_out_of_range():
+    with pytest.raises(ValueError):
+        jj.Settings(percent=50)
+
+
 # --- 6 mixing
 
 
