@@ -13,6 +13,7 @@ from rulefold.llm.jaccard_join import Settings as Jaccard
 from rulefold.llm.jaccard_join import near_duplicates
 from rulefold.llm.mixing import mix
 from rulefold.llm.packing import pack_documents
+from rulefold.llm.period_runs import find_runs
 from rulefold.llm.quality_rules import quality_rules
 from rulefold.llm.registry import ORACLES, QUERIES, query
 from rulefold.llm.suffix_dedup import remove_repeats
@@ -154,3 +155,63 @@ def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = remove_repeats(table(spark, folder, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _factor_levels(levels: int) -> str:
+    """SQL of the dictionary of basic factors: names of 1, 2, 4, ... words from the names of half as many, only those that occur twice or more."""
+    out = ["""f0 AS (SELECT doc_id, i, hash(words[i + 1]) AS name FROM (SELECT doc_id, words, unnest(range(len(words))) AS i FROM planted))"""]
+    for k in range(levels):
+        out.append(f"""k{k} AS MATERIALIZED (SELECT * FROM f{k} QUALIFY count(*) OVER (PARTITION BY doc_id, name) > 1)""")
+        out.append(f"""f{k + 1} AS (SELECT a.doc_id, a.i, hash(a.name, b.name) AS name FROM k{k} a JOIN k{k} b ON a.doc_id = b.doc_id AND b.i = a.i + {1 << k})""")
+    near = " UNION ALL ".join(
+        f"""SELECT doc_id, i, next - i AS period, {1 << k} AS size FROM (SELECT *, lead(i) OVER (PARTITION BY doc_id, name ORDER BY i) AS next FROM k{k})
+        WHERE next - i <= {1 << k} AND 2 * (next - i) > {1 << k}""" for k in range(levels))
+    return ", ".join(out) + f", near AS ({near})"
+
+
+@query("op13_period_runs", rf"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    bits AS (  -- crc32 by table: 256 remainders, folded over the digits of the id
+        SELECT b, list_reduce(list_prepend(b::BIGINT, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM (SELECT unnest(range(256)) AS b)),
+    crc AS (SELECT list(v ORDER BY b) AS t FROM bits),
+    h AS (
+        SELECT doc_id, words, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+            lambda r, c: xor(r // 256, t[xor(r % 256, c) + 1])), 4294967295) AS h FROM w, crc),
+    g AS (SELECT *, len(words) AS n, CASE WHEN len(words) > 0 THEN (h // 10) % len(words) END AS a, 3 + (h // 10) % 8 AS parts FROM h),
+    planted AS (
+        SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: words[CASE WHEN i < a THEN i + 1 ELSE a + (i - a) % (1 + (n - a) // parts) + 1 END])
+            ELSE words END AS words FROM g),
+    {_factor_levels(15)},
+    run AS (
+        SELECT doc_id, min(i) AS start, max(i) - min(i) + period + size AS length, period
+        FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, period ORDER BY i) AS stretch FROM near) GROUP BY doc_id, period, size, stretch
+        HAVING max(i) - min(i) + period + size >= greatest(24, 3 * period)),
+    best AS (
+        SELECT a.doc_id, a.start, a.length, a.period FROM run a
+        WHERE NOT EXISTS (SELECT 1 FROM run b WHERE b.doc_id = a.doc_id AND (b.length * a.period > a.length * b.period
+            OR b.length * a.period = a.length * b.period AND (b.start, b.period) < (a.start, a.period)))),
+    listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM run GROUP BY doc_id),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+    dropped AS (SELECT doc_id, list(i) AS places FROM gone GROUP BY doc_id)
+    SELECT p.doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256,
+        sha256(array_to_string(CASE WHEN places IS NULL THEN words ELSE list_filter(words, lambda x, k: NOT list_contains(places, k - 1)) END, ' ')) AS collapsed_sha256
+    FROM planted p LEFT JOIN listed USING (doc_id) LEFT JOIN best b USING (doc_id) LEFT JOIN dropped USING (doc_id)""")
+def op13_period_runs(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = documents.select("doc_id", "text", (h % 10 == 0).alias("plant"), F.floor(h / 10).alias("g"))
+    words = F.when(F.col("plant"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    rows = rows.withColumn("words", words).withColumn("n", F.size("words"))
+    a = F.col("g") % F.nullif("n", F.lit(0))
+    rows = rows.withColumn("a", a.cast("int")).withColumn("parts", (3 + F.col("g") % 8).cast("int"))
+    root = F.slice("words", F.col("a") + 1, 1 + F.floor((F.col("n") - F.col("a")) / F.col("parts")).cast("int"))
+    tail = F.slice(F.flatten(F.array_repeat(root, F.col("parts"))), F.lit(1), F.col("n") - F.col("a"))  # `parts` roots are longer than the rest
+    planted = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    rows = rows.select("doc_id", F.when(F.col("plant") & (F.col("n") > 0), planted).otherwise(F.col("text")).alias("text"))
+    found = find_runs(rows)
+    best = F.expr("aggregate(runs, get(runs, 0), (best, x) -> if(x.length * best.period > best.length * x.period, x, best))")
+    line = F.transform("runs", lambda x: F.concat(x["start"].cast("string"), F.lit(","), x["length"].cast("string"), F.lit(","), x["period"].cast("string"), F.lit("\n")))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
