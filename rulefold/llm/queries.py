@@ -18,6 +18,7 @@ from rulefold.llm.quality_rules import quality_rules
 from rulefold.llm.registry import ORACLES, QUERIES, query
 from rulefold.llm.suffix_dedup import remove_repeats
 from rulefold.llm.token_counts import token_counts
+from rulefold.llm.topk_search import top_k
 from rulefold.llm.warc import round_trip
 from rulefold.session import table
 
@@ -215,3 +216,16 @@ def op13_period_runs(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
         F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_topk_search", """
+    WITH v AS (
+        SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS parts FROM embeddings
+        WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)), false)),
+    scored AS (
+        SELECT q.place, q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.parts, c.parts), lambda x: x[1] * x[2])), 0)::BIGINT AS score
+        FROM v q JOIN v c ON q.place <> c.place WHERE q.vec_id % 100 = 0)
+    SELECT query_id, (row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id NULLS LAST))::INTEGER AS rank, vec_id, score
+    FROM scored QUALIFY rank <= 10""")
+def op12_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
