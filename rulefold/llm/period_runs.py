@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulefold.llm.frames import col, give_back
-from rulefold.llm.text_arrays import chunks, hash_spans, utf8, word_spans
+from rulefold.llm.text_arrays import chunks, hash_spans, joined_words, utf8, word_spans
 
 
 @dataclass(frozen=True)
@@ -108,9 +108,11 @@ def find_runs(df: DataFrame, settings: Settings | None = None, id_col: str = "do
                 dropped = np.zeros(len(starts) + 1, np.int64)
                 np.add.at(dropped, runs[:, 0] + runs[:, 2], 1)
                 np.add.at(dropped, runs[:, 0] + runs[:, 1], -1)
+                kept = np.cumsum(dropped)[:-1] == 0
+                owner = np.repeat(np.arange(j - i), np.diff(firsts))[kept]
                 yield pa.RecordBatch.from_arrays([
                     batch.column("own").slice(i, j - i), pa.array(np.diff(firsts)), _lists(runs, firsts),
-                    _joined(part, starts, lengths, firsts, np.cumsum(dropped)[:-1] == 0)], ["own", "n_words", "runs", "collapsed"])
+                    joined_words(part, starts[kept], lengths[kept], owner, j - i)], ["own", "n_words", "runs", "collapsed"])
             give_back()
 
     return rows.mapInArrow(find, FOUND.format(rows.schema["own"].dataType.simpleString())).withColumnRenamed("own", id_col)
@@ -122,18 +124,3 @@ def _lists(runs: np.ndarray, firsts: np.ndarray) -> pa.Array:
     owner = np.searchsorted(firsts, runs[:, 0], "right") - 1
     values = pa.StructArray.from_arrays([pa.array(runs[:, 0] - firsts[owner]), pa.array(runs[:, 1].copy()), pa.array(runs[:, 2].copy())], ["start", "length", "period"])
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
-
-
-def _joined(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, firsts: np.ndarray, kept: np.ndarray) -> pa.Array:
-    """The kept words of each text with one space between them: their bytes and one separator byte, picked in one step."""
-    owner = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))[kept]
-    starts, lengths = starts[kept], lengths[kept]
-    first = np.append(True, owner[1:] != owner[:-1]) if len(owner) else np.zeros(0, bool)
-    size = lengths + ~first  # a space before every word but a text's first
-    ends = np.cumsum(size)
-    out = np.full(int(ends[-1]) if len(ends) else 0, 0x20, np.uint8)
-    place = np.repeat(ends - lengths - starts, lengths)
-    source = np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-    out[source + place] = data[source]
-    bounds = np.append(0, np.cumsum(np.bincount(owner, size, len(firsts) - 1))).astype(np.int64)
-    return pa.LargeStringArray.from_buffers(len(firsts) - 1, pa.py_buffer(bounds), pa.py_buffer(out)).cast(pa.string())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rulefold.llm.chat import format_chats, read_chats
 from rulefold.llm.classifier import fit, score
+from rulefold.llm.collocations import collocations
 from rulefold.llm.exact_dedup import exact_dedup
 from rulefold.llm.jaccard_join import Settings as Jaccard
 from rulefold.llm.jaccard_join import near_duplicates
@@ -158,6 +159,30 @@ def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op11_phrase_collocations", r"""
+    WITH t AS (
+        SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+            string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+    p AS (SELECT lang, regexp_extract_all(unnest(pieces), '[^\x20\x09]+') AS words FROM t),
+    total AS (SELECT lang, sum(len(words)) AS n FROM p GROUP BY lang),
+    sizes AS (SELECT unnest(range(1, 6)) AS size),
+    grams AS (SELECT lang, size, words[i:i + size - 1] AS words FROM (SELECT lang, size, words, unnest(range(1, len(words) - size + 2)) AS i FROM p, sizes)),
+    f AS (SELECT lang, size, words, array_to_string(words, ' ') AS phrase, count(*) AS a FROM grams GROUP BY lang, size, words HAVING count(*) >= 100),
+    inside AS (
+        SELECT f.lang, list_slice(words, i, i + k - 1) AS words, max(a) AS longer FROM f, (SELECT unnest(range(2, 5)) AS k) ks, (SELECT unnest(range(1, 5)) AS i) starts
+        WHERE k < size AND i + k - 1 <= size GROUP BY ALL),
+    cuts AS (
+        SELECT f.lang, f.phrase, f.a, k, x.a AS l, y.a AS r, n, (1000 * f.a::HUGEINT * n::HUGEINT) // (x.a::HUGEINT * y.a::HUGEINT) AS score
+        FROM f JOIN (SELECT unnest(range(1, 5)) AS k) ks ON k < f.size JOIN f x ON x.lang = f.lang AND x.words = f.words[:k]
+        JOIN f y ON y.lang = f.lang AND y.words = f.words[k + 1:] JOIN total ON total.lang = f.lang
+        LEFT JOIN inside ON inside.lang = f.lang AND inside.words = f.words WHERE longer IS NULL OR 100 * longer < 100 * f.a),
+    best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+    SELECT lang, (row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase))::INTEGER AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+    FROM best QUALIFY rank <= 2000""")
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
+
+
 def _factor_levels(levels: int) -> str:
     """SQL of the dictionary of basic factors: names of 1, 2, 4, ... words from the names of half as many, only those that occur twice or more."""
     out = ["""f0 AS (SELECT doc_id, i, hash(words[i + 1]) AS name FROM (SELECT doc_id, words, unnest(range(len(words))) AS i FROM planted))"""]

@@ -78,12 +78,12 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.
     return mix(h + lengths.astype(np.uint64) * _C)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and lengths of all words, and the number of the first word of each text (one more at the end)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths of all words, and the number of the first word of each text (one more at the end); `gap` tells the bytes between words."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = ~SPACE[data]
+    word = ~gap[data]
     begins = word.copy()
     begins[1:] &= ~word[:-1]
     edges = offsets[(offsets > 0) & (offsets < n)]
@@ -117,3 +117,15 @@ def stretches(values: np.ndarray) -> list[tuple[int, int]]:
         return []
     bounds = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
     return list(zip(bounds[:-1], bounds[1:], strict=True))
+
+
+def joined_words(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
+    """`n` strings: the words of each owner, which come in order, with one space between them."""
+    first = np.append(True, owner[1:] != owner[:-1]) if len(owner) else np.zeros(0, bool)
+    size = lengths + ~first  # a space before every word but the first
+    ends = np.cumsum(size)
+    out = np.full(int(ends[-1]) if len(ends) else 0, 0x20, np.uint8)
+    source = np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    out[source + np.repeat(ends - lengths - starts, lengths)] = data[source]
+    bounds = np.append(0, np.cumsum(np.bincount(owner, size, n))).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(bounds), pa.py_buffer(out)).cast(pa.string())
