@@ -239,15 +239,19 @@ def _count(batches: Iterator[pa.RecordBatch], s: Settings, tables: dict[int, Tab
     """Occurrences of the surviving n-grams, by their words, and of all words by language (a null phrase)."""
     names, held = ["lang", "phrase", "words", "n"], []
 
-    def handed_on() -> pa.RecordBatch:
+    def merged() -> tuple:
         keys, counts, phrases, sizes, langs = (list(x) for x in zip(*held, strict=True))
         keys, counts = np.concatenate(keys), np.concatenate(counts)
         one, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         total = np.zeros(len(one), np.int64)
         np.add.at(total, inverse, counts)
         pick = pa.array(first)
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(langs).take(pick), pa.concat_arrays(phrases).take(pick), pa.array(np.concatenate(sizes)[first]), pa.array(total)], names)
+        return one, total, pa.concat_arrays(phrases).take(pick), np.concatenate(sizes)[first], pa.concat_arrays(langs).take(pick)
 
+    def rows(parts: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([parts[4], parts[2], pa.array(parts[3]), pa.array(parts[1])], names)
+
+    waiting, most = 0, s.held // 4
     for words, langs in _texts(batches):
         by_lang = pa.table({"lang": langs, "n": np.diff(words.firsts)}).group_by("lang").aggregate([("n", "sum")])
         by_lang = by_lang.select(["lang", "n_sum"]).combine_chunks()
@@ -257,11 +261,14 @@ def _count(batches: Iterator[pa.RecordBatch], s: Settings, tables: dict[int, Tab
             keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
             at = at[first]
             held.append((keys, counts, words.phrases(at, n), np.full(len(at), n, np.int32), langs.take(pa.array(words.text[at]))))
-        if sum(len(h[0]) for h in held) >= s.held // 4:
-            yield handed_on()
-            held = []
+            waiting += len(at)
+        if waiting >= most:
+            held, waiting = [merged()], 0
+            if len(held[0][0]) >= s.held:
+                yield rows(held[0])
+                held = []
     if held:
-        yield handed_on()
+        yield rows(merged())
 
 
 def _flat(column: pa.ChunkedArray) -> pa.Array:
