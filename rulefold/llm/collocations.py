@@ -235,40 +235,81 @@ def survivors(rows: DataFrame, sizes: range, tables: dict[int, Table], mass: int
     return Table(packed, s.bits), found.agg(F.coalesce(F.sum("mass"), F.lit(0))).first()[0]
 
 
-def _count(batches: Iterator[pa.RecordBatch], s: Settings, tables: dict[int, Table]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of the surviving n-grams, by their words, and of all words by language (a null phrase)."""
-    names, held = ["lang", "phrase", "words", "n"], []
+COUNTED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
 
-    def merged() -> tuple:
-        keys, counts, phrases, sizes, langs = (list(x) for x in zip(*held, strict=True))
-        keys, counts = np.concatenate(keys), np.concatenate(counts)
+
+def _count(batches: Iterator[pa.RecordBatch], s: Settings, tables: dict[int, Table], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Occurrences of the surviving n-grams with their words, and of all words by language (a null phrase), as blocks by hash partition."""
+    held: list[tuple[np.ndarray, pa.Table]] = []
+
+    def merged() -> tuple[np.ndarray, pa.Table]:
+        keys, rows = np.concatenate([k for k, _ in held]), pa.concat_tables(r for _, r in held)
         one, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         total = np.zeros(len(one), np.int64)
-        np.add.at(total, inverse, counts)
-        pick = pa.array(first)
-        return one, total, pa.concat_arrays(phrases).take(pick), np.concatenate(sizes)[first], pa.concat_arrays(langs).take(pick)
+        np.add.at(total, inverse, rows["n"].to_numpy())
+        return one, rows.take(pa.array(first)).set_column(3, "n", pa.array(total)).combine_chunks()
 
-    def rows(parts: tuple) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([parts[4], parts[2], pa.array(parts[3]), pa.array(parts[1])], names)
+    def blocks(keys: np.ndarray, rows: pa.Table) -> pa.RecordBatch:
+        bucket = (keys >> _U(16)) % _U(buckets)
+        order = np.argsort(bucket, kind="stable")
+        rows, parts = rows.take(pa.array(order)), stretches(bucket[order])
+        return pa.RecordBatch.from_arrays([
+            pa.array([int(bucket[order[a]]) for a, _ in parts], pa.int32()), pa.array([_packed(rows.slice(a, b - a)) for a, b in parts], pa.binary())], ["bucket", "rows"])
 
-    waiting, most = 0, s.held // 4
+    waiting = 0
     for words, langs in _texts(batches):
-        by_lang = pa.table({"lang": langs, "n": np.diff(words.firsts)}).group_by("lang").aggregate([("n", "sum")])
-        by_lang = by_lang.select(["lang", "n_sum"]).combine_chunks()
-        k = by_lang.num_rows
-        yield pa.RecordBatch.from_arrays([_flat(by_lang["lang"]), pa.nulls(k, pa.string()), pa.array(np.zeros(k, np.int32)), _flat(by_lang["n_sum"])], names)
+        all_ = pa.table({"lang": langs, "n": np.diff(words.firsts)}).group_by("lang").aggregate([("n", "sum")])
+        k = all_.num_rows
+        names, bounds = utf8(_flat(all_["lang"]))
+        found = pa.table([_flat(all_["lang"]), pa.nulls(k, pa.string()), pa.array(np.zeros(k, np.int32)), _flat(all_["n_sum"])], schema=COUNTED)
+        held.append((hash_spans(names, bounds[:-1], np.diff(bounds)), found))
         for n, at, keys in words.grams(tables, s.longest):
             keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
             at = at[first]
-            held.append((keys, counts, words.phrases(at, n), np.full(len(at), n, np.int32), langs.take(pa.array(words.text[at]))))
+            held.append((keys, pa.table([langs.take(pa.array(words.text[at])), words.phrases(at, n), pa.array(np.full(len(at), n, np.int32)), pa.array(counts)], schema=COUNTED)))
             waiting += len(at)
-        if waiting >= most:
+        if waiting >= s.held // 4:
             held, waiting = [merged()], 0
             if len(held[0][0]) >= s.held:
-                yield rows(held[0])
+                yield blocks(*held[0])
                 held = []
     if held:
-        yield rows(merged())
+        yield blocks(*merged())
+
+
+def _packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as writer:
+        writer.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _frequent(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    """The phrases of each partition with `least` occurrences, summed by their words; blocks arrive sorted by partition."""
+    bucket, held, waiting = None, [], 0
+
+    def summed_rows() -> pa.Table:
+        rows = pa.concat_tables(held).group_by(["lang", "phrase", "words"]).aggregate([("n", "sum")])
+        return rows.rename_columns(["lang", "phrase", "words", "n"]).cast(COUNTED)
+
+    def close() -> Iterator[pa.RecordBatch]:
+        rows = summed_rows()
+        yield from rows.filter(pc.or_(pc.greater_equal(rows["n"], s.least), pc.is_null(rows["phrase"]))).to_batches()
+
+    for batch in batches:
+        for number, block in zip(batch.column("bucket").to_pylist(), batch.column("rows"), strict=True):
+            if number != bucket and held:
+                yield from close()
+                held, waiting = [], 0
+            bucket = number
+            held.append(pa.ipc.open_stream(block.as_buffer()).read_all())
+            waiting += held[-1].num_rows
+            if len(held) > 1 and waiting > max(1 << 18, 2 * held[0].num_rows):
+                held = [summed_rows()]
+                waiting = held[0].num_rows
+    if held:
+        yield from close()
+    give_back()
 
 
 def _flat(column: pa.ChunkedArray) -> pa.Array:
@@ -292,8 +333,9 @@ def phrase_counts(df: DataFrame, settings: Settings | None = None, text_col: str
         longer, _ = survivors(rows, range(3, s.longest + 1), dict(tables), (s.longest - 2) * mass, s)
         tables |= {n: longer for n in range(3, s.longest + 1)}
     shared = spark.sparkContext.broadcast(tables)
-    found = rows.mapInArrow(lambda b: _count(b, s, shared.value), "lang string, phrase string, words int, n bigint")
-    return found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where((F.col("n") >= s.least) | F.col("phrase").isNull())
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-mass // (s.least * s.summary)))
+    blocks = rows.mapInArrow(lambda b: _count(b, s, shared.value, buckets), "bucket int, rows binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return blocks.mapInArrow(lambda b: _frequent(b, s), "lang string, phrase string, words int, n bigint")
 
 
 def collocations(df: DataFrame, settings: Settings | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
