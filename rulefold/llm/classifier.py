@@ -6,13 +6,12 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rulefold.llm.frames import col
+from rulefold.llm.frames import col, give_back
 from rulefold.llm.text_arrays import LOWER, SPACE, chunks, hash_spans, inside, mix, ngrams, utf8
 
 _U = np.uint64
@@ -126,19 +125,22 @@ def fit(df: DataFrame, labels: DataFrame, learn_from: Column, settings: Settings
     s = settings or Settings()
     sample = labelled_sample(df, labels, learn_from, s, id_col, text_col, label_col).withColumn("shard", F.pmod("key", F.lit(s.shards)))
 
-    def learn(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["key", "text"])
-        data, offsets = utf8(pa.array(group["text"], pa.string()))
+    def learn(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("key", "ascending"), ("text", "ascending")])
+        labels = group["label"].to_numpy()
+        data, offsets = utf8(group["text"].combine_chunks())
+        del group
 
         def rows() -> Iterator[np.ndarray]:
             for i, j in chunks(offsets):
                 index, count = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], s)
                 yield from np.split(index, np.cumsum(count)[:-1])
 
-        weights = train(rows(), group["label"].to_numpy(), s)
-        return pd.DataFrame({"n": [len(group)], "weights": [weights.tobytes()]})
+        weights = train(rows(), labels, s)
+        give_back()
+        return pa.table({"n": pa.array([len(labels)], pa.int64()), "weights": pa.array([weights.tobytes()], pa.binary())})
 
-    learned = sample.groupBy("shard").applyInPandas(learn, "n bigint, weights binary").collect()
+    learned = sample.groupBy("shard").applyInArrow(learn, "n bigint, weights binary").collect()
     total = np.zeros((1 << s.bits) + 1)
     for row in sorted(learned, key=lambda r: bytes(r["weights"])):
         total += np.frombuffer(bytes(row["weights"]), np.float32) * row["n"]
@@ -159,10 +161,14 @@ def score(df: DataFrame, weights: np.ndarray, settings: Settings | None = None,
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
+            data, offsets = utf8(batch.column("row").field(place) if whole else batch.column("text"))
             found = [scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shared.value, s) for i, j in chunks(offsets)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.concatenate(found or [np.zeros(0)]), pa.float64())], ["row", "score"])
+            give_back()
 
-    rows = df.select(F.struct("*").alias("row"), col(text_col).cast("string").alias("text"))
+    # a text that is a string already goes to the tasks once, inside its row
+    place = next(k for k, c in enumerate(df.columns) if c.lower() == text_col.lower())
+    whole = isinstance(df.schema[place].dataType, T.StringType)
+    rows = df.select(F.struct("*").alias("row"), F.lit(None).cast("string").alias("text") if whole else col(text_col).cast("string").alias("text"))
     out = rows.mapInArrow(scored, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
     return out.select("row.*", F.col("score").alias(score_col))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulefold.llm.frames import col, written
+from rulefold.llm.frames import col, give_back, written
 from rulefold.llm.graph import components
 from rulefold.llm.text_arrays import LOWER, chunks, hash_spans, inside, join_hash, mix, ngrams, stretches, utf8, word_spans
 
@@ -78,6 +78,7 @@ def _sets(batch: pa.RecordBatch, s: Settings) -> Iterator[tuple[int, list[np.nda
     data, offsets = utf8(batch.column("text"))
     for i, j in chunks(offsets):
         yield i, shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], s.words)
+    give_back()
 
 
 # --- candidates ---------------------------------------------------------------------------------------------------

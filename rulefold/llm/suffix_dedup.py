@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulefold.llm.frames import col, written
+from rulefold.llm.frames import col, give_back, written
 from rulefold.llm.text_arrays import chunks, hash_spans, join_hash, mix, utf8
 
 _U = np.uint64
@@ -254,6 +254,7 @@ def _find(batches: Iterator[pa.RecordBatch], s: Settings, buckets: int) -> Itera
             for kind, picked in ((0, order[first & ~more]), (1, order[first & more]), (2, order[~first])):
                 rows += [(row[0], kind, *row[1:5]) for row in _blocks(columns[0][picked], [c[picked] for c in columns], None, buckets)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 6, FOUND[1], strict=True)], FOUND[0])
+        give_back()
 
 
 FOUND = (["bucket", "kind", "anchor", "id", "text", "place"], [pa.int32(), pa.int32(), *[pa.binary()] * 4])
@@ -316,22 +317,26 @@ def _contexts(batches: Iterator[pa.RecordBatch], s: Settings, buckets: int) -> I
                 rows.append((int(id_) % buckets, 1, b"", b"", np.int64(id_).tobytes(), np.int64(text).tobytes(), spans, b"", b"", b""))
             owner, start, length = owner[picked], start[picked], length[picked]
             padded = np.append(part, np.zeros(s.width, np.uint8))
-            grid = padded[start[:, None] + np.arange(s.width)]
+            grid = np.lib.stride_tricks.sliding_window_view(padded, s.width)[start]
             used = np.arange(s.width) < length[:, None]
             columns = [key[picked], body[picked], ids[i:j][owner], tags[owner], start - bounds[owner], length, at[picked] - start]
             rows += [(row[0], 0, *row[1:]) for row in _blocks(columns[0], columns, (grid, used), buckets)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 10, [pa.int32(), pa.int32(), *[pa.binary()] * 8], strict=True)],
                                              ["bucket", "kind", "anchor", "tag", "id", "text", "start", "length", "offset", "bytes"])
+        give_back()
 
 
 def _removed(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
     """Spans to remove, from all contexts of a bucket; contexts of very large groups are handed on as they are (kind 2)."""
-    for _, rows in _by_bucket(batches):
+    for _, all_ in _by_bucket(batches):
+        rows = all_[:]
+        all_.clear()  # what is joined below is not held twice
         out = [(0, np.frombuffer(r["id"], np.int64)[0].item(), np.frombuffer(r["text"], np.int64)[0].item(), r["start"], None) for r in rows if r["kind"]]
         rows = [r for r in rows if not r["kind"]]
         key, tag, ids, texts, start, length, offset = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in (
             ("anchor", np.uint64), ("tag", np.uint64), ("id", np.int64), ("text", np.int64), ("start", np.int64), ("length", np.int64), ("offset", np.int64)))
         body = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
+        rows.clear()
         first_byte = np.cumsum(length) - length
         order = np.lexsort((start, texts, ids, tag, key))
         again = np.append(False, (key[order[1:]] == key[order[:-1]]) & (tag[order[1:]] == tag[order[:-1]])) if len(order) else np.zeros(0, bool)
@@ -355,6 +360,7 @@ def _removed(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Reco
         out += [(0, id_, text, spans, None) for id_, text, spans in _spans(*columns)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 5, [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)],
                                          ["kind", "id", "text", "spans", "bytes"])
+        give_back()
 
 
 def _shares_part(body: np.ndarray, first: np.ndarray, length: np.ndarray, offset: np.ndarray, key: np.ndarray, s: Settings) -> np.ndarray:
