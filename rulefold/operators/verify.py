@@ -77,6 +77,14 @@ def verify(
     What the schema or the bodies decide (L1 presence, L2) holds for an empty table too.
     """
     df = with_lookups(df, rules.values())
+    aggregates, table = check_aggregates(df, rules, bodies, expected_rows=expected_rows, sample=sample)
+    return Checked(df.agg(*aggregates).select(F.inline(table)))
+
+
+def check_aggregates(
+    df: DataFrame, rules: Mapping[str, RuleColumns], bodies: Mapping[str, Body] | None = None, *, expected_rows: int | None = None, sample: bool = True,
+) -> tuple[list[Column], Column]:
+    """The aggregates behind `verify`, and the array of checks as an expression over their results; `df` has the lookups of the rules."""
     aggregates: list[Column] = [F.count(F.lit(1)).alias("n")]
     rows: list[list[Column]] = []
 
@@ -107,8 +115,7 @@ def verify(
         for label, wins in rule.reach.items():
             add(name, "L_p", "P-risk_score-1", "warning", f"tier {label} is never reached",
                 F.when(F.count_if(wins) == 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
-    table = F.array(*[F.struct(*[c.alias(f) for c, f in zip(r, CHECK_FIELDS)]) for r in rows])
-    return Checked(df.agg(*aggregates).select(F.inline(table)))
+    return aggregates, F.array(*[F.struct(*[c.alias(f) for c, f in zip(r, CHECK_FIELDS)]) for r in rows])
 
 
 def verdicts(checks: DataFrame, keys: tuple[str, ...] = ("derivation",)) -> DataFrame:

@@ -2,8 +2,8 @@
 
 All derivations of a dependency level become one `withColumns`, so the plan is as deep as the dependency
 graph, not as long as the spec. Jobs run before the result is returned only where a data-dependent decision
-is asked for: date formats of text columns, whole-number durations, and `error` policies. Each of these is a
-single aggregate over the columns concerned.
+is asked for: one pass finds the date formats of text columns and which durations are whole, at any number of levels, and one
+counts what `error` policies forbid. `rulefold.plans.publish` leaves the latter to the pass that writes.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rulefold.functions.cells import col
-from rulefold.functions.dates import detect_formats
+from rulefold.functions.dates import decide, is_date_source
 from rulefold.operators.policy import blocked_counts, raise_on_blocked
 from rulefold.operators.rules import RuleColumns, Scope, rule_kind, with_lookups
-from rulefold.plans.bodies import Body, DurationBody
+from rulefold.plans.bodies import UNIT_DAYS, Body, DurationBody
 from rulefold.plans.errors import SpecError
 from rulefold.plans.spec import Spec, SpecEntry, dependency_levels, require_columns
 
@@ -53,20 +53,23 @@ class Derived:
         return list(self.rules)
 
 
-def _text_dates(df: DataFrame, bodies: list[Body], known: Mapping[str, str]) -> dict[str, str]:
-    """Formats for text endpoints that the caller did not fix."""
-    names = [n for b in bodies if isinstance(b, DurationBody) for n in (b.start_column, b.end_column)]
-    open_names = [
-        n for n in dict.fromkeys(names)
-        if n in df.columns and n not in known and isinstance(df.schema[n].dataType, T.StringType)
-    ]
+def _decide(df: DataFrame, bodies: Mapping[str, Body], known: Mapping[str, str], integral: str) -> tuple[dict[str, str], dict[str, bool]]:
+    """Formats of text date columns and which durations between source columns are whole: one pass for both, none if nothing is open."""
+    durations = {n: b for n, b in bodies.items() if isinstance(b, DurationBody)}
+    names = [c for b in durations.values() for c in (b.start_column, b.end_column)]
+    open_names = [c for c in dict.fromkeys(names) if c in df.columns and c not in known and isinstance(df.schema[c].dataType, T.StringType)]
     if open_names and df.isStreaming:
         raise SpecError(f"a stream needs date_formats for {open_names}")
-    return {**known, **detect_formats(df, open_names)}
+    spans = {
+        n: (b.start_column, b.end_column, int(UNIT_DAYS[b.unit])) for n, b in durations.items()
+        if integral == "auto" and all(c in df.columns and is_date_source(df.schema[c].dataType) for c in (b.start_column, b.end_column))
+        and not (b.unit == "days" and all(isinstance(df.schema[c].dataType, T.DateType) for c in (b.start_column, b.end_column)))}
+    formats, whole = decide(df, open_names, known, list(spans.values()))
+    return {**known, **formats}, {n: whole[span] for n, span in spans.items()}
 
 
 def _whole_durations(df: DataFrame, names: list[str]) -> dict[str, bool]:
-    """For each derived duration: is every present value whole (and is there one)?"""
+    """For each duration between derived columns: is every present value whole (and is there one)?"""
     if not names:
         return {}
     row = df.agg(*[F.bool_and(col(n) == F.floor(col(n))).alias(n) for n in names]).first()
@@ -106,8 +109,9 @@ def apply_spec(
 
     integral: 'auto' makes a duration bigint when all its values are whole (one aggregate), 'never' keeps
     double, 'always' truncates to bigint; streams must choose 'never' or 'always'.
-    on_error: 'raise', or 'skip' to leave out derivations whose `error` policy is hit or whose body is not
-    well formed, together with everything that reads them.
+    on_error: 'raise'; 'skip' to leave out derivations whose `error` policy is hit or whose body is not
+    well formed, together with everything that reads them; or 'defer' to leave `error` policies to the caller, who finds them in `blocked`
+    (see `rulefold.plans.publish`).
     explain: also add `<target>__why`.
     """
     require_columns(spec, df.columns)
@@ -123,22 +127,24 @@ def apply_spec(
         try:
             bodies[d.name] = d.body()
         except SpecError as exc:
-            if on_error == "raise":
+            if on_error != "skip":
                 raise
             outcomes[d.name] = Outcome("unresolved", str(exc))
-    formats = _text_dates(df, list(bodies.values()), date_formats or {})
-    result = _project(df, spec, levels, bodies, dict(outcomes), formats, integral, explain, on_error)
+    formats, whole = _decide(df, bodies, date_formats or {}, integral)
+    result = _project(df, spec, levels, bodies, dict(outcomes), formats, whole, integral, explain, on_error)
     if df.isStreaming:
         if result.blocked:
             raise SpecError(f"error policies of {list(result.blocked)} cannot stop a stream; use quarantine instead")
         return result
+    if on_error == "defer":
+        return result
     hit = {n: c for n, c in blocked_counts(result.checked, result.blocked).items() if c.total_blocked}
     if hit and on_error == "raise":
         raise_on_blocked(result, hit)
     if hit:
         for n, c in hit.items():
             outcomes[n] = Outcome("unresolved", c.describe())
-        result = _project(df, spec, levels, bodies, outcomes, formats, integral, explain, on_error)
+        result = _project(df, spec, levels, bodies, outcomes, formats, whole, integral, explain, on_error)
     return result
 
 
@@ -146,7 +152,7 @@ def helper(name: str, what: str) -> str:
     return f"__{what}__{name}"
 
 
-def _project(df, spec, levels, bodies, outcomes, formats, integral, explain, on_error) -> Derived:
+def _project(df, spec, levels, bodies, outcomes, formats, known_whole, integral, explain, on_error) -> Derived:
     source_columns = list(df.columns)
     out = Derived(df, source_columns, levels, outcomes=outcomes)
     frame, helpers = df, []
@@ -164,7 +170,7 @@ def _project(df, spec, levels, bodies, outcomes, formats, integral, explain, on_
             try:
                 rule = rule_kind(entry.rule_kind).build(scope, entry.inputs[0], bodies[name])
             except SpecError as exc:
-                if on_error == "raise":
+                if on_error != "skip":
                     raise
                 outcomes[name] = Outcome("unresolved", str(exc))
                 continue
@@ -188,9 +194,10 @@ def _project(df, spec, levels, bodies, outcomes, formats, integral, explain, on_
             columns |= extra
             helpers += extra
         if columns:
-            unsure = [n for n in durations if not out.rules[n].whole]  # days between two dates need no look
+            # days between two dates need no look, durations between source columns had theirs
+            unsure = [n for n in durations if not out.rules[n].whole and n not in known_whole]
             whole = (
-                {n: True for n in durations} | _whole_durations(frame.withColumns({n: columns[n] for n in unsure}), unsure)
+                {n: known_whole.get(n, True) for n in durations} | _whole_durations(frame.withColumns({n: columns[n] for n in unsure}), unsure)
                 if integral == "auto" else {n: integral == "always" for n in durations}
             )
             columns |= {n: columns[n].cast("bigint") for n, yes in whole.items() if yes}

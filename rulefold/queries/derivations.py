@@ -402,9 +402,10 @@ SELECT 'B' AS derivation, 'null' AS policy, count(*) FILTER (p IS NULL) AS n_blo
 UNION ALL SELECT 'F', 'null', count(*) FILTER (s IS NULL), count(*) FROM o
 UNION ALL SELECT 'F', 'unmapped', count(*) FILTER (s IS NOT NULL AND s <> 'F'), count(*) FROM o
 UNION ALL SELECT 'C', 'null', count(*) FILTER ((p >= 200000 AND s = 'F') IS NULL), count(*) FROM o
-UNION ALL SELECT 'R', 'null', count(*) FILTER ((p >= 200000) IS NULL AND (s = 'F') IS NULL), count(*) FROM o""")
+UNION ALL SELECT 'R', 'null', count(*) FILTER ((p >= 200000) IS NULL AND (s = 'F') IS NULL), count(*) FROM o
+UNION ALL SELECT 'D', 'null', count(*) FILTER (o_orderstatus = 'O' OR o_orderstatus IS NULL), count(*) FROM orders""")
 def policy_blocked_counts(spark: SparkSession, folder: str) -> DataFrame:
-    df, blocked = _strict_orders(spark, folder)
+    df, blocked = _strict_orders(spark, folder, with_duration=True)
     items = [(n, p, c) for n, by in blocked.items() for p, c in by.items()]
     row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(f"c{i}") for i, (_, _, c) in enumerate(items)])
     cells = [F.struct(F.lit(n).alias("derivation"), F.lit(p).alias("policy"), F.col(f"c{i}").alias("n_blocked"),
@@ -412,9 +413,9 @@ def policy_blocked_counts(spark: SparkSession, folder: str) -> DataFrame:
     return row.select(F.inline(F.array(*cells)))
 
 
-def _strict_orders(spark: SparkSession, folder: str):
+def _strict_orders(spark: SparkSession, folder: str, with_duration: bool = False):
     df = table(spark, folder, "orders").select(
-        "o_orderkey", F.expr("nullif(o_orderstatus, 'P')").alias("s"),
+        "o_orderkey", "o_orderdate", F.when(F.col("o_orderstatus") != "O", F.date_add("o_orderdate", F.lit(9))).alias("closed"), F.expr("nullif(o_orderstatus, 'P')").alias("s"),
         F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_totalprice")).alias("p"))
     bodies = {
         "B": ("bin", "p", {"edges": [1], "labels": ["a", "b"], "null_handling": "error"}),
@@ -424,6 +425,8 @@ def _strict_orders(spark: SparkSession, folder: str):
                                              {"label": "b", "conditions": [_cond("s", "==", "F")]}],
                                    "fallback_label": "c", "null_handling": "error"}),
     }
+    if with_duration:
+        bodies["D"] = ("duration", None, {"start_column": "o_orderdate", "end_column": "closed", "null_handling": "error"})
     scope = Scope(df.schema)
     rules = {n: rule_kind(k).build(scope, src, rule_kind(k).body.parse(b)) for n, (k, src, b) in bodies.items()}
     return df, {n: r.blocked for n, r in rules.items()}

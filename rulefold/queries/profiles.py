@@ -139,11 +139,12 @@ def propose_accepted(spark: SparkSession, folder: str) -> DataFrame:
 @query("propose_extras", f"""
 WITH {PROPOSALS_SQL}
 SELECT name, rule_kind, rule_body FROM p
-UNION ALL SELECT 'COUNTRY_FLAG', 'flag', '{{"map":{{"' || n_name || '":"HOME"}}}}' FROM nation WHERE n_nationkey = 0""")
+UNION ALL SELECT 'COUNTRY_FLAG', 'flag', '{{"map":{{' || string_agg('"' || n_name || '":"' || n_regionkey || '"', ',' ORDER BY n_name) || '}}}}' FROM nation""")
 def propose_extras(spark: SparkSession, folder: str) -> DataFrame:
     proposals = propose(profile(clinical(spark, folder), "clinical", exact=False))
-    home = table(spark, folder, "nation").where("n_nationkey = 0")
-    body = F.to_json(F.struct(F.create_map("n_name", F.lit("HOME")).alias("map")))
+    named = F.array_sort(F.collect_list(F.struct("n_name", F.col("n_regionkey").cast("string"))))
+    home = table(spark, folder, "nation").agg(F.map_from_entries(named).alias("map"))
+    body = F.to_json(F.struct("map"))
     extras = home.select(
         F.lit("clinical").alias("dataset"), F.explode(F.array(F.lit("COUNTRY_FLAG"), F.lit("AGE_GROUP"))).alias("name"),
         F.lit("flag").alias("rule_kind"), body.alias("rule_body"))

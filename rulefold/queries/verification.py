@@ -12,24 +12,28 @@ from rulefold.operators.lineage import read_lineage, with_lineage
 from rulefold.operators.rules import RULE_KINDS, Check, RuleColumns, Scope, register_rule_kind, rule_kind
 from rulefold.plans.apply import apply_rule
 from rulefold.plans.bodies import BinBody
+from rulefold.plans.publish import publish
 from rulefold.plans.run import Memory, run_spec
 from rulefold.plans.spec import Spec
 from rulefold.queries import query
 from rulefold.queries.derivations import FLAGSHIP, FLAGSHIP_SQL, _cond, flagship, shipped
-from rulefold.session import table
+from rulefold.session import fresh_folder, table
 
 # A stored table whose outputs were partly changed after the rules ran.
 STORED_SQL = """
 o AS (SELECT o_orderkey, o_custkey, nullif(o_orderstatus, 'P') AS s,
-             CASE WHEN o_orderpriority <> '5-LOW' THEN o_totalprice END AS p FROM orders),
+             CASE WHEN o_orderpriority <> '5-LOW' THEN o_totalprice END AS p, o_orderdate,
+             CASE WHEN o_orderpriority <> '1-URGENT' THEN o_orderdate + to_days((o_custkey % 50 - 10)::INTEGER) END AS due FROM orders),
 st AS (SELECT *, CASE WHEN o_custkey % 100 = 1 THEN 'odd' WHEN o_custkey % 100 = 2 THEN NULL WHEN p IS NULL THEN NULL
                       WHEN p < 100000 THEN 'low' WHEN p < 300000 THEN 'mid' ELSE 'top' END AS band,
        CASE WHEN o_custkey % 100 = 3 THEN 'X' WHEN o_custkey % 100 = 4 THEN NULL WHEN s IS NULL THEN 'M' WHEN s = 'F' THEN 'done'
             ELSE 'U' END AS state,
        CASE WHEN o_custkey % 100 = 5 THEN 'maybe' WHEN p >= 200000 AND s = 'F' THEN 'Y' ELSE 'N' END AS pop,
        CASE WHEN o_custkey % 100 = 6 THEN 'low' WHEN p >= 300000 AND s = 'F' THEN 'high' WHEN p >= 300000 OR s = 'F'
-            THEN 'medium' WHEN (p >= 300000) IS NULL AND (s = 'F') IS NULL THEN NULL ELSE 'low' END AS risk
-       FROM o)"""
+            THEN 'medium' WHEN (p >= 300000) IS NULL AND (s = 'F') IS NULL THEN NULL ELSE 'low' END AS risk,
+       CASE WHEN o_custkey % 100 = 7 THEN -1 WHEN o_custkey % 100 = 8 THEN 0 WHEN o_custkey % 100 = 9 THEN days + 1
+            WHEN o_custkey % 100 = 10 THEN abs(days) ELSE days END AS wait
+       FROM (SELECT *, epoch(due - o_orderdate) / 86400 AS days FROM o))"""
 
 STORED_RULES = {
     "band": ("bin", "p", {"edges": [100000, 300000], "labels": ["low", "mid", "top"]}),
@@ -41,13 +45,15 @@ STORED_RULES = {
         {"label": "medium", "combinator": "or", "conditions": [_cond("p", ">=", 300000), _cond("s", "==", "F")]},
         {"label": "never", "conditions": [_cond("p", "<", 0)]}],
         "fallback_label": "low", "null_handling": "null"}),
+    "wait": ("duration", None, {"start_column": "o_orderdate", "end_column": "due"}),
 }
 
 
 def stored(spark: SparkSession, folder: str):
     df = table(spark, folder, "orders").select(
         "o_orderkey", "o_custkey", F.expr("nullif(o_orderstatus, 'P')").alias("s"),
-        F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_totalprice")).alias("p"))
+        F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_totalprice")).alias("p"), "o_orderdate",
+        F.when(F.col("o_orderpriority") != "1-URGENT", F.expr("o_orderdate + make_dt_interval(CAST(o_custkey % 50 AS INT) - 10)")).alias("due"))
     scope = Scope(df.schema)
     bodies = {n: rule_kind(k).body.parse(b) for n, (k, _, b) in STORED_RULES.items()}
     rules = {n: rule_kind(k).build(scope, src, bodies[n]) for n, (k, src, _) in STORED_RULES.items()}
@@ -58,56 +64,67 @@ def stored(spark: SparkSession, folder: str):
         "state": F.when(part == 3, F.lit("X")).when(part == 4, none).otherwise(rules["state"].value),
         "pop": F.when(part == 5, F.lit("maybe")).otherwise(rules["pop"].value),
         "risk": F.when(part == 6, F.lit("low")).otherwise(rules["risk"].value),
+        "wait": F.when(part == 7, -1).when(part == 8, 0).when(part == 9, rules["wait"].value + 1).when(part == 10, F.abs(rules["wait"].value)).otherwise(rules["wait"].value),
     })
     return df, rules, bodies
 
 
-def _violations(prop: str, name: str, cond: str, severity: str = "error") -> str:
-    return (f"SELECT '{name}' AS derivation, '{prop}' AS property_id, '{severity}' AS severity, count(*) AS n_rows, "
-            f"count(*) FILTER ({cond}) AS n_violations FROM st")
-
-
 T1, T2 = "(p >= 300000 AND s = 'F')", "(p >= 300000 OR s = 'F')"
 UNDEF = f"({T1} IS NULL AND {T2} IS NULL AND p IS NULL)"
-STORED_CHECKS = " UNION ALL ".join([
-    _violations("P-bin-1", "band", "p IS NOT NULL AND (band IS NULL OR band NOT IN ('low','mid','top'))"),
-    _violations("P-bin-2", "band", "p IS NULL AND band IS NOT NULL"),
-    _violations("P-bin-3", "band", "band IS NOT NULL AND band NOT IN ('low','mid','top')"),
-    _violations("P-flag-1", "state", "s = 'F' AND state IS DISTINCT FROM 'done'"),
-    _violations("P-flag-2", "state", "s IS NULL AND state IS DISTINCT FROM 'M'"),
-    _violations("P-flag-3", "state", "s IS NOT NULL AND s <> 'F' AND state IS DISTINCT FROM 'U'"),
-    _violations("P-flag-4", "state", "state IS NULL OR state NOT IN ('done','M','U')"),
-    _violations("P-compound-1", "pop", "(p >= 200000 AND s = 'F') IS NOT NULL AND pop IS DISTINCT FROM "
-                "(CASE WHEN p >= 200000 AND s = 'F' THEN 'Y' ELSE 'N' END)"),
-    _violations("P-compound-2", "pop", "(p >= 200000 AND s = 'F') IS NULL AND pop IS DISTINCT FROM 'N'"),
-    _violations("P-compound-3", "pop", "pop IS NULL OR pop NOT IN ('Y','N')"),
-    _violations("P-risk_score-2", "risk", f"coalesce({T2}, false) AND risk IS DISTINCT FROM "
-                f"(CASE WHEN {T1} THEN 'high' ELSE 'medium' END)"),
-    _violations("P-risk_score-3", "risk", f"NOT coalesce({T2}, false) AND NOT {UNDEF} AND risk IS DISTINCT FROM 'low'"),
-    _violations("P-risk_score-4", "risk", f"{UNDEF} AND risk IS NOT NULL"),
-])
+# (property, derivation, condition of a violation), as the rules are meant
+BROKEN = [
+    ("P-bin-1", "band", "p IS NOT NULL AND (band IS NULL OR band NOT IN ('low','mid','top'))"),
+    ("P-bin-2", "band", "p IS NULL AND band IS NOT NULL"),
+    ("P-bin-3", "band", "band IS NOT NULL AND band NOT IN ('low','mid','top')"),
+    ("P-flag-1", "state", "s = 'F' AND state IS DISTINCT FROM 'done'"),
+    ("P-flag-2", "state", "s IS NULL AND state IS DISTINCT FROM 'M'"),
+    ("P-flag-3", "state", "s IS NOT NULL AND s <> 'F' AND state IS DISTINCT FROM 'U'"),
+    ("P-flag-4", "state", "state IS NULL OR state NOT IN ('done','M','U')"),
+    ("P-compound-1", "pop", "(p >= 200000 AND s = 'F') IS NOT NULL AND pop IS DISTINCT FROM (CASE WHEN p >= 200000 AND s = 'F' THEN 'Y' ELSE 'N' END)"),
+    ("P-compound-2", "pop", "(p >= 200000 AND s = 'F') IS NULL AND pop IS DISTINCT FROM 'N'"),
+    ("P-compound-3", "pop", "pop IS NULL OR pop NOT IN ('Y','N')"),
+    ("P-risk_score-2", "risk", f"coalesce({T2}, false) AND risk IS DISTINCT FROM (CASE WHEN {T1} THEN 'high' ELSE 'medium' END)"),
+    ("P-risk_score-3", "risk", f"NOT coalesce({T2}, false) AND NOT {UNDEF} AND risk IS DISTINCT FROM 'low'"),
+    ("P-risk_score-4", "risk", f"{UNDEF} AND risk IS NOT NULL"),
+    ("P-duration-1", "wait", "due >= o_orderdate AND wait < 0"),
+    ("P-duration-2", "wait", "due IS NULL AND wait IS NOT NULL"),
+    ("P-duration-3", "wait", "due IS NOT NULL AND (wait IS NULL OR abs(wait - days) > 1e-9)"),
+    ("P-duration-4", "wait", "due < o_orderdate AND NOT coalesce(wait < 0, false)"),
+]
+STORED_CHECKS = " UNION ALL ".join(
+    f"SELECT '{name}' AS derivation, '{prop}' AS property_id, 'error' AS severity, count(*) AS n_rows, count(*) FILTER ({cond}) AS n_violations FROM st"
+    for prop, name, cond in BROKEN)
 REACH = " UNION ALL ".join(
     f"SELECT 'risk', 'P-risk_score-1', 'warning', count(*), CAST(count(*) FILTER ({c}) = 0 AS BIGINT) FROM st"
     for c in (T1, f"{T2} AND NOT coalesce({T1}, false)", "p < 0"))
+# what the schema and the bodies decide: all columns are there, all handlings are declared
+DECLARED = [*(("L1.target_column_present", n) for n in STORED_RULES), *((f"L2.bin.{x}", "band") for x in ("null_handling_explicit", "null_label_present")),
+            *((f"L2.flag.{x}", "state") for x in ("null_handling_explicit", "unmapped_handling_explicit", "null_value_present", "unmapped_value_present"))]
+DECLARED_SQL = " UNION ALL ".join(f"SELECT '{name}', '{prop}', 'error', count(*), 0 FROM st" for prop, name in DECLARED)
 
 
-@query("findings_all", f"WITH {STORED_SQL} {STORED_CHECKS} UNION ALL {REACH}")
+@query("findings_all", f"WITH {STORED_SQL} {STORED_CHECKS} UNION ALL {REACH} UNION ALL {DECLARED_SQL}")
 def findings_all(spark: SparkSession, folder: str) -> DataFrame:
-    df, rules, _ = stored(spark, folder)
-    checks = v.verify(df, rules).checks.where("layer = 'L_p'")
-    return checks.select("derivation", "property_id", "severity", "n_rows", "n_violations")
+    """Every check of every layer and rule."""
+    df, rules, bodies = stored(spark, folder)
+    return v.verify(df, rules, bodies).checks.select("derivation", "property_id", "severity", "n_rows", "n_violations")
+
+
+_INPUTS = {"band": ["p"], "state": ["s"], "pop": ["p", "s"], "risk": ["p", "s"], "wait": ["o_orderdate", "due"]}
+
+
+def _smallest(prop: str, name: str, cond: str) -> str:
+    cells = " || ',' || ".join(f"""'"{c}":' || coalesce('"' || CAST({c} AS VARCHAR) || '"', 'null')""" for c in (*_INPUTS[name], name))
+    return f"SELECT '{name}' AS derivation, '{prop}' AS property_id, min('{{' || {cells} || '}}') FILTER ({cond}) AS sample FROM st HAVING count(*) FILTER ({cond}) > 0"
 
 
 @query("finding_samples", f"""
-WITH {STORED_SQL}
-SELECT 'band' AS derivation, 'P-bin-3' AS property_id, min('{{"p":' || coalesce('"' || CAST(p AS VARCHAR) || '"', 'null')
-       || ',"band":"' || band || '"}}') AS sample FROM st WHERE band NOT IN ('low','mid','top')
-UNION ALL SELECT 'state', 'P-flag-4', min('{{"s":' || coalesce('"' || s || '"', 'null') || ',"state":'
-       || coalesce('"' || state || '"', 'null') || '}}') FROM st WHERE state IS NULL OR state NOT IN ('done','M','U')""")
+WITH {STORED_SQL} {" UNION ALL ".join(_smallest(*x) for x in BROKEN)}
+UNION ALL SELECT derivation, property_id, NULL FROM ({REACH.replace("SELECT 'risk', 'P-risk_score-1', 'warning', count(*), ", "SELECT 'risk' AS derivation, 'P-risk_score-1' AS property_id, ").replace(" FROM st", " AS n FROM st")}) WHERE n > 0""")
 def finding_samples(spark: SparkSession, folder: str) -> DataFrame:
-    df, rules, _ = stored(spark, folder)
-    findings = v.verify(df, {n: rules[n] for n in ("band", "state")}).findings
-    return findings.where("property_id IN ('P-bin-3', 'P-flag-4')").select("derivation", "property_id", "sample")
+    """A violating row for each finding of every rule."""
+    df, rules, bodies = stored(spark, folder)
+    return v.verify(df, rules, bodies).findings.select("derivation", "property_id", "sample")
 
 
 @query("verdicts", f"""
@@ -144,12 +161,16 @@ UNION ALL SELECT 'band', 'out_of_range', 0 FROM st WHERE o_orderkey = (SELECT mi
 UNION ALL SELECT 'state', 'declared', count(*) FILTER (s = 'F') FROM st
 UNION ALL SELECT 'state', 'null', count(*) FILTER (s IS NULL) FROM st
 UNION ALL SELECT 'state', 'unmapped', count(*) FILTER (s <> 'F') FROM st
+UNION ALL SELECT 'pop', 'true', count(*) FILTER (p >= 200000 AND s = 'F') FROM st
+UNION ALL SELECT 'pop', 'false', count(*) FILTER (NOT (p >= 200000 AND s = 'F')) FROM st
+UNION ALL SELECT 'pop', 'null', count(*) FILTER ((p >= 200000 AND s = 'F') IS NULL) FROM st
+UNION ALL SELECT 'wait', 'declared', count(due) FROM st UNION ALL SELECT 'wait', 'null', count(*) - count(due) FROM st
 UNION ALL SELECT 'risk', 'matched', count(*) FILTER ({T2}) FROM st
 UNION ALL SELECT 'risk', 'null', count(*) FILTER ({UNDEF}) FROM st
 UNION ALL SELECT 'risk', 'fallback', count(*) FILTER (NOT coalesce({T2}, false) AND NOT {UNDEF}) FROM st""")
 def coverage_partitions(spark: SparkSession, folder: str) -> DataFrame:
     df, rules, _ = stored(spark, folder)
-    return v.coverage(df, {n: rules[n] for n in ("band", "state", "risk")})
+    return v.coverage(df, rules)
 
 
 @query("undeclared_values", """
@@ -194,6 +215,28 @@ def findings_signature(spark: SparkSession, folder: str) -> DataFrame:
     return findings_signatures(findings.withColumn("run_id", F.lit("stored")), ["run_id"])
 
 
+@query("publish_checked", f"""
+WITH {FLAGSHIP_SQL}, n AS (SELECT count(*) AS n FROM d)
+SELECT 'flagship' AS run, "RISK" AS what, count(*) AS n_rows FROM d GROUP BY ALL
+UNION ALL SELECT 'flagship', 'rows read', n FROM n UNION ALL SELECT 'flagship', 'rows written', n FROM n
+UNION ALL SELECT 'flagship', 'violations', 0
+UNION ALL SELECT 'strict', 'RETURN_FLAG:unmapped', count(*) FILTER (l_returnflag NOT IN ('R', 'N')) FROM d
+UNION ALL SELECT 'strict', 'tables left', 0""")
+def publish_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """A spec that passes is published and read back; one whose policy forbids a value leaves nothing. Each reads the rows once."""
+    rows, paths = shipped(spark, folder), [fresh_folder(spark, "publish") for _ in range(2)]
+    good = publish(rows, FLAGSHIP, paths[0], key=["l_orderkey", "l_linenumber"], integral="always")
+    strict = Spec.from_entries([
+        {"name": d.name, "inputs": d.inputs, "rule_kind": d.rule_kind, "rule_body": {"map": d.rule_body["map"], "unmapped_handling": "error"} if d.name == "RETURN_FLAG" else d.rule_body}
+        for d in FLAGSHIP.derivations])
+    bad = publish(rows, strict, paths[1], integral="always", raise_on_failure=False)
+    left = [p for p in paths[1:] if bad.published]
+    facts = [("flagship", "rows read", good.rows_read), ("flagship", "rows written", good.rows_written), ("flagship", "violations", good.checks.checks.agg(F.sum("n_violations")).first()[0]),
+             ("strict", "RETURN_FLAG:unmapped", bad.blocked["RETURN_FLAG"].by_policy["unmapped"]), ("strict", "tables left", len(left))]
+    labels = spark.read.parquet(paths[0]).groupBy(F.lit("flagship").alias("run"), F.col("RISK").alias("what")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return labels.unionByName(spark.createDataFrame(facts, "run string, what string, n_rows bigint"))
+
+
 # ---------------------------------------------------------------- lineage
 
 def _sig(name: str) -> str:
