@@ -6,6 +6,7 @@ majority over FORMATS in a single aggregate (ties go to the earlier entry), or g
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -136,7 +137,7 @@ def decide(df: DataFrame, columns: list[str], formats: Mapping[str, str], spans:
     ends = dict.fromkeys(c for pair in pairs for c in pair)
     read: list[Column] = [F.col(f"__format_{i}") for i in number.values()]
     for k, c in enumerate(ends):
-        for j, (of_format, at) in enumerate(_readings(c, df.schema[c].dataType, formats.get(c), number.get(c))):
+        for j, (of_format, at) in enumerate(_readings(c, df.schema[c].dataType, formats.get(c), number.get(c), all(n == 1 for a, b, n in spans if c in (a, b)))):
             read += [F.when(at.isNotNull(), of_format).alias(f"__of_{k}_{j}"), at.alias(f"__at_{k}_{j}")]
     rows = indexed.select(*read)
     place = {c: k for k, c in enumerate(ends)}
@@ -174,14 +175,19 @@ DAY_MICROS = 86_400_000_000
 FIXED = -1  # stands for the one reading of a column whose format is known
 
 
-def _readings(name: str, dtype: T.DataType, fmt: str | None, number: int | None) -> list[tuple[Column, Column]]:
-    """How a cell can be read: (position of the format or FIXED, timestamp); two ways only where month and day may be either."""
+def _readings(name: str, dtype: T.DataType, fmt: str | None, number: int | None, whole_days: bool) -> list[tuple[Column, Column]]:
+    """How a cell can be read: (position of the format or FIXED, timestamp); two ways only where month and day may be either.
+
+    With `whole_days` only the time of day matters, and a date is not parsed: any midnight will do.
+    """
     c = col(name)
     if number is None:
         return [(F.lit(FIXED), as_timestamp(c, dtype, fmt))]
     index = F.col(f"__format_{number}")
 
     def at(i: int) -> Column:
+        if whole_days and "H" not in FORMATS[i][1]:
+            return F.lit(datetime.datetime(2000, 1, 1)).cast("timestamp_ntz")
         return F.try_to_timestamp(c, F.lit(FORMATS[i][1])).cast("timestamp_ntz")
 
     first = F

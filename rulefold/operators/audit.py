@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rulefold.functions.labels import label_of
 from rulefold.functions.signatures import digest
+from rulefold.session import ensure_checkpoint_dir
 
 EVENTS = (
     "ts string, run_id string, event_type string, target string, outcome string, rule_kind string, "
@@ -124,22 +125,31 @@ def time_bucket(rows: DataFrame, ts: str) -> str:
     return spans[0] if spans else "SECOND"
 
 
-def step_numbers(rows: DataFrame, keys: list[str], ts: str, tie: str, bucket: str | None = None) -> DataFrame:
+def in_ranges(rows: DataFrame, order: list[str]) -> DataFrame:
+    """`rows` with `_range`: the number of the range of `order` they were dealt to, written to the shared folder."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    hashable = [F.col(c) for c, kind in rows.dtypes if "map<" not in kind]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number keeps small ranges apart
+    dealt = rows.repartitionByRange(parts, *[F.col(c).asc_nulls_first() for c in order], F.xxhash64(*hashable))
+    return dealt.withColumn("_range", F.spark_partition_id()).checkpoint()
+
+
+def step_numbers(rows: DataFrame, keys: list[str], ts: str, tie: str) -> DataFrame:
     """Add `step_no`: the rank of each row in (ts, tie) order within its key.
 
-    A key may hold a large share of all rows, so ranks are taken within (key, time bucket) and shifted by the
-    rows of the key's earlier buckets; the shift is computed on counts only.
+    A key, or a key in one second, may hold a large share of all rows. So rows are dealt by ranges of (key, ts, tie), equal ones by all their
+    cells too, ranked within their range, and shifted by the rows of the key in earlier ranges; the shift is computed on counts only. Ranges are
+    kept by a checkpoint, as they are sampled. Rows without a time come first, a NULL key is a key of its own.
     """
-    rows = rows.withColumn("_bucket", F.date_trunc(bucket or time_bucket(rows, ts), F.col(ts)))
-    counts = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(ts, tie)
-    ranked = rows.withColumn("_rank", F.row_number().over(inside)).alias("r")
-    # a NULL key or time is a value of its own; rows without a time come first
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*keys, "_bucket")]
+    ranged = in_ranges(rows, [*keys, ts, tie])
+    counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy("_range", *keys).orderBy(ts, tie)
+    ranked = ranged.withColumn("_rank", F.row_number().over(inside)).alias("r")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("_range", *keys)]
     return ranked.join(shifts.alias("s"), same).select(
-        *[F.col(f"r.{c}") for c in rows.columns if c != "_bucket"], (F.col("_rank") + F.col("_shift")).alias("step_no"))
+        *[F.col(f"r.{c}") for c in rows.columns], (F.col("_rank") + F.col("_shift")).alias("step_no"))
 
 
 def agent_steps(events: DataFrame, ts: str = "ts", tie: str = "event_seq") -> DataFrame:

@@ -11,7 +11,7 @@ from rulefold.queries.audits import AUDIT, AUDIT_SQL
 from rulefold.queries.derivations import _cond
 from rulefold.streaming.derive import derive_stream, live_counters
 from rulefold.streaming.runs import read_stream, run_available, run_updates
-from rulefold.streaming.tickets import first_answers, match_with_timeout
+from rulefold.streaming.tickets import first_answer, first_answers, match_with_timeout
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
     return read_stream(spark, f"{folder}/events.parquet")
@@ -47,6 +47,42 @@ def stream_quarantine(spark: SparkSession, folder: str) -> DataFrame:
     return run_available(rows, "quarantine", partition_by=["accepted"])
 
 
+def _tickets(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Purchases as tickets; those of 10 or more are answered `k` seconds later."""
+    at = F.col("ts").cast("timestamp")
+    tickets = _events(spark, folder).where("event_type = 'purchase'").select("event_id", at.alias("opened_at"))
+    resolutions = _events(spark, folder).where("event_type = 'purchase' AND value >= 10").select(
+        "event_id", (at + F.make_dt_interval(secs=F.get_json_object("props", "$.k").cast("decimal(18,6)"))).alias("resolved_at"))
+    return tickets, resolutions
+
+
+@query("stream_first_answer", """
+WITH t AS (SELECT event_id, user_id, ts AS opened_at FROM events WHERE event_type = 'purchase'),
+r AS (SELECT event_id, ts + to_seconds(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS resolved_at FROM events
+      WHERE event_type = 'purchase' AND value >= 10
+      UNION ALL SELECT event_id, ts + to_seconds(CAST(json_extract_string(props, '$.k') AS INTEGER) // 2) FROM events
+      WHERE event_type = 'purchase' AND user_id % 3 = 0
+      UNION ALL SELECT event_id, ts - INTERVAL 1 SECOND FROM events WHERE event_type = 'purchase' AND user_id % 3 = 1),
+w AS (SELECT epoch_ms(least((SELECT max(opened_at) FROM t), (SELECT max(resolved_at) FROM r))) - 600000 AS mark),
+m AS (SELECT t.event_id, t.user_id, t.opened_at, min(r.resolved_at) AS resolved_at
+      FROM t LEFT JOIN r ON r.event_id = t.event_id AND r.resolved_at BETWEEN t.opened_at AND t.opened_at + INTERVAL 60 SECOND GROUP BY ALL)
+SELECT event_id, user_id, epoch_us(opened_at) AS opened_us, epoch_us(resolved_at) AS resolved_us, resolved_at IS NULL AS timed_out
+FROM m, w WHERE epoch_us(coalesce(resolved_at, opened_at + INTERVAL 60 SECOND)) // 1000 + 1 < mark""")
+def stream_first_answer(spark: SparkSession, folder: str) -> DataFrame:
+    """Purchases as tickets with up to three answers, one of them too early: each ticket leaves once, with its first answer in time."""
+    at, k = F.col("ts").cast("timestamp"), F.get_json_object("props", "$.k").cast("int")
+    bought = _events(spark, folder).where("event_type = 'purchase'")
+    answers = [
+        F.when(F.col("value") >= 10, at + F.make_dt_interval(secs=k.cast("decimal(18,6)"))),
+        F.when(F.col("user_id") % 3 == 0, at + F.make_dt_interval(secs=F.floor(k / 2).cast("decimal(18,6)"))),
+        F.when(F.col("user_id") % 3 == 1, at - F.make_dt_interval(secs=F.lit(1).cast("decimal(18,6)")))]
+    resolutions = bought.select("event_id", F.explode(F.array_compact(F.array(*answers))).alias("resolved_at"))
+    tickets = _events(spark, folder).where("event_type = 'purchase'").select("event_id", "user_id", at.alias("opened_at"))
+    done = run_available(first_answer(tickets, resolutions), "first-answer")
+    return done.select(
+        "event_id", "user_id", F.unix_micros("opened_at").alias("opened_us"), F.unix_micros("resolved_at").alias("resolved_us"), "timed_out")
+
+
 @query("stream_ticket_timeout", """
 WITH t AS (SELECT event_id, ts AS opened_at FROM events WHERE event_type = 'purchase'),
 r AS (SELECT event_id, ts + to_seconds(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS resolved_at FROM events
@@ -57,10 +93,7 @@ SELECT t.event_id, epoch_us(t.opened_at) AS opened_us, epoch_us(r.resolved_at) A
 FROM t LEFT JOIN r ON r.event_id = t.event_id AND r.resolved_at BETWEEN t.opened_at AND t.opened_at + INTERVAL 60 SECOND, w
 WHERE r.event_id IS NOT NULL OR t.opened_at + INTERVAL 60 SECOND <= w.mark""")
 def stream_ticket_timeout(spark: SparkSession, folder: str) -> DataFrame:
-    at = F.col("ts").cast("timestamp")
-    tickets = _events(spark, folder).where("event_type = 'purchase'").select("event_id", at.alias("opened_at"))
-    resolutions = _events(spark, folder).where("event_type = 'purchase' AND value >= 10").select(
-        "event_id", (at + F.make_dt_interval(secs=F.get_json_object("props", "$.k").cast("decimal(18,6)"))).alias("resolved_at"))
+    tickets, resolutions = _tickets(spark, folder)
     done = first_answers(run_available(match_with_timeout(tickets, resolutions), "ticket-timeout"))
     return done.select(
         "event_id", F.unix_micros("opened_at").alias("opened_us"), F.unix_micros("resolved_at").alias("resolved_us"), "timed_out")

@@ -124,5 +124,8 @@ def test_month_or_day_first_is_decided_with_the_format(spark):
     month = spark.createDataFrame([("2/1/2024", "2024-02-15"), ("1/25/2024", "2024-02-08")], "a string, b string")
     formats, whole = decide(month, ["a", "b"], {}, [("a", "b", 7)])
     assert formats["a"] == "M/d/yyyy" and whole == {("a", "b", 7): True}
+    times = spark.createDataFrame([("2024-01-01", "2024-02-15 00:00:00"), ("2024-01-02", "2024-02-15 00:00:00"), ("2024-01-02", None)], "a string, b string")
+    assert decide(times, ["a", "b"], {}, [("a", "b", 1)])[1] == {("a", "b", 1): True}
+    assert decide(times.withColumn("b", F.replace("b", F.lit("00:00:00"), F.lit("00:00:07"))), ["a", "b"], {}, [("a", "b", 1)])[1] == {("a", "b", 1): False}
     nothing = decide(month.where("1 = 0"), ["a"], {"b": "yyyy-MM-dd"}, [("a", "b", 7)])
     assert nothing[1] == {("a", "b", 7): False} and decide(month, [], {}, []) == ({}, {})

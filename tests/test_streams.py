@@ -9,7 +9,7 @@ from rulefold.plans.spec import Spec
 from rulefold.queries.streams import STREAM_SPEC
 from rulefold.streaming.derive import derive_stream
 from rulefold.streaming.runs import read_stream, run_available
-from rulefold.streaming.tickets import first_answers, match_with_timeout
+from rulefold.streaming.tickets import first_answer, first_answers, match_with_timeout
 
 
 def test_stream_equals_batch(spark, sf):
@@ -56,3 +56,24 @@ def test_ticket_with_several_answers(spark, tmp_path):
         assert sorted(map(tuple, rows.collect()), key=str) == sorted([
             ("early", 130, False), ("late", 120, False), ("both", 140, False), ("two", 110, False), ("none", None, True),
             ("twin", 105, False), ("twin", 105, False), ("end", 100001, False)], key=str)
+
+
+def test_first_answer_leaves_once(spark, tmp_path):
+    base = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("s"))
+    tickets = [("early", 100, "a"), ("late", 100, None), ("both", 100, "c"), ("two", 100, "d"), ("none", 100, "e"), ("twin", 100, "f"), ("twin", 100, "f"), ("again", 100, "g"), ("again", 130, "h"),
+               (None, 100, "i"), (None, 101, "i"), ("open", 99990, "z"), ("end", 100000, "y")]
+    batches = [
+        [("early", 50), ("early", 130), ("late", 161), ("both", 90), ("both", 140), ("both", 400), ("none", 99), ("two", 150), ("two", 150), ("twin", 150), ("again", 140), (None, 110), ("stray", 120)],
+        [("two", 110), ("two", 120), ("twin", 105), ("again", 191), ("again", 120)],  # a batch of its own, with earlier answers
+        [("end", 100001)], [("end", 100002)], [("two", 101), ("none", 120)]]  # the last is behind the watermark
+    spark.createDataFrame(tickets, "event_id string, s int, note string").select("event_id", base.alias("opened_at"), "note").coalesce(1).write.parquet(str(tmp_path / "t"))
+    for rows in batches:
+        spark.createDataFrame(rows, "event_id string, s int").select("event_id", base.alias("resolved_at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "r"))
+        __import__("time").sleep(0.05)
+    want = [("early", 100, "a", 130, False), ("late", 100, None, None, True), ("both", 100, "c", 140, False), ("two", 100, "d", 110, False), ("none", 100, "e", None, True),
+            ("twin", 100, "f", 105, False), ("twin", 100, "f", 105, False), ("again", 100, "g", 120, False), ("again", 130, "h", 140, False), (None, 100, "i", None, True), (None, 101, "i", None, True)]
+    stream = first_answer(read_stream(spark, str(tmp_path / "t")), read_stream(spark, str(tmp_path / "r"), 1))
+    assert stream.columns == ["event_id", "opened_at", "note", "resolved_at", "timed_out"]
+    rows = run_available(stream, "first").select(
+        "event_id", (F.unix_seconds("opened_at") - 1_700_000_000).cast("int"), "note", (F.unix_seconds("resolved_at") - 1_700_000_000).cast("int"), "timed_out")
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted(want, key=str)

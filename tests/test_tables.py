@@ -239,6 +239,23 @@ def test_step_numbers_with_a_hot_key(spark):
     assert got.select(cols).exceptAll(direct.select(cols)).isEmpty() and got.count() == 2000
 
 
+def test_a_burst_in_one_second_is_spread(spark):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("k"), (F.col("id") * 7919 % 3000).alias("seq"),
+        F.when(F.col("id") % 3 == 0, F.lit(1_700_000_000)).otherwise(F.col("id")).alias("s"), F.lit("x").alias("_n"), F.create_map(F.lit("a"), F.col("id")).alias("m"))
+    rows = rows.select("k", "seq", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "m")
+    tied = rows.withColumn("seq", F.when(F.col("k") == "hot", 5).otherwise(F.col("seq")))  # equal in all that orders them
+    for frame in (rows, tied.drop("m").withColumn("cell", F.monotonically_increasing_id())):
+        sizes = au.in_ranges(frame, ["k", "ts", "seq"]).where("k = 'hot'").groupBy("_range").count().collect()
+        assert len(sizes) >= 2 and max(r["count"] for r in sizes) < 1000  # of four ranges, a third of the rows takes more than one
+    got = au.step_numbers(rows, ["k"], "ts", "seq")
+    assert [r["seq"] for r in got.where("k = 'hot'").orderBy("step_no").collect()] == sorted(r["seq"] for r in rows.where("k = 'hot'").collect())
+    assert sorted(r["step_no"] for r in au.step_numbers(tied.drop("m"), ["k"], "ts", "seq").where("k = 'hot'").collect()) == list(range(1, 1001))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_range" in line for line in plan.splitlines() if "Window [row_number" in line)
+    assert au.step_numbers(rows.where("1 = 0"), ["k"], "ts", "seq").count() == 0
+
+
 def test_agent_chain(spark):
     kinds = ["cg_complete", "v_complete", "r_complete", "v_complete", "apply_complete"]
     rows = spark.createDataFrame([(f"2024-01-01 00:00:0{i}", "run-1", k, "T", i) for i, k in enumerate(kinds)],
