@@ -6,6 +6,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,14 +68,19 @@ def http_payload(message: bytes) -> bytes:
         at = end + 4 + size
 
 
-def records_of(page: object, url: str, payload: bytes, digest: str, refers_to: str | None, date: str, segment: int, chunk: int) -> Iterator[bytes]:
+def _encoded(page: str | None) -> str:
+    """An id as part of a record's name: percent-encoded, so it may hold any character."""
+    return "" if page is None else quote(page, safe="")
+
+
+def records_of(page: str | None, url: str, payload: bytes, digest: str, refers_to: str | None, date: str, segment: int, chunk: int) -> Iterator[bytes]:
     """The records of one page: a revisit, or a response and the continuations its content needs."""
-    name = f"<urn:page:{'' if page is None else page}:{digest}>"
+    name = f"<urn:page:{_encoded(page)}:{digest}>"
     sha = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
     common = [("WARC-Target-URI", url), ("WARC-Date", date), ("WARC-Payload-Digest", sha)]
     if refers_to is not None:
         head = http_message(b"").partition(END)[0] + END
-        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", name), *common, ("WARC-Refers-To", f"<urn:page:{refers_to}:{digest}>"),
+        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", name), *common, ("WARC-Refers-To", f"<urn:page:{_encoded(refers_to)}:{digest}>"),
                       ("WARC-Profile", IDENTICAL), ("Content-Type", HTTP)], head)
         return
     content = http_message(payload, chunk)
@@ -147,11 +153,12 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         for batch in batches:
             for k in range(batch.num_rows):
                 page, url, body, digest, to = (batch.column(c)[k].as_py() for c in ("page", "url", "payload", "digest", "to"))
-                if to is not None and to == str(page):
+                if to is not None and to == page:
                     to = None
                 yield pa.RecordBatch.from_arrays([pa.array(list(records_of(page, url, body, digest, to, date, segment, chunk)), pa.binary())], ["record"])
 
-    records = others.unionByName(revisits).mapInArrow(_in_batches(build), "record binary")
+    texts = others.unionByName(revisits).withColumn("page", F.col("page").cast("string"))
+    records = texts.mapInArrow(_in_batches(build), "record binary")
     (records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END.decode()).option("compression", "gzip")
      .option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder))
 
@@ -198,7 +205,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
                         rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
+    files = spark.read.format("binaryFile").load(folder).select("content")  # whatever their names; Spark passes by `_SUCCESS` and its like
     return files.mapInArrow(read, RECORD)
 
 
@@ -253,7 +260,7 @@ def _joined(kind: str | None, digest: str | None, parts: list[dict]) -> tuple[by
 
 def page_of(name: Column) -> Column:
     """The id of the page in a record's id."""
-    return F.nullif(F.split(name, ":")[2], F.lit(""))
+    return F.url_decode(F.nullif(F.split(name, ":")[2], F.lit("")))
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", **options) -> DataFrame:

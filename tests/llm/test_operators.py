@@ -432,3 +432,17 @@ def test_without_duplicates(frame, corpus, nothing):
     body = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ").cast("binary"), 256)
     assert Counter(map(tuple, out.select("doc_id", body).collect())) == kept
     assert without_duplicates(nothing).count() == 0
+
+
+def test_archives_of_any_name_and_ids_of_any_text(spark, tmp_path):
+    ids = ["a:b", "50%", "a b", "ü/x", "1e3", "", None, "plus+"]
+    pages = spark.createDataFrame([(i, "http://x", "y" * 1200) for i in ids], "page_id string, url string, html string")
+    got = {r.page: (r.type, r.refers_to, r.problem) for r in warc.round_trip(pages).collect()}
+    first = max(i for i in ids if i is not None)
+    assert got[first] == ("response", None, None)
+    assert all(got[i] == ("revisit", first, None) for i in ids if i and i != first)
+    warc.write_archives(pages.where("page_id = 'a:b'"), f"{tmp_path}/own")
+    (source,) = __import__("glob").glob(f"{tmp_path}/own/part-*")
+    (tmp_path / "crawl").mkdir()
+    __import__("shutil").copy(source, tmp_path / "crawl" / "CRAWL-00017.warc.gz")
+    assert [r.type for r in warc.read_records(spark, f"{tmp_path}/crawl").collect()] == ["response"]
