@@ -223,6 +223,28 @@ def _spans(ids: np.ndarray, texts: np.ndarray, starts: np.ndarray, ends: np.ndar
     return [(i, t, raw[16 * a : 16 * b]) for i, t, a, b in zip(ids[at].tolist(), texts[at].tolist(), bounds[:-1], bounds[1:], strict=True)]
 
 
+def _same_bytes(data: np.ndarray, one: np.ndarray, other: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the bytes data[one : one + length] and data[other : other + length] are the same, pair by pair."""
+    out = np.zeros(len(one), bool)
+    for a, b in chunks(np.append(0, np.cumsum(length)), 1_000_000):
+        n = length[a:b]
+        first = np.cumsum(n) - n
+        step = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(first, n)
+        differ = data[np.repeat(one[a:b], n) + step] != data[np.repeat(other[a:b], n) + step]
+        out[a:b] = np.add.reduceat(differ, first, dtype=np.int64) == 0
+    return out
+
+
+def _repeats_previous(order: np.ndarray, keys: list[np.ndarray], data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether each context in this order equals the one before it: hashes and lengths tell the candidates, their bytes decide."""
+    same = np.zeros(len(order), bool)
+    if len(order):
+        same[1:] = np.logical_and.reduce([k[order[1:]] == k[order[:-1]] for k in (*keys, length)])
+    at = np.flatnonzero(same)
+    same[at] = _same_bytes(data, start[order[at]], start[order[at - 1]], length[order[at]])
+    return same
+
+
 def _blocks(at: np.ndarray, columns: list[np.ndarray], body: tuple[np.ndarray, np.ndarray] | None, buckets: int) -> Iterator[tuple]:
     """Rows (bucket, arrays...) of the given arrays dealt by `at`."""
     bucket = ((at >> _U(20)) % _U(buckets)).astype(np.int64)
@@ -310,7 +332,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], s: Settings, buckets: int) -> I
             key = mix(hash_spans(part, at, np.full(len(at), s.gram)))
             body = hash_spans(part, start, length)
             order = np.lexsort((start, tags[owner], ids[i:j][owner], body, key))
-            again = np.append(False, (key[order[1:]] == key[order[:-1]]) & (body[order[1:]] == body[order[:-1]])) if len(order) else np.zeros(0, bool)
+            again = _repeats_previous(order, [key, body], part, start, length)
             late, picked = order[again], order[~again]
             rows = []
             for id_, text, spans in _spans(ids[i:j][owner[late]], tags[owner[late]], start[late] - bounds[owner[late]], start[late] - bounds[owner[late]] + length[late]):
@@ -339,7 +361,7 @@ def _removed(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Reco
         rows.clear()
         first_byte = np.cumsum(length) - length
         order = np.lexsort((start, texts, ids, tag, key))
-        again = np.append(False, (key[order[1:]] == key[order[:-1]]) & (tag[order[1:]] == tag[order[:-1]])) if len(order) else np.zeros(0, bool)
+        again = _repeats_previous(order, [key, tag], body, first_byte, length)
         late, one = order[again], order[~again]
         found = [(ids[late], texts[late], start[late], start[late] + length[late])]
         group = np.cumsum(np.append(False, key[one[1:]] != key[one[:-1]])) if len(one) else np.zeros(0, np.int64)
@@ -477,7 +499,7 @@ def remove_repeats(df: DataFrame, settings: Settings | None = None, id_col: str
 
     1. Each window of `least` bytes has an anchor, its gram with the smallest hash; equal windows have equal ones. Anchors are
     dealt by hash, in blocks; those that occur once drop out. 2. The bytes around the others, equal ones only once, are dealt by
-    anchor again. 3. Contexts of one anchor meet in a suffix array with common prefixes, whose interval tree gives the
+    anchor again; hashes find equal ones, their bytes decide. 3. Contexts of one anchor meet in a suffix array with common prefixes, whose interval tree gives the
     maximal repeat groups with all occurrences. Large groups use windows with map-side minima in its place. 4. Spans are merged per
     document. Only texts with a repeat are shuffled.
     """

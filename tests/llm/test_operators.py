@@ -100,6 +100,14 @@ def test_maximal_repeat_groups():
     assert groups == {b"abcd": [1, 6], b"abc": [1, 6, 11]}  # bcd, cd and bc extend to the left
 
 
+def test_contexts_with_one_hash_are_told_apart_by_their_bytes():
+    data = np.frombuffer(b"abcabcabdabcabab", np.uint8)
+    start, length = np.array([0, 3, 6, 9, 12, 14]), np.array([3, 3, 3, 3, 2, 2])
+    same = sd._repeats_previous(np.arange(6), [np.zeros(6, np.uint64)], data, start, length)
+    assert same.tolist() == [False, True, False, False, False, True]
+    assert sd._repeats_previous(np.zeros(0, np.int64), [np.zeros(0)], data, start[:0], length[:0]).tolist() == []
+
+
 # --- 3 classifier
 
 
