@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulefold.operators.profile import profile, redacted, sample_values
+from rulefold.operators.profile import merged_profile, profile, profile_states, redacted, sample_values
 from rulefold.operators.propose import accepted_entries, add_extras, propose
 from rulefold.queries import query
-from rulefold.session import table
+from rulefold.session import fresh_folder, table
 from rulefold.sources.delimited import column_overview, preview
 
 def _values():
@@ -151,22 +151,52 @@ def propose_extras(spark: SparkSession, folder: str) -> DataFrame:
     return add_extras(proposals, extras).select("name", "rule_kind", "rule_body")
 
 
-@query("sample_values", """
+SAMPLES_SQL = """
 WITH e AS (SELECT event_id, CASE WHEN event_type <> 'view' THEN event_type END AS event_type, value,
                   CASE WHEN value > 100 THEN user_id END AS user_id FROM events),
 l AS (SELECT event_id, 'event_type' AS "column", event_type AS v FROM e
       UNION ALL SELECT event_id, 'value', CAST(value AS VARCHAR) FROM e
       UNION ALL SELECT event_id, 'event_id', CAST(event_id AS VARCHAR) FROM e
       UNION ALL SELECT event_id, 'pair', '{"pair":{"e":' || event_id || ',"v":[' || event_id % 7 || ',1]}}' FROM e
-      UNION ALL SELECT event_id, 'user_id', CAST(user_id AS VARCHAR) FROM e)
-SELECT "column", CAST(row_number() OVER w AS INTEGER) AS place, v AS value FROM l WHERE v IS NOT NULL
-WINDOW w AS (PARTITION BY "column" ORDER BY event_id) QUALIFY row_number() OVER w <= 5""")
-def samples(spark: SparkSession, folder: str) -> DataFrame:
-    df = table(spark, folder, "events").select(
+      UNION ALL SELECT event_id, 'user_id', CAST(user_id AS VARCHAR) FROM e),
+s AS (SELECT "column", CAST(row_number() OVER w AS INTEGER) AS place, v AS value FROM l WHERE v IS NOT NULL
+      WINDOW w AS (PARTITION BY "column" ORDER BY event_id) QUALIFY row_number() OVER w <= 5)
+"""
+
+
+def _sampled(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").select(
         "event_id", F.when(F.col("event_type") != "view", F.col("event_type")).alias("event_type"), "value",
         F.when(F.col("value") > 100, F.col("user_id")).alias("user_id"),
         F.struct(F.col("event_id").alias("e"), F.array(F.col("event_id") % 7, F.lit(1)).alias("v")).alias("pair"))
-    return sample_values(df, "event_id")
+
+
+@query("sample_values", SAMPLES_SQL + 'SELECT "column", place, value FROM s')
+def samples(spark: SparkSession, folder: str) -> DataFrame:
+    return sample_values(_sampled(spark, folder), "event_id")
+
+
+@query("profile_samples", SAMPLES_SQL + """SELECT "column", kind, string_agg(value, '|' ORDER BY place) AS sample_values
+FROM s JOIN (VALUES ('event_id', 'numeric'), ('event_type', 'low_cardinality'), ('value', 'numeric'), ('user_id', 'numeric'), ('pair', 'nested')) k("column", kind)
+USING ("column") GROUP BY ALL""")
+def profile_samples(spark: SparkSession, folder: str) -> DataFrame:
+    return profile(_sampled(spark, folder), key="event_id", exact=False).select("column", "kind", F.array_join("sample_values", "|").alias("sample_values"))
+
+
+@query("profile_merged", f"""
+SELECT "column", position, kind, dtype, null_fraction, CASE WHEN kind = 'low_cardinality' THEN n_unique END AS n_unique, true AS estimate_close, min, max, "values"
+FROM ({_profile_sql("orders", ORDERS)})""")
+def profile_merged(spark: SparkSession, folder: str) -> DataFrame:
+    """The profile of orders from stored states of three parts, one of them stored twice; estimates are held against exact counts."""
+    orders = table(spark, folder, "orders")
+    year = F.year("o_orderdate")
+    path = fresh_folder(spark, "profile-states")
+    for part, rows in (("early", year < 1995), ("late", year >= 1996), ("middle", year == 1995), ("late", year >= 1996)):
+        profile_states(orders.where(rows), part).write.mode("append").parquet(path)
+    exact = profile(orders).select("column", F.col("n_unique").alias("exact"))
+    return merged_profile(spark.read.parquet(path)).join(exact, "column").select(
+        "column", "position", "kind", "dtype", "null_fraction", F.when(F.col("kind") == "low_cardinality", F.col("n_unique")).alias("n_unique"),
+        (F.abs(F.col("n_unique") - F.col("exact")) <= 0.05 * F.col("exact")).alias("estimate_close"), "min", "max", _values())
 
 
 @query("dataset_preview", """

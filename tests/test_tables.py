@@ -383,6 +383,53 @@ def test_nested_columns_are_profiled(spark):
     assert samples["k", 1] == "1" and samples["arr", 1] == '{"arr":[1,2]}' and ("m", 1) not in samples
 
 
+def test_samples_of_ties_gaps_and_lost_keys(spark):
+    from rulefold.operators.profile import sample_values
+
+    rows = [(k // 3, f"v{k:03}", float("nan") if k % 2 else k / 2, k if k in (95, 97) else None) for k in range(100)] + [(None, "first", None, None)]
+    df = spark.createDataFrame(rows, "k int, text string, number double, `rare.one` int").repartition(5)
+    got = {}
+    for r in sample_values(df, "k", 4).orderBy("column", "place").collect():
+        got.setdefault(r["column"], []).append(r["value"])
+    assert got == {"k": ["0", "0", "0", "1"], "text": ["first", "v000", "v001", "v002"], "number": ["0.0", "1.0", "2.0", "3.0"], "rare.one": ["95", "97"]}
+    assert sample_values(df.limit(0), "k").collect() == []
+    one_key = sample_values(df.withColumn("k", F.lit(1)), "k", 2).where("column = 'text'").orderBy("place").collect()
+    assert [r["value"] for r in one_key] == ["first", "v000"]
+    plan = sample_values(df, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan  # tasks hand on a few cells per column
+
+
+def test_profiles_have_samples(spark):
+    df = spark.range(60, numPartitions=3).select("id", F.when(F.col("id") > 50, F.col("id").cast("string")).alias("late"), F.lit(None).cast("int").alias("none"), F.array("id").alias("list"))
+    got = {r["column"]: r["sample_values"] for r in profile(df).collect()}
+    assert got == {"id": [str(k) for k in range(5)], "late": ["51", "52", "53", "54", "55"], "none": [], "list": [f'{{"list":[{k}]}}' for k in range(5)]}
+    assert {r["column"]: r["sample_values"] for r in profile(df.orderBy(F.desc("id")), key="id").collect()}["late"] == got["late"]
+    assert "sample_values" not in redacted(profile(df)).columns
+
+
+def test_profiles_of_parts_merge(spark):
+    from rulefold.operators.profile import merged_profile, profile_states
+
+    def rows(start, stop):
+        return spark.range(start, stop).select(
+            "id", (F.col("id") % 500).cast("double").alias("amount"), F.concat(F.lit("c"), F.col("id") % 7).alias("code"),
+            F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 900).cast("int")), "yyyy-MM-dd").alias("visit_date"),
+            F.when(F.col("id") % 4 == 0, F.col("id")).alias("gap"), F.array("id").alias("list"))
+
+    states = profile_states(rows(0, 3000), "a").unionByName(profile_states(rows(2000, 5000).withColumn("more", F.lit(True)), "b")).unionByName(profile_states(rows(0, 0), "none"))
+    got = {r["column"]: r for r in merged_profile(states.unionByName(states)).collect()}
+    want = {r["column"]: r for r in profile(rows(0, 3000).unionByName(rows(2000, 5000).withColumn("more", F.lit(True)), allowMissingColumns=True)).collect()}
+    assert set(got) == set(want)
+    for name, w in want.items():
+        g = got[name]
+        assert [g[c] for c in ("kind", "dtype", "null_fraction", "min", "max", "values")] == [w[c] for c in ("kind", "dtype", "null_fraction", "min", "max", "values")], name
+        assert g["n_unique"] == w["n_unique"] or abs(g["n_unique"] - w["n_unique"]) <= 0.05 * w["n_unique"], name
+    assert merged_profile(states.limit(0)).collect() == []
+    other = profile_states(rows(0, 5).withColumn("code", F.lit(1)), "c")
+    with pytest.raises(ValueError, match="'code'"):
+        merged_profile(states.unionByName(other))
+
+
 def test_steps_without_time_or_run_are_kept(spark):
     rows = spark.createDataFrame(
         [("2024-01-01 00:00:00", "r", 1), (None, "r", 2), ("2024-01-02 00:00:00", None, 3), (None, None, 4), ("2024-01-03 00:00:00", "r", 5)],
