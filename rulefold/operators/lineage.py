@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from rulefold.functions.cells import INTEGRAL, col
 from rulefold.functions.signatures import signature_of
 from rulefold.plans.spec import Spec
-from rulefold.session import ensure_checkpoint_dir
+from rulefold.session import Folder, fresh_folder
 
 RECORD_SCHEMA = (
     "struct<value:string,rule_kind:string,body_signature:string,agent_chain:array<string>,"
@@ -146,26 +147,47 @@ def missing_sources(entries: DataFrame, dataset_columns: DataFrame) -> DataFrame
     )
 
 
+SPREAD = 16  # tasks that the readers of one column are dealt to
+
+
 def impact(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Everything downstream of changed or failed columns.
 
-    edges(study_id, derivation, column), seeds(study_id, column) -> (study_id, derivation, depth) with the
-    smallest depth. Each round joins only the newly reached names; rounds are cut by a checkpoint so lineage
-    does not grow. Rounds end when nothing new is reached, so cycles do no harm and no depth is left out.
+    edges(study_id, derivation, column), seeds(study_id, column) -> (study_id, derivation, depth) with the smallest depth. Rounds end
+    when nothing new is reached, so cycles do no harm and no depth is left out.
+
+    Edges are dealt to buckets once, by what they read and a salt, as one column may have a large share of all readers; what was reached is
+    kept in buckets by name, a folder per depth. A round moves only the names reached last and the new ones, edges and earlier names stay
+    where they are. Both are written to the shared folder; edges are removed at the end, the other is the result.
     """
     spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    edges = edges.select("study_id", "derivation", "column").distinct().checkpoint()
-    frontier = seeds.select("study_id", "column").distinct()
-    reached = spark.createDataFrame([], "study_id string, derivation string, depth int")
-    depth = 0
-    while True:
-        depth += 1
-        step = (
-            edges.join(frontier, ["study_id", "column"]).select("study_id", "derivation").distinct()
-            .join(reached, ["study_id", "derivation"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
-        )
-        if step.isEmpty():
-            return reached
-        reached = reached.unionByName(step)
-        frontier = step.select("study_id", F.col("derivation").alias("column"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = fresh_folder(spark, "impact")
+    reads, met = (f"impact_{kind}_{uuid.uuid4().hex}" for kind in ("reads", "met"))
+    keys = ["study_id", "column", "salt"]
+    done = False
+    try:
+        dealt = edges.select("study_id", "derivation", "column", F.pmod(F.hash("derivation"), F.lit(SPREAD)).alias("salt")).repartition(parts, *keys)
+        dealt.write.bucketBy(parts, *keys).sortBy(*keys).option("path", f"{path}/reads").saveAsTable(reads)
+        step, depth = impact_round(spark.table(reads), seeds, None), 1
+        while True:
+            found = step.withColumn("depth", F.lit(depth)).write.mode("append").partitionBy("depth")
+            found.bucketBy(parts, "study_id", "derivation").option("path", f"{path}/met").saveAsTable(met)
+            reached = spark.table(met)
+            last = reached.where(F.col("depth") == depth)
+            if last.isEmpty():
+                break
+            step, depth = impact_round(spark.table(reads), last.select("study_id", F.col("derivation").alias("column")), reached), depth + 1
+        done = True
+        return spark.read.schema(reached.schema).parquet(f"{path}/met")
+    finally:
+        for name in (reads, met):  # the names only, files stay
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        Folder(spark, path).remove(f"{path}/reads" if done else path)
+
+
+def impact_round(reads: DataFrame, frontier: DataFrame, reached: DataFrame | None) -> DataFrame:
+    """Names that read a column of the frontier and are not reached yet."""
+    salted = frontier.select("study_id", "column").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    step = reads.join(salted, ["study_id", "column", "salt"]).select("study_id", "derivation").distinct()
+    return step if reached is None else step.join(reached, ["study_id", "derivation"], "left_anti")

@@ -20,6 +20,7 @@ from rulefold.operators.policy import Blocked
 from rulefold.operators.verify import Checked, check_aggregates
 from rulefold.plans.apply import Derived, apply_spec
 from rulefold.plans.spec import Spec
+from rulefold.session import Folder
 
 
 class NotPublished(RuntimeError):
@@ -66,7 +67,7 @@ def publish(
     whole = derived.checked.observe(wrote, *aggregates)
     if key is not None:
         whole = with_lineage(replace(derived, df=whole), key)
-    folder = _folder(spark, path)
+    folder = Folder(spark, path)
     if folder.exists(path):
         raise FileExistsError(path)
     staging = f"{path.rstrip('/').rpartition('/')[0]}/_staging-{uuid.uuid4().hex}"
@@ -105,21 +106,3 @@ def _with_rows(checks: DataFrame, derived: Derived, rows_read: int) -> DataFrame
         F.lit(f"row count differs from the input's {rows_read}").alias("message"), F.first("n_rows").alias("n_rows"),
         changed.alias("n_violations"), F.lit(None).cast("string").alias("sample"))
     return checks.unionByName(kept)
-
-
-class _folder:
-    """The file system of a path, through Spark's own configuration."""
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self.system = self.of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def exists(self, path: str) -> bool:
-        return self.system.exists(self.of(path))
-
-    def move(self, source: str, target: str) -> None:
-        if not self.system.rename(self.of(source), self.of(target)):
-            raise FileExistsError(target)
-
-    def remove(self, path: str) -> None:
-        self.system.delete(self.of(path), True)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulefold.operators import memory as mem
-from rulefold.operators.lineage import impact
+from rulefold.operators.lineage import impact, impact_round
 from rulefold.plans.apply import apply_spec
 from rulefold.queries.derivations import FLAGSHIP, flagship
 
@@ -76,6 +76,45 @@ def test_impact_follows_long_chains_and_cycles(spark, length):
     assert tuple(got) == (length, length)
 
 
+def test_impact_leaves_edges_and_reached_names_where_they_are(spark, tmp_path):
+    edges = spark.range(2000).select(F.lit("s").alias("study_id"), F.concat(F.lit("d"), "id").alias("derivation"), F.lit("x").alias("column"), F.pmod("id", F.lit(16)).cast("int").alias("salt"))
+    keys = ["study_id", "column", "salt"]
+    edges.repartition(4, *keys).write.bucketBy(4, *keys).sortBy(*keys).option("path", f"{tmp_path}/reads").saveAsTable("impact_plan_reads")
+    met = spark.createDataFrame([("s", "d1", 1)], "study_id string, derivation string, depth int")
+    met.write.partitionBy("depth").bucketBy(4, "study_id", "derivation").option("path", f"{tmp_path}/met").saveAsTable("impact_plan_met")
+    try:
+        with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+            reached = spark.table("impact_plan_met")
+            step = impact_round(spark.table("impact_plan_reads"), spark.createDataFrame([("s", "x")], "study_id string, column string"), reached)
+            lines = plan(step).split("\n")
+            assert step.count() == 1999
+        for scan in [k for k, line in enumerate(lines) if "FileScan" in line]:
+            assert "Bucketed: true" in lines[scan]
+            # from a stored table up to its join: no exchange
+            depth = lines[scan].index("FileScan")
+            for line in reversed(lines[:scan]):
+                at = len(line) - len(line.lstrip(" :+-*"))
+                if at < depth:
+                    depth = at
+                    assert "Exchange" not in line
+                    if "Join" in line:
+                        break
+        # one column with all readers is in many tasks
+        assert spark.table("impact_plan_reads").groupBy(F.input_file_name()).count().count() == 4
+    finally:
+        for name in ("reads", "met"):
+            spark.sql(f"DROP TABLE IF EXISTS impact_plan_{name}")
+
+
+def test_impact_of_nothing(spark):
+    edges = spark.createDataFrame([("s", "A", "x"), ("s", "A", "x"), ("s", "B", None), (None, "C", "x")], "study_id string, derivation string, column string")
+    seeds = spark.createDataFrame([("s", "y"), ("t", "x")], "study_id string, column string")
+    assert impact(edges, seeds).collect() == [] and impact(edges.limit(0), seeds).collect() == []
+    got = impact(edges, seeds.unionAll(seeds).unionAll(edges.select("study_id", "column"))).collect()
+    assert [tuple(r) for r in got] == [("s", "A", 1)]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("impact_")]
+
+
 def test_no_machine_local_checkpoints():
     import pathlib
 
