@@ -1,8 +1,8 @@
 """Stable 16-digit signatures of rule bodies, spec entries and finding sets.
 
 Canonical text is JSON with alphabetical keys, no blanks and explicit nulls. On tables it is produced by
-``to_json`` over a struct whose fields are already in alphabetical order; for a single body on the driver by
-``json.dumps``. Both give the same digest for ASCII content.
+``to_json`` over a struct whose fields are already in alphabetical order, which libraries, memory and lineage share; for
+a body of an own rule kind on the driver by ``json.dumps``.
 """
 
 from __future__ import annotations

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from rulefold.fixed_values import AMBIGUITY_OPTIONS
 from rulefold.operators import memory as mem
+from rulefold.operators import memory_store as store
 from rulefold.operators import review as rv
 from rulefold.queries import query
 from rulefold.queries.libraries import LIBRARY_SQL, SORTED_BODY, library
-from rulefold.session import table
+from rulefold.session import fresh_folder, table
+from rulefold.streaming.runs import read_stream
 
 # Rule patterns seen by runs: kind = event type, signature from the event's number, run = user.
 SEEN_SQL = """seen AS (SELECT event_type AS rule_kind, 'b' || json_extract_string(props, '$.k') AS body_signature,
@@ -51,6 +53,31 @@ def memory_upsert(spark: SparkSession, folder: str) -> DataFrame:
     return mem.upserted(existing, _patterns(rows.where(f"NOT ({EARLY})")), "rule_patterns").select(*SHOWN)
 
 
+PATTERNS = ("rule_kind string, body_signature string, body string, first_seen_run_id string, first_seen_at timestamp, "
+            "approval_event_id string, status string")
+
+
+@query("memory_two_writers", f"""
+WITH {SEEN_SQL}, b AS ({FIRST.format("(SELECT * FROM seen WHERE user_id % 3 = 0)")}), a AS ({FIRST.format("(SELECT * FROM seen WHERE user_id % 3 <> 0)")})
+SELECT rule_kind, body_signature, body, run_id AS first_seen_run_id, 'validated' AS status FROM b
+UNION ALL SELECT rule_kind, body_signature, body, run_id, 'validated' FROM a
+WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.rule_kind = a.rule_kind AND b.body_signature = a.body_signature)""")
+def memory_two_writers(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream and a batch job write one memory: the stream's rows are compacted first, then the job's batches come, one of them twice."""
+    path = fresh_folder(spark, "memory-store")
+    kind, number = F.col("event_type").alias("rule_kind"), F.concat(F.lit("b"), F.get_json_object("props", "$.k")).alias("body_signature")
+    columns = [kind, number, F.col("props").alias("body"), F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run_id"), "ts", "user_id"]
+    stream = _patterns(read_stream(spark, f"{folder}/events.parquet").select(*columns).where("user_id % 3 = 0"))
+    run = stream.writeStream.foreachBatch(store.batch_sink(path, "rule_patterns", "stream")).option(
+        "checkpointLocation", fresh_folder(spark, "memory-stream")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    store.compact(spark, path, "rule_patterns", PATTERNS)
+    rows = seen(spark, folder).where("user_id % 3 <> 0")
+    for part in (1, 0, 1):
+        store.add_batch(_patterns(rows.where(F.col("event_id") % 2 == part)), path, "rule_patterns", "job", part)
+    return store.read_store(spark, path, "rule_patterns", PATTERNS).select(*SHOWN)
+
+
 @query("memory_lookup", f"""
 WITH {SEEN_SQL}, o AS ({FIRST.format("(SELECT * FROM seen WHERE " + EARLY + ")")})
 SELECT s.event_id, o.run_id AS first_seen_run_id, o.rule_kind IS NOT NULL AS ltm_hit

@@ -9,6 +9,7 @@ from rulefold.functions.signatures import signature_of
 from rulefold.operators import verify as v
 from rulefold.operators.audit import findings_signatures
 from rulefold.operators.lineage import read_lineage, with_lineage
+from rulefold.operators.lookup import find, write_keyed
 from rulefold.operators.rules import RULE_KINDS, Check, RuleColumns, Scope, register_rule_kind, rule_kind
 from rulefold.plans.apply import apply_rule
 from rulefold.plans.bodies import BinBody
@@ -275,6 +276,17 @@ def lineage_read_back(spark: SparkSession, folder: str) -> DataFrame:
         F.array_join("agent_chain", ">").alias("agent_chain"), F.array_join("source_row_ids", ",").alias("source_row_ids"))
 
 
+@query("lineage_lookup", f"""
+WITH {FLAGSHIP_SQL}, w AS (SELECT min(o_orderkey) AS k, o_orderpriority FROM orders GROUP BY o_orderpriority)
+{" UNION ALL ".join(
+    f"SELECT l_orderkey, l_linenumber, '{n}' AS derivation, CAST(\"{n}\" AS VARCHAR) AS value FROM d WHERE l_orderkey IN (SELECT k FROM w)" for n in _ORDER)}""")
+def lineage_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lineage of the first order of every priority, from lineage of all rows that is kept sorted by order."""
+    path = fresh_folder(spark, "lineage")
+    write_keyed(lineage_rows(spark, folder), path, ["l_orderkey", "l_linenumber"])
+    wanted = table(spark, folder, "orders").groupBy("o_orderpriority").agg(F.min("o_orderkey").alias("l_orderkey"))
+    found = find(spark, path, "l_orderkey", [r["l_orderkey"] for r in wanted.collect()])  # a row per priority
+    return read_lineage(found).select("l_orderkey", "l_linenumber", "derivation", "value")
 
 
 @query("run_withholds_failed", """

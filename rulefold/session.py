@@ -48,6 +48,14 @@ class Folder:
     def exists(self, path: str) -> bool:
         return self.system.exists(self.of(path))
 
+    def names(self, path: str) -> list[str]:
+        """Names of what lies in a folder; none if there is no such folder."""
+        return sorted(f.getPath().getName() for f in self.system.listStatus(self.of(path))) if self.exists(path) else []
+
+    def claim(self, path: str) -> bool:
+        """Create an empty file, which of several writers only one succeeds in."""
+        return self.system.createNewFile(self.of(path))
+
     def move(self, source: str, target: str) -> None:
         if not self.system.rename(self.of(source), self.of(target)):
             raise FileExistsError(target)
