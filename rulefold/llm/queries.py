@@ -15,7 +15,7 @@ from rulefold.llm.jaccard_join import near_duplicates
 from rulefold.llm.mixing import mix
 from rulefold.llm.packing import pack_documents
 from rulefold.llm.period_runs import find_runs
-from rulefold.llm.quality_rules import quality_rules
+from rulefold.llm.quality_rules import clean_texts, quality_rules
 from rulefold.llm.registry import ORACLES, QUERIES, query
 from rulefold.llm.suffix_dedup import remove_repeats
 from rulefold.llm.token_counts import token_counts
@@ -116,6 +116,21 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(table(spark, folder, "documents"))
 
 
+@query("quality_rules_clean_texts", ORACLES["op7_quality_rules"].rpartition("    SELECT *, NOT")[0].rstrip() + r""",
+    piece AS (SELECT doc_id, i, lines[i] || CASE WHEN i < len(lines) THEN chr(10) ELSE '' END AS piece, source,
+              regexp_extract_all(lower(lines[i]), '[^\x20\x09-\x0D]+') AS words FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM w JOIN t USING (doc_id))),
+    left_over AS (SELECT doc_id, string_agg(piece, '' ORDER BY i) AS text FROM piece p
+        WHERE NOT EXISTS (SELECT 1 FROM common c WHERE c.source IS NOT DISTINCT FROM p.source AND c.words = p.words) GROUP BY doc_id)
+    SELECT doc_id, n_words, n_boilerplate_words, base_failed, sha256(coalesce(l.text, '')) AS text_sha256, NOT base_failed AND NOT (n_boilerplate_words > 0
+        AND (n_words - n_boilerplate_words < 20 OR n_words - n_boilerplate_words < 0.2 * n_words)) AS kept
+    FROM f LEFT JOIN left_over l USING (doc_id)""")
+def quality_rules_clean_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts without boilerplate lines, and the verdict on what is left of them."""
+    out = clean_texts(table(spark, folder, "documents"))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return out.select("doc_id", "n_words", "n_boilerplate_words", "base_failed", digest.alias("text_sha256"), "kept")
+
+
 @query("op4_token_counts")
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -97,29 +97,125 @@ def records_of(page: str | None, url: str, payload: bytes, digest: str, refers_t
         yield record(more, content[at : at + segment])
 
 
+PIECE = 1 << 20  # bytes of an archive that are inflated at a time
+NEXT = END + b"WARC/"  # where reading goes on behind a broken record
+WHOLE_BLOCK = ("warcinfo", "resource", "metadata", "conversion")  # types whose content is their payload
+
+
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Fields (names in lower case) and content of every record of an archive, gzipped as a whole, by record, or not at all."""
-    data = archive if archive[:2] != b"\x1f\x8b" else b"".join(_inflated(archive))
-    at = 0
-    while at < len(data):
-        end = data.find(END, at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        lines = data[at:end].decode().split("\r\n")[1:]
-        fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        start = end + len(END)
-        stop = start + int(fields["content-length"])
-        if data[stop : stop + len(END)] != END:
-            raise ValueError(f"the record at byte {at} is cut short")
-        yield fields, data[start:stop]
-        at = stop + len(END)
+    """Fields (names in lower case) and content of every record of an archive that must be sound."""
+    for fields, content, problem in scan(archive):
+        if problem:
+            raise ValueError(problem)
+        yield fields, content
 
 
-def _inflated(data: bytes) -> Iterator[bytes]:
-    while data:
+def scan(archive: bytes) -> Iterator[tuple[dict[str, str], bytes | None, str | None]]:
+    """Fields, content and problem of every record of an archive, gzipped as a whole, by record, or not at all.
+
+    What is no record, or one whose stated length is missing or wrong, gives a row without content that says why; reading goes on at the next
+    place that looks like the start of a record, so no sound record behind it is lost. An archive is inflated piece by piece: besides its own
+    bytes a task holds one record.
+    """
+    window = _Window(_pieces(archive))
+    while window.has(1):
+        place = window.place
+        end = window.find(END) if window.starts(b"WARC/") else -1
+        if end < 0:
+            window.to_next(1)
+            yield {}, None, f"no record at byte {place}"
+            continue
+        lines = window.take(end).decode(errors="replace").split("\r\n")[1:]
+        window.take(len(END))
+        fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+        length = fields.get("content-length", "")
+        size = int(length) if length.isascii() and length.isdigit() else -1
+        if size < 0 or not window.has(size + len(END)) or window.peek(size, len(END)) != END:
+            window.to_next(-len(END))
+            yield fields, None, f"the record at byte {place} is cut short" if size >= 0 else f"the record at byte {place} states no length"
+            continue
+        content = window.take(size)
+        window.take(len(END))
+        yield fields, content, None
+    if window.broken:
+        yield {}, None, window.broken
+
+
+class _Window:
+    """Bytes of an archive from where reading is; more are taken when they are asked for."""
+
+    def __init__(self, pieces: Iterator[bytes]) -> None:
+        self.pieces, self.held, self.at, self.passed, self.broken = pieces, bytearray(), 0, 0, None
+
+    @property
+    def place(self) -> int:
+        return self.passed + self.at
+
+    def _more(self) -> bool:
+        try:
+            piece = next(self.pieces, None)
+        except zlib.error as e:
+            self.broken, piece = f"the archive cannot be inflated behind byte {self.passed + len(self.held)}: {e}", None
+        if piece is None:
+            return False
+        if self.at > PIECE:  # a record that closes blank lines short needs the few bytes before it
+            drop = self.at - len(END)
+            del self.held[:drop]
+            self.at, self.passed = self.at - drop, self.passed + drop
+        self.held += piece
+        return True
+
+    def has(self, size: int) -> bool:
+        while len(self.held) - self.at < size:
+            if not self._more():
+                return False
+        return True
+
+    def starts(self, text: bytes) -> bool:
+        return self.has(len(text)) and self.held.startswith(text, self.at)
+
+    def find(self, text: bytes, skip: int = 0) -> int:
+        """How far ahead the text starts, -1 if it does not come."""
+        seen = skip
+        while True:
+            found = self.held.find(text, self.at + seen)
+            if found >= 0:
+                return found - self.at
+            seen = max(skip, len(self.held) - self.at - len(text) + 1)
+            if not self._more():
+                return -1
+
+    def peek(self, skip: int, size: int) -> bytes:
+        return bytes(self.held[self.at + skip : self.at + skip + size])
+
+    def take(self, size: int) -> bytes:
+        self.at += size
+        return bytes(self.held[self.at - size : self.at])
+
+    def to_next(self, skip: int) -> None:
+        """Go to the next start of a record, or to the end."""
+        found = self.find(NEXT, skip)
+        self.at = self.at + found + len(END) if found >= 0 else len(self.held)
+
+
+def _pieces(archive: bytes) -> Iterator[bytes]:
+    if archive[:2] != b"\x1f\x8b":
+        for at in range(0, len(archive), PIECE):
+            yield archive[at : at + PIECE]
+        return
+    view, at = memoryview(archive), 0
+    while at < len(view):
         member = zlib.decompressobj(31)
-        yield member.decompress(data) + member.flush()
-        data = member.unused_data
+        while not member.eof and at < len(view):
+            part = view[at : at + PIECE]
+            at += len(part)
+            piece = member.decompress(part, PIECE)
+            while piece:
+                yield piece
+                piece = b"" if member.eof else member.decompress(member.unconsumed_tail, PIECE)
+            at -= len(member.unused_data)
+        if not member.eof:
+            raise zlib.error("the last member is cut short")
 
 
 # --- tables -------------------------------------------------------------------------------------------------------
@@ -183,40 +279,70 @@ def _in_batches(build, most: int = 4_000_000):
 RECORD = "type string, id string, refers_to string, origin string, number int, total bigint, digest string, content binary"
 
 
+def _row(fields: dict[str, str], content: bytes | None, problem: str | None) -> dict:
+    kind, name = fields.get("warc-type"), fields.get("warc-record-id")
+    number, total = fields.get("warc-segment-number"), fields.get("warc-segment-total-length")
+    if problem is None and not (kind and name):
+        problem = "the record has no type" if not kind else "the record has no id"
+    if problem is None and not all(n is None or (n.isascii() and n.isdigit() and int(n) < 1 << 31) for n in (number, total)):
+        problem = "the record's segment is no number"
+    if problem is not None:
+        number = total = content = None
+    return {
+        "type": kind, "id": name, "refers_to": fields.get("warc-refers-to"), "origin": fields.get("warc-segment-origin-id", name),
+        "number": None if number is None else int(number), "total": None if total is None else int(total),
+        "digest": _sha1(fields.get("warc-payload-digest", "")), "content": content, "problem": problem}
+
+
+def _sha1(stated: str) -> str | None:
+    """A SHA-1 in lower-case hex from its base 32 or hex form; None for any other digest, which is then not compared."""
+    name, _, text = stated.partition(":")
+    if name.lower() != "sha1":
+        return None
+    try:
+        return (base64.b32decode(text.upper()) if len(text) == 32 else bytes.fromhex(text)).hex() or None
+    except ValueError:
+        return None
+
+
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record of the archives below `folder`; `origin` is the id of the record that its content starts in."""
+    """One row per record of the archives below `folder`; `origin` is the id of the record that its content starts in.
+
+    Archives may have any name. A broken record, or one without type or id, is a row too: its content is null and `problem` says why.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("type", pa.string()), ("id", pa.string()), ("refers_to", pa.string()), ("origin", pa.string()), ("number", pa.int32()),
-                            ("total", pa.int64()), ("digest", pa.string()), ("content", pa.binary())])
+                            ("total", pa.int64()), ("digest", pa.string()), ("content", pa.binary()), ("problem", pa.string())])
         for batch in batches:
             for archive in batch.column("content"):
                 rows, size = [], 0
-                for f, content in parse(archive.as_py()):
-                    sha = f.get("warc-payload-digest", "").partition(":")[2]
-                    rows.append({
-                        "type": f["warc-type"], "id": f["warc-record-id"], "refers_to": f.get("warc-refers-to"), "origin": f.get("warc-segment-origin-id", f["warc-record-id"]),
-                        "number": int(f["warc-segment-number"]) if "warc-segment-number" in f else None,
-                        "total": int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None,
-                        "digest": base64.b32decode(sha).hex() if sha else None, "content": content})
-                    size += len(content)
+                for found in scan(archive.as_py()):
+                    rows.append(_row(*found))
+                    size += len(found[1] or b"") + 100
                     if size >= 4_000_000:
                         yield pa.RecordBatch.from_pylist(rows, schema)
                         rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     files = spark.read.format("binaryFile").load(folder).select("content")  # whatever their names; Spark passes by `_SUCCESS` and its like
-    return files.mapInArrow(read, RECORD)
+    return files.mapInArrow(read, f"{RECORD}, problem string")
 
 
 def reassemble(records: DataFrame) -> DataFrame:
-    """One row per response or revisit: type, id, refers_to, digest, payload, problem.
+    """One row per record that is no continuation: type, id, refers_to, digest, payload, problem.
 
     Segments are grouped by the record they started in, ordered by number, and must be numbered without gaps up to the one
     that states the total length, which must be theirs. Chunked framing is then decoded, and the payload must have the
-    digest of the record. What fails has a null payload and says why in `problem`. Records of one id are copies: a row is returned
+    digest of the record, if a SHA-1 is stated. What fails has a null payload and says why in `problem`, as do records that were broken when read.
+    Of `warcinfo`, `resource`, `metadata` and `conversion` the content is the payload. Records of one id are copies: a row is returned
     for each first segment. Whole records are not shuffled; a group is one payload's segments.
     """
+    named = ["type", "id", "refers_to", "digest"]
+    broken = records.where("false" if "problem" not in records.columns else "problem IS NOT NULL")
+    broken = broken.select(*named, F.lit(None).cast("binary").alias("payload"), F.col("problem") if "problem" in records.columns else F.lit(None).cast("string").alias("problem"))
+    if "problem" in records.columns:
+        records = records.where("problem IS NULL")
     whole = records.where("number IS NULL").select("type", "id", "refers_to", "digest", F.lit(1).alias("copies"), F.array(F.struct("number", "total", "content")).alias("parts"))
     head = F.col("number") == 1
     grouped = records.where("number IS NOT NULL").groupBy("origin").agg(
@@ -236,7 +362,8 @@ def reassemble(records: DataFrame) -> DataFrame:
                     pa.array([row["digest"]] * n, pa.string()), pa.array([payload] * n, pa.binary()), pa.array([problem] * n, pa.string())],
                     ["type", "id", "refers_to", "digest", "payload", "problem"])
 
-    return whole.unionByName(grouped).mapInArrow(_in_batches(join), "type string, id string, refers_to string, digest string, payload binary, problem string")
+    joined = whole.unionByName(grouped).mapInArrow(_in_batches(join), "type string, id string, refers_to string, digest string, payload binary, problem string")
+    return joined.unionByName(broken)
 
 
 def _joined(kind: str | None, digest: str | None, parts: list[dict]) -> tuple[bytes | None, str | None]:
@@ -250,7 +377,7 @@ def _joined(kind: str | None, digest: str | None, parts: list[dict]) -> tuple[by
     if kind == "revisit":
         return None, None
     try:
-        payload = http_payload(content)
+        payload = content if kind in WHOLE_BLOCK else http_payload(content)
     except ValueError as e:
         return None, str(e)
     if digest is not None and hashlib.sha1(payload).hexdigest() != digest:

@@ -1,5 +1,6 @@
 """Each operator against its plain version, on messy rows and on none."""
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -454,3 +455,35 @@ def test_archives_of_any_name_and_ids_of_any_text(spark, tmp_path):
     (tmp_path / "crawl").mkdir()
     __import__("shutil").copy(source, tmp_path / "crawl" / "CRAWL-00017.warc.gz")
     assert [r.type for r in warc.read_records(spark, f"{tmp_path}/crawl").collect()] == ["response"]
+
+
+def _messages(n):
+    return [warc.record([("WARC-Type", "response"), ("WARC-Record-ID", f"<{i}>")], warc.http_message(bytes([65 + i]) * 3000, 700)) + warc.END for i in range(n)]
+
+
+@pytest.mark.parametrize("piece", [7, 1000, 1 << 20])
+@pytest.mark.parametrize("form", ["plain", "whole", "members"])
+def test_archives_in_pieces(monkeypatch, piece, form):
+    monkeypatch.setattr(warc, "PIECE", piece)
+    records = _messages(5)
+    archive = {"plain": b"".join(records), "whole": gzip.compress(b"".join(records)), "members": b"".join(map(gzip.compress, records))}[form]
+    assert [warc.http_payload(c)[:1] for _, c in warc.parse(archive)] == [b"A", b"B", b"C", b"D", b"E"]
+
+
+def test_broken_records_are_rows(spark, tmp_path):
+    a, b, c, d, e = _messages(5)
+    nameless = warc.record([("WARC-Type", "response")], b"x") + warc.END
+    odd = warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<odd>"), ("WARC-Segment-Number", "one")], b"x") + warc.END
+    info = warc.record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<info>")], b"software: x") + warc.END
+    other = warc.record([("WARC-Type", "resource"), ("WARC-Record-ID", "<md5>"), ("WARC-Payload-Digest", "md5:00")], b"block") + warc.END
+    folder = tmp_path / "crawl"
+    folder.mkdir()
+    (folder / "one.warc").write_bytes(b"rubbish\r\n\r\n" + a + b[:1500] + warc.END + c + nameless + info + odd + other + d.replace(b"Content-Length", b"Content-Size") + e)
+    (folder / "two.warc.gz").write_bytes(gzip.compress(a.replace(b"<0>", b"<10>")) + gzip.compress(b.replace(b"<1>", b"<11>"))[:-30])
+    (folder / "three").write_bytes(b"")
+    rows = {(r.id, r.problem and " ".join(w for w in r.problem.split(":")[0].split() if not w.isdigit())): r.payload for r in warc.reassemble(warc.read_records(spark, str(folder))).collect()}
+    sound = {k[0]: bytes(v) for k, v in rows.items() if k[1] is None}
+    assert sound == {"<0>": b"A" * 3000, "<2>": b"C" * 3000, "<4>": b"E" * 3000, "<info>": b"software: x", "<md5>": b"block", "<10>": b"A" * 3000}
+    assert {k for k in rows if k[1]} == {
+        (None, "no record at byte"), ("<1>", "the record at byte is cut short"), (None, "the record has no id"), ("<odd>", "the record's segment is no number"),
+        ("<3>", "the record at byte states no length"), ("<11>", "the record at byte is cut short"), (None, "the archive cannot be inflated behind byte")}
