@@ -338,32 +338,28 @@ def reassemble(records: DataFrame) -> DataFrame:
     Of `warcinfo`, `resource`, `metadata` and `conversion` the content is the payload. Records of one id are copies: a row is returned
     for each first segment. Whole records are not shuffled; a group is one payload's segments.
     """
-    named = ["type", "id", "refers_to", "digest"]
-    broken = records.where("false" if "problem" not in records.columns else "problem IS NOT NULL")
-    broken = broken.select(*named, F.lit(None).cast("binary").alias("payload"), F.col("problem") if "problem" in records.columns else F.lit(None).cast("string").alias("problem"))
-    if "problem" in records.columns:
-        records = records.where("problem IS NULL")
-    whole = records.where("number IS NULL").select("type", "id", "refers_to", "digest", F.lit(1).alias("copies"), F.array(F.struct("number", "total", "content")).alias("parts"))
+    if "problem" not in records.columns:
+        records = records.withColumn("problem", F.lit(None).cast("string"))
+    whole = records.where("number IS NULL").select("type", "id", "refers_to", "digest", F.lit(1).alias("copies"), F.array(F.struct("number", "total", "content")).alias("parts"), "problem")
     head = F.col("number") == 1
     grouped = records.where("number IS NOT NULL").groupBy("origin").agg(
         F.first(F.when(head, F.col("type")), True).alias("type"), F.first(F.when(head, F.col("refers_to")), True).alias("refers_to"),
         F.first(F.when(head, F.col("digest")), True).alias("digest"), F.count(F.when(head, 1)).cast("int").alias("copies"),
         F.sort_array(F.collect_set(F.struct("number", "total", "content"))).alias("parts"))
-    grouped = grouped.select("type", F.col("origin").alias("id"), "refers_to", "digest", "copies", "parts")
+    grouped = grouped.select("type", F.col("origin").alias("id"), "refers_to", "digest", "copies", "parts", F.lit(None).cast("string").alias("problem"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
-                payload, problem = _joined(row["type"], row["digest"], row["parts"])
+                payload, problem = (None, row["problem"]) if row["problem"] else _joined(row["type"], row["digest"], row["parts"])
                 n = max(row["copies"], 1)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([row["type"]] * n, pa.string()), pa.array([row["id"]] * n, pa.string()), pa.array([row["refers_to"]] * n, pa.string()),
                     pa.array([row["digest"]] * n, pa.string()), pa.array([payload] * n, pa.binary()), pa.array([problem] * n, pa.string())],
                     ["type", "id", "refers_to", "digest", "payload", "problem"])
 
-    joined = whole.unionByName(grouped).mapInArrow(_in_batches(join), "type string, id string, refers_to string, digest string, payload binary, problem string")
-    return joined.unionByName(broken)
+    return whole.unionByName(grouped).mapInArrow(_in_batches(join), "type string, id string, refers_to string, digest string, payload binary, problem string")
 
 
 def _joined(kind: str | None, digest: str | None, parts: list[dict]) -> tuple[bytes | None, str | None]:
