@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from rulefold.llm import classifier
 from rulefold.llm import jaccard_join as jj
 from rulefold.llm import suffix_dedup as sd
 from rulefold.llm import warc
@@ -487,3 +488,30 @@ def test_broken_records_are_rows(spark, tmp_path):
     assert {k for k in rows if k[1]} == {
         (None, "no record at byte"), ("<1>", "the record at byte is cut short"), (None, "the record has no id"), ("<odd>", "the record's segment is no number"),
         ("<3>", "the record at byte states no length"), ("<11>", "the record at byte is cut short"), (None, "the archive cannot be inflated behind byte")}
+
+
+def test_training_against_plain_updates():
+    """The learner against FTRL-proximal written out for one coordinate after another."""
+    s = Settings(bits=6, epochs=3)
+    random = np.random.default_rng(5)
+    texts = [random.integers(0, 64, size) for size in (0, 1, 7, 30, 30, 200)]
+    labels = [0, 1, 1, 0, 1, 0]
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= s.l1:
+            return 0.0
+        return -(z[i] - (s.l1 if z[i] > 0 else -s.l1)) / ((s.beta + n[i] ** 0.5) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for text, label in zip(texts, labels, strict=True):
+            x = {i: c * s.scale / len(text) for i, c in Counter(text.tolist()).items()} | {64: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - label) * x[i]
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / s.alpha * w[i]
+                n[i] += g * g
+    got = classifier.train(iter(texts), np.array(labels), s)
+    assert np.count_nonzero(got) > 10
+    np.testing.assert_allclose(got, [weight(i) for i in range(65)], rtol=1e-4, atol=1e-6)
