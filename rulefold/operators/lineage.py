@@ -129,11 +129,14 @@ def referenced_columns(inputs: Column, rule_kind: Column, rule_body: Column) ->
 
 
 def lineage_edges(entries: DataFrame) -> DataFrame:
-    """Edges of a whole `spec_entries` table: (study_id, derivation, column, origin)."""
+    """Edges of a whole `spec_entries` table: (study_id, derivation, column, origin).
+
+    Names grow with the table, and its files are much smaller than its rows: merged, they never pass through the driver as a broadcast.
+    """
     refs = referenced_columns(F.col("inputs"), F.col("rule_kind"), F.col("rule_body"))
     edges = entries.select("study_id", F.col("name").alias("derivation"), F.explode(refs).alias("column"))
     derived = entries.select("study_id", F.col("name").alias("column"), F.lit(True).alias("_d")).distinct()
-    return edges.join(derived, ["study_id", "column"], "left").select(
+    return edges.join(derived.hint("merge"), ["study_id", "column"], "left").select(
         "study_id", "derivation", "column",
         F.when(F.col("_d"), F.lit("derived")).otherwise(F.lit("source")).alias("origin"),
     )
@@ -143,7 +146,7 @@ def missing_sources(entries: DataFrame, dataset_columns: DataFrame) -> DataFrame
     """Referenced columns found neither in `dataset_columns(study_id, column)` nor among derivations."""
     return (
         lineage_edges(entries).where("origin = 'source'").drop("origin")
-        .join(dataset_columns, ["study_id", "column"], "left_anti")
+        .join(dataset_columns.hint("merge"), ["study_id", "column"], "left_anti")
     )
 
 
@@ -187,7 +190,7 @@ def impact(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def impact_round(reads: DataFrame, frontier: DataFrame, reached: DataFrame | None) -> DataFrame:
-    """Names that read a column of the frontier and are not reached yet."""
+    """Names that read a column of the frontier and are not reached yet. Both joins are merged where the buckets are, as either side may be large."""
     salted = frontier.select("study_id", "column").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    step = reads.join(salted, ["study_id", "column", "salt"]).select("study_id", "derivation").distinct()
-    return step if reached is None else step.join(reached, ["study_id", "derivation"], "left_anti")
+    step = reads.join(salted.hint("merge"), ["study_id", "column", "salt"]).select("study_id", "derivation").distinct()
+    return step if reached is None else step.join(reached.hint("merge"), ["study_id", "derivation"], "left_anti")

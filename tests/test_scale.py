@@ -3,10 +3,11 @@
 import contextlib
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from rulefold.operators import memory as mem
-from rulefold.operators.lineage import impact, impact_round
+from rulefold.operators.lineage import impact, impact_round, lineage_edges, missing_sources
 from rulefold.plans.apply import apply_spec
 from rulefold.queries.derivations import FLAGSHIP, flagship
 
@@ -115,6 +116,24 @@ def test_impact_of_nothing(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("impact_")]
 
 
+def test_impact_broadcasts_no_names(spark, tmp_path):
+    """Small files may hold many names, so sizes that Spark guesses from files decide nothing."""
+    spark.createDataFrame(
+        [("s", "A", "bin", ["x"], "{}"), ("s", "B", "bin", ["A", "gone"], "{}"), (None, "A", "bin", ["A"], "{}")],
+        "study_id string, name string, rule_kind string, inputs array<string>, rule_body string").write.parquet(f"{tmp_path}/entries")
+    entries = spark.read.parquet(f"{tmp_path}/entries")
+    edges = lineage_edges(entries)
+    seeds = edges.where("column = 'x'").select("study_id", "column")
+    reached = seeds.select("study_id", F.lit("A").alias("derivation"))
+    step = impact_round(edges.withColumn("salt", F.lit(0)), seeds, reached)
+    for df in (edges, missing_sources(entries, seeds), step):
+        assert "Broadcast" not in plan(df) and "Join" in plan(df)
+    assert sorted(map(str, edges.collect())) == sorted(map(str, [
+        Row(study_id="s", derivation="A", column="x", origin="source"), Row(study_id="s", derivation="B", column="A", origin="derived"),
+        Row(study_id="s", derivation="B", column="gone", origin="source"), Row(study_id=None, derivation="A", column="A", origin="source")]))
+    assert [tuple(r) for r in missing_sources(entries, seeds).where("study_id = 's'").select("derivation", "column").collect()] == [("B", "gone")]
+
+
 def test_no_machine_local_checkpoints():
     import pathlib
 
