@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -108,6 +109,7 @@ def enhanced_suffix_array(rows: np.ndarray, lengths: np.ndarray, least: int) ->
         key[:, : width - j] |= symbols[:, j:].astype(np.uint64) << _U(9 * (6 - j))
     levels, size = [], 7
     rank = _dense(key)
+    del key
     levels.append((size, rank))
     while 2 * size < width:
         rank = _dense(_pairs(rank, size))
@@ -143,8 +145,10 @@ def _dense(keys: np.ndarray) -> np.ndarray:
     """Ranks from 1 of the keys, equal for equal keys."""
     flat = keys.ravel()
     order = np.argsort(flat)
-    step = np.append(True, flat[order[1:]] != flat[order[:-1]])
-    out = np.empty(len(flat), np.int32)
+    flat = flat[order]
+    step = np.append(True, flat[1:] != flat[:-1])
+    del flat
+    out = np.empty(len(order), np.int32)
     out[order] = np.cumsum(step, dtype=np.int32)
     return out.reshape(keys.shape)
 
@@ -168,13 +172,13 @@ def repeat_groups(at: np.ndarray, common: np.ndarray, before: np.ndarray, least:
     flat = steps[stop - 1] == steps[start]
     found = [np.stack([start[flat], stop[flat], common[start[flat]]], 1)]
     for a, b in zip(start[~flat].tolist(), stop[~flat].tolist(), strict=True):
-        found.append(np.array(_scan(common[a:b].tolist(), before[a : b + 1].tolist(), a), np.int64).reshape(-1, 3))
+        found.append(np.frombuffer(_scan(common[a:b].tolist(), before[a : b + 1].tolist(), a), np.int64).reshape(-1, 3))
     return np.concatenate(found)
 
 
-def _scan(values: list[int], chars: list[int], start: int) -> list[tuple[int, int, int]]:
-    """The stack scan of a common-prefix interval tree, bottom up: intervals whose suffixes have different bytes before them."""
-    out: list[tuple[int, int, int]] = []
+def _scan(values: list[int], chars: list[int], start: int) -> array:
+    """The stack scan of a common-prefix interval tree, bottom up: intervals whose suffixes have different bytes before them, three numbers each."""
+    out = array("q")
     stack: list[list] = []  # open intervals: length, first suffix, the byte before all its suffixes or None
     for k, value in enumerate([*values, 0]):
         first, char = start + k, chars[k]
@@ -182,7 +186,7 @@ def _scan(values: list[int], chars: list[int], start: int) -> list[tuple[int, in
             length, first, of_all = stack.pop()
             char = of_all if of_all == char else None
             if char is None:
-                out.append((first, start + k, length))
+                out.extend((first, start + k, length))
         if stack and stack[-1][0] == value:
             if stack[-1][2] != char:
                 stack[-1][2] = None
@@ -350,41 +354,45 @@ def _contexts(batches: Iterator[pa.RecordBatch], s: Settings, buckets: int) -> I
 
 def _removed(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
     """Spans to remove, from all contexts of a bucket; contexts of very large groups are handed on as they are (kind 2)."""
-    for _, all_ in _by_bucket(batches):
-        rows = all_[:]
-        all_.clear()  # what is joined below is not held twice
-        out = [(0, np.frombuffer(r["id"], np.int64)[0].item(), np.frombuffer(r["text"], np.int64)[0].item(), r["start"], None) for r in rows if r["kind"]]
-        rows = [r for r in rows if not r["kind"]]
-        key, tag, ids, texts, start, length, offset = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in (
-            ("anchor", np.uint64), ("tag", np.uint64), ("id", np.int64), ("text", np.int64), ("start", np.int64), ("length", np.int64), ("offset", np.int64)))
-        body = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
-        rows.clear()
-        first_byte = np.cumsum(length) - length
-        order = np.lexsort((start, texts, ids, tag, key))
-        again = _repeats_previous(order, [key, tag], body, first_byte, length)
-        late, one = order[again], order[~again]
-        found = [(ids[late], texts[late], start[late], start[late] + length[late])]
-        group = np.cumsum(np.append(False, key[one[1:]] != key[one[:-1]])) if len(one) else np.zeros(0, np.int64)
-        size = np.bincount(group) if len(one) else np.zeros(0, np.int64)
-        several = (size[group] > 1) & _shares_part(body, first_byte[one], length[one], offset[one], key[one], s)
-        large = size[group] > s.group
-        for k in one[large].tolist():
-            out.append((2, int(ids[k]), int(texts[k]), np.int64(start[k]).tobytes(), body[first_byte[k] : first_byte[k] + length[k]].tobytes()))
-        one, group = one[several & ~large], group[several & ~large]
-        ends = np.append(np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1, []).astype(np.int64) if len(one) else np.zeros(0, np.int64)
-        begin = 0
-        for k, end in enumerate(ends.tolist()):
-            if k + 1 == len(ends) or ends[k + 1] - begin > s.batch:
-                pick = one[begin:end]
-                found.append(_repeats(body, first_byte[pick], length[pick], ids[pick], texts[pick], start[pick], s))
-                begin = end
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)]
-        out += [(0, id_, text, spans, None) for id_, text, spans in _spans(*columns)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 5, [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)],
-                                         ["kind", "id", "text", "spans", "bytes"])
+    for _, rows in _by_bucket(batches):
+        yield _removed_of(rows, s)  # a bucket's arrays are gone before the next one is read
         give_back()
 
 
+def _removed_of(all_: list[dict], s: Settings) -> pa.RecordBatch:
+    rows = all_[:]
+    all_.clear()  # what is joined below is not held twice
+    out = [(0, np.frombuffer(r["id"], np.int64)[0].item(), np.frombuffer(r["text"], np.int64)[0].item(), r["start"], None) for r in rows if r["kind"]]
+    rows = [r for r in rows if not r["kind"]]
+    key, tag, ids, texts, start, length, offset = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in (
+        ("anchor", np.uint64), ("tag", np.uint64), ("id", np.int64), ("text", np.int64), ("start", np.int64), ("length", np.int64), ("offset", np.int64)))
+    body = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
+    rows.clear()
+    first_byte = np.cumsum(length) - length
+    order = np.lexsort((start, texts, ids, tag, key))
+    again = _repeats_previous(order, [key, tag], body, first_byte, length)
+    late, one = order[again], order[~again]
+    found = [(ids[late], texts[late], start[late], start[late] + length[late])]
+    group = np.cumsum(np.append(False, key[one[1:]] != key[one[:-1]])) if len(one) else np.zeros(0, np.int64)
+    size = np.bincount(group) if len(one) else np.zeros(0, np.int64)
+    several = (size[group] > 1) & _shares_part(body, first_byte[one], length[one], offset[one], key[one], s)
+    large = size[group] > s.group
+    for k in one[large].tolist():
+        out.append((2, int(ids[k]), int(texts[k]), np.int64(start[k]).tobytes(), body[first_byte[k] : first_byte[k] + length[k]].tobytes()))
+    one, group = one[several & ~large], group[several & ~large]
+    ends = np.append(np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1, []).astype(np.int64) if len(one) else np.zeros(0, np.int64)
+    begin = 0
+    for k, end in enumerate(ends.tolist()):
+        if k + 1 == len(ends) or ends[k + 1] - begin > s.batch:
+            pick = one[begin:end]
+            found.append(_repeats(body, first_byte[pick], length[pick], ids[pick], texts[pick], start[pick], s))
+            begin = end
+    columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+    out += [(0, id_, text, spans, None) for id_, text, spans in _spans(*columns)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 5, [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)],
+                                      ["kind", "id", "text", "spans", "bytes"])
+
+
 def _shares_part(body: np.ndarray, first: np.ndarray, length: np.ndarray, offset: np.ndarray, key: np.ndarray, s: Settings) -> np.ndarray:
     """Whether a context can have a window in common with another one of its anchor.
 
@@ -406,30 +414,39 @@ def _shares_part(body: np.ndarray, first: np.ndarray, length: np.ndarray, offset
 
 
 def _repeats(body: np.ndarray, first: np.ndarray, length: np.ndarray, ids: np.ndarray, texts: np.ndarray, start: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
-    """Spans of all occurrences but the first of the maximal repeat groups of some contexts."""
+    """Spans of all occurrences but the first of the maximal repeat groups of some contexts, merged within each context.
+
+    Groups are nested, so a suffix is in many; of those that remove it the longest is kept, which covers the others.
+    """
     padded = np.append(body, np.zeros(s.width, np.uint8))
     width = int(length.max())
-    rows = padded[first[:, None] + np.arange(width)]
+    rows = np.lib.stride_tricks.sliding_window_view(padded, width)[first]
     at, common = enhanced_suffix_array(rows, length, s.least)
     row, column = at // width, at % width
     before = np.where(column > 0, rows[row, np.maximum(column - 1, 0)].astype(np.int64), -1 - np.arange(len(at)))
-    place = start[row] + column
     groups = repeat_groups(at, common, before, s.least)
+    del common, before
     # suffixes in order of document and place; the smallest of each group is its first occurrence
-    order = np.lexsort((place, texts[row], ids[row]))
-    rank = np.empty(len(at), np.int64)
-    step = np.any([x[order[1:]] != x[order[:-1]] for x in (ids[row], texts[row], place)], axis=0)
-    rank[order] = np.append(0, np.cumsum(step))[: len(at)]
+    by_text = np.lexsort((texts, ids))
+    document = np.empty(len(ids), np.int64)
+    document[by_text] = np.cumsum(np.append(False, (ids[by_text[1:]] != ids[by_text[:-1]]) | (texts[by_text[1:]] != texts[by_text[:-1]])))
+    rank = (document[row] << 40) + start[row] + column
+    del row
     count = groups[:, 1] - groups[:, 0] + 1
-    found = [np.zeros((0, 2), np.int64)]
+    longest = np.zeros(len(at), np.int64)
     for a, b in chunks(np.append(0, np.cumsum(count)), 500_000):
         n = count[a:b]
-        first = np.cumsum(n) - n
-        k = np.arange(int(n.sum())) + np.repeat(groups[a:b, 0] - first, n)
-        late = rank[k] != np.repeat(np.minimum.reduceat(rank[k], first), n)
-        found.append(np.stack([k[late], np.repeat(groups[a:b, 2], n)[late]], 1))
-    k, size = np.concatenate(found).T
-    return ids[row[k]], texts[row[k]], place[k], place[k] + size
+        begin = np.cumsum(n) - n
+        k = np.arange(int(n.sum())) + np.repeat(groups[a:b, 0] - begin, n)
+        late = rank[k] != np.repeat(np.minimum.reduceat(rank[k], begin), n)
+        np.maximum.at(longest, k[late], np.repeat(groups[a:b, 2], n)[late])
+    ends = np.zeros(rows.shape, np.int32)
+    ends.ravel()[at] = np.where(longest > 0, column + longest, 0)
+    gone = np.zeros((len(rows), width + 2), np.int8)
+    gone[:, 1:-1] = np.maximum.accumulate(ends, axis=1) > np.arange(width)
+    edge = np.diff(gone, axis=1)
+    (owner, opens), closes = np.nonzero(edge == 1), np.nonzero(edge == -1)[1]
+    return ids[owner], texts[owner], start[owner] + opens, start[owner] + closes
 
 
 # --- tables -------------------------------------------------------------------------------------------------------

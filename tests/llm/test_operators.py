@@ -92,6 +92,23 @@ def test_repeats_of_equal_ids_and_nothing(frame, corpus, nothing):
     assert sd.remove_repeats(nothing).count() == 0
 
 
+def test_nested_repeat_groups_give_merged_spans():
+    """Contexts of one anchor that share more and more bytes are in many nested groups; what they remove is a few spans each."""
+    s, n = sd.Settings(least=20, gram=5), 60
+    contexts = [b"x" * 30 + bytes([97 + k % 3]) * (k % 9) + b"y" * 20 + bytes([65 + k // 3]) for k in range(n)]
+    body, length = np.frombuffer(b"".join(contexts), np.uint8), np.array([len(c) for c in contexts])
+    start = np.arange(n) * 7
+    ids, texts, opens, closes = sd._repeats(body, np.cumsum(length) - length, length, np.arange(n) // 2, np.arange(n) % 2, start, s)
+    assert len(ids) <= 3 * n
+    seen, want = set(), set()
+    for k, c in enumerate(contexts):
+        windows = [c[i : i + 20] for i in range(len(c) - 19)]
+        for i, w in enumerate(windows):
+            want |= {(k // 2, k % 2, start[k] + j) for j in range(i, i + 20)} if w in seen else set()
+            seen.add(w)
+    assert {(i, t, j) for i, t, a, b in zip(ids, texts, opens, closes, strict=True) for j in range(a, b)} == want
+
+
 def test_maximal_repeat_groups():
     text = b"xabcdyabcdzabcx"
     rows = np.frombuffer(text, np.uint8)[None, :]
