@@ -15,10 +15,10 @@ from rulefold.functions.signatures import signature_of
 from rulefold.plans.spec import Spec
 from rulefold.session import Folder, fresh_folder
 
-RECORD_SCHEMA = (
-    "struct<value:string,rule_kind:string,body_signature:string,agent_chain:array<string>,"
-    "hitl_event_ids:array<string>,ltm_pattern_ref:string,source_row_ids:array<string>>"
-)
+RECORD_FIELDS = {
+    "value": "string", "rule_kind": "string", "body_signature": "string", "agent_chain": "array<string>",
+    "hitl_event_ids": "array<string>", "ltm_pattern_ref": "string", "source_row_ids": "array<string>",
+}
 
 
 SAFE_TEXT = r"[ !#-\[\]-~]*"
@@ -81,9 +81,15 @@ def with_lineage(derived, key: str | list[str], records: dict[str, dict] | None
     return derived.df.withColumn(column, lineage_column(derived, key, records))
 
 
-def read_lineage(df: DataFrame, column: str = "lineage_id") -> DataFrame:
-    """One row per row and derived column, from the JSON. Filter on the row key first to read few rows."""
-    parsed = F.from_json(col(column), f"map<string,{RECORD_SCHEMA}>")
+def read_lineage(df: DataFrame, column: str = "lineage_id", fields: dict[str, str] | None = None) -> DataFrame:
+    """One row per row and derived column, from the JSON. Filter on the row key first to read few rows.
+
+    fields: those of the records that are wanted, with their types; `RECORD_FIELDS` by default. The others are passed by in the text, as
+    values of a map are out of reach of Spark's own pruning. Where the row key has whole numbers only, `source_row_ids` are read faster as
+    `array<bigint>`: the parser writes every number that is to be text anew.
+    """
+    record = ",".join(f"{n}:{t}" for n, t in (fields or RECORD_FIELDS).items())
+    parsed = F.from_json(col(column), f"map<string,struct<{record}>>")
     others = [col(c) for c in df.columns if c != column]
     return df.select(*others, F.explode(parsed).alias("derivation", "_rec")).select(
         *[c for c in df.columns if c != column], "derivation", "_rec.*"

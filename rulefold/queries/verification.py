@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rulefold.functions.cells import INTEGRAL
 from rulefold.functions.signatures import signature_of
 from rulefold.operators import verify as v
 from rulefold.operators.audit import findings_signatures
-from rulefold.operators.lineage import read_lineage, with_lineage
+from rulefold.operators.lineage import RECORD_FIELDS, read_lineage, with_lineage
 from rulefold.operators.lookup import find, write_keyed
 from rulefold.operators.rules import RULE_KINDS, Check, RuleColumns, Scope, register_rule_kind, rule_kind
 from rulefold.plans.apply import apply_rule
@@ -271,9 +272,13 @@ WITH {FLAGSHIP_SQL}
     f"l_orderkey || ',' || l_linenumber AS source_row_ids FROM d" for n in _ORDER)}""")
 def lineage_read_back(spark: SparkSession, folder: str) -> DataFrame:
     """Lineage of all rows, from the JSON."""
-    return read_lineage(lineage_rows(spark, folder)).select(
+    rows = lineage_rows(spark, folder)
+    fields = {n: RECORD_FIELDS[n] for n in ("value", "rule_kind", "body_signature", "agent_chain", "source_row_ids")}
+    if all(isinstance(rows.schema[k].dataType, INTEGRAL) for k in ("l_orderkey", "l_linenumber")):
+        fields["source_row_ids"] = "array<bigint>"
+    return read_lineage(rows, fields=fields).select(
         "l_orderkey", "l_linenumber", "derivation", "value", "rule_kind", "body_signature",
-        F.array_join("agent_chain", ">").alias("agent_chain"), F.array_join("source_row_ids", ",").alias("source_row_ids"))
+        F.array_join("agent_chain", ">").alias("agent_chain"), F.array_join(F.col("source_row_ids").cast("array<string>"), ",").alias("source_row_ids"))
 
 
 @query("lineage_lookup", f"""
@@ -286,7 +291,7 @@ def lineage_lookup(spark: SparkSession, folder: str) -> DataFrame:
     write_keyed(lineage_rows(spark, folder), path, ["l_orderkey", "l_linenumber"])
     wanted = table(spark, folder, "orders").groupBy("o_orderpriority").agg(F.min("o_orderkey").alias("l_orderkey"))
     found = find(spark, path, "l_orderkey", [r["l_orderkey"] for r in wanted.collect()])  # a row per priority
-    return read_lineage(found).select("l_orderkey", "l_linenumber", "derivation", "value")
+    return read_lineage(found, fields={"value": "string"}).select("l_orderkey", "l_linenumber", "derivation", "value")
 
 
 @query("run_withholds_failed", """

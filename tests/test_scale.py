@@ -7,9 +7,10 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from rulefold.operators import memory as mem
-from rulefold.operators.lineage import impact, impact_round, lineage_edges, missing_sources
+from rulefold.operators.lineage import impact, impact_round, lineage_edges, missing_sources, read_lineage
 from rulefold.plans.apply import apply_spec
 from rulefold.queries.derivations import FLAGSHIP, flagship
+from rulefold.queries.verification import lineage_read_back
 
 
 @contextlib.contextmanager
@@ -134,6 +135,18 @@ def test_impact_broadcasts_no_names(spark, tmp_path):
     assert [tuple(r) for r in missing_sources(entries, seeds).where("study_id = 's'").select("derivation", "column").collect()] == [("B", "gone")]
 
 
+def test_lineage_is_read_back_by_wanted_fields(spark, sf):
+    """Fields that nobody reads are not parsed, and whole numbers in row keys are no text."""
+    text = plan(lineage_read_back(spark, sf))
+    parsed = text[text.index("from_json"):]
+    assert "source_row_ids,ArrayType(LongType" in parsed and "hitl_event_ids,ArrayType" not in parsed and "ltm_pattern_ref,StringType" not in parsed
+    rows = spark.createDataFrame([(1, '{"A":{"value":2,"source_row_ids":[7,null,-3]},"B":{"value":"x","rule_kind":"bin","source_row_ids":[]}}'), (2, "{}"), (3, None)], "k int, lineage_id string")
+    got = read_lineage(rows, fields={"value": "string", "source_row_ids": "array<bigint>"}).collect()
+    assert [tuple(r) for r in got] == [(1, "A", "2", [7, None, -3]), (1, "B", "x", [])]
+    assert read_lineage(rows).columns == ["k", "derivation", "value", "rule_kind", "body_signature", "agent_chain", "hitl_event_ids", "ltm_pattern_ref", "source_row_ids"]
+    assert [r["source_row_ids"] for r in read_lineage(rows).collect()] == [["7", None, "-3"], []]
+
+
 def test_no_machine_local_checkpoints():
     import pathlib
 
