@@ -231,39 +231,85 @@ def overlaps(flat: np.ndarray, firsts: np.ndarray, pivot: np.ndarray) -> np.ndar
     return np.add.reduceat((pivot[at] == flat).astype(np.int64), firsts)
 
 
+def able_to_link(sets: list[np.ndarray], sizes: np.ndarray, s: Settings) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sets that can link at all, the most central first; for each, which of its shingles another one holds.
+
+    A set's overlap with any other is at most the number of its shingles that another set holds. Central are sets whose shingles are
+    held by many on average: the text that near copies were made from comes before them.
+    """
+    left = np.arange(len(sets))
+    while len(left) > 1:
+        firsts = np.append(0, np.cumsum(sizes[left])[:-1])
+        _, at, holders = np.unique(np.concatenate([sets[k] for k in left]), return_inverse=True, return_counts=True)
+        holders = holders[at]
+        again = holders > 1
+        shared = np.add.reduceat(again.astype(np.int64), firsts)
+        able = 100 * shared >= s.percent * sizes[left]
+        if 10 * able.sum() > 9 * len(left):
+            order = np.flatnonzero(able)
+            order = order[np.argsort(-(np.add.reduceat(holders, firsts) / sizes[left])[order], kind="stable")]
+            parts = np.split(again, firsts[1:])
+            return left[order], [parts[k] for k in order.tolist()]
+        left = left[able]
+    return left[:0], []
+
+
 def join_region(sets: list[np.ndarray], s: Settings, forest: Forest | None = None) -> Forest:
     """Connects all sets that link, directly or through others.
 
-    The first set is the pivot. Sets within the radius of it are its cell and linked to it. A set outside the cell within
+    The most central set is the pivot. Sets within the radius of it are its cell and linked to it. A set outside the cell within
     two radii can link to one in the cell: those pairs are tested where the triangle inequality leaves a window. All sets
     outside the cell, such boundary sets among them, are joined likewise, with the next pivot. Sets of one cell
     are connected already, so their pairs are never looked at.
+
+    No pair is counted out whose overlap must be too small: two sets share at most as many shingles of the first pivot as the one with fewer
+    of them holds, and beside the pivot's at most as many of those that several sets hold.
     """
     forest = forest or Forest(len(sets))
     sizes = np.array([len(v) for v in sets], np.int64)
-    left = np.argsort(sizes, kind="stable")
+    left, again = able_to_link(sets, sizes, s)
+    if len(left) < 2:
+        return forest
     eps, slack = s.radius, 1e-9
+
+    def against(pivot: int, others: np.ndarray) -> np.ndarray:
+        return overlaps(np.concatenate([sets[k] for k in others]), np.append(0, np.cumsum(sizes[others])[:-1]), sets[pivot])
+
+    held, beside = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)  # shingles of the first pivot, and others that several sets hold
+    held[left] = against(left[0], left)
+    for k, mask in zip(left.tolist(), again, strict=True):
+        beside[k] = np.count_nonzero(mask & ~np.isin(sets[k], sets[left[0]], assume_unique=True)) if held[k] < len(mask) else 0
+
+    def possible(k: int, others: np.ndarray) -> np.ndarray:
+        most = np.minimum(held[others], held[k]) + np.minimum(beside[others], beside[k])
+        return others[(100 + s.percent) * most >= s.percent * (sizes[others] + sizes[k])]
+
     while len(left) > 1:
-        pivot, rest = left[0], left[1:]
-        # sets too large for any link with the pivot or its cell are beyond the window
-        flat = np.concatenate([sets[k] for k in rest])
-        both = overlaps(flat, np.append(0, np.cumsum(sizes[rest])[:-1]), sets[pivot])
-        distance = 1 - both / (sizes[rest] + sizes[pivot] - both)
-        cell = s.linked(both, sizes[rest], sizes[pivot])
-        for k in rest[cell].tolist():
-            forest.join(int(pivot), k)
-        inner, inner_distance = rest[cell], distance[cell]
-        for k, d in zip(rest[~cell].tolist(), distance[~cell].tolist(), strict=True):
-            if d > 2 * eps + slack or forest.root(k) == forest.root(int(pivot)):
+        pivot, left = int(left[0]), left[1:]
+        near = possible(pivot, left)
+        both = against(pivot, near) if len(near) else near
+        inside_ = s.linked(both, sizes[near], sizes[pivot])
+        if not inside_.any():
+            continue
+        inner, inner_distance = near[inside_], (1 - both / (sizes[near] + sizes[pivot] - both))[inside_]
+        for k in inner.tolist():
+            forest.join(pivot, k)
+        left = left[~np.isin(left, inner)]
+        # beyond two radii in size alone, a set is beyond them
+        outer = left[100 * np.minimum(sizes[left], sizes[pivot]) >= (2 * s.percent - 100) * np.maximum(sizes[left], sizes[pivot])]
+        if not len(outer):
+            continue
+        both = against(pivot, outer)
+        distance = 1 - both / (sizes[outer] + sizes[pivot] - both)
+        for k, d in zip(outer.tolist(), distance.tolist(), strict=True):
+            if d > 2 * eps + slack or forest.root(k) == forest.root(pivot):
                 continue
-            near = inner[inner_distance >= d - eps - slack]
-            near = near[(100 * np.minimum(sizes[near], sizes[k]) >= s.percent * np.maximum(sizes[near], sizes[k]))]
-            for m in near.tolist():
-                one = np.array([len(np.intersect1d(sets[k], sets[m], assume_unique=True))])
-                if s.linked(one, sizes[k], sizes[m])[0]:
-                    forest.join(k, m)
+            window = possible(k, inner[inner_distance >= d - eps - slack])
+            for i in range(0, len(window), 64):
+                some = window[i : i + 64]
+                if s.linked(against(k, some), sizes[some], sizes[k]).any():
+                    forest.join(k, pivot)
                     break
-        left = rest[~cell]
     return forest
 
 
@@ -290,60 +336,84 @@ def _joined(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Recor
 
 
 def split_regions(members: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """One round: Voronoi cells of some pivots of each region. Returns links (a, b) and the members of the new regions.
+    """One round around a pivot of each region. Returns links (a, b) and the members that links may still connect to others; no row is copied.
 
-    A document goes to its nearest pivot's region, and, as a copy, to that of every pivot at most two radii farther: if x and
-    y link, y lies within d(x, p) + radius of x's nearest pivot p, hence within d(y, q) + 2 radii for its own, q. Documents
-    within the radius of their region's pivot are linked to it, and stay only if some document outside the
-    radius is near enough to link with them.
+    1. A document stays only if enough of its shingles are held by others of the region. 2. Candidates for the pivot are the most central
+    documents, one from each of `s.pivots` parts; the one with the largest cell is the pivot, and its cell is linked to it. 3. Documents outside
+    the cell stay, and those in it that can link to one outside: by the triangle inequality, and by sizes, as a set can
+    link to none that is too large or too small for the shingles it shares.
     """
-    chosen = [F.min_by(F.struct("id", "shingles"), F.xxhash64("id", F.lit(k))).alias(f"p{k}") for k in range(s.pivots)]
-    pivots = members.groupBy("region").agg(F.array_distinct(F.array(*[F.struct(c["id"].alias("id"), c["shingles"].alias("shingles")) for c in chosen])).alias("pivots"))
+    spark = members.sparkSession
+    name = ["region", "id", "row"]  # an id may come with several sets
+    rows = members.select("region", "id", F.xxhash64("shingles").alias("row"), (F.length("shingles") / 8).cast("bigint").alias("size"), "shingles")
+    rows = written(spark, rows.dropDuplicates(name), "jaccard-split")
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for region, id_, values, pivots in zip(*(batch.column(c).to_pylist() for c in ("region", "id", "shingles", "pivots")), strict=True):
-                x = np.frombuffer(values, np.uint64)
-                both = np.array([len(np.intersect1d(x, np.frombuffer(p["shingles"], np.uint64), assume_unique=True)) for p in pivots])
-                size = np.array([len(p["shingles"]) // 8 for p in pivots])
-                distance, link = 1 - both / (len(x) + size - both), s.linked(both, len(x), size)
-                home = int(np.argmin(distance))
-                for k in np.flatnonzero(distance <= distance[home] + 2 * s.radius + 1e-9).tolist():
-                    rows.append({"region": f"{region}.{k}", "id": id_, "shingles": values, "pivot": pivots[k]["id"], "distance": float(distance[k]), "link": bool(link[k])})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([
-                ("region", pa.string()), ("id", pa.int64()), ("shingles", pa.binary()), ("pivot", pa.int64()), ("distance", pa.float64()), ("link", pa.bool_())]))
-
-    assigned = members.select("region", "id", "shingles").join(pivots, "region").mapInArrow(
-        assign, "region string, id bigint, shingles binary, pivot bigint, distance double, link boolean")
-    assigned = written(members.sparkSession, assigned, "jaccard-split")
-    links = assigned.where("link AND id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    rim = assigned.where("NOT link").groupBy("region").agg(F.min("distance").alias("rim"))
-    kept = assigned.join(rim, "region").where(~F.col("link") | (F.col("distance") >= F.col("rim") - s.radius - 1e-9))
-    return links, kept.select("region", "id", "shingles")
+            data, offsets = utf8(batch.column("shingles"))
+            lists = pa.ListArray.from_arrays(pa.array(offsets // 8, pa.int32()), pa.array(np.frombuffer(data.tobytes(), np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in name), lists], [*name, "held"])
+
+    held = rows.select(*name, "shingles").mapInArrow(unpack, "region string, id bigint, row bigint, held array<bigint>")
+    held = written(spark, held.select(*name, F.explode("held").alias("shingle")), "jaccard-shingles")
+    holders = held.groupBy("region", "shingle").agg(F.count("*").alias("holders")).where("holders > 1")
+    shared = held.join(holders, ["region", "shingle"]).groupBy(*name).agg(F.count("*").alias("shared"), F.sum("holders").alias("weight"))
+    able = rows.drop("shingles").join(shared, name).where(F.col("shared") * 100 >= F.col("size") * s.percent)
+    able = written(spark, able, "jaccard-able")
+
+    part = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(s.pivots))
+    one = F.struct(F.col("id").alias("pivot"), F.col("row").alias("pivot_row"), F.col("size").alias("pivot_size"))
+    central = F.struct(F.col("weight") / F.col("size"), F.bitwise_not("id"), "row")
+    chosen = able.groupBy("region").agg(F.array_compact(F.array(*[F.max_by(one, F.when(part == k, central)) for k in range(s.pivots)])).alias("pivots"))
+    chosen = written(spark, chosen.select("region", F.inline("pivots")), "jaccard-pivots")
+    theirs = held.join(chosen, (held["region"] == chosen["region"]) & (held["id"] == chosen["pivot"]) & (held["row"] == chosen["pivot_row"]))
+    theirs = theirs.select(held["region"], "shingle", "pivot", "pivot_row", "pivot_size")
+    both = held.join(theirs, ["region", "shingle"]).groupBy(*name, "pivot", "pivot_row", "pivot_size").agg(F.count("*").alias("both"))
+    union = F.col("size") + F.col("pivot_size") - F.col("both")
+    link = F.col("both") * 100 >= union * s.percent
+    met = written(spark, able.join(both, name).withColumn("link", link).withColumn("distance", 1 - F.col("both") / union), "jaccard-met")
+    cells = met.groupBy("region", "pivot", "pivot_row").agg(F.count_if("link").alias("cell"))
+    best = cells.groupBy("region").agg(F.max_by(F.struct("pivot", "pivot_row"), F.struct("cell", F.bitwise_not("pivot"), "pivot_row")).alias("best")).select("region", "best.*")
+    met = met.join(best, ["region", "pivot", "pivot_row"])
+    links = met.where("link AND id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+
+    assigned = able.join(met.select(*name, "pivot", "link", "distance"), name, "left")
+    assigned = assigned.withColumn("link", F.coalesce("link", F.lit(False))).withColumn("distance", F.coalesce("distance", F.lit(1.0)))
+    # the largest set with which the shingles that a set shares are enough for a link
+    largest = F.floor(F.col("shared") * (100 + s.percent) / s.percent + 1e-6) - F.col("size")
+    assigned = written(spark, assigned.withColumn("largest", largest), "jaccard-assigned")
+    outside = assigned.where("NOT link").groupBy("region").agg(
+        F.min("distance").alias("rim"), F.min("size").alias("out_size"), F.max("largest").alias("out_largest"))
+    stay = assigned.join(outside, "region").where(~F.col("link") | (
+        (F.col("distance") >= F.col("rim") - s.radius - 1e-9) & (F.col("size") <= F.col("out_largest")) & (F.col("largest") >= F.col("out_size"))))
+    return links, rows.join(stay.select(*name), name, "left_semi").select("region", "id", "shingles")
 
 
 def link_edges(members: DataFrame, s: Settings) -> DataFrame:
     """Columns a, b: edges that connect exactly the documents of `members` (region, id, shingles) that links connect within a region."""
     spark = members.sparkSession
-    links = []
+    links, before = [], None
     for round_ in range(s.rounds + 1):
         size = members.groupBy("region").agg(F.sum(F.length("shingles") / 8).alias("size"))
         large = written(spark, size.where(F.col("size") > s.region), "jaccard-large")
-        small = members.join(large, "region", "left_anti") if round_ < s.rounds else members
-        blocks = small.select("region", "id", "shingles")
-        if round_ == s.rounds:  # pairs of blocks of what no round could split
+        blocks, again, name = members, large, F.col("region")
+        if before is not None or round_ == s.rounds:  # what a round has not halved, or is left after the last one, is joined in pairs of blocks
+            stuck = large if round_ == s.rounds else large.join(before.withColumnRenamed("size", "was"), "region").where("2 * size > was").select("region", "size")
+            stuck = written(spark, stuck, "jaccard-stuck")
+            again = large.join(stuck, "region", "left_anti")
             n = F.coalesce(F.ceil(F.col("size") / s.region), F.lit(1)).cast("int")
             mine = F.pmod(F.xxhash64("id", F.lit(9)), F.col("n")).cast("int")
-            blocks = members.join(large, "region", "left").withColumn("n", n).withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-            blocks = blocks.select(F.concat_ws("/", "region", F.least("i", "j"), F.greatest("i", "j")).alias("region"), "id", "shingles")
-        dealt = blocks.repartition("region").sortWithinPartitions("region", "id")
+            blocks = members.join(stuck, "region", "left").withColumn("n", n).withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+            blocks, name = blocks.where("i <> j OR n = 1"), F.concat_ws("/", "region", F.least("i", "j"), F.greatest("i", "j"))
+        small = blocks.join(again, "region", "left_anti").select(name.alias("region"), "id", "shingles")
+        dealt = small.repartition("region").sortWithinPartitions("region", "id")
         links.append(dealt.mapInArrow(lambda b: _joined(b, s), "a bigint, b bigint"))
-        if round_ == s.rounds or large.isEmpty():
+        if round_ == s.rounds or again.isEmpty():
             break
-        more, members = split_regions(members.join(large, "region", "left_semi"), s)
+        more, members = split_regions(members.join(again, "region", "left_semi"), s)
         links.append(more)
         members = written(spark, members, "jaccard-regions")
+        before = large
     out = links[0]
     for part in links[1:]:
         out = out.unionByName(part)

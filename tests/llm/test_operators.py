@@ -210,6 +210,59 @@ def test_region_join_finds_every_link():
     assert [forest.root(k) for k in range(len(sets))] == [plain.root(k) for k in range(len(sets))]
 
 
+def _cluster(seed: int, n: int, least: float) -> list[np.ndarray]:
+    """A base of 100 shingles and sets that hold a share of it, from `least` on, and shingles of their own instead."""
+    rng = np.random.default_rng(seed)
+    base = np.unique(rng.integers(0, 2**60, 100)).astype(np.uint64)
+    sets = [base]
+    for k in range(n):
+        keep = rng.random(len(base)) < least + (1 - least) * k / n
+        sets.append(np.unique(np.append(base[keep], rng.integers(0, 2**60, len(base) - keep.sum()).astype(np.uint64))))
+    return sets
+
+
+def _plain_roots(ids, sets, s):
+    parent = {i: i for i in ids}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for m, x in enumerate(sets):
+        for k in range(m):
+            both = len(np.intersect1d(x, sets[k]))
+            if 100 * both >= s.percent * (len(x) + len(sets[k]) - both):
+                a, b = root(ids[m]), root(ids[k])
+                parent[max(a, b)] = min(a, b)
+    return {i: root(i) for i in ids}
+
+
+def test_split_regions_copies_no_row(spark):
+    """All near copies of a text are about as far from every pivot; copies in the cells of all of them grow with the power of the rounds."""
+    sets = _cluster(7, 150, 0.75)
+    s = jj.Settings(region=1000)
+    members = spark.createDataFrame([("r", k, bytearray(v.tobytes())) for k, v in enumerate(sets)], "region string, id bigint, shingles binary")
+    links, left = jj.split_regions(members, s)
+    ids = [r.id for r in left.collect()]
+    assert len(ids) == len(set(ids)) < len(sets) and links.count() > 30
+    # what has under 80 of its 100 shingles in common with others links with none, and goes
+    assert not {k for k, v in enumerate(sets) if k and len(np.intersect1d(v, sets[0])) < 78} & set(ids)
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+def test_link_edges_of_large_regions(spark, rounds):
+    """Several clusters that share a passage in one region, rows that come twice, an id with several sets, extreme ids."""
+    passage = np.arange(1, 60, dtype=np.uint64)
+    sets = [np.unique(np.append(v, passage)) for seed in (1, 2, 3) for v in _cluster(seed, 60, 0.7)]
+    ids = [-(2**63), *range(1, len(sets) - 2), 5, 2**63 - 1]
+    s = jj.Settings(region=2000, rounds=rounds, pivots=3)
+    rows = [("r", i, bytearray(v.tobytes())) for i, v in zip(ids, sets, strict=True)]
+    members = spark.createDataFrame(rows + rows[::3], "region string, id bigint, shingles binary")
+    found = {i: i for i in ids} | dict(map(tuple, components(jj.link_edges(members, s)).collect()))
+    assert found == _plain_roots(ids, sets, s)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(7, 3), (3, 7), (3, 9), (500, 1)] + [(1000 + k, 1000) for k in range(50)] + [(5, 5)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
