@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rulefold.llm.classifier import fit, score
 from rulefold.llm.exact_dedup import without_duplicates
-from rulefold.llm.frames import fresh, written
+from rulefold.llm.frames import fresh, hash_bucket, written
 from rulefold.llm.jaccard_join import near_duplicates
 from rulefold.llm.mixing import whole_documents
 from rulefold.llm.packing import pack_documents
@@ -21,6 +21,7 @@ from rulefold.session import table
 
 LEAST_QUALITY = 0.7
 TOKENIZER = "byte_bpe_50k.json"
+BUCKETS = 1 << 20  # of hashes of row keys, broadcast to leave out rows that stay for sure
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Each row is a document of its own, by a key that a written copy of the rows holds. So near copies among rows with a null id are found
     (a null is the largest id), and of rows that repeat an id only those go whose own text is linked to a row that stays.
     """
-    (key,) = fresh(docs, "row_key")
+    key, bucket, out = fresh(docs, "row_key", "bucket", "dropped")
     keyed = written(spark, docs.withColumn(key, F.monotonically_increasing_id()), "pipeline-near-duplicate-rows")
     found = near_duplicates(keyed, id_col=key).select(F.col(key).alias("member"), F.col("component_id").alias("component"))
     linked = written(spark, found.where("member <> component"), "pipeline-near-duplicate-links")
@@ -51,7 +52,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     stay = members.join(ids, F.col("member") == F.col("row")).groupBy("component").agg(F.min(F.struct("last", "id", "row")).alias("first"))
     dropped = members.select("member").join(stay.select(F.col("first.row").alias("stays")), F.col("member") == F.col("stays"), "left_anti")
     dropped = written(spark, dropped, "pipeline-near-duplicates")
-    return keyed.join(dropped, keyed[key] == dropped["member"], "left_anti").drop(key)
+    # texts are shuffled only where the hash of a key is that of a dropped one
+    dropped = dropped.withColumnRenamed("member", out)
+    buckets = F.broadcast(dropped.select(hash_bucket(F.col(out), BUCKETS).alias(bucket)).distinct())
+    mine = hash_bucket(F.col(key), BUCKETS) == F.col(bucket)
+    some = keyed.join(buckets, mine, "left_semi").join(dropped, F.col(key) == F.col(out), "left_anti")
+    return keyed.join(buckets, mine, "left_anti").unionByName(some).drop(key)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,10 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def hash_bucket(id_: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(buckets)).cast("int")
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """`df` as a table in the shared folder: later steps read it instead of repeating what made it, and survive lost executors."""
     folder = fresh_folder(spark, name)

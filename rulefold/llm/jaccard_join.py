@@ -9,10 +9,10 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulefold.llm.frames import col, give_back, written
+from rulefold.llm.frames import col, give_back, hash_bucket, written
 from rulefold.llm.graph import components
 from rulefold.llm.text_arrays import LOWER, chunks, hash_spans, inside, join_hash, mix, ngrams, stretches, utf8, word_spans
 
@@ -333,6 +333,8 @@ def _joined(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Recor
             sets.append(np.frombuffer(values, np.uint64))
     if ids:
         yield close()
+    ids, sets = [], []
+    give_back()
 
 
 def split_regions(members: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
@@ -420,10 +422,6 @@ def link_edges(members: DataFrame, s: Settings) -> DataFrame:
     return out
 
 
-def _bucket(id_: Column, s: Settings) -> Column:
-    return F.pmod(F.xxhash64(id_), F.lit(s.buckets)).cast("int")
-
-
 def near_duplicates(df: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `df`: id, n_shingles (distinct), component_id (smallest id reachable by links, its own included).
 
@@ -458,8 +456,8 @@ def near_duplicates(df: DataFrame, settings: Settings | None = None, id_col: str
     members = least.join(regions, F.col("least") == F.col("node")).select(F.col("least").alias("id"), "signature", F.col("component").cast("string").alias("region"))
     several = members.groupBy("region").agg(F.count("*").alias("sets")).where("sets > 1")
     members = written(spark, members.join(several, "region", "left_semi"), "jaccard-members")
-    buckets = F.broadcast(members.select(_bucket(F.col("id"), s).alias("bucket")).distinct())  # at most s.buckets numbers
-    texts = known.join(buckets, _bucket(F.col("id"), s) == F.col("bucket"), "left_semi").join(members, "id")
+    buckets = F.broadcast(members.select(hash_bucket(F.col("id"), s.buckets).alias("bucket")).distinct())  # at most s.buckets numbers
+    texts = known.join(buckets, hash_bucket(F.col("id"), s.buckets) == F.col("bucket"), "left_semi").join(members, "id")
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

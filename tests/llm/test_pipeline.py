@@ -72,3 +72,19 @@ def test_near_duplicates_with_null_and_repeated_ids(spark, sf):
     stays = sorted(r.n for r in got.collect())
     assert [n for n in stays if n not in (0, 1, 8, 9)] == [2, 4, 5, 7, 10, 11, 12]
     assert len({0, 1} & set(stays)) == 1 and len({8, 9} & set(stays)) == 1
+
+
+def test_near_duplicates_shuffle_few_texts(spark, sf):
+    """Where the dropped keys are too many for a broadcast, rows whose key has no dropped one's hash still go on without a shuffle; column names may be any."""
+    texts = [" ".join(f"w{k // 2 if k < 20 else k}x{j}" if j or k % 2 else "changed" for j in range(90)) for k in range(60)]
+    docs = spark.createDataFrame([(k, t, k, k, k) for k, t in enumerate(texts)], "doc_id bigint, text string, bucket int, dropped int, row_key int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = cp.near_duplicate_stage(spark, docs, sf)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert got.columns == docs.columns
+        assert sorted(r.dropped for r in got.collect()) == [k for k in range(60) if k >= 20 or not k % 2]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "LeftAnti, BuildRight" in "".join(x for x in plan.splitlines() if "BroadcastHashJoin" in x)
